@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import captions, terms
+from lectern.plans import anchors, captions, terms
 
-MODULES = (captions, terms)
+MODULES = (captions, terms, anchors)
 
 
 def queries():
