@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import anchors, captions, terms
+from lectern.plans import anchors, captions, markdown, terms
 
-MODULES = (captions, terms, anchors)
+MODULES = (captions, terms, anchors, markdown)
 
 
 def queries():
