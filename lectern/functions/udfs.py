@@ -35,3 +35,9 @@ def _ratio(a: str | None, b: str | None) -> float:
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of matching blocks between two texts, three decimals."""
     return pd.Series([_ratio(a, b) for a, b in zip(left, right)])
+
+
+@F.pandas_udf(T.StringType())
+def case_fold(values: pd.Series) -> pd.Series:
+    """Full Unicode case folding."""
+    return values.map(lambda v: None if v is None else v.casefold())

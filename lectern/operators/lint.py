@@ -146,16 +146,22 @@ def _strict(df: DataFrame) -> DataFrame:
                  strict_vid="coalesce(nullif(sv_bvid, ''), nullif(sv_video_id, ''))")
 
 
-def parse_notes(notes: DataFrame) -> DataFrame:
-    """Notes with everything the rules need, computed once per row.
+# Parsing steps that only some rules read, with a word that marks their columns.
+_OPTIONAL_STEPS = (("quiz", md.add_quiz), ("nav", md.add_nav), ("km", md.add_map), ("lab", md.add_label_problems), ("img", md.add_images))
+
+
+def parse_notes(notes: DataFrame, rules: Sequence[str] | None = None) -> DataFrame:
+    """Notes with everything the rules (all by default) need, computed once per row.
 
     Several rule families read this; a caller that runs them all over a large corpus can
     write it as a table first.
     """
-    df = md.outline(notes)
-    for step in (md.add_cards, md.add_quiz, md.add_nav, md.add_map, md.add_label_problems, md.add_images, _strict, _prepare):
-        df = step(df)
-    return df
+    wanted = None if rules is None else " ".join({**RULES, **FILE_RULES}[r][1] for r in rules)
+    df = md.add_cards(md.outline(notes))
+    for word, step in _OPTIONAL_STEPS:
+        if wanted is None or word in wanted:
+            df = step(df)
+    return _prepare(_strict(df))
 
 
 def _not_exempt(n: str = "x.n") -> str:
@@ -175,8 +181,8 @@ _APPEAR = f"""flatten(transform(filter(cards, c -> coalesce(c.appears.v, '') <>
     (a, b) -> named_struct('n', c.appears.n, 'name', c.name, 'sec', CAST(a AS INT), 'title', b))))"""
 _APPEAR3 = f"""flatten(transform(filter(cards, c -> coalesce(c.appears.v, '') <> ''), c -> transform(
     {all_matches('c.appears.v', md.APPEAR_V3, 1)}, a -> named_struct('n', c.appears.n, 'name', c.name, 'sec', CAST(a AS INT)))))"""
-_KNOWN = "exists(h2s, h -> h.num = x.sec)"
-_SEC_TITLE = f"{norm_title('try_element_at(filter(h2s, h -> h.num = x.sec), -1).t')}"
+_KNOWN = "exists(h2s, h -> h.num <=> x.sec)"
+_SEC_TITLE = f"{norm_title('try_element_at(filter(h2s, h -> h.num <=> x.sec), -1).t')}"
 _DEPENDS = f"""filter(flatten(transform(filter(cards, c -> c.depends.v IS NOT NULL), c -> transform(split(c.depends.v, '[、,，;；]'),
     d -> named_struct('n', c.depends.n, 'name', c.name, 'ref', {strip_sql('d')})))), x -> x.ref <> '' AND NOT array_contains(names, x.ref))"""
 _CONFUSED = f"""filter(transform(filter(cards, c -> c.confusable.v IS NOT NULL), c -> named_struct('n', c.confusable.n, 'name', c.name,
@@ -362,8 +368,8 @@ RULES: dict[str, tuple[str, str]] = {
     "V4-KM": (V4, _map_rule("V4")),
     "V4-KM-REL": (V4, _map_relation_rule()),
     "V4-KM-LABEL": (V4, each("lab", "V4-KM-LABEL", "warning", "x.n", "concat('label: ', left(x.label, 30))")),
-    "V4-SHOT": (V4, f"""concat({each("filter(img, x -> exists(img, y -> y.path = x.path AND y.n < x.n))", 'V4-SHOT', 'warning', 'x.n', "concat('repeated: ', x.path)")},
-        {each("filter(img, x -> x.num IS NULL AND NOT exists(img, y -> y.path = x.path AND y.n < x.n))", 'V4-SHOT', 'warning', 'x.n', "concat('outside a section: ', x.path)")})"""),
+    "V4-SHOT": (V4, f"""concat({each("filter(img, x -> exists(img, y -> y.path = x.path AND y.o < x.o))", 'V4-SHOT', 'warning', 'x.n', "concat('repeated: ', x.path)")},
+        {each("filter(img, x -> x.num IS NULL AND NOT exists(img, y -> y.path = x.path AND y.o < x.o))", 'V4-SHOT', 'warning', 'x.n', "concat('outside a section: ', x.path)")})"""),
     "V4B-POINTS": (V4, f"""IF(NOT brief, slice(array({finding('V4B-POINTS', 'error', 'NULL', "''")}), 1, 0), concat(
         {one(f'{_POINTS_HEAD} IS NULL', 'V4B-POINTS', 'error', 'NULL', "'no points section'")},
         {each(f'filter({_POINTS}, x -> {_POINT_LEN} < 8)', 'V4B-POINTS', 'error', 'x.n', f"concat('short point ', {_POINT_LEN})")},
@@ -499,7 +505,7 @@ def image_findings(parsed: DataFrame, inventory: DataFrame, manifest: DataFrame)
     missing = refs.join(inventory, ["note_id", "path"], "left_anti")
     above = f"""filter(lx, y -> y.n < x.n AND y.n >= x.n - 5 AND NOT y.f AND y.s rlike {rx(ANCHOR_LINE)})"""
     rows = parsed.filter(F.expr(ANY)).select("note_id", "kind", "off", F.explode(F.expr(f"""transform(img, x -> named_struct('n', x.n, 'alt', x.alt, 'path', x.path,
-        'num', x.num, 'file', substring_index(x.path, '/', -1), 'again', exists(img, y -> y.path = x.path AND y.n < x.n),
+        'num', x.num, 'file', substring_index(x.path, '/', -1), 'again', exists(img, y -> y.path = x.path AND y.o < x.o),
         'mark', try_element_at({above}, -1).s))""")).alias("i")).select("note_id", "kind", "off", "i.*")
     rows = rows.withColumn("mark_sec", F.regexp_extract(F.coalesce("mark", F.lit("")), TIME_LINE, 1).try_cast("int") * 60
                            + F.regexp_extract(F.coalesce("mark", F.lit("")), TIME_LINE, 2).try_cast("int"))

@@ -280,15 +280,14 @@ def add_label_problems(df: DataFrame) -> DataFrame:
 
 def add_images(df: DataFrame) -> DataFrame:
     """``img``: references outside fences ``(n, alt, path, num, title)`` with their section."""
-    one = f"""transform(arrays_zip({all_matches('x.s', IMAGE, 1)} AS alt, {all_matches('x.s', IMAGE, 2)} AS path), z -> named_struct(
+    pairs = f"zip_with({all_matches('x.s', IMAGE, 1)}, {all_matches('x.s', IMAGE, 2)}, (a, b) -> named_struct('alt', a, 'path', b))"
+    one = f"""transform({pairs}, z -> named_struct(
         'n', x.n, 'alt', {strip_sql('z.alt')}, 'path', replace(z.path, chr(92), '/'),
         'num', IF(x.g = 0, NULL, try_cast(nullif(regexp_extract(element_at(ln, x.g), {rx(SEC_NUM)}, 1), '') AS INT)),
         'title', IF(x.g = 0, '', {strip_sql(f"regexp_extract(element_at(ln, x.g), {rx(H2)}, 1)")})))"""
-    one = one.replace("arrays_zip(", "arrays_zip_named(")
-    zipped = f"""zip_with({all_matches('x.s', IMAGE, 1)}, {all_matches('x.s', IMAGE, 2)}, (a, b) -> named_struct('alt', a, 'path', b))"""
-    one = one[: one.index("arrays_zip_named(")] + zipped + one[one.index(", z -> named_struct("):]
-    return _with(df, img=f"""filter(flatten(transform(filter(lx, x -> NOT x.f AND contains(x.s, '![')), x -> {one})),
+    df = _with(df, img0=f"""filter(flatten(transform(filter(lx, x -> NOT x.f AND contains(x.s, '![')), x -> {one})),
         z -> startswith(z.path, 'images/'))""")
+    return _with(df, img="""transform(img0, (x, i) -> named_struct('n', x.n, 'o', i, 'alt', x.alt, 'path', x.path, 'num', x.num, 'title', x.title))""")
 
 
 # ---------------------------------------------------------------- tables
@@ -374,3 +373,37 @@ def local_images(df: DataFrame) -> DataFrame:
     refs = f"""array_distinct(concat(filter({all_matches("array_join(ln, chr(10))", IMAGE, 2)}, p -> NOT p rlike '^https?://'),
         {all_matches("array_join(ln, chr(10))", IMAGE_BARE, 0)}))"""
     return df.select("note_id", "kind", F.explode(F.expr(refs)).alias("path"))
+
+
+def visible_notes(notes: DataFrame) -> DataFrame:
+    """Notes with front matter and code blocks blanked, line numbers kept; ``raw`` is the text."""
+    df = outline(notes)
+    seen = f"transform(lx, x -> IF(x.f OR x.s rlike {rx(FENCE)}, '', x.s))"
+    return df.select(
+        *[c for c in notes.columns if c not in ("text", "template")], F.col("text").alias("raw"), "kind",
+        F.expr(f"array_join(concat(array_repeat('', off), {seen}), chr(10))").alias("text"),
+        F.lit("v4").alias("template"))
+
+
+def course_nav(notes: DataFrame) -> DataFrame:
+    """First index entry of each numbered section: ``(note_id, section, time, url)``."""
+    number = rx(r"^(\d{1,2})\s*[.、．]")
+    df = add_nav(outline(visible_notes(notes))).select("note_id", F.explode("nav").alias("e"))
+    df = df.filter(f"e.title rlike {number}").select(
+        "note_id", F.expr(f"CAST(regexp_extract(e.title, {number}, 1) AS INT)").alias("section"), "e.n",
+        tx.mmss(F.col("e.sec")).alias("time"), "e.url")
+    return df.groupBy("note_id", "section").agg(F.min_by(F.struct("time", "url"), "n").alias("x")).select(
+        "note_id", "section", "x.*")
+
+
+def parse_course_notes(notes: DataFrame) -> DataFrame:
+    """One row per note: type, hash, counts of its parts, and whether its card section is missing."""
+    df = add_nav(add_quiz(add_cards(outline(visible_notes(notes)))))
+    kind = "coalesce(IF(kind0 = 'v4-obsidian', ft, NULL), 'lecture')"
+    front = outline(notes).select("note_id", F.col("kind").alias("kind0"), F.expr(fm_value("note_type")).alias("ft"))
+    rows = df.select("note_id", F.sha2("raw", 256).alias("sha"), F.expr("s_cards IS NULL").alias("no_cards"),
+                     F.expr("size(array_distinct(transform(filter(h2s, h -> h.num IS NOT NULL), h -> h.num)))").alias("sections"),
+                     F.size("cards").alias("cards"), F.size("quiz").alias("questions"), F.size("nav").alias("entries"))
+    return rows.join(front, "note_id").select(
+        "note_id", "sha", F.expr(kind).alias("note_type"), "sections", "cards", "questions", "entries",
+        F.expr(f"IF(no_cards AND {kind} <> 'short', 'no card section', '')").alias("error"))

@@ -91,7 +91,7 @@ def _entry(bullet: str, k: int, title: str) -> str:
 
 _SUMMARY = rows(
     "'## 本讲小结'", "'| 概念 | 问题 | 一句话 |'", "'|---|:-:|---|'", "'| a | b | c |'",
-    case("doc_id % 3 = 0", "'plain'", "'| d | e | f |'"), case("doc_id % 7 = 0", "''", "'**学完能说的 3 句话：**'"),
+    case("doc_id % 3 = 0", "'![t](images/s1.png) ![t](images/s1.png)'", "'| d | e | f |'"), case("doc_id % 7 = 0", "''", "'**学完能说的 3 句话：**'"),
     "'1. x'", "'2. y'", case("doc_id % 4 = 0", "''", "'3. z'"))
 _MAP = rows(
     "'## 本讲知识地图'", case("doc_id % 12 = 1", "'```text'", "'```mermaid'"), case("doc_id % 9 = 4", "'mindmap'", "'graph TD'"),
@@ -105,7 +105,7 @@ _CARDS4 = rows(
     f"'### ' || {C2}", case("doc_id % 6 = 0", "'+ 定义：'", "'+ 定义: second'"),
     case("doc_id % 4 = 0", "'+ 出现：第 1 节「[01:02]」'", case("doc_id % 4 = 1", "'+ 出现：somewhere'", "'- 出现：第 40 节「y」'")),
     f"'+ 易混：' || {C3} || '——different'", "'```'", "'### hidden'", "'```'",
-    case("doc_id % 7 = 0", "'### 甲（重点掌握）'", f"'### ' || {C3}"), "'+ 定义：third'", "'+ 定义：ignored'")
+    case("doc_id % 7 = 0", "'### 甲（重点掌握）'", f"'### ' || {C3}"), "'+ 定义：third'", "'+ 定义：ignored'", case(f"{K} = 4 AND doc_id % 3 = 1", "'### 丁'", "''"))
 _CARDS3 = rows(
     "'## 概念卡片'", f"'### ' || {C1}", "'- 定义：' || lang || ' def'", "'- 出现：1、2（x）'", f"'- 依赖：' || {C2} || '；未知'",
     f"'### ' || {C2}", case("doc_id % 6 = 0", "'- 定义：'", "'* 定义: second'"),
