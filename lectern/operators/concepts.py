@@ -161,7 +161,7 @@ def review_summary(cards: DataFrame, appearances: DataFrame, questions: DataFram
     c = concepts.groupBy("course_id").agg(
         F.count("*").alias("concepts"), F.count_if("multi_item").alias("multi_episode"), F.count("_m").alias("mastered"))
     q = questions.groupBy("course_id").agg(F.count("*").alias("questions"))
-    linked = F.count_if("coalesce(time, '') <> '' AND coalesce(url, '') <> ''")
+    linked = F.count_if(F.expr("coalesce(time, '') <> '' AND coalesce(url, '') <> ''"))
     a = appearances.groupBy("course_id").agg((linked / F.count("*")).alias("jump_rate"))
     return c.join(q, "course_id", "left").join(a, "course_id", "left").select(
         "course_id", "concepts", "multi_episode", F.coalesce("questions", F.lit(0)).alias("questions"), "mastered",

@@ -380,7 +380,7 @@ def visible_notes(notes: DataFrame) -> DataFrame:
     df = outline(notes)
     seen = f"transform(lx, x -> IF(x.f OR x.s rlike {rx(FENCE)}, '', x.s))"
     return df.select(
-        *[c for c in notes.columns if c not in ("text", "template")], F.col("text").alias("raw"), "kind",
+        *[c for c in notes.columns if c not in ("text", "template")], F.col("text").alias("raw"),
         F.expr(f"array_join(concat(array_repeat('', off), {seen}), chr(10))").alias("text"),
         F.lit("v4").alias("template"))
 

@@ -48,14 +48,13 @@ COMMON.update({
                s_name AS title, CAST(s_acctbal AS STRING) AS sha, 'course ' || CAST(s_suppkey % 10 AS STRING) AS course_title
         FROM {supplier}""",
 })
-# Not part of the cross-engine text above: the four sections of a note come from a small explode.
 _KEY = "lower(regexp_replace({}, '\\s+', '', 'g'))"
 
 MODEL = with_inputs("cards", "card_refs", "card_appears", "course_nav", "course_questions", "review_items") + f""",
     ck AS (SELECT *, {_KEY.format('name')} AS key, trim(definition) AS def FROM cards),
     con AS (SELECT course_id, key, arg_min(name, (idx, card_no)) AS name, arg_min(def, (idx, card_no)) AS definition, min(idx) AS first_idx,
-                   min((idx, card_no)).card_no AS first_card, count(*) AS cards, max(idx) <> min(idx) AS multi_item
-            FROM (SELECT * REPLACE (idx AS idx) FROM ck) GROUP BY 1, 2),
+                   arg_min(card_no, (idx, card_no)) AS first_card, count(*) AS cards, max(idx) <> min(idx) AS multi_item
+            FROM ck GROUP BY 1, 2),
     app AS (SELECT ck.course_id, ck.key, ck.idx, ck.card_no, a.pos, a.section, a.section_name, n.time, n.url FROM ck
             LEFT JOIN card_appears a ON a.course_id = ck.course_id AND a.idx = ck.idx AND a.card_no = ck.card_no
             LEFT JOIN course_nav n ON n.course_id = ck.course_id AND n.idx = ck.idx AND n.section = a.section),
