@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import anchors, captions, concepts, lint, markdown, terms
+from lectern.plans import anchors, captions, concepts, course, harvest, lint, markdown, terms
 
-MODULES = (captions, terms, anchors, markdown, lint, concepts)
+MODULES = (captions, terms, anchors, markdown, lint, concepts, course, harvest)
 
 
 def queries():
