@@ -194,13 +194,14 @@ def apply_marks(items: DataFrame, events: DataFrame) -> DataFrame:
     rows = items.join(last, ["course_id", "idx"], "left")
     m, state = F.col("m").isNotNull(), F.col("m.state")
     reset = m & (state == "pending")
-    elapsed = F.greatest(F.lit(0).cast("bigint"), F.unix_seconds("m.ts") - F.unix_seconds("started_at"))
+    ts, started = F.col("m.ts").cast("timestamp"), F.col("started_at").cast("timestamp")
+    elapsed = F.greatest(F.lit(0).cast("bigint"), F.unix_seconds(ts) - F.unix_seconds(started))
     null = F.lit(None)
     return rows.select(
         "course_id", "idx", F.when(m, state).otherwise(F.col("status")).alias("status"),
         F.when(reset, null).when(m & (state == "done"), F.col("m.note")).otherwise(F.col("note")).alias("note"),
-        F.when(reset, null).otherwise(F.col("started_at")).alias("started_at"),
-        F.when(reset, null).when(m, F.col("m.ts")).otherwise(F.col("finished_at")).alias("finished_at"),
+        F.when(reset, null).otherwise(started).alias("started_at"),
+        F.when(reset, null).when(m, ts).otherwise(F.col("finished_at")).alias("finished_at"),
         F.when(reset, null).when(m, elapsed).otherwise(F.col("seconds")).alias("seconds"),
         F.when(m & (state == "failed"), tx.strip(F.col("m.reason"))).when(m, null).otherwise(F.col("reason")).alias("reason"))
 

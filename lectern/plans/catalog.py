@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import anchors, captions, concepts, course, harvest, lint, markdown, terms
+from lectern.plans import anchors, captions, concepts, course, frames, harvest, lint, markdown, sources, terms
 
-MODULES = (captions, terms, anchors, markdown, lint, concepts, course, harvest)
+MODULES = (captions, terms, anchors, markdown, lint, concepts, course, harvest, frames, sources)
 
 
 def queries():

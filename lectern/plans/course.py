@@ -198,7 +198,7 @@ _RESERVED = """SELECT course_id, CASE WHEN cid % 3 = 0 THEN upper(substring(lpad
 
 @REG.query("assign_unique_names", IN + rf""",
     rs AS (SELECT course_id, lower(name) AS r FROM ({_RESERVED.replace('{items}', 'items')})),
-    nm AS (SELECT course_id, idx, lpad(CAST(idx AS VARCHAR), greatest(3, length(CAST(idx AS VARCHAR))), '0') AS i3, trim(replace(title, ':', '_')) AS s FROM items),
+    nm AS (SELECT course_id, idx, lpad(CAST(idx AS VARCHAR), CAST(greatest(3, length(CAST(idx AS VARCHAR))) AS INT), '0') AS i3, trim(replace(title, ':', '_')) AS s FROM items),
     bs AS (SELECT *, CASE WHEN regexp_matches(s, '^(\d+\.\d+)(?:[\s.、_\-]+|$)(.*)') THEN regexp_extract(s, '^(\d+\.\d+)', 1) ELSE i3 END || '-' ||
                   CASE WHEN regexp_matches(s, '^(\d+\.\d+)(?:[\s.、_\-]+|$)(.*)') THEN trim(regexp_extract(s, '^(\d+\.\d+)(?:[\s.、_\-]+|$)(.*)', 2)) ELSE s END || '.md' AS b FROM nm),
     cn AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY course_id, lower(b)) > 1 THEN i3 || '-' || b ELSE b END AS n FROM bs),
