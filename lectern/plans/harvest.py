@@ -156,9 +156,7 @@ _PAGES = """SELECT page_id, 'n' || CAST(page_id AS STRING) AS note_id, CASE page
     SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'video' WHEN 1 THEN 'video' WHEN 2 THEN 'normal' END AS type,
            CASE page_id % 5 WHEN 0 THEN 'm' || page_id WHEN 1 THEN 't' || page_id WHEN 2 THEN 'last' || page_id END AS title FROM pages WHERE page_id % 5 < 4 AND contains(html, '</body>')""")
 def _(t):
-    text = _PAGES.replace("{pages}", "pages_table")
-    t.pages.createOrReplaceTempView("pages_table")
-    return links.extract_page_state(t.spark.sql(text))
+    return links.extract_page_state(t.sql(_PAGES))
 
 
 _STREAMS = """SELECT CAST(floor(p_partkey / 6) AS BIGINT) AS video_id, CASE p_size % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'audio' WHEN 2 THEN 'original' ELSE 'stream' END AS kind,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+_VIEW = itertools.count()
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,9 +29,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
-        """Spark SQL where ``{name}`` is one of ``frames`` or a driver table."""
-        used = {t: getattr(self, t) for t in TABLES if "{" + t + "}" in text}
-        return self.spark.sql(text, **{**used, **frames})
+        """Spark SQL where ``{name}`` is one of ``frames`` or a driver table; other braces stay."""
+        for name in set(re.findall(r"\{(\w+)\}", text)):
+            if name in frames or name in TABLES:
+                view = f"lectern_{name}_{next(_VIEW)}"
+                (frames[name] if name in frames else getattr(self, name)).createOrReplaceTempView(view)
+                text = text.replace("{" + name + "}", view)
+        return self.spark.sql(text)
 
 
 class Registry:
