@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import ordered, text as tx
+from lectern.functions.staged import staged
 from lectern.functions.udfs import sequence_ratio
 
 # Order in which caption languages are preferred; the first five are Chinese.
@@ -24,9 +25,8 @@ def parse_ts_lines(docs: DataFrame, grammar: str = "anchor") -> DataFrame:
     ``anchor`` and ``nav`` read marks at line start; ``inline`` reads every two-digit mark
     anywhere and adds ``mark_no``. One pass over each text cell, no shuffle.
     """
-    lines = docs.select(
-        "video_id", "page", F.posexplode(tx.lines_of(F.col("text"))).alias("_i", "line")
-    ).select("video_id", "page", (F.col("_i") + 1).alias("line_no"), "line")
+    cut = staged(docs.select("video_id", "page", "text"), _l=tx.lines_of(F.col("text")))
+    lines = cut.select("video_id", "page", F.posexplode("_l").alias("_i", "line")).select("video_id", "page", (F.col("_i") + 1).alias("line_no"), "line")
     line = F.col("line")
     if grammar == "inline":
         marks = lines.select(
@@ -326,9 +326,8 @@ def chunk_transcript(docs: DataFrame, budget: int = 15000, overlap: int = 2, key
     ``(key, chunk_no, first_para, last_para, chars, text)``, paragraphs counted from 1.
     """
     paras = F.filter(tx.lines_of(F.col("text")), lambda p: ~tx.is_blank(p))
-    base = docs.select(key, paras.alias("p")).withColumn(
-        "n", F.transform("p", lambda x: F.length(x))
-    )
+    base = staged(docs.select(key, "text"), p=paras).select(key, "p")
+    base = staged(base, n=F.transform("p", lambda x: F.length(x)))
     fold = f"""
         aggregate(sequence(1, size(n)),
             named_struct('at', 1, 'chars', 0L, 'cuts', array_repeat(named_struct('a', 1, 'b', 1, 'chars', 0L), 0)),
@@ -342,7 +341,8 @@ def chunk_transcript(docs: DataFrame, budget: int = 15000, overlap: int = 2, key
                         s.chars + element_at(n, i))))),
             s -> IF(coalesce(try_element_at(s.cuts, -1).b, 0) < size(n),
                 array_append(s.cuts, named_struct('a', s.at, 'b', size(n), 'chars', s.chars)), s.cuts))"""
-    cuts = base.filter(F.size("n") > 0).select(key, "p", F.posexplode(F.expr(fold)).alias("_i", "c"))
+    base = staged(base.filter(F.size("n") > 0), cuts=F.expr(fold))
+    cuts = base.select(key, "p", F.posexplode("cuts").alias("_i", "c"))
     return cuts.select(
         key, (F.col("_i") + 1).alias("chunk_no"), F.col("c.a").alias("first_para"),
         F.col("c.b").alias("last_para"), F.col("c.chars").alias("chars"),

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import text as tx
+from lectern.functions.staged import staged
 
 
 def rx(pattern: str) -> str:
@@ -105,12 +106,7 @@ def all_matches(x: str, pattern: str, group: int) -> str:
 
 
 def _with(df: DataFrame, **columns: str) -> DataFrame:
-    """Add columns behind a one-row generator.
-
-    Catalyst would otherwise copy a column's expression into every lambda and pushed-down
-    filter that uses it, and evaluate it once per array element.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[F.expr(v).alias(k) for k, v in columns.items()]))))
+    return staged(df, **{k: F.expr(v) for k, v in columns.items()})
 
 
 def _last_upto(array: str, n: str) -> str:
@@ -124,7 +120,7 @@ def outline(notes: DataFrame) -> DataFrame:
     lines before them; ``lx`` the lines ``(n, s, f, h, g)`` with fence state, last heading and
     last heading outside fences; ``h2s`` the sections ``(n, e, t, num, f)``.
     """
-    df = notes.select("*", F.inline(F.array(F.struct(tx.lines_of(F.col("text")).alias("al")))))
+    df = staged(notes, al=tx.lines_of(F.col("text")))
     rule = rx(r"^---\s*$")
     df = _with(df, fmc=f"""IF({first('al')} rlike {rule}, array_min(filter(
         transform(al, (l, i) -> IF(l rlike {rule}, i + 1, NULL)), x -> x >= 3)), NULL)""")

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import text as tx
+from lectern.functions.staged import staged
 
 OFFICIAL, CANDIDATE = "categories", "candidates"
 # Largest dictionary compiled into one expression; larger ones are matched by a join.
@@ -159,11 +160,12 @@ def _units(docs: DataFrame, key: str) -> DataFrame:
             F.coalesce(F.nullif(F.regexp_extract(s, r"^\[(\d{1,2}:\d{2})\]", 1), F.lit("")),
                        F.lit(NO_MARK)).alias("ts"),
             p.alias("unit")))))
-    base = docs.select(key, pieces.alias("u"))
+    base = staged(docs.select(key, "text"), u=pieces).select(key, "u")
     around = F.expr(f"""transform(u, (x, i) -> named_struct('ts', x.ts, 'unit', x.unit,
         'before', right(array_join(transform(slice(u, greatest(1, i + 1 - {CONTEXT}), least(i, {CONTEXT})), y -> y.unit), ''), {CONTEXT}),
         'after', left(array_join(transform(slice(u, i + 2, {CONTEXT}), y -> y.unit), ''), {CONTEXT})))""")
-    return base.select(key, F.posexplode(around).alias("unit_no", "x")).select(key, "unit_no", "x.*")
+    base = staged(base, a=around)
+    return base.select(key, F.posexplode("a").alias("unit_no", "x")).select(key, "unit_no", "x.*")
 
 
 def _with_context(hits: DataFrame) -> DataFrame:
@@ -222,11 +224,7 @@ def scan_terms(docs: DataFrame, keys: DataFrame, key: str = "doc_id", inline: bo
         if small.pattern is None:
             raise ValueError("the dictionary is empty")
         pattern = F.lit(small.pattern)
-        found = units.filter(F.rlike("unit", pattern)).select(
-            key, "unit_no", "ts", "before", "after",
-            F.regexp_extract_all("unit", pattern, F.lit(0)).alias("m"),
-            F.split("unit", small.pattern, -1).alias("g"),
-        )
+        found = staged(units, m=F.regexp_extract_all("unit", pattern, F.lit(0)), g=F.split("unit", small.pattern, -1))
         # A hit sees at most CONTEXT neighbours on each side, so the slices are bounded.
         hits = found.select(key, "unit_no", "ts", "before", "after", "m", "g",
                             F.posexplode("m").alias("_i", "wrong"))
@@ -252,9 +250,9 @@ def apply_terms(docs: DataFrame, keys: DataFrame, key: str = "doc_id", inline: b
         pattern = small.pattern
         gaps = F.split("text", pattern, -1)
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        fixed = F.transform(found, lambda m: F.coalesce(small.replacement(m), m))
-        woven = F.zip_with(gaps, fixed, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-        return docs.select(key, F.array_join(woven, "").alias("text"))
+        fixed = F.transform("m", lambda m: F.coalesce(small.replacement(m), m))
+        woven = F.zip_with("g", fixed, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+        return staged(docs.select(key, "text"), g=gaps, m=found).select(key, F.array_join(woven, "").alias("text"))
     units = _units(docs, key)
     hits = _joined_matches(units, keys, key).select(key, "unit_no", F.posexplode("hits").alias("_i", "h"))
     words = units.join(hits, [key, "unit_no"]).select(

@@ -8,12 +8,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
 _VIEW = itertools.count()
+# Tables with long texts, where one row is much work.
+TEXT_TABLES = ("documents", "conversations", "pages", "embeddings")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,7 +30,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Spark SQL where ``{name}`` is one of ``frames`` or a driver table; other braces stay."""

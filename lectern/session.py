@@ -29,6 +29,15 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits work for every core before heavy row-local steps.
+
+    A table of many splits, as any large one is, comes back unchanged and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def durable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor re-reads files.
 
