@@ -88,7 +88,9 @@ def main(argv):
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = 0
     for name, query in queries.items():
-        if wanted and not any(w in query_group(name) for w in wanted):
+        skip = [w[1:] for w in wanted if w.startswith("-")]
+        take = [w for w in wanted if not w.startswith("-")]
+        if (take and not any(w in query_group(name) for w in take)) or any(w in query_group(name) for w in skip):
             continue
         try:
             problem, n, took = compare(spark, folder, name, query, oracles.get(name))
