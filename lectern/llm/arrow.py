@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,18 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2_000_000
 
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(df: DataFrame) -> DataFrame:
+    """Lets Python workers import this package from where the driver has it (a cluster may also have it installed)."""
+    environment = df.sparkSession.sparkContext.environment
+    paths = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+    return df
+
+
 def slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) with about `limit` bytes each, in order, covering all rows."""
     if not len(lengths):
@@ -61,7 +75,7 @@ def with_columns(df: DataFrame, inputs: list[str], outputs: T.StructType,
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n).slice(a, b - a) for n in kept_names] + made, names=kept_names + out_names)
 
-    return carried.mapInArrow(run, T.StructType(kept + list(outputs)))
+    return importable(carried).mapInArrow(run, T.StructType(kept + list(outputs)))
 
 
 def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe
+from lectern.llm import bpe, decontaminate, pii, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,8 +22,43 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"), "matches")
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> quality.Model:
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    return quality.train(docs, labels.where(~held_out()))
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, docs, folder))
+    return scored.select("doc_id", held_out().alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    base = F.col("base")
+    return pii.detect(docs).withColumn("base", pii.base_only(F.col("pii"))).select(
+        "doc_id", *[pii.counted(base, k).alias(f"n_{k}") for k in pii.KINDS[:pii.BASE]],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_quality": op7_quality,
+    "op9_pii": op9_pii,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
