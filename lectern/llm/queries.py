@@ -7,12 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, pii, quality
+from lectern.llm.substring_dedup import substring_dedup
+from lectern.llm.suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _kept(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _kept(substring_dedup(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _kept(suffix_dedup(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     entries = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -55,10 +69,12 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op9_pii": op9_pii,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
