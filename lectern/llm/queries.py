@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, pii, quality
+from lectern.llm.jaccard_join import similarity_join
 from lectern.llm.substring_dedup import substring_dedup
 from lectern.llm.suffix_dedup import suffix_dedup
 
@@ -36,6 +37,10 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity_join(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, folder, "benchmark"))
@@ -71,6 +76,7 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op9_pii": op9_pii,

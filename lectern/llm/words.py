@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def coefficients(n: int, family: int = 0) -> np.ndarray:
     """n fixed odd multipliers; families are independent of each other."""
-    return mix(_COEF[:n] + np.uint64(family) * _FAR) | np.uint64(1)
+    return mix(_COEF[:n] + np.full(1, family, dtype=np.uint64) * _FAR) | np.uint64(1)
 
 
 class Words:
