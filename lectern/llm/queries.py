@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, pii, quality
+from lectern.llm.html_text import main_text
 from lectern.llm.jaccard_join import similarity_join
+from lectern.llm.nearest import search
 from lectern.llm.substring_dedup import substring_dedup
 from lectern.llm.suffix_dedup import suffix_dedup
 
@@ -28,6 +30,10 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return _kept(suffix_dedup(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     entries = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -65,6 +71,11 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
                          F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     base = F.col("base")
@@ -75,10 +86,12 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_html_text": op2_html_text,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
+    "op8_nearest": op8_nearest,
     "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
