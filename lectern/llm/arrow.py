@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that one step works on at once; a single longer text is a step of its own.
@@ -27,6 +28,22 @@ def importable(df: DataFrame) -> DataFrame:
     return df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables: spark.checkpoint.dir, which a cluster must set.
+
+    Only a local session without that setting, as in tests, gets a folder of its own.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="lectern-checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) with about `limit` bytes each, in order, covering all rows."""
     if not len(lengths):

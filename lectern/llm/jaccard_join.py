@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.arrow import bounded_batches, importable, slices, text_buffer
+from lectern.llm.arrow import bounded_batches, importable, shared_folder, slices, text_buffer
 from lectern.llm.words import SPACED, Words, grams, mix, run_hash, signed
 
 SHINGLE = 5
@@ -224,6 +224,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges are turned in rounds so that each node points to smaller ones, until nothing changes; every round is a few
     joins whose hot side can be split, and is checkpointed.
     """
+    shared_folder(links.sparkSession)
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
     state = None
     while True:
@@ -257,6 +258,7 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     own = bounded_batches(importable(docs)).select(
         F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("mark"))
     spark = docs.sparkSession
+    shared_folder(spark)
     profile = own.mapInArrow(_profile, _PROFILE).checkpoint()
     frequency = spark.sparkContext.broadcast(_frequencies(profile))
     rows = profile.where("chunk is null")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.arrow import bounded_batches, importable, slices, text_buffer
+from lectern.llm.arrow import bounded_batches, importable, shared_folder, slices, text_buffer
 from lectern.llm.words import SPACED, Words, grams, joined, mix, run_hash, signed, unsigned
 
 _NULL_ID = -(2**63)
@@ -220,7 +220,7 @@ def _apply(size: int):
 
 def remove_repeats(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: its key, n_words, n_removed, and kept (the words that stay, joined by one space)."""
-    spark = docs.sparkSession
+    shared_folder(docs.sparkSession)
     numbered = bounded_batches(importable(docs)).select(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("doc"),
