@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, pii, quality
+from lectern.llm import bpe, decontaminate, pii, quality, secret_scan
 from lectern.llm.html_text import main_text
 from lectern.llm.jaccard_join import similarity_join
 from lectern.llm.nearest import search
@@ -34,6 +34,15 @@ def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    found = secret_scan.features(secret_scan.candidates(docs), secret_scan.dictionary(docs))
+    model = secret_scan.fit(secret_scan.rule_label(found.where(~held_out("key"))))
+    return secret_scan.score(found, model).select(
+        F.col("key").alias("doc_id"), F.col("n").cast("long").alias("finding"), F.sha2("candidate", 256).alias("candidate_sha256"),
+        "score", (F.col("score") >= 0.5).alias("secret"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     entries = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -87,6 +96,7 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_text": op2_html_text,
+    "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
