@@ -8,31 +8,30 @@ from lectern.functions import text as tx
 
 # Error texts that mean a dead link rather than a platform failure.
 LINK_MARKERS = ("xsec_token", "作品不可见", "稿件不可见", "不存在或已删除", "找不到这个内容")
-PLATFORM_NAMES = {"bilibili": "B站", "douyin": "抖音", "youtube": "YouTube", "xiaohongshu": "小红书"}
-# Status code, reason, next step.
+# HTTP status codes with a meaning of their own. Texts are this library's.
 HTTP_HINTS = (
-    (403, "{p}拒绝访问（可能需要登录、内容不公开，或接口规则已变）", "确认在浏览器里不登录也能看这个视频；仍不行请提 issue 附上链接"),
-    (404, "{p}上找不到这个内容（链接有误或已删除）", "在浏览器里打开链接确认还能看，再重新复制链接"),
-    (412, "请求被{p}风控拦截（云服务器 / 机房 IP 上常见）", "换到家用网络或在本机运行；短时间内请求过多时等几分钟再试"),
-    (429, "请求太频繁，被{p}限流", "等几分钟再试，批量处理时不要并发"),
-    (461, "{p}要求人机验证（触发风控）", "稍后再试，或在 config.json 配置 xhs_cookie 后重跑"),
-    (471, "{p}要求人机验证（触发风控）", "稍后再试，或在 config.json 配置 xhs_cookie 后重跑"),
+    (403, "{p} refused access", "open the link in a browser without signing in"),
+    (404, "{p} has no such item", "copy the link again from the page"),
+    (412, "{p} blocked this network", "run from another network, or later"),
+    (429, "{p} limits the request rate", "wait, and send fewer requests at once"),
+    (461, "{p} wants a human check", "sign in once in a browser, then retry"),
+    (471, "{p} wants a human check", "sign in once in a browser, then retry"),
 )
-HTTP_DEFAULT = ("{p}返回了 HTTP {c}", "稍后重试；持续出现请提 issue 附上链接和这段提示")
-# Business code, reason, next step.
+HTTP_DEFAULT = ("{p} answered HTTP {c}", "retry later")
+# Business codes of the video platform.
 BUSINESS_CODES = (
-    (-412, "请求被 B站风控拦截", "换到家用网络或在本机运行；等几分钟再试"),
-    (-404, "视频不存在或已删除", "在浏览器里确认链接还能打开，再换一个链接"),
-    (-403, "访问权限不足（可能是大会员、付费或充电专属内容）", "本工具不处理付费内容，请换一个公开视频"),
-    (-352, "请求被 B站风控校验拦截", "换到家用网络或在本机运行；等几分钟再试"),
-    (-101, "这个操作需要登录 B站", "扫码登录后重试"),
-    (62002, "稿件不可见（已删除、被下架或设为私密）", "换一个公开可见的视频链接"),
-    (62004, "稿件正在审核中", "等审核通过后再试"),
-    (62012, "稿件仅 UP 主自己可见", "换一个公开可见的视频链接"),
+    (-412, "blocked as unusual traffic", "run from another network, or later"),
+    (-404, "no such video", "check the link"),
+    (-403, "no permission to watch", "choose a public video"),
+    (-352, "blocked by a traffic check", "run from another network, or later"),
+    (-101, "sign-in needed", "sign in, then retry"),
+    (62002, "video is hidden", "choose a public video"),
+    (62004, "video is under review", "retry after the review"),
+    (62012, "video is visible to its owner only", "choose a public video"),
 )
-BUSINESS_DEFAULT = ("B站接口返回错误 code={c}", "稍后重试；持续出现请提 issue 附上链接和这段提示")
-DEFAULT_IMPACT = "这一步没有完成"
-RETRY_STEP = "按补跑命令重试这一集；仍失败请提 issue 附上这段提示"
+BUSINESS_DEFAULT = ("platform error code {c}", "retry later")
+DEFAULT_IMPACT = "step not finished"
+RETRY_STEP = "run this item again"
 
 
 def failure_category(error: Column) -> Column:
@@ -61,11 +60,10 @@ def explain_failures(failures: DataFrame) -> DataFrame:
     spark = failures.sparkSession
     known = spark.range(1).select(F.inline(F.concat(table(HTTP_HINTS, "http"), table(BUSINESS_CODES, "business"))))
     rows = failures.join(F.broadcast(known), ["source", "code"], "left")  # fourteen fixed rows
-    name = F.coalesce(*[F.when(F.col("platform") == k, v) for k, v in PLATFORM_NAMES.items()], F.col("platform"))
     http = F.col("source") == "http"
     reason = F.coalesce("reason", F.when(http, HTTP_DEFAULT[0]).otherwise(BUSINESS_DEFAULT[0]))
     step = F.coalesce("next_step", F.when(http, HTTP_DEFAULT[1]).otherwise(BUSINESS_DEFAULT[1]))
-    filled = F.replace(F.replace(reason, F.lit("{p}"), name), F.lit("{c}"), F.col("code").cast("string"))
+    filled = F.replace(F.replace(reason, F.lit("{p}"), F.coalesce("platform", F.lit("the platform"))), F.lit("{c}"), F.col("code").cast("string"))
     return rows.select("failure_id", filled.alias("reason"), step.alias("next_step"))
 
 
@@ -75,8 +73,8 @@ def failure_records(logs: DataFrame) -> DataFrame:
     reason = F.when(F.coalesce(first, F.lit("")) == "", F.col("error_type")).otherwise(first)
     impact = F.when(F.coalesce("impact", F.lit("")) == "", DEFAULT_IMPACT).otherwise(F.col("impact"))
     rerun = F.coalesce("rerun", F.lit(""))
-    step = F.when(rerun != "", F.concat(F.lit(RETRY_STEP + "；补跑："), rerun)).otherwise(RETRY_STEP)
-    error = F.concat(F.lit("原因："), reason, F.lit("\n影响："), impact, F.lit("\n下一步："), step, F.lit("\n详情："), F.substring("error_type", 1, 300))
+    step = F.when(rerun != "", F.concat(F.lit(RETRY_STEP + ": "), rerun)).otherwise(RETRY_STEP)
+    error = F.concat(F.lit("reason: "), reason, F.lit("\nimpact: "), impact, F.lit("\nnext: "), step, F.lit("\ndetail: "), F.substring("error_type", 1, 300))
     return logs.select("log_id", error.alias("error"), reason.alias("reason"), impact.alias("impact"), step.alias("next_step"), rerun.alias("rerun"))
 
 

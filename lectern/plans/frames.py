@@ -20,10 +20,12 @@ DUCK["frames"] = f"""
            CAST(list_transform(embedding, lambda x: {_PX}) AS INT[]) AS px FROM embeddings"""
 _PIX = """,
     pix AS (SELECT video_id, t, unnest(px) AS v, generate_subscripts(px, 1) - 1 AS i FROM frames)"""
-_HASH = with_inputs("frames") + _PIX + """,
-    bits AS (SELECT a.video_id, a.t, CAST(floor(a.i / 8) AS BIGINT) * 7 + a.i % 8 AS k, CASE WHEN a.v > b.v THEN 1 ELSE 0 END AS bit FROM pix a
-             JOIN pix b ON b.video_id = a.video_id AND b.t = a.t AND b.i = a.i + 1 WHERE a.i % 8 < 7 AND a.i < 56),
-    hs AS (SELECT video_id, t, CAST(sum(bit * (1::BIGINT << CAST(48 - k AS INT))) AS BIGINT) AS hash FROM bits GROUP BY ALL)"""
+# A 17x16 grid over all 64 pixels; hashes are four words.
+_CELL = "({row} // 2) * 8 + ({col} * 8) // 17 + 1"
+_HASH = with_inputs("frames") + _PIX + f""",
+    words AS (SELECT video_id, t, i // 64 AS k, sum(CASE WHEN px[{_CELL.format(row='(i // 16)', col='(i % 16)')}] > px[{_CELL.format(row='(i // 16)', col='(i % 16 + 1)')}]
+                THEN 1::HUGEINT << CAST(63 - i % 64 AS INT) ELSE 0 END) AS w FROM frames, range(0, 256) r(i) GROUP BY ALL),
+    hs AS (SELECT video_id, t, list(CAST(CASE WHEN w >= 9223372036854775808 THEN w - 18446744073709551616 ELSE w END AS BIGINT) ORDER BY k) AS hash FROM words GROUP BY ALL)"""
 
 
 def gray(t):
@@ -33,9 +35,10 @@ def gray(t):
         F.expr(f"transform(embedding, x -> {_PX})").alias("px"))
 
 
-def hashed(t):
-    rows = gray(t).withColumn("grid", F.slice("px", 1, 56)).select("video_id", "t", "px", "grid")
-    return op.frame_dhash(rows, 7).drop("grid")
+def hashed(pictures):
+    """All 64 pixels spread over the 17x16 grid of a 256-bit hash."""
+    grid = "transform(sequence(0, 271), i -> px[(i div 17) div 2 * 8 + (i % 17 * 8) div 17])"
+    return op.frame_dhash(pictures.withColumn("grid", F.expr(grid)), 16).drop("grid")
 
 
 _LAP = _HASH + """,
@@ -57,24 +60,34 @@ def _(t):
     return op.frame_qc(gray(t)).select("video_id", "t", "sharpness")
 
 
-@REG.query("frame_dhash", _HASH + " SELECT video_id, t, hash FROM hs")
+@REG.query("frame_dhash", _HASH + " SELECT video_id, t, list_aggregate(hash, 'string_agg', ' ') AS hash FROM hs")
 def _(t):
-    return hashed(t).select("video_id", "t", F.col("hash")[0].alias("hash"))
+    return hashed(gray(t)).select("video_id", "t", F.array_join(F.col("hash").cast("array<string>"), " ").alias("hash"))
 
 
-# Coarse pictures (four gray levels of every eighth pixel) repeat often enough to have duplicates.
-def _pool(t):
-    return hashed(t).select(
-        "video_id", F.col("t"), F.expr("CAST(floor(t / 12) AS INT)").alias("page"), "hash",
-        F.expr("transform(sequence(0, 7), i -> CAST(floor(px[i * 8] / 64) * 3 AS INT))").alias("thumb"))
+# Frames stand in fours: the later three repeat the first one but for a few pixels of their own, more or fewer by
+# time, so that pages hold many different hashes near each other, and far ones.
+_OWN = "(i * 7 + t) % (5 + t % 4 * 7) = 0"
 
 
-_POOL = _HASH + """,
-    pl AS (SELECT f.video_id, f.t, CAST(floor(f.t / 12) AS INT) AS page, hs.hash AS hash,
-                  list_transform(range(0, 8), lambda i: CAST(floor(px[i * 8 + 1] / 64) * 3 AS INT)) AS thumb FROM frames f JOIN hs ON hs.video_id = f.video_id AND hs.t = f.t),
-    ed AS (SELECT a.video_id, a.page, a.t AS early, b.t AS late FROM pl a JOIN pl b ON a.video_id = b.video_id AND a.page = b.page AND a.t < b.t
-           WHERE bit_count(xor(a.hash, b.hash)) <= 16 AND list_sum(list_transform(range(1, 9), lambda i: abs(a.thumb[i] - b.thumb[i]))) / 8.0 < 3),
-    st AS (SELECT video_id, page, t, row_number() OVER (PARTITION BY video_id, page ORDER BY t) AS i FROM pl),
+def _pool(t):
+    frames = gray(t)
+    base = frames.filter("t % 4 = 0").select("video_id", F.col("t").alias("t0"), F.col("px").alias("base"))
+    varied = frames.withColumn("t0", F.expr("t - t % 4")).join(base, ["video_id", "t0"]).withColumn(
+        "px", F.expr(f"transform(px, (x, i) -> IF(t % 4 = 0 OR NOT {_OWN}, base[i], x))"))
+    return hashed(varied).select("video_id", "t", F.expr("CAST(floor(t / 12) AS INT)").alias("page"), "hash",
+                                 F.expr("transform(px, x -> CAST(floor(x / 64) * 3 AS INT))").alias("thumb"))
+
+
+_POOL = _HASH.replace("WITH ", "WITH RECURSIVE ", 1).replace("frames AS", "whole AS", 1) .replace(_PIX, f""",
+    frames AS (SELECT a.video_id, a.t, list_transform(range(0, 64), lambda i: CASE WHEN a.t % 4 = 0 OR NOT {_OWN.replace('t ', 'a.t ').replace('t)', 'a.t)')} THEN b.px[i + 1] ELSE a.px[i + 1] END) AS px
+               FROM whole a JOIN whole b ON b.video_id = a.video_id AND b.t = a.t - a.t % 4)""", 1) + """,
+    pl AS (SELECT f.video_id, f.t, CAST(floor(f.t / 12) AS INT) AS page, hs.hash AS hash, list_transform(px, lambda x: CAST(floor(x / 64) * 3 AS INT)) AS thumb
+           FROM frames f JOIN hs ON hs.video_id = f.video_id AND hs.t = f.t),
+    ed AS MATERIALIZED (SELECT a.video_id, a.page, a.t AS early, b.t AS late FROM pl a JOIN pl b ON a.video_id = b.video_id AND a.page = b.page AND a.t < b.t
+           WHERE list_sum(list_transform(range(1, 5), lambda i: bit_count(xor(a.hash[i], b.hash[i])))) <= 16
+             AND list_sum(list_transform(range(1, 65), lambda i: abs(a.thumb[i] - b.thumb[i]))) / 64.0 < 3),
+    st AS MATERIALIZED (SELECT video_id, page, t, row_number() OVER (PARTITION BY video_id, page ORDER BY t) AS i FROM pl),
     rec AS (SELECT video_id, page, i, t, [t] AS kept, CAST(NULL AS INT) AS dup FROM st WHERE i = 1
             UNION ALL
             SELECT s.video_id, s.page, s.i, s.t,
@@ -83,9 +96,9 @@ _POOL = _HASH + """,
             FROM rec r JOIN st s ON s.video_id = r.video_id AND s.page = r.page AND s.i = r.i + 1)"""
 
 
-@REG.query("near_duplicate_frames", _POOL.replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT video_id, page, t AS ord, dup AS duplicate_of FROM rec")
+@REG.query("near_duplicate_frames", _POOL + " SELECT video_id, page, t AS ord, dup AS duplicate_of FROM rec")
 def _(t):
-    return op.near_duplicate_frames(_pool(t).withColumnRenamed("t", "ord"), bits=49)
+    return op.near_duplicate_frames(_pool(t).withColumnRenamed("t", "ord"), bits=256)
 
 
 @REG.query("dedupe_keep_later")

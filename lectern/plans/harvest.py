@@ -44,7 +44,7 @@ def _values(rows, source):
 @REG.query("explain_failures", f"""WITH f AS ({_FAILURES.replace('{events}', 'events')}), k(source, code, reason, next_step) AS (VALUES {_values(probes.HTTP_HINTS, 'http')}, {_values(probes.BUSINESS_CODES, 'business')}),
     j AS (SELECT f.*, coalesce(reason, CASE WHEN f.source = 'http' THEN '{probes.HTTP_DEFAULT[0]}' ELSE '{probes.BUSINESS_DEFAULT[0]}' END) AS r,
                  coalesce(next_step, CASE WHEN f.source = 'http' THEN '{probes.HTTP_DEFAULT[1]}' ELSE '{probes.BUSINESS_DEFAULT[1]}' END) AS n FROM f LEFT JOIN k ON k.source = f.source AND k.code = f.code)
-    SELECT failure_id, replace(replace(r, '{{p}}', CASE platform WHEN 'bilibili' THEN 'B站' WHEN 'youtube' THEN 'YouTube' WHEN 'douyin' THEN '抖音' ELSE platform END), '{{c}}', CAST(code AS VARCHAR)) AS reason, n AS next_step FROM j""")
+    SELECT failure_id, replace(replace(r, '{{p}}', coalesce(platform, 'the platform')), '{{c}}', CAST(code AS VARCHAR)) AS reason, n AS next_step FROM j""")
 def _(t):
     return probes.explain_failures(t.sql(_FAILURES))
 
@@ -55,8 +55,8 @@ _LOGS = """SELECT doc_id AS log_id, 'ValueError' AS error_type, CASE WHEN doc_id
 
 @REG.query("failure_records", f"""WITH l AS ({_LOGS.replace('{documents}', 'documents')}),
     r AS (SELECT log_id, error_type, CASE WHEN trim(message) = '' THEN error_type ELSE substring(split_part(trim(message, chr(10) || ' '), chr(10), 1), 1, 200) END AS reason,
-                 CASE WHEN impact = '' THEN '{probes.DEFAULT_IMPACT}' ELSE impact END AS impact, '{probes.RETRY_STEP}' || CASE WHEN rerun IS NULL THEN '' ELSE '；补跑：' || rerun END AS next_step, coalesce(rerun, '') AS rerun FROM l)
-    SELECT log_id, '原因：' || reason || chr(10) || '影响：' || impact || chr(10) || '下一步：' || next_step || chr(10) || '详情：' || error_type AS error, reason, impact, next_step, rerun FROM r""")
+                 CASE WHEN impact = '' THEN '{probes.DEFAULT_IMPACT}' ELSE impact END AS impact, '{probes.RETRY_STEP}' || CASE WHEN rerun IS NULL THEN '' ELSE ': ' || rerun END AS next_step, coalesce(rerun, '') AS rerun FROM l)
+    SELECT log_id, 'reason: ' || reason || chr(10) || 'impact: ' || impact || chr(10) || 'next: ' || next_step || chr(10) || 'detail: ' || error_type AS error, reason, impact, next_step, rerun FROM r""")
 def _(t):
     return probes.failure_records(t.sql(_LOGS))
 
