@@ -7,9 +7,9 @@ class takes the l that makes its estimated cost least: longer prefixes post more
 shingles before it is verified. Pairs are verified on whole sets.
 
 Groups that share a shingle are not expanded into all pairs. In rounds, a few members of each group are compared with
-all its members of other components, and leave the group; links join components. The number of members compared
-grows with the rounds, and a group ends when it is one component or all its members have been compared, so that no
-link between two components is lost.
+all its members of other components, and leave the group; links join components. First the member of least rank is
+compared, the same one for most shingles of a crowd, then a few more, at last the members outside the group's largest
+component. A group ends when it is one component, so that no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ _CHUNK = 4096
 #: Postings of one shingle beyond which they are dealt to several tasks.
 HOT_POSTINGS = 20_000
 LONGEST_EXTRA = 16
-#: Members of a group compared with all its others in each round; then four times as many each round.
-COMPARED = (2, 4)
+#: Members of a group that are compared with all its others, round by round; after these, up to LATER of those outside
+#: its largest component in every round, until the group is one component or has no such member left.
+COMPARED, LATER = (1, 4, 16), 256
 
 
 def shingle_sets(words: Words) -> list[np.ndarray]:
@@ -213,8 +214,8 @@ def _verify(shared):
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     ok = WHOLE * both >= PART * (len(a) + len(b) - both)
                 links.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())],
-                                             names=["a", "b", "link"])
+            kept = ["a", "b", "ra", "rb"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(links, pa.bool_())], names=[*kept, "link"])
     return run
 
 
@@ -231,7 +232,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        turned = large.where("u <> v").distinct()
+        turned = large.where("u <> v")
         least = turned.groupBy("u").agg(F.min("v").alias("m"))
         small = turned.join(least, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -244,11 +245,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.select("v", "v").distinct()).distinct()
 
 
-def _random(column: str, turn: int):
-    """A number in [0, 1) for each class, another one each round."""
-    return F.xxhash64(column, F.lit(turn)).bitwiseAND((1 << 52) - 1) / F.lit(float(1 << 52))
-
-
 def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: its key, n_shingles, and component_id (the least key reachable by links, or its own).
 
@@ -269,43 +265,56 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 .mapInArrow(_shared_postings, "token long, id long, n int"))
     # a hot token's postings come from several tasks, each with its own copy of a class at most
     live = postings.withColumn("root", F.col("id")).checkpoint()
+    rank = F.struct(F.xxhash64("id").alias("r"), "id")
     places = rows.where("n > 0").groupBy("id").agg(F.min(F.struct(F.coalesce("doc", F.lit(-(2**63))).alias("doc"), "mark")).alias("p"))
     posted = places.join(live.select("id").distinct(), "id").select("id", "p.doc", "p.mark")
     packed = own.withColumn("doc", F.coalesce("doc", F.lit(-(2**63)))).mapInArrow(
         _pack, "doc long, mark long, packed binary, size int")
     texts = posted.join(packed, ["doc", "mark"]).select("id", "packed", "size").dropDuplicates(["id"]).checkpoint()
 
-    links, tested, roots, turn, compared = None, None, None, 0, COMPARED[0]
+    tested, merges, turn = None, [], 0
     while True:
-        groups = live.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
-        live = live.join(groups.where("low <> high").select("token", "m"), "token").withColumn(
-            "chosen", (F.col("m") <= compared) | (_random("id", turn) * F.col("m") < compared))
-        live = live.checkpoint()
+        shares = live.groupBy("token", "root").agg(F.count("*").alias("m"), F.min(rank).alias("first"))
+        groups = shares.groupBy("token").agg(
+            F.sum("m").alias("m"), F.count("*").alias("roots"), F.min("first").alias("first"),
+            F.max(F.struct("m", "root")).alias("main")).where("roots > 1")
+        share = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        if turn == 0:
+            chosen = rank == F.col("first")
+        elif turn < len(COMPARED):
+            chosen = share * F.col("m") < COMPARED[turn]
+        else:
+            outside = F.col("m") - F.col("main.m")
+            chosen = (F.col("root") != F.col("main.root")) & (share * outside < LATER)
+        live = live.join(groups, "token").select("token", "id", "n", "root", chosen.alias("chosen")).checkpoint()
         if live.isEmpty():
             break
-        chosen = live.where("chosen").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "root")])
-        pairs = (live.join(chosen, "token").where("root <> root_")
-                 .where(WHOLE * F.least("n", "n_") >= PART * F.greatest("n", "n_"))
-                 .select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct())
+        picked = live.where("chosen").groupBy("token").agg(F.collect_list(F.struct("id", "root", "n")).alias("picked"))
+        far = F.filter("picked", lambda c: (c["root"] != F.col("root"))
+                       & (WHOLE * F.least(c["n"], F.col("n")) >= PART * F.greatest(c["n"], F.col("n"))))
+        # the shingles that two classes share give one row for each class, not one for each pair
+        met = live.join(picked, "token").select("id", "root", far.alias("far")).where("size(far) > 0")
+        met = met.groupBy("id", "root").agg(F.array_distinct(F.flatten(F.collect_set("far"))).alias("far"))
+        each = met.select("id", "root", F.explode("far").alias("c"))
+        pairs = each.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"),
+                            F.least("root", "c.root").alias("ra"), F.greatest("root", "c.root").alias("rb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         sides = [texts.select(F.col("id").alias(s), F.col("packed").alias(f"packed_{s}"), F.col("size").alias(f"size_{s}"))
                  for s in "ab"]
         looked = (pairs.join(sides[0], "a").join(sides[1], "b")
-                  .mapInArrow(_verify(frequency), "a long, b long, link boolean").checkpoint())
-        new = looked.where("link").select("a", "b")
+                  .mapInArrow(_verify(frequency), "a long, b long, ra long, rb long, link boolean").checkpoint())
         tested = looked.select("a", "b") if tested is None else tested.union(looked.select("a", "b"))
-        links = new if links is None else links.union(new)
-        roots = components(links).checkpoint()
-        live = (live.where(~F.col("chosen")).select("token", "id", "n")
-                .join(roots.withColumnRenamed("node", "id"), "id", "left")
-                .select("token", "id", "n", F.coalesce("root", "id").alias("root")))
-        turn, compared = turn + 1, compared * COMPARED[1]
+        merged = components(looked.where("link"), "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("now"))
+        merges.append(merged.checkpoint())
+        live = (live.where(~F.col("chosen")).drop("chosen").join(merges[-1], "root", "left")
+                .select("token", "id", "n", F.coalesce("now", "root").alias("root")))
+        turn += 1
 
     found = rows.select("doc", "n", "id")
-    if roots is not None:
-        found = found.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-            "doc", "n", F.coalesce("root", "id").alias("id"))
+    for merged in merges:
+        found = found.join(merged.withColumnRenamed("root", "id"), "id", "left").select(
+            "doc", "n", F.coalesce("now", "id").alias("id"))
     named = found.where("n > 0").groupBy("id").agg(F.min("doc").alias("least"))
     return found.join(named, "id", "left").select(
         F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"),
