@@ -57,7 +57,8 @@ def cleanup_candidates(files: DataFrame, referenced: DataFrame, protected: DataF
     """
     known = referenced.select("folder", "name").distinct().withColumn("_m", F.lit(True))
     rows = files.join(known, ["folder", "name"], "left")
-    inner = F.slice(F.split(F.lower("name"), r"\."), 2, 100)
+    parts = F.split(F.lower("name"), r"\.")
+    inner = F.slice(parts, 2, F.size(parts))
     artifact = F.exists(inner, lambda p: p.isin(*PROTECTED))
     suffix = F.regexp_extract(F.lower("name"), r"\.([^.]*)$", 1)
     collected = F.col("_m") | F.col("name").rlike(TEMPORARY)

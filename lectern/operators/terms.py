@@ -91,10 +91,20 @@ def scan_keys(active: DataFrame) -> DataFrame:
     )
 
 
-def _check_keys(keys: Iterable[str]) -> None:
-    bad = [k for k in keys if "[" in k or "\n" in k]
+def _check_keys(keys: DataFrame) -> None:
+    """Words must stand in one line: matches are looked for within lines."""
+    bad = [r["key"] for r in keys.filter(F.contains("key", F.lit("\n"))).limit(3).collect()]
     if bad:
-        raise ValueError(f"dictionary words must not hold '[' or line breaks: {bad[:3]}")
+        raise ValueError(f"dictionary words must not hold line breaks: {bad}")
+
+
+def _spellings(letters: set[str]) -> dict[str, list[str]]:
+    """All characters whose lower case is one of the letters, so that both forms compare alike."""
+    found: dict[str, list[str]] = {}
+    for c in map(chr, range(0x110000)):
+        if (low := c.lower()) in letters:
+            found.setdefault(low, []).append(c)
+    return found
 
 
 def _trie_regex(keys: Sequence[str]) -> str:
@@ -105,26 +115,30 @@ def _trie_regex(keys: Sequence[str]) -> str:
         for ch in key:
             node = node.setdefault(ch, {})
         node[""] = {}
+    spelt = _spellings({ch for key in keys for ch in key})
+
+    def one(ch: str) -> str:
+        options = spelt.get(ch, [ch])
+        return re.escape(options[0]) if len(options) == 1 else "(?:" + "|".join(map(re.escape, options)) + ")"
 
     def render(node: dict) -> str:
-        branches = [re.escape(ch) + render(child) for ch, child in node.items() if ch]
+        branches = [one(ch) + render(child) for ch, child in node.items() if ch]
         if not branches:
             return ""
         body = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
         return body + ("?" if "" in node else "")
 
-    return "(?iu)" + render(root)
+    return render(root)
 
 
 class Dictionary:
     """Scan keys as Column expressions, for dictionaries of a checked size.
 
     ``load`` reads at most ``MAX_INLINE_KEYS + 1`` rows and returns None beyond the bound;
-    callers then match by joins.
+    callers then match by joins, with the same hits and errors.
     """
 
     def __init__(self, rows: Sequence) -> None:
-        _check_keys(r["key"] for r in rows)
         self.rows = list(rows)
         self.pattern = _trie_regex([r["key"] for r in self.rows]) if self.rows else None
 
@@ -133,18 +147,21 @@ class Dictionary:
         rows = keys.limit(MAX_INLINE_KEYS + 1).collect()
         return cls(rows) if len(rows) <= MAX_INLINE_KEYS else None
 
-    def replacement(self, match: Column) -> Column:
-        """Official replacement of a match, NULL for candidates and unknown spellings."""
+    def entry(self, match: Column) -> Column:
+        """``right``, ``category`` and ``candidate`` of a match."""
         by_head: dict[str, list] = {}
         for r in self.rows:
-            if not r["candidate"]:
-                by_head.setdefault(r["key"][0], []).extend((F.lit(r["key"]), F.lit(r["right"])))
-        if not by_head:
-            return F.lit(None).cast("string")
+            value = F.struct(F.lit(r["right"]).alias("right"), F.lit(r["category"]).alias("category"), F.lit(r["candidate"]).alias("candidate"))
+            by_head.setdefault(r["key"][0], []).extend((F.lit(r["key"]), value))
         nested = F.create_map(*[x for h, kv in by_head.items() for x in (F.lit(h), F.create_map(*kv))])
         low = F.lower(match)
         return F.try_element_at(F.try_element_at(nested, F.substring(low, 1, 1)), low)
 
+    def replacement(self, match: Column) -> Column:
+        """Official replacement of a match, NULL for candidates."""
+        found = self.entry(match)
+        return F.when(~found["candidate"], found["right"])
+
 
 def _units(docs: DataFrame, key: str) -> DataFrame:
     """Texts cut before each time mark and after each line end, with surrounding context.
@@ -208,6 +225,7 @@ def scan_terms(docs: DataFrame, keys: DataFrame, key: str = "doc_id", inline: bo
     Result ``(key, unit_no, hit_no, ts, wrong, right, category, candidate, context)``, where
     ``ts`` is the nearest time mark to the left. ``inline=False`` forces the join form.
     """
+    _check_keys(keys)
     small = Dictionary.load(keys) if inline is not False else None
     units = _units(docs, key)
     if small is None:
@@ -221,8 +239,10 @@ def scan_terms(docs: DataFrame, keys: DataFrame, key: str = "doc_id", inline: bo
             F.expr("substring(unit, h.pos + h.n, length(unit))").alias("rest"),
         )
     else:
-        if small.pattern is None:
-            raise ValueError("the dictionary is empty")
+        if small.pattern is None:  # an empty dictionary has no hits
+            return units.limit(0).join(keys, F.lit(False)).select(
+                key, "unit_no", F.lit(0).alias("hit_no"), "ts", F.col("unit").alias("wrong"), "right", "category", "candidate",
+                F.col("unit").alias("context"))
         pattern = F.lit(small.pattern)
         found = staged(units, m=F.regexp_extract_all("unit", pattern, F.lit(0)), g=F.split("unit", small.pattern, -1))
         # A hit sees at most CONTEXT neighbours on each side, so the slices are bounded.
@@ -237,12 +257,17 @@ def scan_terms(docs: DataFrame, keys: DataFrame, key: str = "doc_id", inline: bo
             F.expr(f"""concat(element_at(g, _i + 2), array_join(zip_with(slice(m, _i + 2, {n}),
                 slice(g, _i + 3, {n}), (a, b) -> concat(a, b)), ''))""").alias("rest"),
         )
-    hits = _with_context(hits).withColumn("key", F.lower("wrong"))
-    return hits.join(keys, "key").select(key, "unit_no", "hit_no", *_HIT)
+    hits = _with_context(hits)
+    if small is None:
+        return hits.withColumn("key", F.lower("wrong")).join(keys, "key").select(key, "unit_no", "hit_no", *_HIT)
+    # the dictionary stands in the expression, so that hits are not shuffled by word
+    return staged(hits, e=small.entry(F.col("wrong"))).select(
+        key, "unit_no", "hit_no", "ts", "wrong", "e.right", "e.category", "e.candidate", "context")
 
 
 def apply_terms(docs: DataFrame, keys: DataFrame, key: str = "doc_id", inline: bool | None = None) -> DataFrame:
     """Texts with official hits replaced; candidates stay, new text is not matched again."""
+    _check_keys(keys)
     small = Dictionary.load(keys) if inline is not False else None
     if small is not None:
         if small.pattern is None:

@@ -168,7 +168,7 @@ def _(t):
 
 _EVENTS = """SELECT e.event_id, o.o_custkey AS course_id, i.idx, e.ts, CASE e.event_type WHEN 'view' THEN 'done' WHEN 'click' THEN 'failed' WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'done' ELSE 'odd' END AS state,
     CASE WHEN e.event_id % 5 = 0 THEN NULL ELSE 'n' || CAST(e.event_id AS STRING) END AS note, e.event_id % 3 AS gate_errors, CASE WHEN e.event_id % 4 = 0 THEN ' ' ELSE ' why ' || CAST(e.event_id AS STRING) END AS reason
-    FROM {events} e JOIN {orders} o ON o.o_orderkey = e.event_id % 3000 JOIN {items} i ON i.cid = o.o_orderkey"""
+    FROM (SELECT *, event_id % (SELECT max(o_orderkey) + 1 FROM {orders}) AS k FROM {events}) e JOIN {orders} o ON o.o_orderkey = e.k JOIN {items} i ON i.cid = o.o_orderkey"""
 _MARKED = IN + f""", ev AS ({_EVENTS.replace('{events}', 'events').replace('{orders}', 'orders').replace('{items}', 'items')}),
     er AS (SELECT *, CASE WHEN state = 'odd' THEN 'unknown state' WHEN state = 'done' AND note IS NULL THEN 'no note' WHEN state = 'done' AND gate_errors > 0 THEN 'gate failed'
                      WHEN state = 'failed' AND trim(reason) = '' THEN 'no reason' END AS error FROM ev)"""

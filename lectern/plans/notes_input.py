@@ -32,16 +32,16 @@ SEC = "CAST(CAST(floor((line_no - 1) / 8) + 1 AS INT) AS STRING)"
 R = "((line_no - 1) % 8)"
 V = "((doc_id + line_no) % 9)"
 
-LINE = f"""(CASE WHEN {R} = 0 THEN '## ' || {SEC} || '. ' || left(line, 16)
+LINE = f"""(CASE WHEN {R} = 0 THEN '## ' || {SEC} || '. ' || left(line, 16) || {NL} || line
     WHEN {R} = 2 THEN CASE {V} WHEN 0 THEN '- ' || line WHEN 1 THEN '**打个比方** ' || line WHEN 2 THEN '**打个比方：**' || line
          WHEN 3 THEN 'see [12:34] and （1:02:03） ' || line WHEN 4 THEN '**核心必考** ' || line
          WHEN 5 THEN '![cap ' || left(line, 5) || '](images/s' || {SEC} || '.png)' || ' images/b' || {SEC} || '.jpg'
          WHEN 6 THEN '概念' || CAST(doc_id % 5 AS STRING) || '（concept） ' || line WHEN 7 THEN '概念' || CAST(doc_id % 5 AS STRING) || line ELSE line END
-    WHEN {R} = 3 AND {V} < 5 THEN CASE {V} WHEN 0 THEN '```java' WHEN 1 THEN '```text' WHEN 2 THEN '```Python' WHEN 3 THEN '```mermaid' ELSE '```' END
-    WHEN {R} = 4 AND {V} IN (1, 2, 3) THEN '// 来源 src [01:02]' WHEN {R} = 4 AND {V} = 4 THEN '  subgraph g1[组]'
-    WHEN {R} = 5 AND {V} BETWEEN 2 AND 6 AND doc_id % 15 > 0 THEN '```'
-    WHEN {R} = 5 AND {V} = 8 THEN '- images/c' || {SEC} || '.gif'
-    WHEN {R} = 6 THEN CASE WHEN {V} < 5 THEN '' ELSE '---' END
+    WHEN {R} = 3 AND {V} < 5 THEN line || {NL} || CASE {V} WHEN 0 THEN '```java' WHEN 1 THEN '```text' WHEN 2 THEN '```Python' WHEN 3 THEN '```mermaid' ELSE '```' END
+    WHEN {R} = 4 AND {V} IN (1, 2, 3) THEN '// 来源 src [01:02]' || {NL} || line WHEN {R} = 4 AND {V} = 4 THEN '  subgraph g1[组]' || {NL} || line
+    WHEN {R} = 5 AND {V} BETWEEN 2 AND 6 AND doc_id % 15 > 0 THEN '```' || {NL} || line
+    WHEN {R} = 5 AND {V} = 8 THEN '- images/c' || {SEC} || '.gif' || {NL} || line
+    WHEN {R} = 6 THEN CASE WHEN {V} < 5 THEN '' ELSE '---' END || {NL} || line
     WHEN {R} = 7 AND {V} % 2 = 0 THEN '> **记住这个就够了**：' || line
     WHEN {R} = 1 AND {K} = 5 AND {V} < 6 THEN '**核心思想：** ' || line
     ELSE line END)"""

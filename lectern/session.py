@@ -15,6 +15,10 @@ DEFAULTS = {
 }
 
 
+# Most tasks that a table of few splits is dealt to.
+SPREAD = 32
+
+
 def build_session(master: str | None = None, **extra: str) -> SparkSession:
     """Session with the settings the operators are tuned for.
 
@@ -32,9 +36,10 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of few splits work for every core before heavy row-local steps.
 
-    A table of many splits, as any large one is, comes back unchanged and is not shuffled.
+    Only a table of less than ``SPREAD`` / 2 splits is dealt out, on however many cores: a large
+    one comes back unchanged and is not shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD)
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
@@ -42,11 +47,13 @@ def durable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor re-reads files.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without it (tests on one machine) gets a temporary folder.
+    local session without it (tests on one machine) gets a temporary folder.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-ckpt-"))
     return df.checkpoint(eager=True)

@@ -88,7 +88,7 @@ def glossary_entries(docs: DataFrame) -> DataFrame:
         F.greatest(F.lit(0), F.coalesce(F.when(obj, entry.getField("hits")), F.lit(0))).alias("hits"),
         F.coalesce(F.when(obj, entry.getField("source")), F.lit("")).alias("source"),
         F.coalesce(F.when(obj, entry.getField("disabled")), F.lit(False)).alias("disabled"),
-        (F.col("ci") * 1000000 + F.col("wi")).cast("bigint").alias("ord"))
+        (F.shiftleft(F.col("ci").cast("bigint"), 32) + F.col("wi")).alias("ord"))
     flat = docs.filter(is_json & ~F.coalesce(v2, F.lit(False))).select("layer", F.posexplode(F.from_json(
         F.coalesce(F.get_json_object("text", "$.map"), F.col("text")), "map<string,string>")).alias("i", "wrong", "raw"))
     flat = flat.filter(~F.startswith("wrong", F.lit("_"))).select(
