@@ -6,7 +6,6 @@ Each one is a small vector helper; callers keep partitioning, joins and grouping
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -24,19 +23,6 @@ def fold_name(names: pd.Series) -> pd.Series:
     return names.map(_fold)
 
 
-def _ratio(a: str | None, b: str | None) -> float:
-    a, b = a or "", b or ""
-    if not a and not b:
-        return 1.0
-    return round(SequenceMatcher(None, a, b, autojunk=False).ratio(), 3)
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of matching blocks between two texts, three decimals."""
-    return pd.Series([_ratio(a, b) for a, b in zip(left, right)])
-
-
 @F.pandas_udf(T.StringType())
 def case_fold(values: pd.Series) -> pd.Series:
     """Full Unicode case folding."""

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import ordered, text as tx
 from lectern.functions.staged import staged
-from lectern.functions.udfs import sequence_ratio
 
 # Order in which caption languages are preferred; the first five are Chinese.
 DEFAULT_LANGS = ("zh-Hans", "zh", "zh-CN", "zh-TW", "zh-HK", "en", "en-US", "en-GB")
@@ -376,14 +375,25 @@ def resolve_source_language(pages: DataFrame) -> DataFrame:
 
 
 def transcript_agreement(runs: DataFrame) -> DataFrame:
-    """Agreement of each run's text with the file's first run, and time per media second."""
-    first = runs.groupBy("file_id").agg(F.min_by("text", "run_no").alias("base"))
-    rows = runs.join(first, "file_id")
-    ratio = F.when(F.col("duration_s") > 0, F.col("asr_s") / F.col("duration_s"))
+    """Agreement of each run's text with the file's first run, and time per media second.
+
+    The agreement is twice the three-character pieces that both texts hold, each as often as in
+    the text that holds it less often, over all pieces of both; two empty texts agree fully.
+    """
+    pieces = F.expr("transform(sequence(1, greatest(length(text) - 2, 1)), i -> substring(text, i, 3))")
+    counted = runs.filter("length(text) > 0").select("file_id", "run_no", F.explode(pieces).alias("piece")).groupBy(
+        "file_id", "run_no", "piece").agg(F.count("*").alias("n"))
+    first = runs.groupBy("file_id").agg(F.min("run_no").alias("base_no"))
+    base = counted.join(first, (counted.file_id == first.file_id) & (counted.run_no == first.base_no)).select(
+        counted.file_id, "piece", F.col("n").alias("base_n"))
+    common = counted.join(base, ["file_id", "piece"]).groupBy("file_id", "run_no").agg(F.sum(F.least("n", "base_n")).alias("common"))
+    size = F.when(F.length("text") > 0, F.greatest(F.length("text") - 2, F.lit(1))).otherwise(0)
+    sizes = runs.groupBy("file_id").agg(F.min_by(size, "run_no").alias("base_size"))
+    rows = runs.join(sizes, "file_id").join(common, ["file_id", "run_no"], "left").withColumn("both", size + F.col("base_size"))
+    ratio = F.when(F.col("duration_s") > 0, F.col("asr_s").cast("double") / F.col("duration_s"))
     return rows.select(
         "file_id", "run_no", "model", "threads", "batch", ratio.alias("ratio"),
-        sequence_ratio("base", "text").alias("similarity"),
-    )
+        F.when(F.col("both") > 0, 2 * F.coalesce("common", F.lit(0)) / F.col("both")).otherwise(1.0).alias("similarity"))
 
 
 def backend_usage_summary(runs: DataFrame) -> DataFrame:

@@ -334,7 +334,15 @@ def _(t):
     return op.resolve_source_language(pages)
 
 
-@REG.query("transcript_agreement")
+@REG.query("transcript_agreement", with_inputs("transcriber_runs") + """,
+    pc AS (SELECT file_id, run_no, substring(text, CAST(i AS INT), 3) AS piece, count(*) AS n FROM (SELECT *, unnest(range(1, greatest(length(text) - 2, 1) + 1)) AS i
+           FROM transcriber_runs WHERE length(text) > 0) GROUP BY ALL),
+    sz AS (SELECT *, CASE WHEN length(text) > 0 THEN greatest(length(text) - 2, 1) ELSE 0 END AS size, min(run_no) OVER (PARTITION BY file_id) AS base_no FROM transcriber_runs),
+    cm AS (SELECT a.file_id, a.run_no, sum(least(a.n, b.n)) AS common FROM pc a JOIN pc b ON b.file_id = a.file_id AND b.piece = a.piece
+           WHERE b.run_no = (SELECT min(run_no) FROM transcriber_runs r WHERE r.file_id = a.file_id) GROUP BY ALL)
+    SELECT sz.file_id, sz.run_no, sz.model, sz.threads, sz.batch, CASE WHEN sz.duration_s > 0 THEN sz.asr_s / sz.duration_s END AS ratio,
+           CASE WHEN sz.size + b.size > 0 THEN CAST(2 * coalesce(common, 0) AS DOUBLE) / (sz.size + b.size) ELSE 1.0 END AS similarity
+    FROM sz JOIN sz b ON b.file_id = sz.file_id AND b.run_no = sz.base_no LEFT JOIN cm ON cm.file_id = sz.file_id AND cm.run_no = sz.run_no""")
 def _(t):
     return op.transcript_agreement(frame(t, "transcriber_runs"))
 

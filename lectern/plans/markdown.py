@@ -39,6 +39,10 @@ BASE = with_inputs("notes") + rf""",
             WHERE contains(t, w) GROUP BY ALL),
     inn AS (SELECT lx.*, w FROM lx JOIN sec ON sec.note_id = lx.note_id AND lx.n > sec.n AND lx.n < sec.e)"""
 
+# Each of these is read several times.
+for _name in ("al", "fc", "fm", "kz", "l0", "l1", "lx", "h2", "sec", "inn"):
+    BASE = BASE.replace(f"    {_name} AS (", f"    {_name} AS MATERIALIZED (", 1)
+
 CARDS = BASE + r""",
     cl AS (SELECT *, sum(CASE WHEN regexp_matches(s, '^###\s+\S') THEN 1 ELSE 0 END) OVER (PARTITION BY note_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS no
            FROM inn WHERE w = '概念卡片' AND NOT f),
