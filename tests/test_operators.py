@@ -213,3 +213,65 @@ def test_partition_count_does_not_change_results(spark):
         results.append(rows(terms.summarize_hits(terms.scan_terms(docs, keys), True), F.coalesce("doc_id", F.lit(-1)), F.coalesce("category", F.lit("")), "hits"))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1]
+
+
+def test_bands_cover_all_bits_and_find_every_near_pair(spark):
+    import random
+
+    from lectern.operators import frames
+
+    spans = frames.band_spans(256)
+    assert len(spans) == 17 and {len(s) for s in spans} == {15, 16} and [i for s in spans for i in s] == list(range(256))
+    assert len([s for s in frames.band_spans(17) if len(s)]) == 17
+    with pytest.raises(ValueError):
+        frames.near_duplicate_frames(spark.createDataFrame([], "video_id long, page int, ord int, hash array<long>, thumb array<int>"), bits=16)
+    rng = random.Random(3)
+    values = []
+    for i in range(60):
+        value = rng.getrandbits(256) if i % 3 == 0 else values[-1]
+        for b in rng.sample(range(256), rng.choice([0, 5, 16, 17])):
+            value ^= 1 << b
+        values.append(value)
+    words = [[((v >> (64 * (3 - k))) & (2**64 - 1)) - (2**64 if (v >> (64 * (3 - k) + 63)) & 1 else 0) for k in range(4)] for v in values]
+    rows = [(1, 0, i, w, [0]) for i, w in enumerate(words)]
+    found = {r.ord: r.duplicate_of for r in frames.near_duplicate_frames(
+        spark.createDataFrame(rows, "video_id long, page int, ord int, hash array<long>, thumb array<int>")).collect()}
+    kept, want = [], {}
+    for i, v in enumerate(values):
+        near = [j for j in kept if bin(v ^ values[j]).count("1") <= 16]
+        want[i] = min(near) if near else None
+        if not near:
+            kept.append(i)
+    assert found == want and len(kept) < 60
+
+
+def test_both_dictionary_forms_match_alike(spark):
+    from lectern.operators import terms
+
+    docs = spark.createDataFrame([(1, "ſab [x] SA\nKelvin a[X y"), (2, ""), (3, "AB ab [12:34] sa")], "doc_id long, text string")
+    schema = "key string, right string, category string, candidate boolean"
+    keys = spark.createDataFrame([("sa", "one", "c", False), ("ab", "two", "c", True), ("[x", "three", "c", False), ("kel", "four", "d", False)], schema)
+    for operator in (terms.scan_terms, terms.apply_terms):
+        small, large = (sorted(operator(docs, keys, inline=i).collect(), key=str) for i in (None, False))
+        assert small == large and small
+        empty = keys.where("false")
+        assert sorted(operator(docs, empty).collect(), key=str) == sorted(operator(docs, empty, inline=False).collect(), key=str)
+        for inline in (None, False):
+            with pytest.raises(ValueError):
+                operator(docs, spark.createDataFrame([("a\nb", "r", "c", False)], schema), inline=inline)
+
+
+def test_pixel_windows_follow_time_over_gaps(spark):
+    """Rows do not depend on where slices begin, also behind a gap."""
+    import numpy as np
+
+    from lectern.operators import frames
+
+    rng = np.random.default_rng(5)
+    seconds = [*range(0, 20), *range(33, 50), 70, 71, 90]
+    data = spark.createDataFrame([(1, t, 8, 8, rng.integers(0, 256, 64).tolist()) for t in seconds], "video_id long, t int, w int, h int, px array<int>")
+    made = []
+    for size in (7, 16, 1000):
+        p = frames.Timeline(cell=2, ink_radius=1, plate_half=2, hold=3, slice_seconds=size)
+        made.append({r.t: r for r in frames.frame_cells(data, p).collect()})
+    assert made[0].keys() == set(seconds) and made[0] == made[1] == made[2]
