@@ -14,6 +14,7 @@ component. A group ends when it is one component, so that no link between two co
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,36 +149,46 @@ def _postings(shared):
 
 
 def _shared_postings(batches) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token, salt and class: the different ones of tokens that two classes post at least.
+    """Of postings sorted by token, salt and class: groups of the different classes that post a token, if several do.
 
-    Postings of hot tokens (salted) are all kept, as their classes lie in several tasks.
+    Tokens of equal classes are one group, so a group is named by a fingerprint of its classes. The postings of a hot
+    token lie in several tasks; they are all kept, under the token itself. Other groups are below HOT_POSTINGS.
     """
-    last = pending = None  # the last posting, and the only posting so far of its group
-
-    def out(columns, keep):
-        return pa.RecordBatch.from_arrays([pa.array(columns[i][keep]) for i in (0, 2, 3)], names=["token", "id", "n"])
+    held = None
+
+    def groups(columns, last: bool):
+        token, salt, own, n = columns
+        starts = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
+        fresh = starts | np.r_[True, own[1:] != own[:-1]]
+        end = len(token) if last else np.flatnonzero(starts)[-1]
+        fresh[end:] = False
+        rest = None if last else [c[end:] for c in columns]
+        group = np.cumsum(starts) - 1
+        size = np.bincount(group, fresh)
+        kept = np.flatnonzero(fresh & ((size[group] > 1) | (salt > 0)))
+        if not len(kept):
+            return rest, None
+        group = group[kept]
+        heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        name = mix(np.add.reduceat(mix(own[kept].view(np.uint64)), heads) + size[group[heads]].astype(np.uint64))
+        name = np.repeat(name, np.diff(np.r_[heads, len(kept)])).view(np.int64)
+        name = np.where(salt[kept] > 0, token[kept], name)
+        order = np.lexsort((own[kept], name))
+        name, kept = name[order], kept[order]
+        new = np.r_[True, (name[1:] != name[:-1]) | (own[kept][1:] != own[kept][:-1])]
+        return rest, pa.RecordBatch.from_arrays([pa.array(name[new]), pa.array(own[kept][new]), pa.array(n[kept][new])], names=["token", "id", "n"])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy() for i in range(4)]
-        token, salt, own, _ = columns if last is None else [np.concatenate([x, c]) for x, c in zip(last, columns)]
-        starts = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-        fresh = starts | (own[1:] != own[:-1])
-        if last is None:
-            starts, fresh = np.r_[True, starts], np.r_[True, fresh]
-        group = np.cumsum(starts)  # 0: the group of the batch before goes on
-        count = np.bincount(group, fresh)
-        count[0] += 1
-        several = (count[group] > 1) | (columns[1] > 0)
-        if pending is not None and count[0] > 1:
-            yield out(pending, np.array([True]))
-            pending = None
-        yield out(columns, fresh & several)
-        if group[-1] > 0:
-            first = np.flatnonzero(starts)[-1]
-            pending = None if several[first] else [c[first:first + 1] for c in columns]
-        last = [c[-1:] for c in columns]
+        if batch.num_rows:
+            columns = [np.array(batch.column(i)) for i in range(4)]
+            columns = columns if held is None else [np.concatenate([h, c]) for h, c in zip(held, columns)]
+            held, found = groups(columns, False)
+            if found is not None:
+                yield found
+    if held is not None:
+        _, found = groups(held, True)
+        if found is not None:
+            yield found
 
 
 def _pack(batches) -> Iterator[pa.RecordBatch]:
@@ -263,14 +274,17 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     postings = (own.select("text").mapInArrow(_postings(frequency), _POSTING)
                 .repartition(*order).sortWithinPartitions(*order, "id")
                 .mapInArrow(_shared_postings, "token long, id long, n int"))
-    # a hot token's postings come from several tasks, each with its own copy of a class at most
-    live = postings.withColumn("root", F.col("id")).checkpoint()
+    live = postings.dropDuplicates(["token", "id"]).withColumn("root", F.col("id")).checkpoint()
     rank = F.struct(F.xxhash64("id").alias("r"), "id")
     places = rows.where("n > 0").groupBy("id").agg(F.min(F.struct(F.coalesce("doc", F.lit(-(2**63))).alias("doc"), "mark")).alias("p"))
     posted = places.join(live.select("id").distinct(), "id").select("id", "p.doc", "p.mark")
     packed = own.withColumn("doc", F.coalesce("doc", F.lit(-(2**63)))).mapInArrow(
         _pack, "doc long, mark long, packed binary, size int")
-    texts = posted.join(packed, ["doc", "mark"]).select("id", "packed", "size").dropDuplicates(["id"]).checkpoint()
+    # a table bucketed by class, so that no round shuffles the texts again
+    parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"lectern_texts_{uuid.uuid4().hex}"
+    (posted.join(packed, ["doc", "mark"]).dropDuplicates(["doc", "mark"]).select("id", "packed", "size")
+     .repartition(parts, "id").write.bucketBy(parts, "id").option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table))
+    texts = spark.table(table)
 
     tested, merges, turn = None, [], 0
     while True:
@@ -311,6 +325,7 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 .select("token", "id", "n", F.coalesce("now", "root").alias("root")))
         turn += 1
 
+    spark.sql(f"DROP TABLE {table}")
     found = rows.select("doc", "n", "id")
     for merged in merges:
         found = found.join(merged.withColumnRenamed("root", "id"), "id", "left").select(
