@@ -170,10 +170,12 @@ def stale_notes(done: DataFrame, current: DataFrame) -> DataFrame:
 def reopen_items(stale: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Items put back to pending after the re-check, with the reason.
 
-    ``verdicts(note_id, errors, first_errors)`` is the gate summary of the stale notes.
+    ``verdicts(note_id, errors, first_errors)`` is the gate summary of the stale notes; the
+    reason gives the first of the errors that it joins by "; ".
     """
+    first = F.substring_index("first_errors", "; ", 1)
     rows = stale.join(verdicts, "note_id", "left")
-    reason = F.when(F.col("sha").isNull(), "note missing").when(F.col("errors") > 0, F.concat(F.lit("gate failed: "), "first_errors"))
+    reason = F.when(F.col("sha").isNull(), "note missing").when(F.col("errors") > 0, F.concat(F.lit("gate failed: "), first))
     return rows.withColumn("reason", reason).filter("reason IS NOT NULL").select(
         "course_id", "idx", "note_id", F.lit("pending").alias("status"), F.col("note_id").alias("planned_note"), "reason")
 

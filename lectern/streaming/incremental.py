@@ -13,13 +13,26 @@ from lectern.operators import lint
 from lectern.operators.course import mark_outcome
 
 
+def newest(rows: DataFrame, *keys: str) -> DataFrame:
+    """The row of the highest batch of each key."""
+    cols = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("v")).select(*keys, "v.*")
+
+
 def gate_batch(notes: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Verdicts of the notes whose content hash is not among the known verdicts."""
-    fresh = notes.withColumn("sha", F.sha2("text", 256))
+    """Verdicts of the notes whose content or template differs from their latest verdict.
+
+    ``known`` holds all earlier verdicts with their batch; a note that returns to an older
+    content is checked again.
+    """
+    template = F.coalesce("template", F.lit(""))
+    fresh = notes.withColumn("_sha", F.sha2("text", 256)).withColumn("_template", template)
     if known is not None:
-        fresh = fresh.join(known.select("note_id", "sha"), ["note_id", "sha"], "left_anti")
-    fresh = fresh.drop("sha")
-    return lint.gate_summary(fresh, lint.text_findings(lint.parse_notes(fresh)))
+        latest = newest(known.select("note_id", F.col("sha").alias("_sha"), F.col("template").alias("_template"), "batch"), "note_id")
+        fresh = fresh.join(latest, ["note_id", "_sha", "_template"], "left_anti")
+    fresh = fresh.drop("_sha", "_template")
+    verdicts = lint.gate_summary(fresh, lint.text_findings(lint.parse_notes(fresh)))
+    return verdicts.join(fresh.select("note_id", template.alias("template")), "note_id")
 
 
 def _has_output(spark: SparkSession, path: str) -> bool:
@@ -28,7 +41,7 @@ def _has_output(spark: SparkSession, path: str) -> bool:
 
 
 def gate_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Re-check arriving notes; unchanged content is skipped. Verdicts go to ``out/batch=<id>``."""
+    """Re-check arriving notes; a note as in its latest verdict is skipped. Verdicts go to ``out/batch=<id>``."""
     stream = spark.readStream.schema(schema).parquet(source)
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -44,9 +57,7 @@ def gate_stream(spark: SparkSession, source: str, schema: str, out: str, checkpo
 
 def latest_verdicts(spark: SparkSession, out: str) -> DataFrame:
     """Newest verdict per note."""
-    rows = spark.read.option("basePath", out).parquet(out)
-    cols = [c for c in rows.columns if c not in ("note_id", "batch")]
-    return rows.groupBy("note_id").agg(F.max_by(F.struct(*cols), "batch").alias("v")).select("note_id", "v.*")
+    return newest(spark.read.option("basePath", out).parquet(out), "note_id")
 
 
 def latest_marks(events: DataFrame) -> DataFrame:
@@ -69,6 +80,4 @@ def marks_stream(spark: SparkSession, source: str, schema: str, out: str, checkp
 
 def marks_snapshot(spark: SparkSession, out: str) -> DataFrame:
     """Current state per item from the batches written so far."""
-    rows = spark.read.option("basePath", out).parquet(out)
-    cols = [c for c in rows.columns if c not in ("course_id", "idx", "batch")]
-    return rows.groupBy("course_id", "idx").agg(F.max_by(F.struct(*cols), "batch").alias("m")).select("course_id", "idx", "m.*")
+    return newest(spark.read.option("basePath", out).parquet(out), "course_id", "idx")

@@ -63,6 +63,15 @@ def test_gate_stream_skips_unchanged(spark, tmp_path):
     assert seen.filter("note_id = 1").count() == 1
     verdict = {r["note_id"]: r["ok"] for r in incremental.latest_verdicts(spark, out).collect()}
     assert verdict == {1: True, 2: False}
+    # back to an older content, and another template with the same content: both are checked again
+    broken = base.selectExpr(*["'# broken' AS text" if c == "text" else c for c in base.columns])
+    push(broken)
+    assert {r["note_id"]: r["ok"] for r in incremental.latest_verdicts(spark, out).collect()} == {1: False, 2: False}
+    push(base)
+    assert {r["note_id"]: r["ok"] for r in incremental.latest_verdicts(spark, out).collect()} == {1: True, 2: False}
+    push(base.selectExpr(*["'v4' AS template" if c == "template" else c for c in base.columns]))
+    seen = spark.read.option("basePath", out).parquet(out)
+    assert seen.filter("note_id = 1").count() == 4
 
 
 def test_marks_stream_latest_wins(spark, tmp_path):
