@@ -100,3 +100,61 @@ def verify_deep_links(entries: DataFrame, lines: DataFrame) -> DataFrame:
         F.col("rel_sec").isNotNull() & (t != F.col("rel_sec")), "second")
     return found.withColumn("problem", problem).filter("problem IS NOT NULL").select(
         "entry_id", "problem", t.alias("link_sec"), F.col("rel_sec"))
+
+
+# Markers, heading and entries of a time index.
+NAV_BEGIN, NAV_END = r"^\s*<!--\s*NAV:BEGIN\b.*?-->\s*$", r"^\s*<!--\s*NAV:END\b.*?-->\s*$"
+INDEX_HEAD, ANY_HEAD = r"^##\s+.*视频时间索引", r"^##\s+"
+OPEN_ENTRY = r"^(\s*)([-*+])\s*\[(\d{1,3}):(\d{2})\]\s+(?!\()(\S.*?)\s*$"
+MARKED_ENTRY = r"^(\s*)(-)\s*\[(\d{1,3}):(\d{2})\]\s+(?!\()(\S.*?)\s*$"
+ANY_ENTRY = r"^\s*-\s*\[\d{1,3}:\d{2}\]\s*(\(|\S)"
+
+
+def fill_nav_links(notes: DataFrame, lines: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """Notes with the open entries of their time index linked in place, and what was done.
+
+    ``notes(note_id, text, kind, video_id, platform, vid, only_page)``; a v3 note has its index
+    between two markers, the others below a heading. Linked entries and all other lines stay, so
+    filling twice changes nothing. ``status`` is ok, skipped (no index, or none of its markers or
+    entries) or error (markers that are no pair: the text stays). Texts stay in their rows; only
+    the entries meet the transcript lines.
+    """
+    v3 = F.col("kind") == "v3"
+    body = F.split(F.regexp_replace("text", r"\n$", ""), "\n", -1)
+    rows = notes.select("*", F.inline(F.array(F.struct(body.alias("ls")))))
+
+    def places(pattern: str, since: Column = F.lit(0)) -> Column:
+        return F.filter(F.transform("ls", lambda s, i: F.when(s.rlike(pattern) & (i >= since), i)), lambda i: i.isNotNull())
+
+    closing = F.try_element_at(places("^---$", F.lit(1)), F.lit(1))
+    front = F.when((F.col("kind") == "v4-obsidian") & (F.element_at("ls", 1) == "---"), F.coalesce(closing + 1, F.lit(0))).otherwise(0)
+    rows = rows.select("*", F.inline(F.array(F.struct(
+        places(NAV_BEGIN).alias("begins"), places(NAV_END).alias("ends"), places(INDEX_HEAD, front).alias("heads"), places(ANY_HEAD).alias("marks")))))
+    head = F.try_element_at("heads", F.lit(1))
+    after = F.try_element_at(F.filter("marks", lambda i: i > head), F.lit(1))
+    paired = (F.size("begins") == 1) & (F.size("ends") == 1) & (F.try_element_at("begins", F.lit(1)) < F.try_element_at("ends", F.lit(1)))
+    start = F.when(v3, F.when(paired, F.element_at("begins", 1))).otherwise(head)
+    end = F.when(v3, F.when(paired, F.element_at("ends", 1))).otherwise(F.coalesce(after, F.size("ls")))
+    rows = rows.select("*", F.inline(F.array(F.struct(start.alias("start"), end.alias("end")))))
+    inside = F.filter(F.transform("ls", lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: (x["i"] > F.col("start")) & (x["i"] < F.col("end")))
+    bare = (v3 & (F.size("begins") + F.size("ends") == 0)) | (~v3 & F.col("start").isNull())
+    empty = v3 & ~F.exists(F.coalesce(inside, F.array()), lambda x: x["s"].rlike(ANY_ENTRY))
+    status = F.when(bare, "skipped").when(v3 & ~paired, "error").when(empty, "skipped").otherwise("ok")
+    rows = rows.select("note_id", "text", "ls", "kind", "video_id", "platform", "vid", "only_page", status.alias("status"), inside.alias("inside"))
+    wanted = (F.col("status") == "ok") & ~F.coalesce("platform", F.lit("")).isin(*NO_LINK_PLATFORMS)
+    fits = F.when(v3, F.col("x.s").rlike(MARKED_ENTRY)).otherwise(F.col("x.s").rlike(OPEN_ENTRY))
+    part = [F.regexp_extract("x.s", OPEN_ENTRY, g) for g in range(1, 6)]
+    entries = rows.filter(wanted).select("note_id", "kind", "video_id", "platform", "vid", "only_page", F.explode("inside").alias("x")).filter(fits).select(
+        "note_id", "video_id", "platform", "vid", "only_page", F.col("x.i").alias("i"), (part[2].cast("int") * 60 + part[3].cast("int")).alias("sec"),
+        F.concat(part[0], part[1], F.lit(" ["), part[2], F.lit(":"), part[3], F.lit("](")).alias("left"), F.concat(F.lit(") "), part[4]).alias("right"))
+    found = locate_page(entries, lines, tolerance)
+    link = F.when(F.col("page").isNotNull(), deep_link(F.coalesce("platform", F.lit("")), F.col("vid"), F.col("page"), F.col("rel_sec")))
+    # the entries of one note come from one text cell, so this map is bounded by it
+    made = found.withColumn("url", link).groupBy("note_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("url").isNotNull(), F.struct("i", F.concat("left", "url", "right"))))).alias("new"),
+        F.count("url").alias("written"), F.count_if(F.col("url").isNull()).alias("skipped"))
+    woven = F.transform("ls", lambda s, i: F.coalesce(F.try_element_at("new", i), s))
+    filled = F.concat(F.array_join(woven, "\n"), F.when(F.endswith("text", F.lit("\n")), "\n").otherwise(""))
+    return rows.join(made, "note_id", "left").select(
+        "note_id", F.when(F.coalesce("written", F.lit(0)) > 0, filled).otherwise(F.col("text")).alias("text"), "status",
+        F.coalesce("written", F.lit(0)).alias("written"), F.coalesce("skipped", F.lit(0)).alias("skipped"))

@@ -93,6 +93,43 @@ def _(t):
     return ti.verify_deep_links(frame(t, "index_entries"), frame(t, "paged_lines"))
 
 
+# Notes of one index entry each, in all three templates; {e} is the entry, {l} what its two open lines become.
+def _nav_note(first: str, second: str) -> str:
+    return f"""CASE WHEN entry_id % 3 = 0 THEN concat('# t', chr(10), '## 1 视频时间索引', chr(10), {first.format(b="+ ", t="题 a")}, chr(10), '- [', mark, '](http://x) done', chr(10), 'other', chr(10),
+             {second.format(b="  * ", t="far (b)")}, chr(10), '## next', chr(10), '+ [', mark, '] outside', chr(10))
+        WHEN entry_id % 3 = 1 THEN concat('- [', mark, '] before', chr(10), CASE WHEN entry_id % 11 = 0 THEN '' ELSE '<!-- NAV:BEGIN x -->' END, chr(10), {first.format(b="- ", t="题 a")}, chr(10), '+ [', mark, '] no', chr(10),
+             {second.format(b="  - ", t="far (b)")}, chr(10), CASE WHEN entry_id % 7 = 0 OR entry_id % 11 = 0 THEN '' ELSE '<!-- NAV:END -->' END)
+        ELSE concat('---', chr(10), '## 视频时间索引', chr(10), '- [', mark, '] front', chr(10), '---', chr(10), '## 视频时间索引', chr(10), {first.format(b="- ", t="题 a")}, chr(10), {second.format(b="+ ", t="far (b)")}) END"""
+
+
+_PLAIN = _nav_note("concat('{b}[', mark, '] {t}')", "concat('{b}[', mark, '] {t}')")
+_MARK = "concat(lpad(CAST(CAST(floor(sec / 60) AS INT) AS STRING), 2, '0'), ':', lpad(CAST(CAST(sec AS INT) % 60 AS STRING), 2, '0'))"
+_NAV = _IN + f""",
+    en AS (SELECT * EXCLUDE (url), {_MARK} AS mark, {_URL} AS url, CASE WHEN entry_id % 3 <> 1 THEN 'ok' WHEN entry_id % 11 = 0 THEN 'skipped' WHEN entry_id % 7 = 0 THEN 'error' ELSE 'ok' END AS status FROM loc WHERE sec BETWEEN 0 AND 5999),
+    fl AS (SELECT *, url IS NOT NULL AND status = 'ok' AS hit FROM en)
+    SELECT entry_id AS note_id, CASE WHEN hit THEN {_nav_note("concat('{b}[', mark, '](', url, ') {t}')", "concat('{b}[', mark, '](', url, ') {t}')")} ELSE {_PLAIN} END AS text, status,
+           CAST(CASE WHEN hit THEN 2 ELSE 0 END AS BIGINT) AS written, CAST(CASE WHEN status = 'ok' AND url IS NULL AND platform <> 'douyin' THEN 2 ELSE 0 END AS BIGINT) AS skipped FROM fl"""
+
+
+def _nav_notes(t):
+    return frame(t, "index_entries").filter("sec BETWEEN 0 AND 5999").withColumn("mark", F.expr(_MARK)).selectExpr(
+        "entry_id AS note_id", f"{_PLAIN} AS text", "CASE entry_id % 3 WHEN 0 THEN 'v4' WHEN 1 THEN 'v3' ELSE 'v4-obsidian' END AS kind",
+        "video_id", "platform", "vid", "only_page")
+
+
+@REG.query("fill_nav_links", _NAV)
+def _(t):
+    return ti.fill_nav_links(_nav_notes(t), frame(t, "paged_lines"))
+
+
+@REG.query("fill_nav_links_twice", _NAV.rsplit("SELECT entry_id AS note_id", 1)[0] + "SELECT entry_id AS note_id," + _NAV.rsplit("SELECT entry_id AS note_id,", 1)[1].split(" AS text, status", 1)[0]
+           + " AS text, status, CAST(0 AS BIGINT) AS written, CAST(CASE WHEN status = 'ok' AND url IS NULL AND platform <> 'douyin' THEN 2 ELSE 0 END AS BIGINT) AS skipped FROM fl")
+def _(t):
+    notes = _nav_notes(t)
+    once = ti.fill_nav_links(notes, frame(t, "paged_lines")).select("note_id", "text")
+    return ti.fill_nav_links(once.join(notes.drop("text"), "note_id"), frame(t, "paged_lines"))
+
+
 _TERMS = with_inputs("bilingual_lines") + r""",
     lat AS (SELECT video_id, page, line_no, ts_sec, unnest(regexp_extract_all(text, '@[A-Za-z][\p{L}\p{N}_]+|[A-Za-z][A-Za-z0-9_]{3,}')) AS tok, FALSE AS is_zh FROM bilingual_lines),
     run AS (SELECT video_id, page, line_no, ts_sec, unnest(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]{2,8}')) AS r FROM bilingual_lines),
