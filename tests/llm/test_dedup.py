@@ -57,7 +57,7 @@ def test_removal_on_odd_rows(odd_docs, clashing, no_docs):
     assert len(found) == 10
     of = {r.doc_id: r for r in found}
     assert of[3].n_words == of[2].n_words == 0 and of[3].kept == ""
-    assert of[4].n_removed == 3000 - 20 and of[5].n_removed == 0 and of[6].kept == "é 日本語 😀 mixed spaces"
+    assert of[4].n_removed == 2999 and of[5].n_removed == 0 and of[6].kept == "é 日本語 😀 mixed spaces"
     assert of[None].n_words == 7
     key = lambda r: (str(r.doc_id), r.kept)
     assert sorted(substring_dedup(clashing).collect(), key=key) == sorted(found, key=key)
