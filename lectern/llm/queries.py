@@ -10,6 +10,7 @@ from lectern.llm import bpe, decontaminate, pii, quality, secret_scan
 from lectern.llm.html_text import main_text
 from lectern.llm.jaccard_join import similarity_join
 from lectern.llm.nearest import search
+from lectern.llm.oracles import ORACLES  # noqa: F401
 from lectern.llm.substring_dedup import substring_dedup
 from lectern.llm.suffix_dedup import suffix_dedup
 
@@ -61,7 +62,7 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(docs, table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                        (F.col("n_hit") > 0).alias("contaminated"), "matches")
+                        (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -105,6 +106,3 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
