@@ -199,30 +199,47 @@ def _pack(batches) -> Iterator[pa.RecordBatch]:
              pa.array(np.diff(text_buffer(batch.column(0))[1]).astype(np.int32))], names=["doc", "mark", "packed", "size"])
 
 
+#: Shingles of sets that a verifying task remembers, as members of one group come by again and again.
+REMEMBERED = 4_000_000
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
 def _verify(shared):
     """Pairs with both texts: a first look at the prefixes, then the exact test on whole sets."""
     def run(batches):
+        frequency, known, held = shared.value, {}, 0
         for batch in batches:
-            frequency, known = shared.value, {}
+            columns = {c: batch.column(c) for c in ("packed_a", "size_a", "packed_b", "size_b")}
+            sides = [batch.column(c).to_pylist() for c in "ab"]
 
-            def known_set(key, packed, size):
-                if key not in known:
-                    if len(known) > 400:
+            def known_set(key, side, row):
+                nonlocal held
+                if (found := known.get(key)) is None:
+                    if held > REMEMBERED:
                         known.clear()
-                    text = pa.decompress(packed, size, "zstd", asbytes=True) if size else b""
+                        held = 0
+                    size = columns[f"size_{side}"][row].as_py()
+                    text = pa.decompress(columns[f"packed_{side}"][row].as_py(), size, "zstd", asbytes=True) if size else b""
                     words = Words(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), SPACED, lower=True)
                     s = shingle_sets(words)[0]
                     tokens, _, need = prefix(s, frequency)
-                    known[key] = s, np.sort(tokens), need
-                return known[key]
+                    found = known[key] = s, np.sort(tokens), need
+                    held += len(s)
+                return found
 
             links = []
-            for r in batch.to_pylist():
-                a, first, need_a = known_set(r["a"], r["packed_a"], r["size_a"])
-                b, second, need_b = known_set(r["b"], r["packed_b"], r["size_b"])
-                ok = len(np.intersect1d(first, second, assume_unique=True)) >= min(need_a, need_b)
+            for row, (key_a, key_b) in enumerate(zip(*sides)):
+                a, first, need_a = known_set(key_a, "a", row)
+                b, second, need_b = known_set(key_b, "b", row)
+                ok = _common(first, second) >= min(need_a, need_b)
                 if ok:
-                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    both = _common(a, b)
                     ok = WHOLE * both >= PART * (len(a) + len(b) - both)
                 links.append(ok)
             kept = ["a", "b", "ra", "rb"]
