@@ -5,7 +5,8 @@ right class that follow each other become one (a pair); classes are told by the
 fingerprint of what the symbol stands for, so every task gives equal runs and pairs the same name without exchanging
 a dictionary, and equal substrings are cut into the same symbols but for a few at their ends. For each symbol the
 words that its cut depends on are tracked; a symbol whose cut depends on words outside the core around it may differ
-between two copies and is not used. Windows take the place of the highest-level symbol in them (of equals, the lowest
+between two copies and is not used; what stands outside the slice of texts at hand is unknown, so a symbol that depends on it is
+not used either. Windows take the place of the highest-level symbol in them (of equals, the lowest
 name); where a window holds no certain symbol, words stand for themselves. The Spark rounds in `repeats` then compare
 shared symbols by core and extent, and verify windows word run by word run.
 """
@@ -21,6 +22,8 @@ from lectern.llm.words import mix
 WINDOW = 20
 #: Words before and behind the start of a symbol that its cut may depend on.
 BEFORE, AFTER = 1, 5
+#: In place of words outside the slice.
+_UNKNOWN_LOW, _UNKNOWN_HIGH = -(2**62), 2**62
 _RUN, _LEFT, _RIGHT, _CLASS = (np.uint64(x) for x in (
     0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -39,8 +42,8 @@ class _Symbols:
         tails = np.r_[heads[1:], len(name)] - 1
         length = tails - heads + 1
         return _Symbols(np.where(length > 1, mix(name[heads] * _RUN + length.astype(np.uint64)), name[heads]),
-                        self.start[heads], self.low[np.maximum(heads - 1, 0)],
-                        self.high[np.minimum(tails + 1, len(name) - 1)], length > 1)
+                        self.start[heads], np.r_[_UNKNOWN_LOW, self.low][heads],
+                        np.r_[self.high, _UNKNOWN_HIGH][tails + 1], length > 1)
 
     def pairs(self) -> "_Symbols":
         name = self.name
@@ -53,8 +56,8 @@ class _Symbols:
         paired = opens[at]
         second = np.minimum(at + 1, len(name) - 1)
         return _Symbols(np.where(paired, mix(name[at] * _LEFT + mix(name[second] * _RIGHT)), name[at]), self.start[at],
-                        np.where(paired, self.low[at], np.minimum(self.low[at], self.low[np.maximum(at - 1, 0)])),
-                        np.maximum(self.high[at], self.high[second]), paired | self.made[at])
+                        np.where(paired, self.low[at], np.minimum(self.low[at], np.r_[_UNKNOWN_LOW, self.low][at])),
+                        np.maximum(self.high[at], np.r_[self.high, _UNKNOWN_HIGH][at + 1]), paired | self.made[at])
 
 
 def symbol_ranks(h: np.ndarray) -> np.ndarray:

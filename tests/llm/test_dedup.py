@@ -1,11 +1,14 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lectern.llm.jaccard_join import components, similarity_join
-from lectern.llm.substring_dedup import substring_dedup
+from lectern.llm.repeats import Scheme
+from lectern.llm.substring_dedup import AFTER, BEFORE, WINDOW, substring_dedup, symbol_ranks
 from lectern.llm.suffix_dedup import suffix_dedup
+from lectern.llm.words import SPACED, Words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -52,6 +55,36 @@ def test_removal_equals_brute_force(spark, operator, size):
     assert sum(r.n_removed for r in found) > 100
 
 
+@pytest.fixture
+def one_row_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("seed", [20, 21])
+def test_substrings_at_the_edges_of_slices(spark, one_row_batches, seed):
+    rows = repeated_rows(seed)
+    found = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in found} == plain_removal(rows, 20)
+
+
+def test_places_do_not_depend_on_the_slice():
+    scheme = Scheme(WINDOW, BEFORE, AFTER, symbol_ranks)
+
+    def places(texts):
+        data = "".join(texts).encode()
+        found = Words(np.frombuffer(data, dtype=np.uint8), np.cumsum([0, *map(len, texts)]), SPACED)
+        text, start, *rest = scheme.rows(found)
+        return [list(zip(*(x[text == i].tolist() for x in (start - found.first[text], *rest)))) for i in range(len(texts))]
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, k)}" for _ in range(40)) for k in [1, 2, 3, 50] * 100]
+    assert places(texts) == [places([t])[0] for t in texts]
+
+
 def test_removal_on_odd_rows(odd_docs, clashing, no_docs):
     found = substring_dedup(odd_docs).collect()
     assert len(found) == 10
