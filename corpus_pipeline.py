@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, pii, quality
 from lectern.llm.arrow import shared_folder
-from lectern.llm.jaccard_join import similarity_join
+from lectern.llm.jaccard_join import component_firsts
 from lectern.llm.queries import quality_model, table
 
 
@@ -26,13 +26,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of linked documents, that of the least id.
+    """One document of each group of linked documents, that of the least id, among equal ids of the least text fingerprint.
 
-    Of rows repeated under one id one stays; rows without an id cannot be named as copies and stay.
+    Of rows equal in id and text one stays; rows without an id cannot be named as copies and stay.
     """
-    first = similarity_join(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    first = component_firsts(docs.select("doc_id", "text")).toDF("__id", "__first")
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    named = marked.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__mark") == F.col("__first")), "left_semi")
+    return named.dropDuplicates(["doc_id", "__mark"]).drop("__mark").unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

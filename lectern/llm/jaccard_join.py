@@ -279,6 +279,25 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Null and empty texts have no shingles and no links, and are components of their own. Repeated rows are one class.
     Null keys take part; a component of null keys only has a null id.
     """
+    found = _linked(docs, key, text)
+    named = found.where("n > 0").groupBy("id").agg(F.min("doc").alias("least"))
+    return found.join(named, "id", "left").select(
+        F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def component_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, mark) of the first document of each component, mark being xxhash64 of its text.
+
+    First is the least key, of equal keys the least mark; documents without shingles are all first. Null keys are left out.
+    """
+    found = _linked(docs, key, text).where("doc is not null")
+    firsts = found.where("n > 0").groupBy("id").agg(F.min(F.struct("doc", "mark")).alias("p")).select("p.doc", "p.mark")
+    return firsts.union(found.where("n = 0").select("doc", "mark")).distinct().select(F.col("doc").alias(key), "mark")
+
+
+def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per input row: doc, mark, n (shingles), and id, the same for all rows of a component that has shingles."""
     own = bounded_batches(importable(docs)).select(
         F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("mark"))
     spark = docs.sparkSession
@@ -343,11 +362,8 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         turn += 1
 
     spark.sql(f"DROP TABLE {table}")
-    found = rows.select("doc", "n", "id")
+    found = rows.select("doc", "mark", "n", "id")
     for merged in merges:
         found = found.join(merged.withColumnRenamed("root", "id"), "id", "left").select(
-            "doc", "n", F.coalesce("now", "id").alias("id"))
-    named = found.where("n > 0").groupBy("id").agg(F.min("doc").alias("least"))
-    return found.join(named, "id", "left").select(
-        F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+            "doc", "mark", "n", F.coalesce("now", "id").alias("id"))
+    return found

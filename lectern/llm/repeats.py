@@ -12,8 +12,9 @@ Sorting is by ranges of the whole key, so that a frequent core spreads over task
 compared window by window too, which makes the result independent of the partitioning. Equal rows of one slice of
 documents meet before the shuffle. Nothing is collected.
 
-Documents are told apart by id and text: rows equal in both are one document; among equal ids, a fingerprint of the
-text orders them; a null id comes first. Null and empty texts have no words.
+Documents are told apart by id and text: rows equal in both are one document and get equal results, that of one of
+them alone; among equal ids, a 64-bit fingerprint of the text (mark) orders them; a null id comes first. Null and empty
+texts have no words.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from lectern.llm.arrow import bounded_batches, importable, shared_folder, slices
 from lectern.llm.words import SPACED, Words, grams, joined, mix, run_hash, signed, unsigned
 
 _NULL_ID = -(2**63)
-_AT_BITS = 40
 
 
 class Scheme:
@@ -73,78 +73,92 @@ def _lowest(rank: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-_ROWS = T.StructType([T.StructField(n, T.LongType()) for n in ("core", "extent", "doc", "at")]
-                     + [T.StructField("windows", T.IntegerType())])
-_FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("mark", T.IntegerType()),
+_ROWS = T.StructType([T.StructField(n, T.LongType()) for n in ("core", "extent", "doc", "mark")]
+                     + [T.StructField("at", T.IntegerType()), T.StructField("windows", T.IntegerType())])
+_FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("mark", T.LongType()),
                        T.StructField("start", T.IntegerType()), T.StructField("windows", T.IntegerType()),
                        T.StructField("settled", T.BooleanType())])
-_WINDOWS = T.StructType([T.StructField(n, T.LongType()) for n in ("w1", "w2", "doc", "at")]
-                        + [T.StructField("settled", T.BooleanType())])
+_WINDOWS = T.StructType([T.StructField(n, T.LongType()) for n in ("w1", "w2", "doc", "mark")]
+                        + [T.StructField("at", T.IntegerType()), T.StructField("settled", T.BooleanType())])
 
 
 def _batch(schema: T.StructType, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=schema.fieldNames())
 
 
+def _classes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: those that open a class of equals in the first two keys, and those equal to that one in all keys
+    (the same place of the same document, again)."""
+    opens = np.ones(len(keys[0]), dtype=bool)
+    opens[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])
+    head = np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
+    again = ~opens
+    for k in keys[2:]:
+        again &= k == k[head]
+    return opens, again
+
+
 def _not_first(*keys: np.ndarray) -> np.ndarray:
-    """Rows that equal an earlier one in the first two keys, where order is by all keys."""
+    """Rows that equal an earlier one of another place in the first two keys, where order is by all keys."""
     order = np.lexsort(keys[::-1])
-    a, b = keys[0][order], keys[1][order]
-    out = np.zeros(len(a), dtype=bool)
-    out[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    opens, again = _classes(*[k[order] for k in keys])
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = ~opens & ~again
     return out
 
 
+def _own_key(doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(unsigned(doc) + mix(unsigned(mark) + mix(unsigned(at))))
+
+
 def _places(scheme: Scheme):
     def run(batches):
         for batch in batches:
-            texts, doc, mark = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
+            texts, doc, mark = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             data, offsets = text_buffer(texts)
             for a, b in slices(np.diff(offsets)):
                 words = Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], SPACED)
                 text, start, windows, core, extent = scheme.rows(words)
-                at = (mark[a:b][text] << _AT_BITS) | (start - words.first[text])
-                doc_of = doc[a:b][text]
-                repeat = _not_first(signed(core), signed(extent), doc_of, at)
+                at = (start - words.first[text]).astype(np.int32)
+                doc_of, mark_of = doc[a:b][text], mark[a:b][text]
+                repeat = _not_first(signed(core), signed(extent), doc_of, mark_of, at)
                 # a repeat found here needs no partner: it travels under a key of its own, with its windows negative
-                core = np.where(repeat, mix(unsigned(doc_of) + mix(unsigned(at))), core)
-                yield _batch(_ROWS, signed(core), signed(extent), doc_of, at,
+                core = np.where(repeat, _own_key(doc_of, mark_of, at), core)
+                yield _batch(_ROWS, signed(core), signed(extent), doc_of, mark_of, at,
                              np.where(repeat, -windows, windows).astype(np.int32))
     return run
 
 
 def _neighbours(batches) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by core, extent, doc and at: repeats (settled), and firsts to be compared window by window."""
+    """Over rows sorted by core, extent, doc, mark and at: repeats (settled), and firsts to be compared window by window."""
     held, held_shares = None, True  # the first row of the last class, and whether it shares its core with the one before
 
-    def out(doc, at, windows, settled):
-        return _batch(_FOUND, doc, (at >> _AT_BITS).astype(np.int32), (at & ((1 << _AT_BITS) - 1)).astype(np.int32),
-                      np.abs(windows).astype(np.int32), settled)
+    def out(doc, mark, at, windows, settled):
+        return _batch(_FOUND, doc, mark, at, np.abs(windows).astype(np.int32), settled)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy() for i in range(5)]
+        columns = [batch.column(i).to_numpy() for i in range(6)]
         if held is not None:
             columns = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(held, columns)]
-        core, extent, doc, at, windows = columns
-        same = np.zeros(len(core), dtype=bool)
-        same[1:] = (core[1:] == core[:-1]) & (extent[1:] == extent[:-1])
-        heads = np.flatnonzero(~same)
+        core, extent, doc, mark, at, windows = columns
+        opens, again = _classes(*columns[:5])
+        heads = np.flatnonzero(opens)
         shared = core[heads[1:]] == core[heads[:-1]]
         shares = np.r_[held_shares, shared]  # with the class before
         compare = shares.copy()
         compare[:-1] |= shared  # or with the next one
-        settled = same | (windows < 0)
+        settled = ~opens & ~again | (windows < 0)
         keep = settled.copy()
         keep[heads[compare]] = True
         last = heads[-1]
         held, held_shares = [c[last] for c in columns], bool(shares[-1])
         keep[last] = False
-        yield out(doc[keep], at[keep], windows[keep], settled[keep])
+        yield out(doc[keep], mark[keep], at[keep], windows[keep], settled[keep])
     if held is not None:
-        doc, at, windows = (np.array([x]) for x in held[2:])
-        yield out(doc, at, windows, windows < 0)
+        doc, mark, at, windows = (np.array([x]) for x in held[2:])
+        yield out(doc, mark, at, windows, windows < 0)
 
 
 def _pack(batches) -> Iterator[pa.RecordBatch]:
@@ -179,7 +193,7 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _window_rows(size: int):
     def run(batches):
         for batch in batches:
-            doc, mark = batch.column("doc").to_numpy(), batch.column("mark").to_numpy().astype(np.int64)
+            doc, mark = batch.column("doc").to_numpy(), batch.column("mark").to_numpy()
             for a, b, words in _unpacked(batch):
                 row, zones = _list(batch.column("open"), a, b)
                 count = zones.field("windows").to_numpy()
@@ -187,10 +201,10 @@ def _window_rows(size: int):
                 row = np.repeat(row, count)
                 place = words.first[row] + start
                 w1, w2 = (signed(grams(words.hash, size, f)[place]) if len(place) else np.zeros(0, np.int64) for f in (3, 4))
-                doc_of, at = doc[a:b][row], (mark[a:b][row] << _AT_BITS) | start
-                repeat = _not_first(w1, w2, doc_of, at)
-                w1 = np.where(repeat, signed(mix(unsigned(doc_of) + mix(unsigned(at)))), w1)
-                yield _batch(_WINDOWS, w1, w2, doc_of, at, repeat)
+                doc_of, mark_of, at = doc[a:b][row], mark[a:b][row], start.astype(np.int32)
+                repeat = _not_first(w1, w2, doc_of, mark_of, at)
+                w1 = np.where(repeat, signed(_own_key(doc_of, mark_of, at)), w1)
+                yield _batch(_WINDOWS, w1, w2, doc_of, mark_of, at, repeat)
     return run
 
 
@@ -224,9 +238,9 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
     numbered = bounded_batches(importable(docs)).select(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(0x3FFFFF).cast("int").alias("mark"))
+        F.xxhash64(text).alias("mark"))
     rows = numbered.mapInArrow(_places(scheme), _ROWS)
-    ordered = ["core", "extent", "doc", "at"]
+    ordered = ["core", "extent", "doc", "mark", "at"]
     found = (rows.repartitionByRange(*ordered).sortWithinPartitions(*ordered).mapInArrow(_neighbours, _FOUND)
              .groupBy("doc", "mark").agg(
                  F.collect_list(F.when(F.col("settled"), F.struct("start", "windows"))).alias("closed"),
@@ -234,15 +248,14 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
     found = found.checkpoint()
     packed = numbered.mapInArrow(_pack, T.StructType([
         T.StructField("packed", T.BinaryType()), T.StructField("size", T.IntegerType()),
-        T.StructField("doc", T.LongType()), T.StructField("mark", T.IntegerType())]))
+        T.StructField("doc", T.LongType()), T.StructField("mark", T.LongType())]))
     opened = packed.join(found.where(F.size("open") > 0).select("doc", "mark", "open"), ["doc", "mark"])
-    ranked = Window.partitionBy("w1", "w2").orderBy("doc", "at")
+    ranked = Window.partitionBy("w1", "w2").orderBy("doc", "mark", "at")  # rows of one document have one rank
     single = (opened.mapInArrow(_window_rows(scheme.window), _WINDOWS)
-              .withColumn("n", F.row_number().over(ranked)).where("settled or n > 1")
-              .groupBy("doc", F.shiftright("at", _AT_BITS).cast("int").alias("mark"))
-              .agg(F.collect_set(F.col("at").bitwiseAND((1 << _AT_BITS) - 1).cast("int")).alias("single")))
+              .withColumn("n", F.rank().over(ranked)).where("settled or n > 1")
+              .groupBy("doc", "mark").agg(F.collect_set("at").alias("single")))
     both = packed.join(found.select("doc", "mark", "closed"), ["doc", "mark"], "left").join(single, ["doc", "mark"], "left")
     kept = both.mapInArrow(_apply(scheme.window), T.StructType([
-        T.StructField("doc", T.LongType()), T.StructField("mark", T.IntegerType()), T.StructField("n_words", T.LongType()),
+        T.StructField("doc", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("n_words", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
     return kept.select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias(key), "n_words", "n_removed", "kept")

@@ -97,6 +97,37 @@ def test_removal_on_odd_rows(odd_docs, clashing, no_docs):
     assert substring_dedup(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("operator,size", [(substring_dedup, 20), (suffix_dedup, 50)])
+@pytest.mark.parametrize("parts", [1, 40])
+def test_rows_equal_in_id_and_text_are_one_document(spark, operator, size, parts):
+    rng = random.Random(size)
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long)] * 2 + [(2, "a b " + long + " c")] * 2 + [(d + 1000, t) for d, t in repeated_rows(size + 1)[:60]]
+    again = rows + rng.choices(rows[2:], k=30)
+    found = operator(spark.createDataFrame(again, "doc_id long, text string").repartition(parts)).collect()
+    want = plain_removal(rows, size)
+    assert want[1] == (60, 0, long) and want[2] == (63, 60, "a b c")
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found) == sorted((d, *want[d]) for d, _ in again)
+
+
+def test_many_texts_without_an_id(spark):
+    texts = [" ".join(f"v{i}x{j}" for j in range(21)) for i in range(5000)]
+    rows = [(None, t) for text in texts for t in (text, "new " + text)]
+    found = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [r.kept for r in found if r.kept not in ("", "new")]
+    assert len(found) == 10_000 and sorted(k.removeprefix("new ") for k in kept) == sorted(texts)
+
+
+def test_pipeline_keeps_other_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, one), (7, one), (7, two), (7, two), (8, two + " end"), (9, ""), (9, ""), (9, "short"), (None, two)]
+    made = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, made.where("doc_id is not null").collect())) == [(1, one), (7, two), (9, ""), (9, "short")]
+    assert made.where("doc_id is null").count() == 1
+
+
 def plain_components(rows):
     sets = []
     for _, text in rows:
