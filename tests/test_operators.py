@@ -275,3 +275,30 @@ def test_pixel_windows_follow_time_over_gaps(spark):
         p = frames.Timeline(cell=2, ink_radius=1, plate_half=2, hold=3, slice_seconds=size)
         made.append({r.t: r for r in frames.frame_cells(data, p).collect()})
     assert made[0].keys() == set(seconds) and made[0] == made[1] == made[2]
+
+
+def test_candidates_of_a_video_with_gaps(spark):
+    """Lost and sampled frames: the reference is the next frame that exists, as in a plain walk over the frames."""
+    from lectern.operators import frames
+
+    p = frames.Timeline(min_seg=4, pre=5, post=6)
+    rng = np.random.default_rng(7)
+    at = [t for t in range(60) if t not in (5, 6, 15, 33, 34)] + list(range(60, 120, 3))
+    seg = [sum(t >= c for c in (20, 40, 75)) for t in at]
+    gain, seen = rng.random((2, len(at), 4))
+    rows = [(1, t, s, g.tolist(), v.tolist(), float(g.mean()), float((g * v).mean())) for t, s, g, v in zip(at, seg, gain, seen)]
+    segmented = spark.createDataFrame(rows, "video_id long, t int, seg int, gain array<double>, seen array<double>, content double, visible double")
+    shots = [(i, 1, float(ra), float(ra + 7)) for i, ra in enumerate((2, 10, 11, 20, 38, 39, 66, 80.5))]
+    got = frames.frame_candidates(segmented, spark.createDataFrame(shots, "shot_id long, video_id long, ra double, rb double"), p).collect()
+    want = set()
+    for shot, _, ra, rb in shots:
+        for k in range(4):
+            own = [i for i in range(len(at)) if seg[i] == k]
+            idx = [i for i in own if ra - p.pre <= at[i] <= rb + p.post]
+            ref = max(own[0], int(np.searchsorted(at, ra - p.pre)))
+            for part in ([i for i in idx if at[i] <= rb], [i for i in idx if at[i] > rb]):
+                if part:
+                    score = {i: (np.clip(gain[i] - gain[ref], 0, None) * seen[i]).mean() + p.total_w * (gain[i] * seen[i]).mean() + 1e-7 * at[i] for i in part}
+                    best = max(part, key=score.get)
+                    want.add((shot, at[best], round(float(score[best]), 9)))
+    assert {(r.shot_id, r.t, round(r.score, 9)) for r in got} == want
