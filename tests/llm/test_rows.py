@@ -187,6 +187,26 @@ def test_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = "long text of the article with many words " * 5
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='content-sidebar-wrap'><main>{}</main></div><div class='sidebar'>no</div>", "<div class='no-sidebar'><p>{}</p></div>",
+    "<article class='post category-search'>{}</article>", "<article class='post tag-social'>{}</article><div>no</div>",
+    "<div class='no-sidebar'><article>{}</article></div><div class='related-posts'><article>no</article></div>",
+    "<article>{0}</article><div id='comments'>no {0} {0} {0}</div>", "<div role='main'>{0}</div><div>no {0} {0}</div>",
+    "<div class='site-main'><div class='ad'>no</div><p>{}</p><p class='share-links'>no</p></div>"])
+def test_names_leave_no_article_out(page):
+    lines, sure = html_text.page_lines(page.format(LONG))
+    assert [t for t, s in zip(lines, sure) if s or not any(sure)] == [LONG.strip()]
+
+
+@pytest.mark.parametrize("page", ["<div id='main-header'>Site</div><div class='post'>{}</div>", "<article>Site</article><div>{}</div>",
+                                  "<article>Site</article><div class='no-sidebar'>{}</div>"])
+def test_small_articles_and_names_with_main_do_not_hide_the_rest(page):
+    assert html_text.page_lines(page.format(LONG)) == (["Site", LONG.strip()], [False, False])
+
+
 @pytest.mark.parametrize("page", ['<a "' * 20_000, "<" * 50_000, "<div>" * 20_000, "<script " * 20_000, "<b></i>" * 20_000, "<!--" * 20_000])
 def test_broken_markup_takes_linear_time(page):
     html_text.page_lines(page)
