@@ -1,9 +1,9 @@
-"""Suffix-array dedup: a sparse suffix array over content-selected minimiser positions.
+"""Dedup of long repeats over content-selected minimiser positions.
 
-Of each window of words, the position whose first words have the lowest fingerprint is kept. The kept suffixes of all
-documents are sorted over the cluster, by their first words and then by all that their windows cover; equal neighbours
-are repeats, and neighbours that share only their first words are extended to the left and to the right, window by
-window, up to where they differ.
+Of each window of words, the position whose first words have the lowest fingerprint is kept. The kept positions of all
+documents are sorted over the cluster by fingerprints, of their first words and then of all that their windows cover;
+equal neighbours are repeats, and neighbours that share only their first words are compared window by window. There is
+no order of suffixes by their words.
 """
 
 from __future__ import annotations
