@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, pii, quality, secret_scan
+from lectern.llm import bpe, decontaminate, pii, piece_bpe, quality, secret_scan
 from lectern.llm.html_text import main_text
 from lectern.llm.jaccard_join import similarity_join
 from lectern.llm.nearest import search
@@ -94,6 +94,15 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op11_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = piece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = piece_bpe.encode(docs, model).select("doc_id", "ids")
+    return piece_bpe.decode(encoded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_text": op2_html_text,
@@ -105,4 +114,5 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_piece_bpe": op11_piece_bpe,
 }
