@@ -19,6 +19,7 @@ from pathlib import Path
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Entries of the per-worker memories; they are emptied when full, which changes no result.
-MEMORY = 300_000
+MEMORY = 100_000
 #: Longer words are encoded anew each time.
 REMEMBERED_CHARS = 40
 #: A model file beyond this many bytes is refused: it is broadcast whole.
@@ -65,12 +66,12 @@ def read_model(path: str) -> bytes:
     data = Path(path).read_bytes()
     if len(data) > LARGEST_MODEL:
         raise ValueError(f"model of {len(data)} bytes; at most {LARGEST_MODEL} are broadcast")
-    PieceCodec(data)
+    PieceModel(data)
     return data
 
 
-class PieceCodec:
-    """Encodes texts to ids packed as little-endian signed 32-bit integers, and back to text."""
+class PieceModel:
+    """Pieces and settings of a model; turns ids back to text."""
 
     def __init__(self, model: bytes):
         self.pieces: list[str] = []
@@ -96,11 +97,59 @@ class PieceCodec:
             raise ValueError("pieces defined by users and unused pieces are not supported")
         self.front = MARK if normalizer.get(3, 1) else ""
         self.id = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
-        self.score = {p: scores[i] for p, i in self.id.items()}
+        self.scores = scores
         self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         if len(self.bytes) != 256:
             raise ValueError("the model must hold a piece for every byte")
         self.end_id = self.pieces.index("</s>")
+        unknown = trainer.get(44, " ⁇ ".encode())
+        self.surface = [{CONTROL: b"", UNKNOWN: unknown}.get(k, p.replace(MARK, " ").encode())
+                        for p, k in zip(self.pieces, self.kinds)]
+        for byte, i in self.bytes.items():
+            self.surface[i] = bytes([byte])
+
+    def decode(self, ids: list[int]) -> str:
+        data = b"".join(map(self.surface.__getitem__, ids))
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            text = self.decode_broken(ids)
+        if self.front and text.startswith(" "):
+            first = next(i for i in ids if self.kinds[i] != CONTROL)
+            if self.kinds[first] == NORMAL:
+                return text[1:]
+        return text
+
+    def decode_broken(self, ids: list[int]) -> str:
+        """Each byte of a run of byte pieces that begins no character becomes the replacement character."""
+        out: list[str] = []
+        run = b""
+        for i in [*ids, -1]:
+            if i >= 0 and self.kinds[i] == BYTE:
+                run += self.surface[i]
+                continue
+            while run:
+                for n in range(1, 5):
+                    try:
+                        out.append(run[:n].decode())
+                        break
+                    except UnicodeDecodeError:
+                        pass
+                else:
+                    n = 1
+                    out.append("�")
+                run = run[n:]
+            if i >= 0:
+                out.append(self.surface[i].decode())
+        return "".join(out)
+
+
+class PieceCodec(PieceModel):
+    """Encodes texts to ids packed as little-endian signed 32-bit integers, too."""
+
+    def __init__(self, model: bytes):
+        super().__init__(model)
+        self.score = {p: self.scores[i] for p, i in self.id.items()}
         #: characters that pieces hold but that are no pieces: merges may start from them
         self.tokens = set(self.id) | {c for p in self.id for c in p}
         self.automaton = ahocorasick.Automaton()
@@ -109,11 +158,6 @@ class PieceCodec:
         self.automaton.make_automaton()
         across = any(MARK in p.lstrip(MARK) for p in self.id)
         self.words = (lambda text: [text]) if across else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        unknown = trainer.get(44, " ⁇ ".encode())
-        self.surface = [{CONTROL: b"", UNKNOWN: unknown}.get(k, p.replace(MARK, " ").encode())
-                        for p, k in zip(self.pieces, self.kinds)]
-        for byte, i in self.bytes.items():
-            self.surface[i] = bytes([byte])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
@@ -206,51 +250,16 @@ class PieceCodec:
             self.known[word] = made
         return made
 
-    def decode(self, ids: list[int]) -> str:
-        data = b"".join(map(self.surface.__getitem__, ids))
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            text = self.decode_broken(ids)
-        if self.front and text.startswith(" "):
-            first = next(i for i in ids if self.kinds[i] != CONTROL)
-            if self.kinds[first] == NORMAL:
-                return text[1:]
-        return text
-
-    def decode_broken(self, ids: list[int]) -> str:
-        """Each byte of a run of byte pieces that begins no character becomes the replacement character."""
-        out: list[str] = []
-        run = b""
-        for i in [*ids, -1]:
-            if i >= 0 and self.kinds[i] == BYTE:
-                run += self.surface[i]
-                continue
-            while run:
-                for n in range(1, 5):
-                    try:
-                        out.append(run[:n].decode())
-                        break
-                    except UnicodeDecodeError:
-                        pass
-                else:
-                    n = 1
-                    out.append("�")
-                run = run[n:]
-            if i >= 0:
-                out.append(self.surface[i].decode())
-        return "".join(out)
-
 
-_CODECS: dict[str, PieceCodec] = {}
+_MADE: dict[tuple[type, str], PieceModel] = {}
 
 
-def _codec(key: str, shared) -> PieceCodec:
-    """The codec of a worker process, by a digest of the model that the driver made."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = PieceCodec(shared.value)
-    return _CODECS[key]
+def _made(kind: type, key: str, shared) -> PieceModel:
+    """The model or codec of a worker process, by a digest of the model file that the driver made."""
+    if (kind, key) not in _MADE:
+        _MADE.clear()
+        _MADE[kind, key] = kind(shared.value)
+    return _MADE[kind, key]
 
 
 def _shared(df: DataFrame, model: bytes):
@@ -268,13 +277,15 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", en
     @F.arrow_udf("array<int>")
     def step(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            codec, made = _codec(key, shared), []
+            codec = _made(PieceCodec, key, shared)
             last = struct.pack("<i", codec.end_id) if end else b""
+            values, counts = [np.zeros(0, dtype="<i4")], []
             for a, b in slices(byte_lengths(texts)):
-                made += [codec.encode(t or "") + last for t in texts.slice(a, b - a).to_pylist()]
-            offsets = np.cumsum([0, *[len(m) // 4 for m in made]])
-            values = pa.array(np.frombuffer(b"".join(made), dtype="<i4"))
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                packed = [codec.encode(t or "") + last for t in texts.slice(a, b - a).to_pylist()]
+                counts += [len(p) // 4 for p in packed]
+                values.append(np.frombuffer(b"".join(packed), dtype="<i4"))
+            offsets = pa.array(np.cumsum([0, *counts]), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
 
     return df.withColumn(ids, step.asNondeterministic()(_named(df, text)))
 
@@ -286,10 +297,11 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", decoded: str = "decode
     @F.arrow_udf("string")
     def step(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
-            codec, made = _codec(key, shared), []
-            for a, b in slices(np.asarray(pa.compute.list_value_length(rows).fill_null(0)) * 4):
-                made += [codec.decode(r) if r else "" for r in rows.slice(a, b - a).to_pylist()]
-            yield pa.array(made, pa.string())
+            model, made = _made(PieceModel, key, shared), [pa.array([], pa.string())]
+            for a, b in slices(np.asarray(pc.list_value_length(rows).fill_null(0)) * 4):
+                texts = [model.decode(r) if r else "" for r in rows.slice(a, b - a).to_pylist()]
+                made.append(pa.array(texts, pa.string()))
+            yield pa.concat_arrays(made)
 
     return df.withColumn(decoded, step.asNondeterministic()(_named(df, ids)))
 
