@@ -58,8 +58,9 @@ class Words:
         at = np.cumsum(length) - length
         place = np.arange(at[-1] + length[-1]) - np.repeat(at, length)
         worth = _PLACE[place & 1023]
-        if length.max() > 1024:
-            worth = mix(worth + (place >> 10).astype(np.uint64) * _FAR) | np.uint64(1)
+        if length.max() > 1024:  # bytes further on get multipliers of their own; those of all other words stay as they are
+            far = np.flatnonzero(place > 1023)
+            worth[far] = mix(worth[far] + (place[far] >> 10).astype(np.uint64) * _FAR) | np.uint64(1)
         worth *= _BYTE[data[inside]]
         self.hash = mix(np.add.reduceat(worth, at) + length.astype(np.uint64) * _FAR)
 

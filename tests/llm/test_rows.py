@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from lectern.llm import bpe, decontaminate, html_text, nearest, pii, quality, queries, secret_scan
+from lectern.llm import bpe, decontaminate, html_text, nearest, pii, quality, queries, secret_scan, words
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -42,6 +42,16 @@ def test_bpe_on_odd_rows(entries, odd_docs, clashing, no_docs):
     assert bpe.encode(no_docs, entries, public_tokenizers.PATTERN).count() == 0
 
 
+def test_a_word_has_one_fingerprint_beside_any_other_words():
+    def hashes(*texts):
+        raw = [t.encode() for t in texts]
+        return words.Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), words.SPACED).hash.tolist()
+
+    alone = hashes("alpha beta") + hashes("x" * 3000)
+    assert hashes("alpha beta", "x" * 3000) == alone
+    assert len(set(hashes("x" * 3000, "x" * 3001, "x" * 2000 + "y" + "x" * 999, "x" * 976 + "y" + "x" * 2023))) == 4
+
+
 def plain_spans(text):
     out = []
     for kind, expression in BASE.items():
