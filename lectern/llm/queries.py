@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, pii, piece_bpe, quality, secret_scan
+from lectern.llm.collocations import collocations
 from lectern.llm.html_text import main_text
 from lectern.llm.jaccard_join import similarity_join
 from lectern.llm.nearest import search
 from lectern.llm.oracles import ORACLES  # noqa: F401
+from lectern.llm.prefix_trie import prefix_trie
 from lectern.llm.substring_dedup import substring_dedup
 from lectern.llm.suffix_dedup import suffix_dedup
 
@@ -103,6 +105,14 @@ def op11_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_text": op2_html_text,
@@ -115,4 +125,6 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_piece_bpe": op11_piece_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_collocations": op13_collocations,
 }
