@@ -33,8 +33,8 @@ WORD_BYTES = ~BREAKS
 WORD_BYTES[[9, 32]] = False
 #: Longest phrases; texts are cut to blocks of so many words, each followed by the words that its last phrases need.
 LONGEST, BLOCK = 4, 1 << 17
-#: Groups that a task counts together before it hands them on.
-TALLY = 1_000_000
+#: Groups that a task counts together before it hands them on, and bytes of text that it works on at once.
+TALLY, TEXT_BYTES = 250_000, 1_000_000
 #: Bits of the largest filter (32 MB), and bits for each phrase in a smaller one.
 LARGEST_FILTER, BITS_EACH = 1 << 28, 12
 UNKNOWN_LANG = "und"
@@ -125,8 +125,8 @@ class Tally:
             arrays += [pa.array(signed(c)) for c in rest if c.dtype == np.uint64] + [pa.array(counts)]
             arrays += [pa.array(c, pa.string()) for c in rest if c.dtype != np.uint64]
             whole = pa.RecordBatch.from_arrays(arrays, self.names)
-            for a in range(0, whole.num_rows, 100_000):
-                yield whole.slice(a, 100_000)
+            for a in range(0, whole.num_rows, 50_000):
+                yield whole.slice(a, 50_000)
         self.parts, self.held = [], 0
 
 
@@ -143,7 +143,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarra
     """Bounded slices of texts: words, whether each begins a piece, and language codes, fingerprints and names."""
     for batch in batches:
         texts, langs = batch.column("text"), batch.column("lang")
-        for a, b in slices(byte_lengths(texts)):
+        for a, b in slices(byte_lengths(texts), TEXT_BYTES):
             data, offsets = text_buffer(texts.slice(a, b - a))
             words = Words(data, offsets, WORD_BYTES, lower=True)
             breaks = np.cumsum(BREAKS[data], dtype=np.int32)[words.start]
@@ -172,7 +172,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                                           pa.array(list(totals.values()), pa.int64()), pa.nulls(len(totals), pa.string())], tally.names)
 
     made = importable(docs).mapInArrow(run, "lang string, w1 long, a long, word string")
-    return made.groupBy("lang", "w1").agg(F.sum("a").alias("a"), F.min("word").alias("word"))
+    return made.groupBy("lang", "w1", "word").agg(F.sum("a").alias("a")).select("lang", "w1", "a", "word")
 
 
 def _schema(size: int) -> str:
