@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lectern.session import durable_checkpoint
+
 SEGMENT = 65536
 SEG = "_seg"
 
@@ -81,3 +83,18 @@ def row_numbers(
     return out.withColumn(
         name, (F.row_number().over(inner) + F.col("_base")).cast("int")
     ).drop("_base", SEG)
+
+
+def sorted_numbers(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """1-based numbers of the rows of each ``key`` in ``order``, without gathering a key.
+
+    Rows are range-sorted over the cluster and stored once; a row's number is its place in its
+    partition plus the rows of its key in earlier partitions, known from one row per key and
+    partition. Equal orders get distinct numbers.
+    """
+    ranged = df.repartitionByRange(key, order).sortWithinPartitions(key, order)
+    rows = durable_checkpoint(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy(key, "_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_n")).select(
+        key, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start") + 1).alias("_shift"))
+    return rows.join(starts, [key, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")

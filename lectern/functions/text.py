@@ -82,3 +82,16 @@ def file_safe(c: Column) -> Column:
 def escape_cell(c: Column) -> Column:
     """Text for one Markdown table cell."""
     return F.regexp_replace(F.regexp_replace(c, r"\|", r"\\\\|"), r"\s*\n\s*", " ")
+
+
+def cell_text(c: Column) -> Column:
+    """Outside text on one line of a generated document; null is empty."""
+    out = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.translate(out, "\r\n", "  ")
+
+
+def link_path(c: Column) -> Column:
+    """Path as a Markdown link target: other characters than unreserved ones and Chinese are percent-encoded."""
+    slashed = F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("/"))
+    return F.array_join(F.transform(F.split(slashed, ""), lambda ch: F.when(ch.rlike(r"^[A-Za-z0-9_.~/\u4e00-\u9fff-]?$"), ch).otherwise(
+        F.regexp_replace(F.regexp_replace(F.url_encode(ch), r"\+", "%20"), r"\*", "%2A"))), "")

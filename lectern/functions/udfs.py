@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F, types as T
 
 
@@ -17,13 +18,19 @@ def _fold(name: str | None) -> str | None:
     return "".join(unicodedata.normalize("NFKC", name).split()).casefold()
 
 
-@F.pandas_udf(T.StringType())
-def fold_name(names: pd.Series) -> pd.Series:
+def _per_distinct(values: pa.Array, fold) -> pa.Array:
+    """``fold`` of each value, computed once per distinct value of the batch."""
+    coded = pc.dictionary_encode(values)
+    return pa.array([fold(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+@F.arrow_udf(T.StringType())
+def fold_name(names: pa.Array) -> pa.Array:
     """Identity of a concept name: NFKC, no white space, case folded."""
-    return names.map(_fold)
+    return _per_distinct(names, _fold)
 
 
-@F.pandas_udf(T.StringType())
-def case_fold(values: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def case_fold(values: pa.Array) -> pa.Array:
     """Full Unicode case folding."""
-    return values.map(lambda v: None if v is None else v.casefold())
+    return _per_distinct(values, str.casefold)

@@ -7,7 +7,8 @@ Inputs, all keyed by ``course_id``:
 
 A popular concept may be on most cards, so nothing here gathers a concept into one row with
 lists; definitions, references and appearances stay rows, and "first" and "most frequent"
-are aggregates that combine before the shuffle.
+are aggregates that combine before the shuffle. `lectern.operators.review` builds all of it as one
+stored model, with the checks, the queue and the documents of a course.
 """
 
 from __future__ import annotations
@@ -20,18 +21,16 @@ from lectern.functions.udfs import case_fold, fold_name
 CONCEPT = ["course_id", "key"]
 
 
-def _by_distinct(df: DataFrame, column: str, out: str, plain: Column, udf) -> DataFrame:
-    """``plain`` for ASCII values; the Arrow function runs once per other distinct value."""
+def _folded(column: str, plain: Column, udf) -> Column:
+    """``plain`` for ASCII values; only other values reach the Arrow function."""
     ascii_only = F.col(column).rlike(r"^[\x00-\x7f]*$")
-    special = df.filter(~ascii_only).select(column).distinct().withColumn("_u", udf(F.col(column)))
-    return df.join(special, column, "left").withColumn(
-        out, F.when(ascii_only, plain).otherwise(F.col("_u"))).drop("_u")
+    return F.when(ascii_only, plain).otherwise(udf(F.when(~ascii_only, F.col(column))))
 
 
 def concept_key(df: DataFrame, column: str = "name", out: str = "key") -> DataFrame:
     """Add the identity of a concept name: NFKC, no white space, case folded."""
     plain = F.lower(F.regexp_replace(column, r"[\s\x1c-\x1f]+", ""))
-    return _by_distinct(df, column, out, plain, fold_name)
+    return df.withColumn(out, _folded(column, plain, fold_name))
 
 
 def _order() -> Column:
@@ -69,7 +68,7 @@ def concept_references(cards: DataFrame, refs: DataFrame) -> DataFrame:
 def _originals(cards: DataFrame) -> DataFrame:
     rows = concept_key(cards).withColumn("value", tx.strip(F.col("original"))).filter("value <> ''")
     each = rows.groupBy(*CONCEPT, "value").agg(F.count("*").alias("n"), F.min(_order()).alias("o"))
-    folded = _by_distinct(each, "value", "folded", F.lower("value"), case_fold)
+    folded = each.withColumn("folded", _folded("value", F.lower("value"), case_fold))
     return folded.withColumn("grp", F.regexp_replace("folded", "s$", ""))
 
 
@@ -107,67 +106,11 @@ def attribute_questions(questions: DataFrame, appearances: DataFrame) -> DataFra
         F.when(timed, F.col("a.time")).alias("time"), F.when(timed, F.col("a.url")).alias("url"))
 
 
-def course_checks(cards: DataFrame, refs: DataFrame, appearances: DataFrame, questions: DataFrame,
-                  items: DataFrame) -> DataFrame:
-    """Findings of the course model ``(course_id, check, severity, idx, concept, message)``.
-
-    ``items(idx, parse_error, note_exists, stale)`` describes the notes; ``questions`` is the
-    result of :func:`attribute_questions`.
-    """
-    concepts = merge_concepts(cards).select(*CONCEPT, "name", "first_idx", "first_card")
-    originals = _originals(cards)
-    first_use = F.struct("first_idx", "first_card", "key")
-    held = originals.join(concepts, CONCEPT).groupBy("course_id", "folded", *["key"]).agg(
-        F.first("name").alias("name"), F.first("first_idx").alias("first_idx"), F.min(first_use).alias("o"))
-    holder = held.groupBy("course_id", "folded").agg(F.min("o").alias("h"))
-    same = held.join(holder, ["course_id", "folded"]).filter(F.col("key") != F.col("h.key"))
-    mixed = originals.groupBy(*CONCEPT).agg(F.count_distinct("grp").alias("g")).filter("g > 1").join(concepts, CONCEPT)
-    names = concept_references(cards, refs).withColumn(
-        "_n", F.explode(F.when(F.col("field") == "confusable", F.split(F.element_at(F.split("ref", "——|--"), 1), "[、,，;；]"))
-                        .otherwise(F.array("ref"))))
-    names = concept_key(names.withColumn("_n", tx.strip(F.col("_n"))).filter("_n <> ''"), "_n", "_nk")
-    unknown = names.join(concepts.select("course_id", F.col("key").alias("_nk")), ["course_id", "_nk"], "left_anti").join(concepts, CONCEPT)
-    jumps = appearances.filter("coalesce(time, '') = '' OR coalesce(url, '') = ''").join(concepts.select(*CONCEPT, "name"), CONCEPT)
-
-    def row(df, check, severity, idx, concept, message):
-        return df.select("course_id", F.lit(check).alias("check"), F.lit(severity).alias("severity"),
-                         idx.cast("int").alias("idx"), concept.alias("concept"), message.alias("message"))
-
-    null = F.lit(None).cast("string")
-    parts = [
-        row(items.filter("parse_error <> ''"), "CR-PARSE", "error", F.col("idx"), null, F.col("parse_error")),
-        row(items.filter("NOT note_exists"), "CR-LINK", "error", F.col("idx"), null, F.lit("note missing")),
-        row(items.groupBy("course_id").agg(F.bool_or("stale").alias("s")).filter("s"), "CR-STALE", "error", F.lit(None), null, F.lit("review is stale")),
-        row(jumps, "CR-JUMP", "warning", F.col("idx"), F.col("name"), F.coalesce(F.col("section").cast("string"), F.lit("-"))),
-        row(mixed, "CR-ORIG", "warning", F.col("first_idx"), F.col("name"), F.col("g").cast("string")),
-        row(same, "CR-SAME", "warning", F.col("first_idx"), F.col("name"), F.col("folded")),
-        row(unknown, "CR-DEP", "warning", F.col("first_idx"), F.col("name"), F.concat("field", F.lit(": "), "_n")),
-        row(questions.filter("concept IS NULL"), "CR-QUIZ", "warning", F.col("idx"), F.col("correspond"), F.col("no").cast("string")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def blocks_publication(findings: DataFrame) -> DataFrame:
     """Courses whose review documents must not be written."""
     return findings.filter(F.col("check").isin("CR-PARSE", "CR-LINK")).select("course_id").distinct()
 
 
-def review_summary(cards: DataFrame, appearances: DataFrame, questions: DataFrame, marks: DataFrame) -> DataFrame:
-    """Counts per course, with mastered concepts from ``marks(course_id, key, mastered)``."""
-    concepts = merge_concepts(cards).join(marks.filter("mastered").select(*CONCEPT).distinct().withColumn("_m", F.lit(1)), CONCEPT, "left")
-    c = concepts.groupBy("course_id").agg(
-        F.count("*").alias("concepts"), F.count_if("multi_item").alias("multi_episode"), F.count("_m").alias("mastered"))
-    q = questions.groupBy("course_id").agg(F.count("*").alias("questions"))
-    linked = F.count_if(F.expr("coalesce(time, '') <> '' AND coalesce(url, '') <> ''"))
-    a = appearances.groupBy("course_id").agg((linked / F.count("*")).alias("jump_rate"))
-    return c.join(q, "course_id", "left").join(a, "course_id", "left").select(
-        "course_id", "concepts", "multi_episode", F.coalesce("questions", F.lit(0)).alias("questions"), "mastered",
-        (F.col("concepts") - F.col("mastered")).alias("unmastered"), F.coalesce("jump_rate", F.lit(0.0)).alias("jump_rate"))
-
-
 def source_digest(items: DataFrame) -> DataFrame:
     """Content digest per course from ``items(idx, note, title, sha)`` and the course title.
 
@@ -229,21 +172,6 @@ def refused_tables(lines: DataFrame) -> DataFrame:
     return per.filter("ticks = 0 AND NOT (n = 2 AND heads = 1 AND usage = 1)").select("course_id")
 
 
-def unmastered_queue(concepts: DataFrame, marks: DataFrame, questions: DataFrame, limit: int = 50) -> DataFrame:
-    """The first ``limit`` unmastered concepts of each course in course order, with their questions.
-
-    One row per concept and question (one without question for a concept that has none);
-    ``truncated`` tells that the course has more.
-    """
-    pending = concepts.join(marks.filter("mastered").select(*CONCEPT), CONCEPT, "left_anti")
-    order = W.partitionBy("course_id").orderBy("first_idx", "first_card", "key")
-    top = pending.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit)
-    total = pending.groupBy("course_id").agg((F.count("*") > limit).alias("truncated"))
-    asked = questions.select("course_id", F.col("concept").alias("key"), "idx", "no", "stem", "answer", "url")
-    return top.join(total, "course_id").join(asked, CONCEPT, "left").select(
-        "course_id", "pos", "name", "definition", "truncated", "idx", "no", "stem", "answer", "url")
-
-
 def concept_table_lines(concepts: DataFrame, originals: DataFrame, definitions: DataFrame, references: DataFrame,
                         appearances: DataFrame, marks: DataFrame) -> DataFrame:
     """Lines of the concept table, with the sort key ``(course_id, idx, card, part, a, b)``.

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import concepts as op, markdown as md
+from lectern.functions.ordered import sorted_numbers
+from lectern.operators import concepts as op, markdown as md, review
 from lectern.plans.inputs import COMMON, frame, with_inputs
 from lectern.plans.markdown import BASE, CARDS, NAV, QUIZ
 from lectern.plans.notes_input import notes
@@ -88,8 +89,115 @@ def _questions(t):
     return op.attribute_questions(frame(t, "course_questions"), _apps(t))
 
 
-def _marks(t):
-    return op.merge_concepts(_cards(t)).selectExpr("course_id", "key", "length(key) % 3 = 0 AS mastered")
+def _model(t):
+    return review.course_model(_cards(t), frame(t, "card_refs"), frame(t, "card_appears"), _nav(t), frame(t, "course_questions"))
+
+
+def _model_marks(model):
+    return model.concepts.selectExpr("course_id", "key", "length(key) % 3 = 0 AS mastered")
+
+
+# Concepts in course order: item, section (none last) and card of the first appearance.
+PLACED = MODEL + """,
+    fs AS (SELECT app.course_id, app.key, min(coalesce(section, 2147483647)) AS sec FROM app JOIN con ON con.course_id = app.course_id AND con.key = app.key AND con.first_idx = app.idx GROUP BY ALL),
+    og AS (SELECT course_id, key, grp, sum(n) AS gn, min(o) AS go FROM ori GROUP BY ALL),
+    ob AS (SELECT *, row_number() OVER (PARTITION BY course_id, key ORDER BY gn DESC, go) AS r, count(*) OVER (PARTITION BY course_id, key) AS groups FROM og),
+    os AS (SELECT ori.course_id, ori.key, value, groups, row_number() OVER (PARTITION BY ori.course_id, ori.key ORDER BY n DESC, o) AS r2 FROM ori JOIN ob USING (course_id, key, grp) WHERE r = 1),
+    pl AS MATERIALIZED (SELECT con.course_id, con.key, con.name, con.definition, first_idx AS c1, fs.sec AS c2, first_card AS c3, multi_item, coalesce(os.value, '') AS original, coalesce(groups, 0) AS groups,
+               coalesce(m.mastered, FALSE) AS mastered FROM con JOIN fs USING (course_id, key) LEFT JOIN (SELECT * FROM os WHERE r2 = 1) os USING (course_id, key) LEFT JOIN marks m USING (course_id, key)),
+    cc AS (SELECT i.*, coalesce(concepts, 0) AS concepts, coalesce(multi, 0) AS multi, coalesce(done, 0) AS done, coalesce(questions, 0) AS questions, coalesce(focus, 0) AS focus FROM
+             (SELECT course_id, max(course_title) AS title, count(*) AS notes FROM review_items GROUP BY 1) i
+             LEFT JOIN (SELECT course_id, count(*) AS concepts, count(*) FILTER (multi_item) AS multi, count(*) FILTER (mastered) AS done FROM pl GROUP BY 1) USING (course_id)
+             LEFT JOIN (SELECT qs.course_id, count(*) AS questions, count(*) FILTER (NOT pl.mastered) AS focus FROM qs LEFT JOIN pl ON pl.course_id = qs.course_id AND pl.key = qs.concept GROUP BY 1) USING (course_id))"""
+
+
+def _esc(c):
+    return f"replace(replace(replace(replace(coalesce({c}, ''), chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), chr(13), ' '), chr(10), ' ')"
+
+
+def _document(blocks):
+    """Lines of the blocks in order, numbered per course; an empty last line goes."""
+    return f""", ln AS ({" UNION ALL ".join(blocks)}),
+    nu AS (SELECT course_id, row_number() OVER (PARTITION BY course_id ORDER BY p, c1, c2, c3, c4, bl, a, b, d, t) AS line_no, line, count(*) OVER (PARTITION BY course_id) AS total FROM ln)
+    SELECT course_id, line_no, line FROM nu WHERE line_no < total OR line <> ''"""
+
+
+def _block(p, c, bl, line, source, a="0", b="0", d="0", t="''"):
+    c = c or ("0", "0", "0", "''")
+    names = ("p", "c1", "c2", "c3", "c4", "bl", "a", "b", "d", "t")
+    values = (str(p), *c, str(bl), a, b, d, t)
+    return "SELECT course_id, " + ", ".join(f"{v} AS {n}" for v, n in zip(values, names)) + f", {line} AS line FROM {source}"
+
+
+_HERE, _BEFORE = ("c1", "c2", "c3", "key"), ("c1", "-1", "0", "''")
+_SUFFIX = f"CASE WHEN original <> '' THEN '（' || {_esc('original')} || '）' ELSE '' END"
+UPDATED = "2026-12-01T00:00:00+00:00"
+CONCEPT_DOCUMENT = PLACED + """,
+    ti AS (SELECT course_id, idx, title AS item_title, note FROM review_items),
+    gr AS (SELECT DISTINCT pl.course_id, c1, item_title FROM pl LEFT JOIN ti ON ti.course_id = pl.course_id AND ti.idx = pl.c1),
+    ap AS (SELECT pl.course_id, c1, c2, c3, pl.key, app.idx, app.card_no, app.pos, section, section_name, time, url, note FROM app JOIN pl USING (course_id, key) LEFT JOIN ti ON ti.course_id = app.course_id AND ti.idx = app.idx),
+    dd AS (SELECT course_id, key, def, min(idx * 1000000000000000::HUGEINT + card_no) AS o, min(idx) AS idx FROM ck GROUP BY ALL),
+    de AS (SELECT course_id, c1, c2, c3, key, def, o, idx FROM (SELECT *, min(o) OVER (PARTITION BY course_id, key) AS lo FROM dd) JOIN pl USING (course_id, key) WHERE def <> '' AND o <> lo),
+    rr AS (SELECT r.course_id, ck.key, r.field, """ + _KEY.format("r.ref") + """ AS ref_key, arg_min(r.ref, (r.idx, r.card_no, r.pos)) AS ref, min((r.idx, r.card_no, r.pos)) AS o FROM card_refs r
+           JOIN ck ON ck.course_id = r.course_id AND ck.idx = r.idx AND ck.card_no = r.card_no GROUP BY ALL),
+    rk AS (SELECT course_id, key, field, string_agg(""" + _esc("ref") + """, '、' ORDER BY o, ref) AS names FROM rr GROUP BY ALL),
+    re AS (SELECT course_id, c1, c2, c3, key, string_agg(CASE field WHEN 'depends' THEN '依赖：' ELSE '易混：' END || names, '｜' ORDER BY field DESC) AS names FROM rk JOIN pl USING (course_id, key) GROUP BY ALL),
+    qa AS (SELECT pl.course_id, c1, c2, c3, pl.key, string_agg('第 ' || qs.idx || ' 集第 ' || qs.no || ' 题', '、' ORDER BY qs.idx, qs.no, qs.stem) AS names FROM qs JOIN pl ON pl.course_id = qs.course_id AND pl.key = qs.concept GROUP BY ALL)""" + _document([
+    _block(0, None, 0, f"'> 课程：' || {_esc('title')} || '｜概念 ' || concepts || ' 个（跨集出现 ' || multi || ' 个）｜已掌握 ' || done || ' / ' || concepts || '｜来自 ' || notes || ' 篇已完成的笔记｜更新于 {UPDATED}'", "cc"),
+    _block(0, None, 1, f"'{review.TABLE_USAGE}'", "cc"), _block(0, None, 2, "''", "cc"),
+    _block(1, _BEFORE, 0, f"'## 第 ' || c1 || ' 集 · ' || {_esc('item_title')}", "gr"), _block(1, _BEFORE, 1, "''", "gr"),
+    _block(1, _HERE, 0, f"'+ [' || CASE WHEN mastered THEN 'x' ELSE ' ' END || '] **' || {_esc('name')} || '**' || {_SUFFIX}", "pl"),
+    _block(1, _HERE, 1, f"'  + 定义：' || {_esc('definition')}", "pl"), _block(1, _HERE, 2, "'  + 出现：'", "pl"),
+    _block(1, _HERE, 3, f"""'    + 第 ' || idx || ' 集' || CASE WHEN section IS NOT NULL THEN ' 第 ' || section || ' 节「' || {_esc('section_name')} || '」' ELSE '' END || '：[笔记](' || note || ') · '
+        || CASE WHEN coalesce(time, '') <> '' AND coalesce(url, '') <> '' THEN '[▶ ' || time || '](' || url || ')' WHEN coalesce(time, '') <> '' THEN '[' || time || ']' ELSE '（无时间点）' END""",
+           "ap", "idx", "coalesce(section, 2147483647)", "card_no", "CAST(coalesce(pos, 0) AS VARCHAR)"),
+    _block(1, _HERE, 4, "'  + 其它集的说法：'", "(SELECT DISTINCT course_id, c1, c2, c3, key FROM de)"),
+    _block(1, _HERE, 5, f"'    + 第 ' || idx || ' 集：' || {_esc('def')}", "de", "idx", "CAST(o % 1000000000000000 AS BIGINT)", "0", "def"),
+    _block(1, _HERE, 6, "'  + ' || names", "re"), _block(1, _HERE, 7, "'  + 自测：' || names", "qa"), _block(1, _HERE, 8, "''", "pl")])
+
+_QUIZ_SOURCE = "'第 ' || idx || ' 集第 ' || no || ' 题'"
+_BACK = "CASE WHEN coalesce(time, '') <> '' AND coalesce(url, '') <> '' THEN '[▶ 回看 ' || time || '](' || url || ') · ' ELSE '' END || '[笔记](' || note || ')'"
+
+
+def _asked(p, c, source, suffix):
+    head = f"number || '. ' || {_esc('stem')} || '（' || {suffix} || '）'"
+    lines = (head, "''", "'**答案：** ' || coalesce(answer, '')", "''", _BACK, "''")
+    return [_block(p, c, 2, line, source, "number", str(i)) for i, line in enumerate(lines)]
+
+
+QUIZ_DOCUMENT = PLACED + """,
+    ev AS (SELECT qs.*, ti.title AS item_title, ti.note, qs.idx AS c1, row_number() OVER (PARTITION BY qs.course_id, qs.idx ORDER BY no, stem) AS number FROM qs LEFT JOIN review_items ti ON ti.course_id = qs.course_id AND ti.idx = qs.idx),
+    fo AS (SELECT ev.course_id, ev.idx, ev.no, ev.stem, ev.answer, ev.time, ev.url, ev.note, pl.c1, pl.c2, pl.c3, pl.key, pl.name, pl.original, row_number() OVER (PARTITION BY ev.course_id, ev.concept ORDER BY ev.idx, no, stem) AS number
+           FROM ev JOIN pl ON pl.course_id = ev.course_id AND pl.key = ev.concept JOIN cc ON cc.course_id = ev.course_id WHERE NOT mastered AND done > 0)""" + _document([
+    _block(0, None, 0, f"'> 课程：' || {_esc('title')} || '｜共 ' || questions || ' 题，来自 ' || notes || ' 篇笔记｜没掌握的概念涉及 ' || focus || ' 题｜答案不折叠，先遮住答案再自测'", "cc"),
+    _block(0, None, 1, f"'{review.QUIZ_USAGE}'", "cc"), _block(0, None, 2, "''", "cc"),
+    _block(0, None, 3, f"CASE WHEN done > 0 THEN '## 先复习：还没掌握的概念（' || focus || ' 题）' ELSE '{review.QUIZ_UNMARKED}' END", "cc"), _block(0, None, 4, "''", "cc"),
+    _block(1, _HERE, 0, f"'### ' || {_esc('name')} || {_SUFFIX}", "fo WHERE number = 1"), _block(1, _HERE, 1, "''", "fo WHERE number = 1"),
+    *_asked(1, _HERE, "fo", _QUIZ_SOURCE),
+    _block(2, None, 0, "'## 全部题目（按集）'", "cc"), _block(2, None, 1, "''", "cc"),
+    _block(3, _BEFORE, 0, f"'### 第 ' || c1 || ' 集 · ' || {_esc('item_title')}", "ev WHERE number = 1"), _block(3, _BEFORE, 1, "''", "ev WHERE number = 1"),
+    *_asked(3, _BEFORE, "ev", f"'对应：' || {_esc('correspond')} || '；' || {_QUIZ_SOURCE}")])
+
+
+@REG.query("concept_document", CONCEPT_DOCUMENT)
+def _(t):
+    model = _model(t)
+    return review.concept_document(model, frame(t, "review_items"), _model_marks(model), UPDATED)
+
+
+@REG.query("quiz_document", QUIZ_DOCUMENT)
+def _(t):
+    model = _model(t)
+    return review.quiz_document(model, frame(t, "review_items"), _model_marks(model))
+
+
+@REG.query("course_concepts", PLACED + """
+    SELECT course_id, key, name, definition, c1 AS first_idx, CAST(c2 AS INT) AS first_section, c3 AS first_card, multi_item, original, CAST(groups AS BIGINT) AS groups,
+           row_number() OVER (PARTITION BY course_id ORDER BY c1, c2, c3, key) AS place FROM pl""")
+def _(t):
+    return sorted_numbers(_model(t).concepts, "course_id", "first", "place").select(
+        "course_id", "key", "name", "definition", F.col("first.idx").alias("first_idx"), F.col("first.section_order").alias("first_section"),
+        F.col("first.card_no").alias("first_card"), "multi_item", "original", F.col("groups").cast("bigint").alias("groups"), "place")
 
 
 @REG.query("concept_key", MODEL + " SELECT DISTINCT name, key FROM ck")
@@ -133,9 +241,9 @@ def _(t):
     return _questions(t)
 
 
-@REG.query("course_checks", MODEL + """,
-    held AS (SELECT DISTINCT ori.course_id, ori.folded, con.key, con.name, con.first_idx, con.first_card FROM ori JOIN con USING (course_id, key)),
-    hr AS (SELECT *, row_number() OVER (PARTITION BY course_id, folded ORDER BY first_idx, first_card, key) AS r FROM held),
+@REG.query("course_checks", PLACED + """,
+    held AS (SELECT DISTINCT ori.course_id, ori.folded, pl.key, pl.name, pl.c1 AS first_idx, pl.c2, pl.c3 FROM ori JOIN pl USING (course_id, key)),
+    hr AS (SELECT *, row_number() OVER (PARTITION BY course_id, folded ORDER BY first_idx, c2, c3, key) AS r FROM held),
     nm AS (SELECT rf.course_id, rf.key, rf.field, trim(unnest(CASE WHEN field = 'confusable' THEN regexp_split_to_array(split_part(ref, '——', 1), '、') ELSE [ref] END)) AS n FROM rf)
     SELECT course_id, 'CR-PARSE' AS "check", 'error' AS severity, idx, NULL::VARCHAR AS concept, parse_error AS message FROM review_items WHERE parse_error <> ''
     UNION ALL SELECT course_id, 'CR-LINK', 'error', idx, NULL, 'note missing' FROM review_items WHERE NOT note_exists
@@ -147,7 +255,7 @@ def _(t):
         WHERE n <> '' AND NOT EXISTS (SELECT 1 FROM con z WHERE z.course_id = nm.course_id AND z.key = lower(regexp_replace(n, '\\s+', '', 'g')))
     UNION ALL SELECT course_id, 'CR-QUIZ', 'warning', idx, correspond, CAST(no AS VARCHAR) FROM qs WHERE concept IS NULL""")
 def _(t):
-    return op.course_checks(_cards(t), frame(t, "card_refs"), _apps(t), _questions(t), frame(t, "review_items"))
+    return review.model_checks(_model(t), frame(t, "review_items"))
 
 
 @REG.query("review_summary", MODEL + """
@@ -156,7 +264,8 @@ def _(t):
     JOIN (SELECT course_id, count(*) AS questions FROM qs GROUP BY 1) q USING (course_id)
     JOIN (SELECT course_id, count(*) FILTER (time <> '' AND url <> '') / count(*) AS jump_rate FROM app GROUP BY 1) a USING (course_id)""")
 def _(t):
-    return op.review_summary(_cards(t), _apps(t), _questions(t), _marks(t))
+    model = _model(t)
+    return review.model_summary(model, frame(t, "review_items"), _model_marks(model))
 
 
 @REG.query("source_digest", with_inputs("review_items") + """,
@@ -213,12 +322,17 @@ def _(t):
     return op.refused_tables(t.sql(_MARK_LINES))
 
 
-@REG.query("unmastered_queue", MODEL + """,
-    pe AS (SELECT con.*, row_number() OVER (PARTITION BY course_id ORDER BY first_idx, first_card, key) AS pos, count(*) OVER (PARTITION BY course_id) AS total FROM con WHERE length(key) % 3 <> 0)
-    SELECT pe.course_id, CAST(pos AS INT) AS pos, name, definition, total > 50 AS truncated, qs.idx, qs.no, qs.stem, qs.answer, qs.url
+@REG.query("unmastered_queue", PLACED + """,
+    pe AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY c1, c2, c3, key) AS pos, count(*) OVER (PARTITION BY course_id) AS total FROM pl WHERE NOT mastered)
+    SELECT pe.course_id, CAST(pos AS INT) AS pos, name, original, definition, total > 50 AS truncated, qs.idx, qs.no, qs.stem, qs.answer, qs.url
     FROM pe LEFT JOIN qs ON qs.course_id = pe.course_id AND qs.concept = pe.key WHERE pos <= 50""")
 def _(t):
-    return op.unmastered_queue(op.merge_concepts(_cards(t)), _marks(t), _questions(t))
+    model = _model(t)
+    return review.model_queue(model, _model_marks(model))
+
+
+def _heads(model):
+    return model.concepts.select("course_id", "key", "name", "definition", F.col("first.idx").alias("first_idx"), F.col("first.card_no").alias("first_card"))
 
 
 @REG.query("quiz_document_lines", MODEL + """,
@@ -228,14 +342,21 @@ def _(t):
     SELECT course_id, 1::INT AS part, CAST(first_idx AS BIGINT) AS a, concept AS b, CAST(number AS INT) AS number, number || '. ' || stem || '（第 ' || idx || ' 集第 ' || no || ' 题）' AS line FROM fo
     UNION ALL SELECT course_id, 2, CAST(idx AS BIGINT), '', CAST(number AS INT), number || '. ' || stem || '（对应：' || coalesce(correspond, '') || '；第 ' || idx || ' 集第 ' || no || ' 题）' FROM al""")
 def _(t):
-    return op.quiz_document_lines(_questions(t), op.merge_concepts(_cards(t)), _marks(t))
+    model = _model(t)
+    return op.quiz_document_lines(model.questions, _heads(model), _model_marks(model))
 
 
 @REG.query("concept_table_lines")
 def _(t):
-    cards = _cards(t)
-    return op.concept_table_lines(op.merge_concepts(cards), op.choose_original(cards), op.concept_definitions(cards),
-                                  op.concept_references(cards, frame(t, "card_refs")), _apps(t), _marks(t))
+    model = _model(t)
+    definitions = model.of_kind("definition")
+    opening = definitions.groupBy("course_id", "key").agg(F.min("o").alias("opening"))
+    others = definitions.filter("vkey <> ''").join(opening, ["course_id", "key"]).filter("o <> opening")
+    references = model.values.filter("kind IN ('depends', 'confusable')")
+    return op.concept_table_lines(
+        _heads(model), model.concepts, others.select("course_id", "key", F.col("value").alias("definition"), "o.idx"),
+        references.select("course_id", "key", F.col("kind").alias("field"), F.col("vkey").alias("ref_key"), F.col("value").alias("ref")),
+        model.appearances, _model_marks(model))
 
 
 @REG.query("note_course_nav")
