@@ -8,6 +8,7 @@ from lectern.functions import ordered
 from lectern.operators import frames as op
 from lectern.plans.inputs import DUCK, NEEDS, frame, with_inputs
 from lectern.plans.registry import Registry
+from lectern.sources import readers
 
 REG = Registry()
 
@@ -121,38 +122,89 @@ def _cells(t):
     return op.frame_cells(gray(t), SMALL)
 
 
-def _timeline(t):
-    return op.content_timeline(op.persistent_content(_cells(t), SMALL), SMALL)
+def _binary(t):
+    """The same pictures as files of a gray format with a header, decoded to one byte per pixel."""
+    pixels = F.expr("unhex(array_join(transform(px, v -> lpad(hex(v), 2, '0')), ''))")
+    header = F.encode(F.concat(F.lit("P5\n# "), F.col("t").cast("string"), F.lit("\n8 8\n255\n")), "UTF-8")
+    files = gray(t).select("video_id", "t", F.concat(header, pixels).alias("content"))
+    return readers.decode_gray(files)
 
 
-def _flat(df, *arrays):
-    return df.select(*[F.expr(f"array_join(transform({c}, x -> CAST(round(x, 6) AS STRING)), ' ')").alias(c) if c in arrays else F.col(c) for c in df.columns])
+def _timeline(t):
+    return op.content_timeline(op.persistent_content(_cells(t), SMALL), SMALL)
 
 
-@REG.query("frame_cells")
+# The same timeline in SQL: windows by time over 64 pixels, 16 cells of two by two.
+_T = SMALL
+_TIMELINE = with_inputs("frames", recursive=True) + _PIX + f""",
+    plate AS MATERIALIZED (SELECT a.video_id, a.t, a.i, any_value(a.v) AS v, CAST(floor(median(b.v)) AS INT) AS m FROM pix a JOIN pix b ON b.video_id = a.video_id AND b.i = a.i AND b.t BETWEEN a.t - {_T.plate_half} AND a.t + {_T.plate_half} GROUP BY ALL),
+    around AS (SELECT a.video_id, a.t, a.i, any_value(a.v) AS v, any_value(a.m) AS m, avg(b.m) AS mean FROM plate a, range(-{_T.ink_radius}, {_T.ink_radius} + 1) y(dy), range(-{_T.ink_radius}, {_T.ink_radius} + 1) x(dx)
+               JOIN plate b ON b.video_id = a.video_id AND b.t = a.t AND b.i = least(7, greatest(0, a.i // 8 + dy)) * 8 + least(7, greatest(0, a.i % 8 + dx)) GROUP BY a.video_id, a.t, a.i),
+    px2 AS (SELECT r.*, coalesce(abs(r.v - p.v), 0) AS change, CAST(r.i // 16 * 4 + r.i % 8 // 2 AS INT) AS cell FROM around r LEFT JOIN pix p ON p.video_id = r.video_id AND p.t = r.t - 1 AND p.i = r.i),
+    fc AS MATERIALIZED (SELECT video_id, t, cell, count(*) FILTER (abs(m - mean) > {_T.ink_diff}) / 4 AS density, count(*) FILTER (abs(v - m) > {_T.occ_diff}) / 4 AS occ,
+                 CASE WHEN count(*) FILTER (change > {_T.motion_diff}) / 4 >= {_T.motion_cell} THEN 1 ELSE 0 END AS moving FROM px2 GROUP BY ALL),
+    bg AS (SELECT video_id, t, count(*) FILTER (change > {_T.cut_diff}) / 64 AS big FROM px2 GROUP BY ALL),
+    cells AS MATERIALIZED (SELECT a.*, (SELECT min(density) FROM fc b WHERE b.video_id = a.video_id AND b.cell = a.cell AND b.t > a.t - {_T.hold} AND b.t <= a.t) AS run, big FROM fc a JOIN bg USING (video_id, t)),
+    grid AS (SELECT video_id, cell, quantile_cont(density, {_T.base_pct}) AS base, CASE WHEN count(*) > 1 THEN sum(moving) / (count(*) - 1) ELSE 0 END <= {_T.max_motion} AS calm FROM cells GROUP BY ALL),
+    kept AS MATERIALIZED (SELECT c.video_id, c.t, c.cell, c.occ, c.big, CASE WHEN calm THEN greatest(run - base, 0) ELSE 0 END AS gain FROM cells c JOIN grid USING (video_id, cell)),
+    seen AS MATERIALIZED (SELECT *, CASE WHEN gain > {_T.cell_gain} THEN 1 - least(1, greatest(0, occ * 3)) ELSE 0 END AS seen FROM kept),
+    tl AS MATERIALIZED (SELECT video_id, t, any_value(big) AS big, avg(gain) AS content, avg(gain * seen) AS visible FROM seen GROUP BY ALL),
+    er AS (SELECT n.video_id, n.t, sum(o.gain) AS total, sum(greatest(o.gain - n.gain, 0)) AS lost FROM kept n JOIN kept o ON o.video_id = n.video_id AND o.cell = n.cell AND o.t = n.t - {_T.erase_lag} GROUP BY ALL),
+    fl AS MATERIALIZED (SELECT tl.video_id, tl.t FROM tl LEFT JOIN er USING (video_id, t) WHERE big > {_T.cut_frac} OR coalesce(total > 0 AND lost / total > {_T.erase_frac}, FALSE)),
+    ac AS (SELECT video_id, min(t) AS t FROM fl GROUP BY 1
+           UNION ALL SELECT ac.video_id, (SELECT min(t) FROM fl WHERE fl.video_id = ac.video_id AND fl.t > ac.t + {_T.erase_lag}) AS t FROM ac WHERE ac.t IS NOT NULL),
+    cu AS MATERIALIZED (SELECT video_id, t FROM ac WHERE t IS NOT NULL),
+    sg AS MATERIALIZED (SELECT tl.*, CASE WHEN EXISTS (SELECT 1 FROM cu WHERE cu.video_id = tl.video_id AND cu.t = tl.t) THEN 1 ELSE 0 END AS cut,
+                  (SELECT count(*) FROM cu WHERE cu.video_id = tl.video_id AND cu.t <= tl.t AND cu.t > 0) AS seg FROM tl)"""
+
+
+def _by_cell(df, *arrays):
+    """One row per second and cell."""
+    zipped = F.posexplode(F.arrays_zip(*arrays)).alias("cell", "z")
+    return df.select("*", zipped).select("video_id", "t", "cell", *[(F.col(f"z.{a}") if a == "moving" else F.round(f"z.{a}", 9)).alias(a) for a in arrays], "big")
+
+
+@REG.query("frame_cells", _TIMELINE + " SELECT video_id, t, cell, density, run, occ, moving, big FROM cells")
 def _(t):
-    return _flat(_cells(t), "density", "run", "occ", "moving")
+    return _by_cell(_cells(t), "density", "run", "occ", "moving")
 
 
-@REG.query("persistent_content")
+@REG.query("frame_cells_binary", _TIMELINE + " SELECT video_id, t, cell, density, run, occ, moving, big FROM cells")
 def _(t):
-    return _flat(op.persistent_content(_cells(t), SMALL), "gain", "occ")
+    return _by_cell(op.frame_cells(_binary(t), SMALL), "density", "run", "occ", "moving")
 
 
-@REG.query("content_timeline")
+@REG.query("persistent_content", _TIMELINE + " SELECT video_id, t, cell, round(gain, 9) AS gain, occ, big FROM kept")
 def _(t):
-    return _timeline(t).select("video_id", "t", "content", "visible", "big")
+    return _by_cell(op.persistent_content(_cells(t), SMALL), "gain", "occ")
 
 
-@REG.query("segment_timeline")
+@REG.query("content_timeline", _TIMELINE + " SELECT video_id, t, round(content, 9) AS content, round(visible, 9) AS visible, big FROM tl")
 def _(t):
-    return op.segment_timeline(_timeline(t), SMALL).select("video_id", "t", "cut", "seg")
+    return _timeline(t).select("video_id", "t", F.round("content", 9).alias("content"), F.round("visible", 9).alias("visible"), "big")
 
 
-@REG.query("frame_candidates")
+@REG.query("segment_timeline", _TIMELINE + " SELECT video_id, t, cut, seg FROM sg")
+def _(t):
+    return op.segment_timeline(_timeline(t), SMALL).select("video_id", "t", "cut", F.col("seg").cast("bigint").alias("seg"))
+
+
+@REG.query("frame_candidates", _TIMELINE + f""",
+    shots AS (SELECT video_id * 1000 + t AS shot_id, video_id, CAST(t AS DOUBLE) AS ra, CAST(t + 5 AS DOUBLE) AS rb FROM frames WHERE t % 10 = 4),
+    us AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS segs FROM (SELECT video_id, seg, min(t) AS s0, max(t) AS s1 FROM sg GROUP BY ALL)),
+    wi AS (SELECT shot_id, ra, rb, s0, s1, sg.* FROM shots JOIN sg ON sg.video_id = shots.video_id AND sg.t >= ra - {_T.pre} AND sg.t <= rb + {_T.post}
+           JOIN us ON us.video_id = sg.video_id AND us.seg = sg.seg WHERE s1 - s0 >= {_T.min_seg} OR segs = 1),
+    rf AS (SELECT *, min(t) OVER (PARTITION BY shot_id, seg) AS ref FROM wi),
+    fr AS (SELECT rf.shot_id, rf.t, avg(greatest(n.gain - o.gain, 0) * n.seen) AS fresh FROM rf JOIN seen n ON n.video_id = rf.video_id AND n.t = rf.t
+           JOIN seen o ON o.video_id = rf.video_id AND o.t = rf.ref AND o.cell = n.cell GROUP BY ALL),
+    sc AS (SELECT rf.*, fresh + {_T.total_w} * visible + 1e-7 * rf.t AS score, rf.t <= rb AS during FROM rf JOIN fr ON fr.shot_id = rf.shot_id AND fr.t = rf.t),
+    be AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY shot_id, seg, during ORDER BY score DESC, t) = 1),
+    ov AS (SELECT *, round(greatest(0, least(s1, rb) - greatest(s0, ra)) / greatest(1, rb - ra), 3) AS ov FROM be WHERE content >= {_T.min_content}),
+    nu AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY ov DESC, score DESC) AS no FROM ov)
+    SELECT shot_id, video_id, CAST(no AS INT) AS no, t, CAST(ov AS DOUBLE) AS ov, round(score, 9) AS score, s0 AS seg_from, s1 AS seg_to FROM nu WHERE no <= {_T.max_cands}""")
 def _(t):
     shots = gray(t).filter("t % 10 = 4").selectExpr("video_id * 1000 + t AS shot_id", "video_id", "CAST(t AS DOUBLE) AS ra", "CAST(t + 5 AS DOUBLE) AS rb")
-    return op.frame_candidates(op.segment_timeline(_timeline(t), SMALL), shots, SMALL)
+    return op.frame_candidates(op.segment_timeline(_timeline(t), SMALL), shots, SMALL).withColumn("score", F.round("score", 9))
 
 
 _OLD = "SELECT l_orderkey AS video_id, l_linenumber AS page, 'p' || CAST(l_partkey AS STRING) || '.png' AS file, 'old' AS src FROM {lineitem} WHERE l_returnflag <> 'N'"

@@ -203,8 +203,52 @@ def read_caption_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded gray frames ``(video_id, t, w, h, px)`` from Parquet."""
-    return spark.read.parquet(path).select("video_id", "t", "w", "h", F.col("px").cast("array<int>").alias("px"))
+    """Decoded gray frames ``(video_id, t, w, h, px)`` from Parquet; pixels as bytes or as numbers."""
+    frames = spark.read.parquet(path).select("video_id", "t", "w", "h", "px")
+    return frames if dict(frames.dtypes)["px"] == "binary" else frames.withColumn("px", F.col("px").cast("array<int>"))
+
+
+# Fixed value: header of an 8-bit gray picture file, with comments between its fields; one blank ends it.
+_GAP = r"(?:\s|#[^\n\r]*[\n\r])+"
+GRAY_HEADER = rf"^P5{_GAP}(\d{{1,6}}){_GAP}(\d{{1,6}}){_GAP}(\d{{1,5}})\s"
+HEADER_BYTES = 4096
+
+
+def _gray_parts(files: DataFrame) -> DataFrame:
+    head = F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1")
+    parts = files.withColumn("_h", F.regexp_extract(head, GRAY_HEADER, 0)).withColumns({
+        "w": F.regexp_extract(head, GRAY_HEADER, 1).try_cast("int"), "h": F.regexp_extract(head, GRAY_HEADER, 2).try_cast("int"),
+        "_top": F.regexp_extract(head, GRAY_HEADER, 3).try_cast("int")})
+    size = F.col("w") * F.col("h")
+    return parts.withColumns({
+        "px": F.expr("substring(content, length(_h) + 1, w * h)"),
+        "error": F.when(F.col("content").isNull() | (F.col("_h") == ""), "no gray picture header").when(F.col("_top") != 255, "not 8 bits per pixel")
+        .when(size == 0, "no pixels").when(F.length("content") - F.length("_h") < size, "pixels missing")})
+
+
+def decode_gray(files: DataFrame) -> DataFrame:
+    """``(video_id, t, content)`` with whole 8-bit gray files to frames with BINARY pixels.
+
+    Files that are none are left out here and listed by :func:`gray_errors`.
+    """
+    return _gray_parts(files).filter("error IS NULL").select("video_id", "t", "w", "h", "px")
+
+
+def gray_errors(files: DataFrame) -> DataFrame:
+    """``(video_id, t, error)`` of the files that :func:`decode_gray` leaves out."""
+    return _gray_parts(files).filter("error IS NOT NULL").select("video_id", "t", "error")
+
+
+def gray_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(video_id, t, content)`` of files ``<video>/<second>.pgm`` under a folder; the reader passes over empty files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pgm").option("recursiveFileLookup", "true").load(path)
+    place = F.regexp_extract("path", r"(\d+)/(\d+)\.pgm$", 0) != ""
+    return files.filter(place).select(F.regexp_extract("path", r"(\d+)/(\d+)\.pgm$", 1).cast("long").alias("video_id"),
+                                      F.regexp_extract("path", r"(\d+)/(\d+)\.pgm$", 2).cast("int").alias("t"), "content")
+
+
+def read_binary_frames(spark: SparkSession, path: str) -> DataFrame:
+    return decode_gray(gray_files(spark, path))
 
 
 def link_catalog(docs: DataFrame, platforms: list[str] | None = None) -> DataFrame:

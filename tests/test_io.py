@@ -97,3 +97,20 @@ def test_scope_and_names(spark):
     reserved = spark.createDataFrame([(1, "001-T1.md"), (1, "001-t1-001-1.md")], "course_id int, name string")
     got = {r["idx"]: r["name"] for r in course.assign_unique_names(items, reserved).collect()}
     assert got == {1: "001-t1-001-2.md", 2: "002-t0.md", 3: "003-t1.md", 4: "004-t0.md"}
+
+
+def test_gray_picture_files(spark, tmp_path):
+    from lectern.sources import readers
+
+    for name, content in {"7/3.pgm": b"P5 2 2 255\n" + bytes([0, 10, 32, 255]), "7/4.pgm": b"P5\n# a comment\n2\t# b\n 1\n255\n" + b"\x0a\x20",
+                          "7/5.pgm": b"P6 1 1 255\n\x00", "7/6.pgm": b"P5 2 2 65535\n" + bytes(8), "8/1.pgm": b"P5 2 2 255\n\x01",
+                          "8/x.pgm": b"P5 1 1 255\n\x00", "8/3.txt": b"P5 1 1 255\n\x00"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {(r.video_id, r.t): (r.w, r.h, bytes(r.px)) for r in readers.read_binary_frames(spark, str(tmp_path)).collect()}
+    assert got == {(7, 3): (2, 2, bytes([0, 10, 32, 255])), (7, 4): (2, 1, b"\x0a\x20")}
+    wrong = {(r.video_id, r.t): r.error for r in readers.gray_errors(readers.gray_files(spark, str(tmp_path))).collect()}
+    assert wrong == {(7, 5): "no gray picture header", (7, 6): "not 8 bits per pixel", (8, 1): "pixels missing"}
+    odd = spark.createDataFrame([(1, 1, None), (1, 2, b""), (1, 3, b"P5 0 5 255\n")], "video_id long, t int, content binary")
+    assert [r.error for r in readers.gray_errors(odd).orderBy("t").collect()] == ["no gray picture header", "no gray picture header", "no pixels"]
+    assert readers.decode_gray(odd).count() == 0

@@ -302,3 +302,36 @@ def test_candidates_of_a_video_with_gaps(spark):
                     best = max(part, key=score.get)
                     want.add((shot, at[best], round(float(score[best]), 9)))
     assert {(r.shot_id, r.t, round(r.score, 9)) for r in got} == want
+
+
+def test_timeline_does_not_depend_on_slices(spark):
+    """Cuts by change and by erased content, on and beside slice borders, for bytes and for numbers."""
+    from dataclasses import replace
+
+    import numpy as np
+
+    p = frames.Timeline(cell=4, ink_radius=2, plate_half=1, hold=2, erase_lag=3, min_seg=1, max_motion=1.0, slice_seconds=1000)
+    rng = np.random.default_rng(5)
+    rows = []
+    for video, gaps in ((1, ()), (2, (13, 14, 30))):
+        board = np.full((8, 8), 20, np.uint8)
+        for t in range(70):
+            if t % 11 == 7:
+                board = np.full((8, 8), 20, np.uint8)
+            if t % 3 == 0:
+                board[rng.integers(0, 8), rng.integers(0, 8)] = 230
+            if t in (24, 48):
+                board = 255 - board
+            if t not in gaps:
+                rows.append((video, t, 8, 8, board.tobytes()))
+    stored = spark.createDataFrame(rows, "video_id long, t int, w int, h int, px binary")
+    numbers = spark.createDataFrame([(*r[:4], list(r[4])) for r in rows], "video_id long, t int, w int, h int, px array<int>")
+    results = []
+    for df, size in ((stored, 1000), (numbers, 1000), (stored, 7), (stored, 16)):
+        q = replace(p, slice_seconds=size)
+        out = frames.segment_timeline(frames.content_timeline(frames.persistent_content(frames.frame_cells(df, q), q), q), q)
+        results.append(sorted((r.video_id, r.t, r.cut, r.seg, round(r.content, 9)) for r in out.collect()))
+    assert results[0] == results[1] == results[2] == results[3]
+    cuts = [r[1] for r in results[0] if r[0] == 1 and r[2]]
+    assert len(cuts) > 5 and all(b - a > 3 for a, b in zip(cuts, cuts[1:]))
+    assert [r[3] for r in results[0] if r[0] == 1] == [sum(0 < c <= t for c in cuts) for t in range(70)]
