@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from lectern.llm.arrow import byte_lengths, importable, slices
 
 MARK = "▁"
+LOWEST = float("-inf")
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Entries of the per-worker memories; they are emptied when full, which changes no result.
-MEMORY = 100_000
+MEMORY = 200_000
 #: Longer words are encoded anew each time.
 REMEMBERED_CHARS = 40
 #: A model file beyond this many bytes is refused: it is broadcast whole.
@@ -150,41 +151,74 @@ class PieceCodec(PieceModel):
     def __init__(self, model: bytes):
         super().__init__(model)
         self.score = {p: self.scores[i] for p, i in self.id.items()}
+        self.packed = {p: struct.pack("<i", i) for p, i in self.id.items()}
         #: characters that pieces hold but that are no pieces: merges may start from them
         self.tokens = set(self.id) | {c for p in self.id for c in p}
         self.automaton = ahocorasick.Automaton()
         for p in self.tokens:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
         across = any(MARK in p.lstrip(MARK) for p in self.id)
         self.words = (lambda text: [text]) if across else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.made: dict[str, tuple[list[tuple[float, str]], list[tuple[float, str]]] | None] = {}
         self.shorter: dict[str, str] = {}
 
-    def merge(self, parts: list[str]) -> list[str]:
-        """Merges neighbours, the best score first and among equal ones the leftmost, until none can be merged."""
-        score = self.score
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = score.get(parts[i] + parts[i + 1])
-                if found is not None and (best is None or found > best):
-                    best, at = found, i
-            if best is None:
-                return parts
+    def merges(self, token: str) -> tuple[list[tuple[float, str]], list[tuple[float, str]]] | None:
+        """How a token is made of its characters, the best score first and among equal ones the leftmost.
+
+        For each merge, its score and what then stands at the token's left end, and the same for its right end; None
+        if merging does not end with the token.
+        """
+        if token in self.made:
+            return self.made[token]
+        score, parts, left, right = self.score, list(token), [], []
+        while len(parts) > 1:
+            scores = [score.get(a + b, LOWEST) for a, b in zip(parts, parts[1:])]
+            if (best := max(scores)) == LOWEST:
+                break
+            at = scores.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            left.append((best, parts[0]))
+            right.append((best, parts[-1]))
+        found = self.made[token] = (left, right) if len(parts) == 1 else None
+        return found
 
     def compatible(self, left: str, right: str) -> bool:
-        """Whether merging the characters of both gives these two pieces (an empty left one: whether right is made at all)."""
-        key = (left, right)
-        if (found := self.fits.get(key)) is None:
-            if len(self.fits) >= MEMORY:
-                self.fits.clear()
-            found = self.fits[key] = self.merge([*left, *right]) == ([left, right] if left else [right])
+        """Whether merging the characters of both gives these two pieces (an empty left one: whether right is made at all).
+
+        Both are merged again side by side, in the order that the whole would take; a merge across their border whose
+        turn comes shows that they do not stay.
+        """
+        made_right = self.merges(right)
+        if made_right is None or not left:
+            self.fits[left, right] = made_right is not None
+            return made_right is not None
+        if len(self.fits) >= MEMORY:
+            self.fits.clear()
+        found = self.fits[left, right] = self.stays(self.merges(left)[1], made_right[0], left[-1], right[0])
         return found
 
+    def stays(self, lefts: list[tuple[float, str]], rights: list[tuple[float, str]], edge: str, start: str) -> bool:
+        score, i, j = self.score, 0, 0
+        while True:
+            next_left = lefts[i][0] if i < len(lefts) else LOWEST
+            next_right = rights[j][0] if j < len(rights) else LOWEST
+            across = score.get(edge + start)
+            # among equal scores the leftmost merge comes first
+            if across is not None and across > next_left and across >= next_right:
+                return False
+            if next_left == LOWEST and next_right == LOWEST:
+                return True
+            if next_left >= next_right:
+                edge = lefts[i][1]
+                i += 1
+            else:
+                start = rights[j][1]
+                j += 1
+
     def prefix_of(self, token: str) -> str:
         """The longest token that is a proper prefix of a token; empty if there is none."""
         if (found := self.shorter.get(token)) is None:
@@ -194,42 +228,48 @@ class PieceCodec(PieceModel):
     def split(self, word: str) -> list[str]:
         """The pieces of a word; a character that no piece holds stands by itself."""
         longest = [""] * len(word)
-        for end, token in self.automaton.iter(word):
-            longest[end + 1 - len(token)] = token  # ends ascend, so the last match of a start is its longest
+        for end, (reach, token) in self.automaton.iter(word):
+            longest[end - reach] = token  # ends ascend, so the last match of a start is its longest
+        fits, shorter = self.fits, self.shorter
         out: list[str] = []
-        failed, at = bytearray(len(word) // 8 + 1), 0
-        token = longest[0]
-        while at < len(word):
-            if not longest[at]:
-                out.append(word[at])  # merges with nothing
-                at += 1
-                token = longest[at] if at < len(word) else ""
-                continue
-            before = out[-1] if out and (len(out[-1]) > 1 or out[-1] in self.tokens) else ""
+        before, at, token = "", 0, longest[0]
+        failed = None
+        while True:
             while token:
-                end = at + len(token)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(before, token):
+                if (stands := fits.get((before, token))) is None:
+                    stands = self.compatible(before, token)
+                if stands and not (failed and failed[(at + len(token)) >> 3] >> ((at + len(token)) & 7) & 1):
                     break
-                token = self.prefix_of(token)
+                if (token := shorter.get(found := token)) is None:
+                    token = self.prefix_of(found)
             if token:
                 out.append(token)
-                at = end
-                token = longest[at] if at < len(word) else ""
+                at += len(token)
+                before = token
+            elif not longest[at]:  # merges with nothing
+                out.append(word[at])
+                at += 1
+                before = ""
             else:
+                failed = failed or bytearray(len(word) // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
                 at -= len(token)
+                before = out[-1] if out and out[-1] in self.tokens else ""
                 token = self.prefix_of(token)
-        return out
+                continue
+            if at == len(word):
+                return out
+            token = longest[at]
 
     def encode_word(self, word: str) -> bytes:
-        ids: list[int] = []
-        for p in [word] if word in self.id and self.compatible("", word) else self.split(word):
-            if (found := self.id.get(p)) is not None:
-                ids.append(found)
-            else:
-                ids += [self.bytes[b] for b in p.encode()]
-        return struct.pack(f"<{len(ids)}i", *ids)
+        packed = self.packed
+        if word in packed and self.compatible("", word):
+            return packed[word]
+        return b"".join([packed.get(p) or self.packed_bytes(p) for p in self.split(word)])
+
+    def packed_bytes(self, character: str) -> bytes:
+        return b"".join([struct.pack("<i", self.bytes[b]) for b in character.encode()])
 
     def encode(self, text: str) -> bytes:
         if not text:
