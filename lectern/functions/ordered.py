@@ -10,6 +10,7 @@ join back reuses the ``(key, segment)`` partitioning of the window.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -98,3 +99,13 @@ def sorted_numbers(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     starts = rows.groupBy(key, "_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_n")).select(
         key, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start") + 1).alias("_shift"))
     return rows.join(starts, [key, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+def number_lines(blocks: Sequence[DataFrame], key: str) -> DataFrame:
+    """Documents ``(key, line_no, line)`` from blocks ``(key, o, line)`` with a common sort key ``o``.
+
+    A document never ends with an empty line.
+    """
+    lines = sorted_numbers(reduce(DataFrame.unionByName, blocks), key, "o", "line_no")
+    last = lines.groupBy(key).agg(F.max("line_no").alias("_last"))
+    return lines.join(last, key).filter("line_no < _last OR line <> ''").select(key, "line_no", "line")

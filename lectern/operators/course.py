@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.functions import text as tx
+from lectern.functions import ordered, text as tx
 
 # Effort constants and batch limits.
 ASR_RATIO = 0.2
@@ -156,6 +156,69 @@ def course_index_lines(items: DataFrame) -> DataFrame:
     return items.select("course_id", "section", "idx", line.alias("line"))
 
 
+# Labels and headings of the index document.
+INDEX_LABELS = {"done": "✅ 完成", "failed": "❌ 失败", "running": "🔄 进行中", "pending": "⏳ 待做", "out_of_scope": "⏳ 待做"}
+INDEX_REOPENED = "⏳ 待修改"
+INDEX_HEADER = ("| 序号 | 标题 | 时长 | 状态 | 笔记 | 视频 |", "| --- | --- | --- | --- | --- | --- |")
+INDEX_VIDEO = "https://www.bilibili.com/video/"
+
+
+def course_index(courses: DataFrame, items: DataFrame, updated: str) -> DataFrame:
+    """The index document of every course as numbered lines ``(course_id, line_no, line)``.
+
+    ``courses(course_id, title, owner, source_url, kind, root, concepts_file, quiz_file, concepts,
+    questions, mastered)``, the last five null without a review; ``items`` with ``chosen`` and, for
+    failed ones, ``reason``, ``next_step`` and ``rerun``. A course with sections gets a table
+    whenever the section changes along its chosen items; failed items are listed with their next step.
+    """
+    def t(c):
+        return tx.cell_text(F.col(c))
+
+    def s(c):
+        return F.col(c).cast("string")
+
+    def line(df, part, sub, *parts, idx=None):
+        order = F.struct(F.lit(part).alias("part"), (F.lit(0) if idx is None else F.col(idx)).cast("bigint").alias("idx"), F.lit(sub).alias("sub"))
+        return df.select("course_id", order.alias("o"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("line"))
+
+    chosen = items.filter("chosen")
+    counts = items.groupBy("course_id").agg(
+        F.count("*").alias("total"), F.sum("duration").alias("_d"), F.count_if("chosen").alias("n"),
+        *[F.count_if(F.col("chosen") & (F.col("status") == k)).alias(f"n_{k}") for k in ("done", "failed", "pending", "running")])
+    heads = courses.join(counts, "course_id").withColumn("hours", F.rint(F.col("_d") / 360) / 10)
+    reviewed = heads.filter("concepts_file IS NOT NULL")
+    kind = F.when(F.col("kind") == "pages", "B站").otherwise("合集")
+    rows = chosen.join(courses.select("course_id", "kind"), "course_id")
+    parted = ordered.lag_row(rows.filter("kind = 'season'").withColumn("section", F.coalesce("section", F.lit(""))), ["course_id"], "idx", {"_s": "section"})
+    opening = parted.filter("_s IS NULL OR _s <> section")
+    label = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in INDEX_LABELS.items()])
+    label = F.when((F.col("status") == "pending") & F.coalesce(F.startswith("reason", F.lit("gate failed")), F.lit(False)), INDEX_REOPENED).otherwise(label)
+    note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("[笔记]("), tx.link_path(F.col("note")), F.lit(")"))).otherwise("—")
+    failed = chosen.filter("status = 'failed'")
+    rerun = F.translate(F.coalesce("rerun", F.lit("")), "\r\n", "  ")
+    return ordered.number_lines([
+        line(heads, 0, 0, "> 课程：", t("title"), "（", kind, "，UP主：", t("owner"), "）"),
+        line(heads, 0, 1, "> 来源：", F.coalesce("source_url", F.lit(""))),
+        line(heads, 0, 2, "> 进度：完成 ", s("n_done"), "/", s("n"), "，失败 ", s("n_failed"), "，待做 ", s("n_pending"), "，进行中 ", s("n_running"),
+             "；总集 ", s("total"), "，约 ", F.col("hours").cast("decimal(18,1)").cast("string"), f" 小时；更新时间：{updated}"),
+        line(reviewed, 0, 3, "> 复习：[概念表](", tx.link_path(F.col("concepts_file")), ")（", s("concepts"), " 个概念，已掌握 ",
+             F.least("mastered", "concepts").cast("string"), "）｜[课程自测](", tx.link_path(F.col("quiz_file")), ")（", s("questions"), " 题）"),
+        *[line(heads, 0, 4 + i, x) for i, x in enumerate(("", "## 目录", ""))],
+        *[line(heads.filter("kind = 'pages'"), 0, 7 + i, x) for i, x in enumerate(INDEX_HEADER)],
+        line(opening, 1, 0, "### ", F.when(F.col("section") != "", t("section")).otherwise("未分组"), idx="idx"),
+        *[line(opening, 1, 1 + i, x, idx="idx") for i, x in enumerate(("", *INDEX_HEADER))],
+        line(rows, 1, 4, "| ", s("idx"), " | ", t("title"), " | ", tx.hms(F.col("duration")), " | ", label, " | ", note,
+             f" | [视频]({INDEX_VIDEO}", F.col("bvid"), "?p=", s("page"), ") |", idx="idx"),
+        *[line(heads, 2, i, x) for i, x in enumerate(("", "## 失败与补跑", ""))],
+        line(failed, 3, 0, "+ 第 ", s("idx"), " 集 ", t("title"), "；原因：", t("reason"), "；下一步：", t("next_step"), idx="idx"),
+        line(failed, 3, 1, "  补跑：`", rerun, "`", idx="idx"),
+        line(heads.filter("n_failed = 0"), 3, 0, "无失败集。"),
+        *[line(heads, 4, i, x) for i, x in enumerate(("", "## 未选择的集", ""))],
+        line(heads, 4, 3, "共 ", (F.col("total") - F.col("n")).cast("string"), " 集；可运行 start ", F.col("root"), " --range A-B 选择范围。"),
+        line(heads, 4, 4, ""),
+    ], "course_id")
+
+
 def stale_notes(done: DataFrame, current: DataFrame) -> DataFrame:
     """Done notes whose content or template changed since their last gate.
 

@@ -3,7 +3,7 @@
 The model is four tables (`CourseModel`), each written once and read by checks, queue and
 documents, so that every input is scanned once. A course, a concept or a document is never one
 cell: definitions, references, appearances and lines stay rows. A document is a union of line
-blocks with a common sort key; :func:`lectern.functions.ordered.sorted_numbers` sorts it over the
+blocks with a common sort key; :func:`lectern.functions.ordered.number_lines` sorts it over the
 cluster and numbers its lines.
 """
 
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lectern.functions import text as tx
-from lectern.functions.ordered import row_numbers, sorted_numbers
+from lectern.functions.ordered import number_lines, row_numbers
 from lectern.functions.udfs import case_fold
 from lectern.operators.concepts import CONCEPT, _folded, concept_key
 from lectern.session import durable_checkpoint
@@ -160,13 +160,6 @@ def _line(df: DataFrame, order: Column, *parts: Column | str) -> DataFrame:
     return df.select("course_id", order, whole.alias("line"))
 
 
-def _numbered(blocks: list[DataFrame]) -> DataFrame:
-    """``(course_id, line_no, line)``; a document never ends with an empty line."""
-    lines = sorted_numbers(reduce(DataFrame.unionByName, blocks), "course_id", "o", "line_no")
-    last = lines.groupBy("course_id").agg(F.max("line_no").alias("_last"))
-    return lines.join(last, "course_id").filter("line_no < _last OR line <> ''").select("course_id", "line_no", "line")
-
-
 def _at_item(idx: Column) -> Column:
     """Place before all concepts of an item."""
     return F.struct(idx.cast("bigint").alias("idx"), F.lit(-1).alias("section_order"), F.lit(0).alias("card_no"), F.lit("").alias("key"))
@@ -227,7 +220,7 @@ def concept_document(model: CourseModel, items: DataFrame, marks: DataFrame, upd
     source = F.concat(F.lit("第 "), _s("idx"), F.lit(" 集第 "), _s("no"), F.lit(" 题"))
     asked = model.questions.filter("concept IS NOT NULL").groupBy("course_id", F.col("concept").alias("key")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "no", "stem", source.alias("line")))).alias("qs")).join(place, CONCEPT)
-    return _numbered([
+    return number_lines([
         _line(counts, _order(0, None, 0), *summary),
         _line(counts, _order(0, None, 1), TABLE_USAGE),
         _line(counts, _order(0, None, 2), ""),
@@ -243,7 +236,7 @@ def concept_document(model: CourseModel, items: DataFrame, marks: DataFrame, upd
         _line(by_kind, _order(1, c, 6), F.lit("  + "), F.concat_ws("｜", "depends", "confusable")),
         _line(asked, _order(1, c, 7), F.lit("  + 自测："), F.array_join(F.transform("qs", lambda q: q.getField("line")), "、")),
         _line(heads, _order(1, c, 8), ""),
-    ])
+    ], "course_id")
 
 
 def _question_lines(rows: DataFrame, order, suffix: Column) -> DataFrame:
@@ -282,7 +275,7 @@ def quiz_document(model: CourseModel, items: DataFrame, marks: DataFrame) -> Dat
     summary = (F.lit("> 课程："), _t("course_title"), F.lit("｜共 "), _s("questions"), F.lit(" 题，来自 "), _s("notes"), F.lit(" 篇笔记｜没掌握的概念涉及 "),
                _s("focus"), F.lit(" 题｜答案不折叠，先遮住答案再自测"))
     opening = F.when(F.col("mastered") > 0, F.concat(F.lit("## 先复习：还没掌握的概念（"), _s("focus"), F.lit(" 题）"))).otherwise(QUIZ_UNMARKED)
-    return _numbered([
+    return number_lines([
         _line(counts, _order(0, None, 0), *summary),
         _line(counts, _order(0, None, 1), QUIZ_USAGE),
         _line(counts, _order(0, None, 2), ""),
@@ -297,7 +290,7 @@ def quiz_document(model: CourseModel, items: DataFrame, marks: DataFrame) -> Dat
         _line(asked, _order(3, item, 1), ""),
         _question_lines(every, lambda sub: _order(3, item, 2, F.col("number"), sub),
                         F.concat(F.lit("对应："), _t("correspond"), F.lit("；"), source)),
-    ])
+    ], "course_id")
 
 
 def model_queue(model: CourseModel, marks: DataFrame, limit: int = 50) -> DataFrame:

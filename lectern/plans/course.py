@@ -143,6 +143,43 @@ def _(t):
     return op.course_index_lines(items(t))
 
 
+_COURSES = """SELECT c_custkey AS course_id, c_name || ' | ' || c_mktsegment AS title, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS owner, 'https://s/' || CAST(c_custkey AS STRING) AS source_url,
+    CASE WHEN c_custkey % 3 = 0 THEN 'pages' ELSE 'season' END AS kind, '/courses/' || CAST(c_custkey AS STRING) AS root, CASE WHEN c_custkey % 2 = 0 THEN 'a b.md' END AS concepts_file, 'q.md' AS quiz_file,
+    CAST(c_custkey % 20 AS BIGINT) AS concepts, CAST(c_custkey % 30 AS BIGINT) AS questions, CAST(c_custkey % 25 AS BIGINT) AS mastered FROM {customer}"""
+_LISTED = """SELECT course_id, idx, bvid, page, CASE WHEN cid % 5 = 0 THEN title || ' | x' ELSE title END AS title, CASE WHEN cid % 10 = 1 THEN NULL ELSE section END AS section, duration, status,
+    CASE WHEN status IN ('done', 'running') THEN note END AS note, CASE WHEN status = 'failed' THEN 'why' WHEN cid % 3 = 0 THEN 'gate failed: V4-X' END AS reason, 'again' AS next_step,
+    CASE WHEN cid % 2 = 0 THEN 'run ' || CAST(idx AS STRING) END AS rerun, cid % 7 > 0 AS chosen FROM {items}"""
+_INDEX_TEXT = "replace(replace(coalesce({}, ''), chr(92), chr(92) || chr(92)), '|', chr(92) || '|')"
+_LABEL = "CASE WHEN status = 'pending' AND starts_with(coalesce(reason, ''), 'gate failed') THEN '⏳ 待修改' WHEN status = 'done' THEN '✅ 完成' WHEN status = 'failed' THEN '❌ 失败' WHEN status = 'running' THEN '🔄 进行中' ELSE '⏳ 待做' END"
+_CLOCK = "CASE WHEN duration >= 3600 THEN CAST(CAST(floor(duration / 3600) AS BIGINT) AS VARCHAR) || ':' ELSE '' END || lpad(CAST(CAST(floor(duration % 3600 / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(duration % 60 AS BIGINT) AS VARCHAR), 2, '0')"
+_LISTS = ", ".join(f"({p}, {i}, '{x}')" for p, texts in ((0, {4: "", 5: "## 目录", 6: ""}), (2, {0: "", 1: "## 失败与补跑", 2: ""}), (4, {0: "", 1: "## 未选择的集", 2: ""})) for i, x in texts.items())
+
+
+@REG.query("course_index", IN + f""",
+    li AS ({_LISTED.replace('{items}', 'items')}), co AS ({_COURSES.replace('{customer}', 'customer')}),
+    he AS (SELECT co.*, z.* EXCLUDE (course_id) FROM co JOIN (SELECT course_id, count(*) AS total, round_even(sum(duration) / 360, 0) / 10 AS hours, count(*) FILTER (chosen) AS n, count(*) FILTER (chosen AND status = 'done') AS done,
+            count(*) FILTER (chosen AND status = 'failed') AS failed, count(*) FILTER (chosen AND status = 'pending') AS pending, count(*) FILTER (chosen AND status = 'running') AS running FROM li GROUP BY 1) z USING (course_id)),
+    ch AS (SELECT li.*, kind, lag(coalesce(section, '')) OVER (PARTITION BY course_id ORDER BY idx) AS was FROM li JOIN co USING (course_id) WHERE chosen),
+    op AS (SELECT * FROM ch WHERE kind = 'season' AND (was IS NULL OR was <> coalesce(section, ''))),
+    ln AS (SELECT course_id, 0 AS p, 0 AS i, 0 AS s, '> 课程：' || {_INDEX_TEXT.format('title')} || '（' || CASE kind WHEN 'pages' THEN 'B站' ELSE '合集' END || '，UP主：' || {_INDEX_TEXT.format('owner')} || '）' AS line FROM he
+      UNION ALL SELECT course_id, 0, 0, 1, '> 来源：' || source_url FROM he
+      UNION ALL SELECT course_id, 0, 0, 2, '> 进度：完成 ' || done || '/' || n || '，失败 ' || failed || '，待做 ' || pending || '，进行中 ' || running || '；总集 ' || total || '，约 ' || CAST(hours AS DECIMAL(18,1)) || ' 小时；更新时间：now' FROM he
+      UNION ALL SELECT course_id, 0, 0, 3, '> 复习：[概念表](' || replace(concepts_file, ' ', '%20') || ')（' || concepts || ' 个概念，已掌握 ' || least(mastered, concepts) || '）｜[课程自测](' || quiz_file || ')（' || questions || ' 题）' FROM he WHERE concepts_file IS NOT NULL
+      UNION ALL SELECT course_id, x.p, 0, x.s, x.line FROM he, (VALUES {_LISTS}) x(p, s, line)
+      UNION ALL SELECT course_id, 0, 0, x.s, x.line FROM he, (VALUES (7, '{op.INDEX_HEADER[0]}'), (8, '{op.INDEX_HEADER[1]}')) x(s, line) WHERE kind = 'pages'
+      UNION ALL SELECT course_id, 1, idx, 0, '### ' || CASE WHEN coalesce(section, '') <> '' THEN section ELSE '未分组' END FROM op
+      UNION ALL SELECT course_id, 1, idx, x.s, x.line FROM op, (VALUES (1, ''), (2, '{op.INDEX_HEADER[0]}'), (3, '{op.INDEX_HEADER[1]}')) x(s, line)
+      UNION ALL SELECT course_id, 1, idx, 4, '| ' || idx || ' | ' || {_INDEX_TEXT.format('title')} || ' | ' || {_CLOCK} || ' | ' || {_LABEL} || ' | ' || CASE WHEN note IS NOT NULL THEN '[笔记](' || replace(note, ' ', '%20') || ')' ELSE '—' END
+                || ' | [视频]({op.INDEX_VIDEO}' || bvid || '?p=' || page || ') |' FROM ch
+      UNION ALL SELECT course_id, 3, idx, 0, '+ 第 ' || idx || ' 集 ' || {_INDEX_TEXT.format('title')} || '；原因：' || coalesce(reason, '') || '；下一步：' || next_step FROM ch WHERE status = 'failed'
+      UNION ALL SELECT course_id, 3, idx, 1, '  补跑：`' || coalesce(rerun, '') || '`' FROM ch WHERE status = 'failed'
+      UNION ALL SELECT course_id, 3, 0, 0, '无失败集。' FROM he WHERE failed = 0
+      UNION ALL SELECT course_id, 4, 0, 3, '共 ' || total - n || ' 集；可运行 start ' || root || ' --range A-B 选择范围。' FROM he)
+    SELECT course_id, row_number() OVER (PARTITION BY course_id ORDER BY p, i, s) AS line_no, line FROM ln""")
+def _(t):
+    return op.course_index(t.sql(_COURSES), t.sql(_LISTED, items=items(t)), "now")
+
+
 _DONE = """SELECT course_id, idx, cid AS note_id, CASE WHEN cid % 4 = 0 THEN 'stale' ELSE sha2(note, 256) END AS gate_sha, CASE WHEN cid % 9 = 0 THEN 'v3' ELSE 'v4' END AS gate_template, 'v4' AS template FROM {items} WHERE status = 'done'"""
 _CURRENT = "SELECT cid AS note_id, sha2(note, 256) AS sha FROM {items} WHERE cid % 7 > 0"
 _STALE = IN + f""",

@@ -41,6 +41,30 @@ def _values(rows, source):
     return ", ".join("('%s', %d, '%s', '%s')" % (source, c, r, n) for c, r, n in rows)
 
 
+COMMON["probe_runs"] = """
+    SELECT CAST(floor(event_id / 500) AS BIGINT) AS run_id, event_id AS pos, CASE user_id % 4 WHEN 0 THEN 'bilibili' WHEN 1 THEN 'youtube' WHEN 2 THEN 'douyin' ELSE 'xiaohongshu' END AS platform,
+           CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'RuntimeError: 412' WHEN 1 THEN '链接缺少 xsec_token' ELSE '视频不存在或已删除' || props END ELSE '' END AS error,
+           CAST(floor(value) AS BIGINT) AS seconds, 'https://v/' || CAST(event_id AS STRING) AS url, props || '|x' AS detail
+    FROM {events}"""
+_PCT = "CAST(round_even(round_even(CASE WHEN total > link THEN ok / (total - link) ELSE 0 END, 3) * 100, 0) AS INT) || '%'"
+_REPORT = with_inputs("probe_runs") + f""",
+    c AS (SELECT *, {_CAT} AS category FROM probe_runs),
+    pe AS (SELECT run_id, platform, count(*) AS total, count(*) FILTER (category = 'ok') AS ok, count(*) FILTER (category = 'link') AS link, min(pos) AS pos FROM c GROUP BY ALL),
+    wh AS (SELECT run_id, sum(total)::BIGINT AS total, sum(ok)::BIGINT AS ok, sum(link)::BIGINT AS link FROM pe GROUP BY 1),
+    ln AS (SELECT run_id, 0 AS p, 0 AS pos, '**整体成功率 ' || {_PCT} || '**（' || ok || ' / ' || total - link || '，不含链接失效 ' || link || ' 条）' AS line FROM wh
+           UNION ALL SELECT run_id, x.p, 0, x.line FROM wh, (VALUES (1, ''), (2, '{probes.REPORT_TABLE[0]}'), (3, '{probes.REPORT_TABLE[1]}'), (5, ''), (6, '{probes.REPORT_DETAIL[0]}'), (7, '{probes.REPORT_DETAIL[1]}')) x(p, line)
+           UNION ALL SELECT run_id, 4, pos, '| ' || platform || ' | ' || ok || ' / ' || total - link || ' | ' || {_PCT} || ' | ' || link || ' |' FROM pe
+           UNION ALL SELECT run_id, 8, pos, '| ' || platform || ' | ' || CASE category WHEN 'ok' THEN '✅' WHEN 'link' THEN '⚠️ 链接失效' ELSE '❌ 平台故障' END || ' | ' || seconds || ' | ' || url || ' | '
+                     || replace(replace(CASE category WHEN 'ok' THEN detail ELSE error END, '|', chr(92) || '|'), chr(10), ' ') || ' |' FROM c
+           UNION ALL SELECT run_id, 9, 0, '' FROM wh WHERE link > 0 UNION ALL SELECT run_id, 10, 0, '{probes.REPORT_HINT}' FROM wh WHERE link > 0)
+    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY p, pos) AS line_no, line FROM ln"""
+
+
+@REG.query("probe_report", _REPORT)
+def _(t):
+    return probes.probe_report(probes.classify_failures(frame(t, "probe_runs")))
+
+
 @REG.query("explain_failures", f"""WITH f AS ({_FAILURES.replace('{events}', 'events')}), k(source, code, reason, next_step) AS (VALUES {_values(probes.HTTP_HINTS, 'http')}, {_values(probes.BUSINESS_CODES, 'business')}),
     j AS (SELECT f.*, coalesce(reason, CASE WHEN f.source = 'http' THEN '{probes.HTTP_DEFAULT[0]}' ELSE '{probes.BUSINESS_DEFAULT[0]}' END) AS r,
                  coalesce(next_step, CASE WHEN f.source = 'http' THEN '{probes.HTTP_DEFAULT[1]}' ELSE '{probes.BUSINESS_DEFAULT[1]}' END) AS n FROM f LEFT JOIN k ON k.source = f.source AND k.code = f.code)
