@@ -4,8 +4,8 @@ White space becomes a mark, a mark is put in front, and pieces are found by back
 longest piece at each character; a piece stands only if it is compatible with the one before it, that is if merging the
 characters of both again gives just these two; else a shorter one is tried and, when none is left, the piece before is
 taken back. A bitfield holds the positions that failed, so the work is linear. Characters that no piece holds become
-one id per byte. Where no piece of the model runs on from a word into the mark of the next, words are encoded one by one
-and remembered; else a text is one word.
+one id per byte. Texts are cut where no piece of the model runs on (as between letters and the mark of the next word), the
+words between the cuts are encoded one by one and remembered; a model without such places gets whole texts.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import ahocorasick
@@ -156,16 +156,38 @@ class PieceCodec(PieceModel):
         self.tokens = set(self.id) | {c for p in self.id for c in p}
         self.automaton = ahocorasick.Automaton()
         for p in self.tokens:
-            self.automaton.add_word(p, (len(p) - 1, p))
+            if len(p) > 1:  # single characters need no search
+                self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
-        across = any(MARK in p.lstrip(MARK) for p in self.id)
-        self.words = (lambda text: [text]) if across else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.words = self.parts()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.made: dict[str, tuple[list[tuple[float, str]], list[tuple[float, str]]] | None] = {}
         self.shorter: dict[str, str] = {}
 
+    def parts(self) -> Callable[[str], list[str]]:
+        """Cuts a text where no piece of the model runs on, so that nothing is ever merged across a cut.
+
+        Characters that stand beside each other in pieces belong together; cuts are before marks (after any other
+        character) and between the largest such set, as a rule the letters, and the others of more than one.
+        """
+        if any(MARK in p.lstrip(MARK) for p in self.id):
+            return lambda text: [text]
+        group: dict[str, set[str]] = {}
+        for p in self.id:
+            for a, b in zip(p.lstrip(MARK), p.lstrip(MARK)[1:]):
+                one, two = group.setdefault(a, {a}), group.setdefault(b, {b})
+                if one is not two:
+                    one, two = sorted((one, two), key=len)
+                    two |= one
+                    group.update(dict.fromkeys(one, two))
+        largest = max(group.values(), key=len, default=set())
+        others = "".join(re.escape(c) for c in sorted(group) if group[c] is not largest)
+        if not others:
+            return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        return re.compile(f"{MARK}*(?:[^{MARK}{others}]+|[{others}]+)|{MARK}+").findall
+
     def merges(self, token: str) -> tuple[list[tuple[float, str]], list[tuple[float, str]]] | None:
         """How a token is made of its characters, the best score first and among equal ones the leftmost.
 
@@ -227,7 +249,7 @@ class PieceCodec(PieceModel):
 
     def split(self, word: str) -> list[str]:
         """The pieces of a word; a character that no piece holds stands by itself."""
-        longest = [""] * len(word)
+        longest = [c if c in self.tokens else "" for c in word]
         for end, (reach, token) in self.automaton.iter(word):
             longest[end - reach] = token  # ends ascend, so the last match of a start is its longest
         fits, shorter = self.fits, self.shorter
