@@ -299,7 +299,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataF
         counts = stored(phrase_counts(relation, size).where(F.col("a") >= least), f"c{size + 1}")
         found.append(_phrases(counts, size + 1))
         if size + 1 < LONGEST:
-            relation = stored(extended(relation, size, phrase_filter(counts, size + 1)), f"r{size + 1}")
+            # relations shrink from level to level: without partitions of full size, partial counts would stay apart
+            relation = stored(extended(relation, size, phrase_filter(counts, size + 1)).hint("rebalance"), f"r{size + 1}")
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
