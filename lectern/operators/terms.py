@@ -35,6 +35,16 @@ TECH_WORDS = (
 TECH_CATEGORY, GENERAL_CATEGORY = "编程", "通用"
 
 
+def fold(c: Column) -> Column:
+    """The form in which texts and dictionary words are compared: lower case, character by character.
+
+    Plain lower-casing depends on the neighbours of a capital sigma and makes two characters of one
+    letter only (dotted capital I); both are replaced first, so that the length never changes and a
+    character is folded alike in every place, text and dictionary.
+    """
+    return F.lower(F.translate(c, "Σςİ", "σσi"))
+
+
 def main_word(correct: Column) -> Column:
     """The word before a bracketed explanation."""
     return tx.strip(F.regexp_extract(correct, r"^[^（(]*", 0))
@@ -64,7 +74,7 @@ def merge_glossary_layers(glossary: DataFrame) -> DataFrame:
 def active_entries(
     glossary: DataFrame, categories: Sequence[str] | None = None, topic: str | None = None,
 ) -> DataFrame:
-    """Entries that take part in a scan, one per area and lower-cased key.
+    """Entries that take part in a scan, one per area and folded key.
 
     ``categories`` narrows both areas, ``topic`` only the candidates. The later layer or
     load wins; ``first_ord`` keeps where the key appeared first.
@@ -76,7 +86,7 @@ def active_entries(
     if topic is not None:
         rows = rows.filter((F.col("area") == OFFICIAL) | (F.col("category") == topic))
     load = F.struct("layer", "ord")
-    best = rows.groupBy("area", F.lower("wrong").alias("key")).agg(
+    best = rows.groupBy("area", fold(F.col("wrong")).alias("key")).agg(
         F.max_by(F.struct("wrong", "right", "category", "layer", "hits"), load).alias("e"),
         F.min(load).alias("first_ord"),
     )
@@ -98,31 +108,17 @@ def _check_keys(keys: DataFrame) -> None:
         raise ValueError(f"dictionary words must not hold line breaks: {bad}")
 
 
-def _spellings(letters: set[str]) -> dict[str, list[str]]:
-    """All characters whose lower case is one of the letters, so that both forms compare alike."""
-    found: dict[str, list[str]] = {}
-    for c in map(chr, range(0x110000)):
-        if (low := c.lower()) in letters:
-            found.setdefault(low, []).append(c)
-    return found
-
-
 def _trie_regex(keys: Sequence[str]) -> str:
-    """One pattern that matches the longest key at each position, shared prefixes once."""
+    """One pattern for folded texts that matches the longest key at each position, shared prefixes once."""
     root: dict = {}
     for key in keys:
         node = root
         for ch in key:
             node = node.setdefault(ch, {})
         node[""] = {}
-    spelt = _spellings({ch for key in keys for ch in key})
-
-    def one(ch: str) -> str:
-        options = spelt.get(ch, [ch])
-        return re.escape(options[0]) if len(options) == 1 else "(?:" + "|".join(map(re.escape, options)) + ")"
 
     def render(node: dict) -> str:
-        branches = [one(ch) + render(child) for ch, child in node.items() if ch]
+        branches = [re.escape(ch) + render(child) for ch, child in node.items() if ch]
         if not branches:
             return ""
         body = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
@@ -132,7 +128,7 @@ def _trie_regex(keys: Sequence[str]) -> str:
 
 
 class Dictionary:
-    """Scan keys as Column expressions, for dictionaries of a checked size.
+    """Scan keys as a pattern, for dictionaries of a checked size.
 
     ``load`` reads at most ``MAX_INLINE_KEYS + 1`` rows and returns None beyond the bound;
     callers then match by joins, with the same hits and errors.
@@ -147,20 +143,34 @@ class Dictionary:
         rows = keys.limit(MAX_INLINE_KEYS + 1).collect()
         return cls(rows) if len(rows) <= MAX_INLINE_KEYS else None
 
-    def entry(self, match: Column) -> Column:
-        """``right``, ``category`` and ``candidate`` of a match."""
+    def table(self, keys: DataFrame) -> DataFrame:
+        """The loaded rows, of which there are few enough to send to every task."""
+        return F.broadcast(keys.sparkSession.createDataFrame(self.rows, keys.schema))
+
+    def replacement(self, match: Column) -> Column:
+        """Official replacement of a folded match, NULL for candidates."""
         by_head: dict[str, list] = {}
         for r in self.rows:
-            value = F.struct(F.lit(r["right"]).alias("right"), F.lit(r["category"]).alias("category"), F.lit(r["candidate"]).alias("candidate"))
-            by_head.setdefault(r["key"][0], []).extend((F.lit(r["key"]), value))
+            if not r["candidate"]:
+                by_head.setdefault(r["key"][0], []).extend((F.lit(r["key"]), F.lit(r["right"])))
+        if not by_head:
+            return F.lit(None).cast("string")
         nested = F.create_map(*[x for h, kv in by_head.items() for x in (F.lit(h), F.create_map(*kv))])
-        low = F.lower(match)
-        return F.try_element_at(F.try_element_at(nested, F.substring(low, 1, 1)), low)
+        return F.try_element_at(F.try_element_at(nested, F.substring(match, 1, 1)), match)
 
-    def replacement(self, match: Column) -> Column:
-        """Official replacement of a match, NULL for candidates."""
-        found = self.entry(match)
-        return F.when(~found["candidate"], found["right"])
+    def found(self, rows: DataFrame, text: str) -> DataFrame:
+        """Adds ``spans``: place, length and folded word of each match, from left to right.
+
+        Matches are looked for in the folded text, which has the same length; the places are the
+        running sum of the lengths of gaps and matches.
+        """
+        matched = staged(rows.withColumn("_low", fold(F.col(text))), _m=F.regexp_extract_all("_low", F.lit(self.pattern), F.lit(0)),
+                         _g=F.split("_low", self.pattern, -1))
+        spans = F.expr("""aggregate(zip_with(_m, slice(_g, 1, size(_m)), (m, g) -> named_struct('m', m, 'gap', length(g))),
+            named_struct('at', 1, 's', cast(array() AS array<struct<pos: int, n: int, key: string>>)),
+            (s, x) -> named_struct('at', s.at + x.gap + length(x.m), 's', array_append(s.s, named_struct('pos', s.at + x.gap, 'n', length(x.m), 'key', x.m))),
+            s -> s.s)""")
+        return staged(matched, spans=spans).drop("_low", "_m", "_g")
 
 
 def _units(docs: DataFrame, key: str) -> DataFrame:
@@ -185,37 +195,54 @@ def _units(docs: DataFrame, key: str) -> DataFrame:
     return base.select(key, F.posexplode("a").alias("unit_no", "x")).select(key, "unit_no", "x.*")
 
 
-def _with_context(hits: DataFrame) -> DataFrame:
-    """``left`` and ``rest`` of a hit to the bracketed context on one line."""
-    ctx = F.concat(F.expr(f"right(concat(before, left), {CONTEXT})"), F.lit("【"), "wrong", F.lit("】"),
-                   F.expr(f"left(concat(rest, after), {CONTEXT})"))
-    return hits.withColumn("context", F.regexp_replace(ctx, r"[\r\n]", " "))
+_HIT = ("ts", "wrong", "right", "category", "candidate", "context")
+_SPAN = f"""named_struct('pos', x.pos, 'n', x.n, 'key', x.key, 'ts', ts, 'wrong', substring(unit, x.pos, x.n), 'context', translate(concat(
+    right(concat(before, substring(unit, greatest(1, x.pos - {CONTEXT}), least(x.pos - 1, {CONTEXT}))), {CONTEXT}), '【', substring(unit, x.pos, x.n), '】',
+    left(concat(substring(unit, x.pos + x.n, {CONTEXT}), after), {CONTEXT})), '\r\n', '  '))"""
+#: Bits of the filter of key beginnings, and characters of a beginning at most.
+FILTER_BITS, HEAD = 1 << 20, 3
 
 
-_HIT = ("ts", "wrong", "right", "category", "candidate", "context")
+def _begins_key(keys: DataFrame, sizes: Sequence[int]) -> str:
+    """Condition on the characters ``ch`` and a place ``i``: a key may begin there.
+
+    The beginnings of all keys are put into a bit array of fixed size, which stands in the
+    expression; a place that it lets through by chance is dropped by the join.
+    """
+    head = min(min(sizes), HEAD)
+    bit = f"pmod(xxhash64({{}}), {FILTER_BITS})"
+    slots = keys.select(F.expr(bit.format(f"substring(key, 1, {head})")).alias("b")).groupBy(F.expr("b div 64").alias("slot")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int)))").alias("bits")).collect()
+    words = [0] * (FILTER_BITS // 64)
+    for r in slots:
+        words[r.slot] = r.bits & (2**64 - 1)
+    table = b"".join(w.to_bytes(8, "little") for w in words).hex()
+    here = bit.format("concat(" + ", ".join(f"coalesce(get(ch, i + {k}), '')" for k in range(head)) + ")")
+    byte = f"ascii(decode(substring(X'{table}', cast({here} div 8 AS int) + 1, 1), 'ISO-8859-1'))"
+    return f"({byte} & shiftleft(1, cast({here} % 8 AS int))) > 0"
 
 
 def _joined_matches(units: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Leftmost-longest matches per unit for dictionaries of any size, as a join.
 
-    Every position opens one gram per key length; the equi-join leaves true candidates, the
-    longest per position is kept, and a fold per unit (a piece of one line) drops overlaps.
+    Inside the row, the places where a key may begin open one gram per key length; the equi-join
+    leaves true matches, and a fold per unit (a piece of one line) keeps the longest per place and
+    drops overlaps. Only grams with their context are shuffled, never texts.
     """
     # A dictionary has few distinct key lengths; they are the only thing read to the driver.
     sizes = sorted(r["n"] for r in keys.select(F.length("key").alias("n")).distinct().collect())
-    grams = units.select(
-        key, "unit_no", "unit", F.length("unit").alias("len"),
-        F.explode(F.array(*map(F.lit, sizes))).alias("n"),
-    ).filter("n <= len").select(
-        key, "unit_no", "unit", "n", F.explode(F.expr("sequence(1, len - n + 1)")).alias("pos")
-    ).select(key, "unit_no", "pos", "n", F.expr("lower(substring(unit, pos, n))").alias("key"))
-    found = grams.join(keys.select("key"), "key", "left_semi")
-    longest = found.groupBy(key, "unit_no", "pos").agg(F.max("n").alias("n"))
-    per_unit = longest.groupBy(key, "unit_no").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("c")
-    )
-    kept = F.expr("""aggregate(c, slice(c, 1, 0), (s, x) ->
-        IF(x.pos >= coalesce(try_element_at(s, -1).pos + try_element_at(s, -1).n, 1), array_append(s, x), s))""")
+    if not sizes:
+        return units.limit(0).select(key, "unit_no", F.expr("cast(array() AS array<struct<pos: int, n: int, key: string, ts: string, wrong: string, context: string>>)").alias("hits"))
+    rows = staged(units.withColumn("_low", fold(F.col("unit"))), ch=F.split("_low", ""))
+    places = staged(rows, at=F.expr(f"filter(sequence(0, size(ch) - 1), i -> {_begins_key(keys, sizes)})"))
+    grams = F.expr(f"""flatten(transform(at, i -> transform(filter(array({', '.join(map(str, sizes))}), n -> i + n <= size(ch)),
+        n -> named_struct('pos', i + 1, 'n', n, 'key', array_join(slice(ch, i + 1, n), '')))))""")
+    opened = staged(places, x=grams).select(key, "unit_no", F.explode(F.expr(f"transform(x, x -> {_SPAN})")).alias("h"))
+    found = opened.join(keys.select(F.col("key").alias("_k")), F.col("h.key") == F.col("_k"), "left_semi")
+    per_unit = found.groupBy(key, "unit_no").agg(F.sort_array(F.collect_list("h")).alias("c"))
+    kept = F.expr("""aggregate(c, slice(c, 1, 0), (s, x) -> CASE
+        WHEN size(s) > 0 AND x.pos = element_at(s, -1).pos THEN array_append(slice(s, 1, size(s) - 1), x)
+        WHEN x.pos >= coalesce(try_element_at(s, -1).pos + try_element_at(s, -1).n, 1) THEN array_append(s, x) ELSE s END)""")
     return per_unit.select(key, "unit_no", kept.alias("hits"))
 
 
@@ -229,68 +256,46 @@ def scan_terms(docs: DataFrame, keys: DataFrame, key: str = "doc_id", inline: bo
     small = Dictionary.load(keys) if inline is not False else None
     units = _units(docs, key)
     if small is None:
-        hits = units.join(_joined_matches(units, keys, key), [key, "unit_no"])
-        hits = hits.select(key, "unit_no", "ts", "unit", "before", "after",
-                           F.posexplode("hits").alias("_i", "h"))
-        hits = hits.select(
-            key, "unit_no", (F.col("_i") + 1).alias("hit_no"), "ts", "before", "after",
-            F.expr("substring(unit, h.pos, h.n)").alias("wrong"),
-            F.expr("substring(unit, 1, h.pos - 1)").alias("left"),
-            F.expr("substring(unit, h.pos + h.n, length(unit))").alias("rest"),
-        )
+        hits, table = _joined_matches(units, keys, key), keys
+    elif small.pattern is None:  # an empty dictionary has no hits
+        return units.limit(0).join(keys, F.lit(False)).select(
+            key, "unit_no", F.lit(0).alias("hit_no"), "ts", F.col("unit").alias("wrong"), "right", "category", "candidate",
+            F.col("unit").alias("context"))
     else:
-        if small.pattern is None:  # an empty dictionary has no hits
-            return units.limit(0).join(keys, F.lit(False)).select(
-                key, "unit_no", F.lit(0).alias("hit_no"), "ts", F.col("unit").alias("wrong"), "right", "category", "candidate",
-                F.col("unit").alias("context"))
-        pattern = F.lit(small.pattern)
-        found = staged(units, m=F.regexp_extract_all("unit", pattern, F.lit(0)), g=F.split("unit", small.pattern, -1))
-        # A hit sees at most CONTEXT neighbours on each side, so the slices are bounded.
-        hits = found.select(key, "unit_no", "ts", "before", "after", "m", "g",
-                            F.posexplode("m").alias("_i", "wrong"))
-        n = CONTEXT
-        hits = hits.select(
-            key, "unit_no", (F.col("_i") + 1).alias("hit_no"), "ts", "before", "after", "wrong",
-            F.expr(f"""concat(array_join(zip_with(slice(g, greatest(1, _i + 1 - {n}), least(_i, {n})),
-                slice(m, greatest(1, _i + 1 - {n}), least(_i, {n})), (a, b) -> concat(a, b)), ''),
-                element_at(g, _i + 1))""").alias("left"),
-            F.expr(f"""concat(element_at(g, _i + 2), array_join(zip_with(slice(m, _i + 2, {n}),
-                slice(g, _i + 3, {n}), (a, b) -> concat(a, b)), ''))""").alias("rest"),
-        )
-    hits = _with_context(hits)
-    if small is None:
-        return hits.withColumn("key", F.lower("wrong")).join(keys, "key").select(key, "unit_no", "hit_no", *_HIT)
-    # the dictionary stands in the expression, so that hits are not shuffled by word
-    return staged(hits, e=small.entry(F.col("wrong"))).select(
-        key, "unit_no", "hit_no", "ts", "wrong", "e.right", "e.category", "e.candidate", "context")
+        hits = small.found(units, "unit").select(key, "unit_no", F.expr(f"transform(spans, x -> {_SPAN})").alias("hits"))
+        table = small.table(keys)
+    rows = hits.select(key, "unit_no", F.posexplode("hits").alias("_i", "h")).select(
+        key, "unit_no", (F.col("_i") + 1).alias("hit_no"), "h.ts", "h.wrong", "h.context", F.col("h.key").alias("_key"))
+    return rows.join(table.withColumnRenamed("key", "_key"), "_key").select(key, "unit_no", "hit_no", *_HIT)
 
 
 def apply_terms(docs: DataFrame, keys: DataFrame, key: str = "doc_id", inline: bool | None = None) -> DataFrame:
     """Texts with official hits replaced; candidates stay, new text is not matched again."""
     _check_keys(keys)
     small = Dictionary.load(keys) if inline is not False else None
+    weave = """aggregate({hits}, named_struct('at', 1, 'out', cast(array() AS array<string>)), (s, x) ->
+        named_struct('at', x.pos + x.n, 'out', concat(s.out, array(substring({text}, s.at, x.pos - s.at), x.right))),
+        s -> concat(array_join(s.out, ''), substring({text}, s.at, length({text}))))"""
     if small is not None:
         if small.pattern is None:
             return docs.select(key, "text")
-        pattern = small.pattern
-        gaps = F.split("text", pattern, -1)
-        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        fixed = F.transform("m", lambda m: F.coalesce(small.replacement(m), m))
-        woven = F.zip_with("g", fixed, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-        return staged(docs.select(key, "text"), g=gaps, m=found).select(key, F.array_join(woven, "").alias("text"))
+        found = small.found(docs.select(key, "text"), "text")
+        start = F.expr("transform(spans, (x, i) -> IF(i = 0, 1, spans[i - 1].pos + spans[i - 1].n))")
+        rows = staged(found, _from=start)
+        woven = F.zip_with("spans", "_from", lambda x, a: F.concat(
+            F.substring("text", a, x["pos"] - a), F.coalesce(small.replacement(x["key"]), F.substring("text", x["pos"], x["n"]))))
+        tail = F.expr("substring(text, coalesce(try_element_at(spans, -1).pos + try_element_at(spans, -1).n, 1), length(text))")
+        return rows.select(key, F.concat(F.array_join(woven, ""), tail).alias("text"))
     units = _units(docs, key)
-    hits = _joined_matches(units, keys, key).select(key, "unit_no", F.posexplode("hits").alias("_i", "h"))
-    words = units.join(hits, [key, "unit_no"]).select(
-        key, "unit_no", "h.pos", "h.n", F.expr("lower(substring(unit, h.pos, h.n))").alias("key")
-    ).join(keys.filter("NOT candidate").select("key", "right"), "key")
+    hits = _joined_matches(units, keys, key).select(key, "unit_no", F.explode("hits").alias("h"))
+    words = hits.select(key, "unit_no", "h.pos", "h.n", F.col("h.key").alias("_k")).join(
+        keys.filter("NOT candidate").select(F.col("key").alias("_k"), "right"), "_k")
     per_unit = words.groupBy(key, "unit_no").agg(
         F.sort_array(F.collect_list(F.struct("pos", "n", "right"))).alias("h")
     )
-    new = F.expr("""aggregate(coalesce(h, array()), named_struct('at', 1, 'out', ''), (s, x) ->
-        named_struct('at', x.pos + x.n, 'out', concat(s.out, substring(unit, s.at, x.pos - s.at), x.right)),
-        s -> concat(s.out, substring(unit, s.at, length(unit))))""")
+    # only units with hits are rewritten, the others stay as they are in their text
     fixed = units.join(per_unit, [key, "unit_no"], "left").select(
-        key, "unit_no", F.when(F.col("h").isNull(), F.col("unit")).otherwise(new).alias("unit"))
+        key, "unit_no", F.when(F.col("h").isNull(), F.col("unit")).otherwise(F.expr(weave.format(hits="coalesce(h, array())", text="unit"))).alias("unit"))
     text = fixed.groupBy(key).agg(F.expr("listagg(unit, '') WITHIN GROUP (ORDER BY unit_no)").alias("text"))
     return docs.select(key).join(text, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
@@ -309,7 +314,7 @@ def summarize_hits(hits: DataFrame, applied: bool, key: str = "doc_id") -> DataF
 
 def accumulate_hits(glossary: DataFrame, hits: DataFrame, active: DataFrame) -> DataFrame:
     """New glossary version: each distinct replaced key of the run counts one hit."""
-    used = hits.filter("NOT candidate").select(F.lower("wrong").alias("key")).distinct()
+    used = hits.filter("NOT candidate").select(fold(F.col("wrong")).alias("key")).distinct()
     owner = active.filter(F.col("area") == OFFICIAL).join(used, "key").select(*KEY_COLUMNS, F.lit(1).alias("_hit"))
     rows = glossary.join(owner, list(KEY_COLUMNS), "left")
     return rows.withColumn("hits", F.col("hits") + F.coalesce("_hit", F.lit(0))).drop("_hit")
@@ -346,8 +351,8 @@ def promote_terms(glossary: DataFrame, requests: DataFrame, day: str) -> DataFra
     The highest layer that holds the word among its candidates decides; more than one
     category there is ambiguous.
     """
-    cands = glossary.filter(F.col("area") == CANDIDATE).withColumn("key", F.lower("wrong"))
-    found = requests.withColumn("key", F.lower("word")).join(
+    cands = glossary.filter(F.col("area") == CANDIDATE).withColumn("key", fold(F.col("wrong")))
+    found = requests.withColumn("key", fold(F.col("word"))).join(
         cands.select("key", "layer", F.col("category").alias("cat"), "wrong", "correct", "hits", "source"), "key", "left")
     entry = F.struct("cat", "wrong", "correct", "hits", "source")
     fits = F.col("category").isNull() | (F.col("category") == F.col("cat"))
@@ -425,7 +430,7 @@ def prompt_terms(active: DataFrame, lang: str = "zh", limit: int = 20) -> DataFr
 
 def term_hits_flat(docs: DataFrame, flat: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hits of a flat ``(wrong, right)`` dictionary, without categories or candidates."""
-    keys = flat.groupBy(F.lower("wrong").alias("key")).agg(
+    keys = flat.groupBy(fold(F.col("wrong")).alias("key")).agg(
         F.max_by("right", "ord").alias("right")
     ).select("key", "right", F.lit("").alias("category"), F.lit(False).alias("candidate"))
     return scan_terms(docs, keys, key).drop("category", "candidate")

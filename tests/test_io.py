@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from lectern.operators import course
 from lectern.sources import readers, writers
 from lectern.streaming import incremental
@@ -48,32 +50,6 @@ def test_write_chunks_and_lines(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "l")).count() == 2
 
 
-def test_gate_stream_skips_unchanged(spark, tmp_path):
-    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    base = spark.createDataFrame([(1, 1, "n/1-a.md", None, "lecture", "bilibili", "BV1", "zh", None, NOTE)], NSCHEMA)
-
-    def push(df):
-        df.coalesce(1).write.mode("append").parquet(src)
-        q = incremental.gate_stream(spark, src, NSCHEMA, out, ck, availableNow=True)
-        q.awaitTermination(120)
-
-    push(base)
-    push(base.unionByName(base.selectExpr(*[("'# broken' AS text" if c == "text" else "2L AS note_id" if c == "note_id" else c) for c in base.columns])))
-    seen = spark.read.option("basePath", out).parquet(out)
-    assert seen.filter("note_id = 1").count() == 1
-    verdict = {r["note_id"]: r["ok"] for r in incremental.latest_verdicts(spark, out).collect()}
-    assert verdict == {1: True, 2: False}
-    # back to an older content, and another template with the same content: both are checked again
-    broken = base.selectExpr(*["'# broken' AS text" if c == "text" else c for c in base.columns])
-    push(broken)
-    assert {r["note_id"]: r["ok"] for r in incremental.latest_verdicts(spark, out).collect()} == {1: False, 2: False}
-    push(base)
-    assert {r["note_id"]: r["ok"] for r in incremental.latest_verdicts(spark, out).collect()} == {1: True, 2: False}
-    push(base.selectExpr(*["'v4' AS template" if c == "template" else c for c in base.columns]))
-    seen = spark.read.option("basePath", out).parquet(out)
-    assert seen.filter("note_id = 1").count() == 4
-
-
 def test_marks_stream_latest_wins(spark, tmp_path):
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     schema = "event_id long, course_id long, idx int, ts timestamp, state string, note string, gate_errors int, reason string"
@@ -114,3 +90,62 @@ def test_gray_picture_files(spark, tmp_path):
     odd = spark.createDataFrame([(1, 1, None), (1, 2, b""), (1, 3, b"P5 0 5 255\n")], "video_id long, t int, content binary")
     assert [r.error for r in readers.gray_errors(odd).orderBy("t").collect()] == ["no gray picture header", "no gray picture header", "no pixels"]
     assert readers.decode_gray(odd).count() == 0
+
+
+def test_readers_keep_the_old_version_until_the_pointer_moves(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    one, two = (spark.createDataFrame([(i, v)], "i int, v string") for i, v in ((1, "old"), (2, "new")))
+    with pytest.raises(FileNotFoundError):
+        writers.published(spark, root)
+    writers.publish(one, root)
+    reading = writers.published(spark, root)
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            writers.publish(two, root)
+    assert [tuple(r) for r in writers.published(spark, root).collect()] == [(1, "old")]
+    writers.publish(two, root)
+    assert [tuple(r) for r in writers.published(spark, root).collect()] == [(2, "new")]
+    assert [tuple(r) for r in reading.collect()] == [(1, "old")]  # a reader that began before goes on
+
+
+def test_published_partitions_are_replaced_together(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "p")
+
+    def rows(text, *keys):
+        return spark.createDataFrame([(v, p, text) for v, p in keys], "video_id long, page int, text string")
+
+    def seen():
+        return sorted((r.video_id, r.page, r.text) for r in writers.published_partitions(spark, root).collect())
+
+    writers.publish_partitions(rows("a", (1, 1), (1, 2), (2, 1)), root)
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            writers.publish_partitions(rows("lost", (1, 1)), root)
+    assert seen() == [(1, 1, "a"), (1, 2, "a"), (2, 1, "a")]
+    writers.publish_partitions(rows("b", (1, 2), (3, 1)), root)
+    assert seen() == [(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (3, 1, "b")]
+
+
+def test_gate_stream_equals_batch(spark, tmp_path):
+    """A-B-A, another template, a note that stays, restarts, a static side, and snapshots instead of old batches."""
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    base = spark.createDataFrame([(1, 1, "n/1-a.md", None, "lecture", "bilibili", "BV1", "zh", None, NOTE)], NSCHEMA)
+
+    def change(column, value):
+        return base.selectExpr(*[f"{value} AS {column}" if c == column else c for c in base.columns])
+
+    broken, other = change("text", "'# broken'"), change("template", "'v4'")
+    still = broken.selectExpr(*["2L AS note_id" if c == "note_id" else c for c in broken.columns])
+    transcripts = spark.createDataFrame([(1, 1, "[00:01] hello")], "video_id long, page int, text string")
+    batch = {name: incremental.note_verdicts(df, transcripts).collect()[0] for name, df in (("base", base), ("broken", broken), ("still", still))}
+    assert not batch["broken"].ok and batch["base"].sha != batch["broken"].sha
+    for n, (step, name) in enumerate([(base.union(still), "base"), (broken, "broken"), (base.union(still), "base"), (other, "base"), (other, "base")]):
+        step.coalesce(1).write.mode("append").parquet(src)
+        incremental.gate_stream(spark, src, NSCHEMA, out, ck, transcripts=transcripts, snapshot_every=2, availableNow=True).awaitTermination(180)
+        got = {r.note_id: r for r in incremental.latest_verdicts(spark, out).collect()}
+        assert all(getattr(got[1], c) == getattr(batch[name], c) for c in ("sha", "errors", "warnings", "ok", "first_errors"))
+        assert got[1].template == ("v4" if n > 2 else "") and got[2].sha == batch["still"].sha
+    assert spark.read.option("basePath", out).parquet(out).groupBy("note_id").count().orderBy("note_id").collect() == [(1, 4), (2, 1)]
+    assert int(writers.current_version(spark, f"{out}-snapshot")) >= 3

@@ -335,3 +335,47 @@ def test_timeline_does_not_depend_on_slices(spark):
     cuts = [r[1] for r in results[0] if r[0] == 1 and r[2]]
     assert len(cuts) > 5 and all(b - a > 3 for a, b in zip(cuts, cuts[1:]))
     assert [r[3] for r in results[0] if r[0] == 1] == [sum(0 < c <= t for c in cuts) for t in range(70)]
+
+
+def test_both_dictionary_forms_match_alike(spark):
+    """Against a plain search, on letters whose lower case depends on neighbours, has several sources or changes length."""
+    import random
+
+    rng = random.Random(11)
+    letters = "ΟΔΣσςοδİiıIKkKÅåẞßſsS𐐀𐐨日ab́ "
+
+    def fold(text):
+        return "".join({"Σ": "σ", "ς": "σ", "İ": "i"}.get(c, c.lower()) for c in text)
+
+    def some(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    wrongs = {some(rng.randint(1, 4)) for _ in range(60)} | {"οδος", "ΟΔΟΣ", "i", "sß"}
+    wrongs = sorted(w for w in wrongs if w.strip())
+    rows = [(0, "categories" if i % 3 else "candidates", "c", w, f"R{i}", 0, "t", False, i) for i, w in enumerate(wrongs)]
+    glossary = spark.createDataFrame(rows, "layer int, area string, category string, wrong string, correct string, hits long, source string, disabled boolean, ord long")
+    keys = terms.scan_keys(terms.active_entries(glossary))
+    table = {r.key: r for r in keys.collect()}
+    assert set(table) == {fold(w) for w in wrongs}
+    texts = [(i, "".join(some(rng.randint(0, 30)) + rng.choice(["", "\n", "[00:05]"]) for _ in range(rng.randint(0, 5)))) for i in range(60)] + [(98, ""), (99, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want, fixed = [], {98: "", 99: None}
+    for i, text in texts[:-2]:
+        at, out, low = 0, [], fold(text)
+        while at < len(text):
+            n = next((n for n in range(4, 0, -1) if low[at:at + n] in table and "\n" not in low[at:at + n]), 0)
+            if n:
+                hit = table[low[at:at + n]]
+                want.append((i, text[at:at + n], hit.right, hit.candidate))
+                out.append(text[at:at + n] if hit.candidate else hit.right)
+            else:
+                out.append(text[at])
+            at += n or 1
+        fixed[i] = "".join(out)
+    for inline in (True, False):
+        hits = terms.scan_terms(docs, keys, inline=inline).orderBy("doc_id", "unit_no", "hit_no").collect()
+        assert [(r.doc_id, r.wrong, r.right, r.candidate) for r in hits] == want
+        applied = {r.doc_id: r.text for r in terms.apply_terms(docs, keys, inline=inline).collect()}
+        assert {k: v or "" for k, v in applied.items()} == {k: v or "" for k, v in fixed.items()}
+    both = [sorted(map(tuple, terms.scan_terms(docs, keys, inline=x).collect()), key=str) for x in (True, False)]
+    assert both[0] == both[1]
