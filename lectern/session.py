@@ -43,17 +43,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
-def durable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor re-reads files.
+def work_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and working tables.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    local session without it (tests on one machine) gets a temporary folder.
+    It is the one the cluster names in ``spark.checkpoint.dir``; only a local session without it
+    (tests on one machine) gets a temporary folder.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def durable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, so a lost executor re-reads files."""
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -6,58 +6,95 @@ executor or driver replaces its own output and nothing is counted twice.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lectern.operators import lint
 from lectern.operators.course import mark_outcome
+from lectern.session import durable_checkpoint
+from lectern.sources.writers import current_version, publish, published
 
 
-def newest(rows: DataFrame, *keys: str) -> DataFrame:
-    """The row of the highest batch of each key."""
-    cols = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("v")).select(*keys, "v.*")
+def note_verdicts(notes: DataFrame, transcripts: DataFrame | None = None, inventory: DataFrame | None = None,
+                  manifest: DataFrame | None = None) -> DataFrame:
+    """Verdict per note by all rules for which there is data: of the text, the transcripts and the images."""
+    verdicts = lint.gate_summary(notes, lint.lint_notes(notes, transcripts, inventory, manifest))
+    return verdicts.join(notes.select("note_id", F.coalesce("template", F.lit("")).alias("template")), "note_id")
 
 
-def gate_batch(notes: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Verdicts of the notes whose content or template differs from their latest verdict.
+_SEEN = "note_id long, row string"
+_STATE = "sha string, template string"
 
-    ``known`` holds all earlier verdicts with their batch; a note that returns to an older
-    content is checked again.
-    """
-    template = F.coalesce("template", F.lit(""))
-    fresh = notes.withColumn("_sha", F.sha2("text", 256)).withColumn("_template", template)
-    if known is not None:
-        latest = newest(known.select("note_id", F.col("sha").alias("_sha"), F.col("template").alias("_template"), "batch"), "note_id")
-        fresh = fresh.join(latest, ["note_id", "_sha", "_template"], "left_anti")
-    fresh = fresh.drop("_sha", "_template")
-    verdicts = lint.gate_summary(fresh, lint.text_findings(lint.parse_notes(fresh)))
-    return verdicts.join(fresh.select("note_id", template.alias("template")), "note_id")
 
+def _changed(key, frames, state):
+    """Keeps the hash and template last seen of a note; gives its newest version if that differs."""
+    last = None
+    for rows in frames:  # one version is held at a time, however many arrive together
+        rows = pd.concat([last, rows]) if last is not None else rows
+        last = rows.sort_values(["version", "sha", "template"], kind="stable").iloc[-1:]
+    now = (last["sha"].iloc[0], last["template"].iloc[0])
+    if not (state.exists and state.get == now):
+        state.update(now)
+        yield last[["note_id", "row"]]
 
-def _has_output(spark: SparkSession, path: str) -> bool:
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
 
+def changed_notes(stream: DataFrame, version: str | None = None) -> DataFrame:
+    """Of a stream of notes, those whose content or template differs from the last seen; whole rows.
 
-def gate_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Re-check arriving notes; a note as in its latest verdict is skipped. Verdicts go to ``out/batch=<id>``."""
-    stream = spark.readStream.schema(schema).parquet(source)
+    The state of a note is its last hash and template, so a return to an older content counts as a
+    change and no earlier output is read. Of several versions in one batch the last by the column
+    ``version`` counts (without one, the greatest hash).
+    """
+    schema = stream.schema
+    keyed = stream.where("note_id IS NOT NULL").select(
+        F.col("note_id").cast("long").alias("note_id"), (F.col(version).cast("string") if version else F.lit("")).alias("version"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.coalesce("template", F.lit("")).alias("template"), F.to_json(F.struct("*")).alias("row"))
+    keyed = keyed.withColumn("version", F.coalesce("version", F.lit("")))
+    fresh = keyed.groupBy("note_id").applyInPandasWithState(_changed, _SEEN, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return fresh.select(F.from_json("row", schema).alias("r")).select("r.*")
+
+
+def gate_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, version: str | None = None,
+                transcripts: DataFrame | None = None, inventory: DataFrame | None = None, manifest: DataFrame | None = None,
+                snapshot_every: int = 100, **trigger) -> StreamingQuery:
+    """Re-check arriving notes; a note as last seen is skipped. Verdicts go to ``out/batch=<id>``.
+
+    Every ``snapshot_every`` batches the newest verdict of each note is published under
+    ``out-snapshot``, so that readers need the later batches only.
+    """
+    stream = changed_notes(spark.readStream.schema(schema).parquet(source), version)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        known = None
-        if _has_output(session, out):
-            # A batch that is being repeated must not see its own earlier output.
-            known = session.read.option("basePath", out).parquet(out).filter(F.col("batch") != batch_id)
-        gate_batch(batch, known).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        note_verdicts(durable_checkpoint(batch), transcripts, inventory, manifest).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if batch_id % snapshot_every == snapshot_every - 1:
+            rows = _verdict_rows(batch.sparkSession, out).filter(F.col("batch") <= batch_id)
+            publish(newest_rows(rows, "note_id"), f"{out}-snapshot", f"{batch_id:012d}")
+
+    return (stream.writeStream.outputMode("update").foreachBatch(run)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+
+def newest_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """The row of the highest batch of each key, with its batch."""
+    kept = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "batch").alias("v"))
+    return kept.select(*keys, "v.*")
+
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+def _verdict_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Verdicts with their batch: the published snapshot and the batches after it."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    done = current_version(spark, f"{out}-snapshot")
+    if done is None:
+        return rows
+    snapshot = published(spark, f"{out}-snapshot")
+    return snapshot.unionByName(rows.filter(F.col("batch") > int(done)).select(*snapshot.columns))
 
 
 def latest_verdicts(spark: SparkSession, out: str) -> DataFrame:
     """Newest verdict per note."""
-    return newest(spark.read.option("basePath", out).parquet(out), "note_id")
+    return newest_rows(_verdict_rows(spark, out), "note_id").drop("batch")
 
 
 def latest_marks(events: DataFrame) -> DataFrame:
@@ -80,4 +117,4 @@ def marks_stream(spark: SparkSession, source: str, schema: str, out: str, checkp
 
 def marks_snapshot(spark: SparkSession, out: str) -> DataFrame:
     """Current state per item from the batches written so far."""
-    return newest(spark.read.option("basePath", out).parquet(out), "course_id", "idx")
+    return newest_rows(spark.read.option("basePath", out).parquet(out), "course_id", "idx").drop("batch")
