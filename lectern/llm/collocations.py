@@ -100,10 +100,10 @@ class Tally:
 
     def __init__(self, size: int, word_texts: bool = False):
         self.names = ["lang", *[f"w{i}" for i in range(1, size + 1)], "a", *(["word"] if word_texts else [])]
-        self.parts: list[list[np.ndarray]] = []
+        self.parts: list[list[np.ndarray | pa.Array]] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray, lang: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def add(self, keys: np.ndarray, counts: np.ndarray, lang: np.ndarray, columns: list[np.ndarray | pa.Array]) -> Iterator[pa.RecordBatch]:
         self.parts.append([keys, counts, lang, *columns])
         self.held += len(keys)
         if self.held > 2 * TALLY:
@@ -112,18 +112,17 @@ class Tally:
                 yield from self.flush()
 
     def merge(self) -> None:
-        columns = [np.concatenate(c) for c in zip(*self.parts)]
+        columns = [pa.concat_arrays(c) if isinstance(c[0], pa.Array) else np.concatenate(c) for c in zip(*self.parts)]
         first, counts = grouped(columns[0], columns[1])
-        self.parts = [[columns[0][first], counts, *[c[first] for c in columns[2:]]]]
+        self.parts = [[columns[0][first], counts, *[c.take(pa.array(first)) if isinstance(c, pa.Array) else c[first] for c in columns[2:]]]]
         self.held = len(first)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             self.merge()
             _, counts, lang, *rest = self.parts[0]
-            arrays = [pa.array(lang, pa.string())]
-            arrays += [pa.array(signed(c)) for c in rest if c.dtype == np.uint64] + [pa.array(counts)]
-            arrays += [pa.array(c, pa.string()) for c in rest if c.dtype != np.uint64]
+            texts = [c for c in rest if isinstance(c, pa.Array)]
+            arrays = [pa.array(lang, pa.string()), *[pa.array(signed(c)) for c in rest[:len(rest) - len(texts)]], pa.array(counts), *texts]
             whole = pa.RecordBatch.from_arrays(arrays, self.names)
             for a in range(0, whole.num_rows, 50_000):
                 yield whole.slice(a, 50_000)
@@ -154,6 +153,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarra
             yield words, opens, np.repeat(codes, words.counts), marks, names
 
 
+def spelt(words: Words, at: np.ndarray) -> pa.Array:
+    """Texts of some words, gathered from the buffer without a Python string for each."""
+    length = words.length[at]
+    offsets = np.r_[0, np.cumsum(length)]
+    data = words.data[np.repeat(words.start[at] - offsets[:-1], length) + np.arange(offsets[-1])]
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, w1, a, word): occurrences of every word by language; with null w1 and word, those of all words."""
 
@@ -165,8 +172,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 totals[names[i]] = totals.get(names[i], 0) + n
             keys = _keys(marks[codes], [words.hash])
             first, counts = grouped(keys)
-            texts = np.array([words.data[s:e].tobytes().decode() for s, e in zip(words.start[first].tolist(), words.end[first].tolist())], dtype=object)
-            yield from tally.add(keys[first], counts, np.array(names, dtype=object)[codes[first]], [words.hash[first], texts])
+            yield from tally.add(keys[first], counts, np.array(names, dtype=object)[codes[first]], [words.hash[first], spelt(words, first)])
         yield from tally.flush()
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()),
                                           pa.array(list(totals.values()), pa.int64()), pa.nulls(len(totals), pa.string())], tally.names)
