@@ -9,6 +9,7 @@ Positions that failed are remembered, so the work is linear. Compatibility is me
 from __future__ import annotations
 
 import base64
+import hashlib
 from pathlib import Path
 
 import ahocorasick
@@ -160,20 +161,22 @@ class Codec:
         return b"".join(map(self.entries.__getitem__, memoryview(ids).cast("I")))
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def _codec(shared, pattern: str) -> Codec:
-    """One codec per worker process and vocabulary."""
-    key = hash((shared.id if hasattr(shared, "id") else id(shared), pattern))
+def _codec(key: str, shared, pattern: str) -> Codec:
+    """One codec per worker process and vocabulary, known by the digest that the driver made of it."""
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(shared.value, pattern)
     return _CODECS[key]
 
 
-def _shared(df: DataFrame, entries: list[bytes]):
-    return df.sparkSession.sparkContext.broadcast(entries)
+def _shared(df: DataFrame, entries: list[bytes], pattern: str):
+    digest = hashlib.sha256(pattern.encode())
+    for e in entries:
+        digest.update(len(e).to_bytes(4, "little") + e)
+    return digest.hexdigest(), df.sparkSession.sparkContext.broadcast(entries)
 
 
 def encode(df: DataFrame, entries: list[bytes], pattern: str, text: str = "text", ids: str = "ids",
@@ -181,12 +184,13 @@ def encode(df: DataFrame, entries: list[bytes], pattern: str, text: str = "text"
     """Adds the ids of each text (packed little-endian unsigned 32-bit integers) and their number.
 
     Each match of the pattern is encoded by itself, without special tokens. Null and empty texts get no ids and 0.
-    Rows stay as they are, repeated ones too; columns named like the two outputs are replaced.
+    Rows stay as they are, repeated ones too; columns named like the two outputs are replaced. A vocabulary with an
+    entry that merges of smaller rank cannot make raises an error in the task that first meets it.
     """
-    shared = _shared(df, entries)
+    key, shared = _shared(df, entries, pattern)
 
     def step(texts: pa.Array) -> list[pa.Array]:
-        codec = _codec(shared, pattern)
+        codec = _codec(key, shared, pattern)
         made = [codec.encode(t) if t else b"" for t in texts.to_pylist()]
         return [pa.array(made, pa.binary()), pa.array([len(m) // 4 for m in made], pa.int64())]
 
@@ -196,10 +200,10 @@ def encode(df: DataFrame, entries: list[bytes], pattern: str, text: str = "text"
 
 def decode(df: DataFrame, entries: list[bytes], pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the bytes that packed ids stand for; null ids give empty bytes. An id outside the vocabulary is an error."""
-    shared = _shared(df, entries)
+    key, shared = _shared(df, entries, pattern)
 
     def step(packed: pa.Array) -> list[pa.Array]:
-        codec = _codec(shared, pattern)
+        codec = _codec(key, shared, pattern)
         return [pa.array([codec.decode(x) if x else b"" for x in packed.to_pylist()], pa.binary())]
 
     return with_columns(df, [ids], T.StructType([T.StructField(decoded, T.BinaryType())]), step)

@@ -42,6 +42,16 @@ def test_bpe_on_odd_rows(entries, odd_docs, clashing, no_docs):
     assert bpe.encode(no_docs, entries, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_vocabularies_by_turns(spark):
+    """Workers go from one vocabulary to another and back without mixing them up."""
+    single = [bytes([b]) for b in range(256)]
+    vocabularies = [single + [b"ab", b"abc"], single + [b"bc", b"ca", b"bca"], single + [b"aa"]]
+    docs = spark.createDataFrame([("abcabc",)], "text string").coalesce(1)
+    for entries in vocabularies * 3:
+        row = bpe.decode(bpe.encode(docs, entries, r"\w+"), entries, r"\w+").collect()[0]
+        assert bytes(row.ids) == bpe.Codec(entries, r"\w+").encode("abcabc") and bytes(row.decoded) == b"abcabc"
+
+
 def test_a_word_has_one_fingerprint_beside_any_other_words():
     def hashes(*texts):
         raw = [t.encode() for t in texts]
