@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lectern.functions import text as tx
 from lectern.functions.udfs import case_fold, fold_name
+from lectern.session import durable_checkpoint
 
 CONCEPT = ["course_id", "key"]
 
@@ -146,9 +147,60 @@ def merge_mastery(concepts: DataFrame, backup: DataFrame, table: DataFrame, comm
 def unknown_commands(concepts: DataFrame, commands: DataFrame) -> DataFrame:
     """Commands for names the course does not have, with the three closest concept keys."""
     lost = commands.join(concepts.select(*CONCEPT), CONCEPT, "left_anti").select("course_id", F.col("key").alias("asked")).distinct()
-    pairs = lost.join(concepts.select("course_id", "key"), "course_id").withColumn("d", F.levenshtein("asked", "key"))
-    order = W.partitionBy("course_id", "asked").orderBy("d", "key")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("course_id", "asked", "rank", "key")
+    return closest_keys(lost, concepts.select(*CONCEPT))
+
+
+def _bigrams(df: DataFrame, text: str) -> DataFrame:
+    """Pairs of neighbouring characters of a name, its ends included, the second equal one told apart from the first."""
+    chars = F.concat(F.array(F.lit("\u0001")), F.split(text, ""), F.array(F.lit("\u0002")))
+    pairs = F.expr("transform(sequence(0, size(ch) - 2), i -> concat(ch[i], ch[i + 1]))")
+    told = F.expr("transform(g, (x, i) -> named_struct('gram', x, 'no', size(filter(slice(g, 1, i), y -> y = x))))")
+    rows = df.withColumn("ch", chars).withColumn("g", pairs).withColumn("g", F.explode(told))
+    return rows.select(*df.columns, "g.gram", "g.no")
+
+
+def closest_keys(asked: DataFrame, keys: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` keys of the course nearest to each asked name by edit distance, then by key; exact.
+
+    The radius grows until a name has ``n`` keys within it, which then are its nearest. Names within
+    a radius differ by so many pairs of characters at most, so at least one of the rarest pairs of
+    the asked name is a pair of the key: only keys with such a pair and a fitting length are
+    compared. Names too short for that at a radius meet the keys of the fitting lengths.
+    """
+    keys = durable_checkpoint(keys.filter("key <> ''").select("course_id", "key").distinct().withColumn("size", F.length("key")))
+    grams = durable_checkpoint(_bigrams(keys, "key"))
+    rarity = grams.groupBy("course_id", "gram", "no").agg(F.count("*").alias("freq"))
+    by_rarity = W.partitionBy("course_id", "asked").orderBy(F.coalesce("freq", F.lit(0)), "gram", "no")
+    probes = _bigrams(asked.select("course_id", "asked").distinct().withColumn("length", F.length("asked")), "asked")
+    probes = durable_checkpoint(probes.join(rarity, ["course_id", "gram", "no"], "left").withColumn(
+        "place", F.row_number().over(by_rarity)))
+    waiting = probes.filter("place = 1").select("course_id", "asked", "length")
+    longest = keys.agg(F.max("size")).first()[0] or 0
+    longest = max(longest, waiting.agg(F.max("length")).first()[0] or 0)
+    found, radius = [], 1
+    while True:
+        # a name of so many characters has one pair more; each edit changes two of them
+        by_pairs = probes.join(waiting.select("course_id", "asked"), ["course_id", "asked"], "left_semi").filter(
+            (F.col("length") + 1 > 2 * radius) & (F.col("place") <= 2 * radius + 1))
+        near = by_pairs.join(grams, ["course_id", "gram", "no"]).filter(F.abs(F.col("size") - F.col("length")) <= radius)
+        sizes = F.explode(F.sequence(F.greatest(F.lit(1), F.col("length") - radius), F.col("length") + radius)).alias("size")
+        short = waiting.filter(F.col("length") + 1 <= 2 * radius).select("course_id", "asked", sizes).join(keys, ["course_id", "size"])
+        pairs = near.select("course_id", "asked", "key").distinct().unionByName(short.select("course_id", "asked", "key"))
+        close = pairs.withColumn("d", F.levenshtein("asked", "key", radius)).filter("d >= 0")
+        ranked = close.withColumn("rank", F.row_number().over(W.partitionBy("course_id", "asked").orderBy("d", "key"))).filter(F.col("rank") <= n)
+        ranked = durable_checkpoint(ranked)
+        done = ranked.groupBy("course_id", "asked").agg(F.count("*").alias("c")).filter((F.col("c") >= n) | F.lit(radius >= longest))
+        found.append(ranked.join(done.select("course_id", "asked"), ["course_id", "asked"], "left_semi"))
+        if radius >= longest:
+            break
+        waiting = durable_checkpoint(waiting.join(done.select("course_id", "asked"), ["course_id", "asked"], "left_anti"))
+        if waiting.isEmpty():
+            break
+        radius = min(2 * radius, longest)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("course_id", "asked", "rank", "key")
 
 
 MARK = r"^\+ \[( |x|X)\] \*\*(.+?)\*\*"

@@ -16,6 +16,7 @@ from lectern.operators import markdown as md
 from lectern.operators.captions import parse_ts_lines
 from lectern.operators.markdown import _with, all_matches, first, has_any, norm_title, rx, span, strip_sql, substantive
 from lectern.operators.timeindex import locate_page, near_lines
+from lectern.session import durable_checkpoint
 
 # Words, limits and formats of the gate.
 TAG_WORDS = "(?:核心必考|重点掌握|了解即可)"
@@ -527,8 +528,8 @@ def image_findings(parsed: DataFrame, inventory: DataFrame, manifest: DataFrame)
 
 def lint_notes(notes: DataFrame, transcripts: DataFrame | None = None, inventory: DataFrame | None = None,
                manifest: DataFrame | None = None) -> DataFrame:
-    """All findings of the gate for notes of any template."""
-    parsed = parse_notes(notes)
+    """All findings of the gate for notes of any template; the notes are parsed once and stored."""
+    parsed = durable_checkpoint(parse_notes(notes))
     out = text_findings(parsed)
     if transcripts is not None:
         out = out.unionByName(transcript_findings(parsed, transcripts))

@@ -115,3 +115,25 @@ def test_link_paths(spark):
 
     df = spark.createDataFrame([("a b/第一.md",), ("x\\y+*~!'%é😀.md",), (None,)], "p string")
     assert [r[0] for r in df.select(tx.link_path(F.col("p"))).collect()] == ["a%20b/第一.md", "x/y%2B%2A~%21%27%25%C3%A9%F0%9F%98%80.md", ""]
+
+
+def test_closest_keys_equal_brute_force(spark):
+    import random
+
+    from lectern.operators import concepts
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc概") for _ in range(n))
+    keys = sorted({(c, word(rng.randint(1, 12))) for c in (1, 2) for _ in range(60)} | {(3, "solo"), (3, "much longer than any of the others")})
+    asked = sorted({(c, word(rng.randint(1, 14))) for c in (1, 2) for _ in range(15)} | {(3, "x"), (1, "aaaaaaaaaaaaaaaaaaaaaaaa"), (4, "nothing here")})
+    got = sorted(map(tuple, concepts.closest_keys(spark.createDataFrame(asked, "course_id long, asked string"), spark.createDataFrame(keys, "course_id long, key string")).collect()))
+    want = [(c, a, r, k) for c, a in asked for r, (_, k) in enumerate(sorted((distance(a, k), k) for d, k in keys if d == c)[:3], 1)]
+    assert got == sorted(want)
