@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, pii, piece_bpe, quality, secret_scan
+from lectern.llm.arrow import shared_folder
 from lectern.llm.collocations import collocations
 from lectern.llm.html_text import main_text
 from lectern.llm.jaccard_join import similarity_join
@@ -39,7 +40,8 @@ def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    found = secret_scan.features(secret_scan.candidates(docs), secret_scan.dictionary(docs))
+    shared_folder(spark)
+    found = secret_scan.features(secret_scan.candidates(docs).checkpoint(), secret_scan.dictionary(docs))
     model = secret_scan.fit(secret_scan.rule_label(found.where(~held_out("key"))))
     return secret_scan.score(found, model).select(
         F.col("key").alias("doc_id"), F.col("n").cast("long").alias("finding"), F.sha2("candidate", 256).alias("candidate_sha256"),

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: What is glued to the front of a candidate, and the candidate.
 CANDIDATE = r"(^|[^A-Za-z0-9+/_=:-]|[=:])([A-Za-z0-9+/_-]{16,})"
+#: A shorter value with any characters, up to a quote or white space, that is assigned to a key word; closing marks are not its own.
+ASSIGNED = (r"(?i)(?:token|pass|pwd|secret|key|api|auth|cred|bearer|private)[a-z0-9_.\[\]-]*[\"'`]?\s*(?:=>|:=|[=:])\s*[\"'`]?"
+            r"((?!https?:)[^\s\"'`]{5,}[^\s\"'`,;.)\]}])[\"'`]?[,;.)\]}]*$")
 KEYWORD = r"(?i)(token|pass|pwd|secret|key|api|auth|cred|bearer|private)"
 TESTING = r"(?i)(test|example|sample|mock|fixture|doc|lock|vendor)"
 #: Findings that a forest is fitted on at most, the first by a hash of the candidate.
@@ -22,28 +25,41 @@ FIT_ROWS = 20_000
 #: Words of the dictionary: the most frequent short words of the corpus.
 DICTIONARY = 150
 FEATURES = ("length", "digits", "uppers", "lowers", "vowels", "marks", "digit_letter", "letter_digit", "lower_upper", "upper_lower",
-            "doubled", "hex", "covered", "keyword", "assigned", "quoted", "near_words", "testing_path", "path_depth", "path_group")
+            "doubled", "others", "hex", "covered", "keyword", "assigned", "quoted", "near_words", "testing_path", "path_depth", "path_group")
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """One row per candidate: key, its place (1000 times the word it stands in, and the number in that word), path, the
+    """One row per candidate: key, its number (2^31 times the word it stands in, and the number in that word), path, the
     two words before, what is glued to its front, and the candidate.
 
-    Null and empty texts have none; repeated rows give theirs each; a null path is empty.
+    Candidates are runs of 16 or more key characters, and, in words without such a run, values of 6 characters or more
+    that are assigned to a key word. Null and empty texts have none; repeated rows give theirs each; a null path is empty.
     """
     words = docs.select(F.col(key).alias("key"), F.coalesce(F.col(path), F.lit("")).alias("path"),
                         F.split(F.coalesce(F.col(text), F.lit("")), r"\s+").alias("words"))
-    # only words long enough to hold a candidate leave the row, with their place
-    long = F.filter(F.transform("words", lambda w, i: F.when(F.length(w) >= 16, F.struct(i.alias("i"), w.alias("w")))),
-                    lambda x: x.isNotNull() & x["w"].rlike(CANDIDATE))
-    found = words.withColumn("long", long).select(
-        "key", "path", F.explode(F.transform("long", lambda x: F.struct(
+
+    def assigned(w: Column, i: Column) -> Column:
+        last = F.coalesce(F.get("words", i - 1), F.lit(""))
+        return (F.length(w) >= 6) & (F.contains(w, F.lit("=")) | F.contains(w, F.lit(":")) | F.endswith(last, F.lit("=")) | F.endswith(last, F.lit(":")))
+
+    # only words that may hold a candidate leave the row, with their place
+    wanted = F.filter(F.transform("words", lambda w, i: F.when((F.length(w) >= 16) | assigned(w, i), F.struct(i.alias("i"), w.alias("w")))),
+                      lambda x: x.isNotNull())
+    found = words.withColumn("wanted", wanted).select(
+        "key", "path", F.explode(F.transform("wanted", lambda x: F.struct(
             x["i"].alias("i"), x["w"].alias("w"),
             F.array_join(F.slice("words", F.greatest(F.lit(1), x["i"] - 1), F.least(F.lit(2), x["i"])), " ").alias("before")))).alias("x"))
-    each = found.select("key", "path", "x.*", F.posexplode(F.regexp_extract_all("x.w", F.lit(CANDIDATE), F.lit(0))).alias("n", "m"))
-    return each.select("key", (F.col("i") * 1000 + F.col("n")).cast("long").alias("n"), "path", "before",
-                       F.expr("left(w, greatest(0, locate(m, w) + length(regexp_extract(m, '^[^A-Za-z0-9+/_-]?', 0)) - 1))").alias("glue"),
-                       F.regexp_extract("m", CANDIDATE, 2).alias("candidate"))
+    runs = F.regexp_extract_all("w", F.lit(CANDIDATE), F.lit(0))
+    value = F.regexp_extract(F.concat_ws(" ", "before", "w"), ASSIGNED, 1)
+    # a value that begins in a word before is no value of this word
+    own = F.when((value != "") & F.contains("w", value), F.array(value)).otherwise(F.array().cast("array<string>"))
+    each = found.select("key", "path", "x.*").select(
+        "key", "path", "i", "w", "before", runs.alias("runs"), own.alias("own")).select(
+        "key", "path", "i", "w", "before", (F.size("runs") > 0).alias("run"), F.posexplode(F.when(F.size("runs") > 0, F.col("runs")).otherwise(F.col("own"))).alias("n", "m"))
+    front = F.when(F.col("run"), F.length(F.regexp_extract("m", "^[^A-Za-z0-9+/_-]?", 0))).otherwise(0)
+    return each.select("key", (F.col("i").cast("long") * 2**31 + F.col("n")).alias("n"), "path", "before",
+                       F.left("w", F.greatest(F.lit(0), F.instr("w", F.col("m")) + front - 1)).alias("glue"),
+                       F.when(F.col("run"), F.regexp_extract("m", CANDIDATE, 2)).otherwise(F.col("m")).alias("candidate"))
 
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
@@ -69,7 +85,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "lowers": times("[a-z]") / length, "vowels": times("[aeiouAEIOU]") / length, "marks": times("[+/_-]") / length,
         "digit_letter": times("[0-9](?=[A-Za-z])") / length, "letter_digit": times("[A-Za-z](?=[0-9])") / length,
         "lower_upper": times("[a-z](?=[A-Z])") / length, "upper_lower": times("[A-Z](?=[a-z])") / length,
-        "doubled": times(r"(.)(?=\1)") / length, "hex": flag(c, "^(?=.*[0-9])[0-9a-fA-F]+$"),
+        "doubled": times(r"(.)(?=\1)") / length, "others": times("[^A-Za-z0-9+/_-]") / length, "hex": flag(c, "^(?=.*[0-9])[0-9a-fA-F]+$"),
         "covered": 1 - F.length(F.regexp_replace(F.lower(c), known, "")) / length,
         "keyword": flag(F.concat("before", "glue"), KEYWORD), "assigned": flag(F.concat("before", "glue"), r"[=:]\s*[\"']?$"),
         "quoted": flag(F.col("glue"), "[\"']"), "near_words": times(r"\S+", F.col("before")),
@@ -101,9 +117,10 @@ def score(found: DataFrame, model: Model | float) -> DataFrame:
 
 def rule_label(found: DataFrame) -> DataFrame:
     """Labelled findings where no reviewed ones exist: 1 for known key formats and for random-looking strings assigned to
-    a key word, 0 for plain numbers and for strings without digits that no key word stands before, null otherwise."""
+    a key word, 0 for plain numbers, for strings without digits that no key word stands before and for short values of
+    lower-case letters only, null otherwise."""
     c = F.col("candidate")
     random = (F.col("digits") > 0.1) & (F.col("digits") < 0.95)
     secret = c.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$") | ((F.col("keyword") == 1) & (F.col("assigned") == 1) & random)
-    plain = c.rlike("^[0-9]+$") | (~c.rlike("[0-9]") & (F.col("keyword") == 0))
+    plain = c.rlike("^[0-9]+$") | (~c.rlike("[0-9]") & (F.col("keyword") == 0)) | c.rlike("^[a-z]{1,15}$")
     return found.withColumn("label", F.when(secret, 1).when(plain, 0))

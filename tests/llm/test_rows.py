@@ -258,6 +258,22 @@ def test_secret_scan(odd_docs, clashing, no_docs, spark):
     assert secret_scan.score(empty, secret_scan.fit(secret_scan.rule_label(empty))).count() == 0
 
 
+def test_short_assigned_secrets(spark):
+    """Short values behind key words, once each; numbers of findings differ however many stand in a word."""
+    lines = {'password = "Tr0ub4dor&3"': ["Tr0ub4dor&3"], "pwd=hunter2secret": ["hunter2secret"], "api_key: Ab9$kd!2xZ,": ["Ab9$kd!2xZ"],
+             "auth_token := 'x7!y8@z9'.": ["x7!y8@z9"], "password required here": [], "key: https://host/path": [], "the key: short": [],
+             "size=123456789": [], 'token="' + "aB3" * 8 + '"': ["aB3" * 8], "password =  s3cr3t!": ["s3cr3t!"]}
+    docs = spark.createDataFrame([(i, f"some words {t} and more", "src") for i, t in enumerate(lines)]
+                                 + [(99, " ".join(["aA1" * 6] * 3) + " " + ",".join(["bB2" * 6] * 1500), None)] * 2, "doc_id long, text string, source string")
+    rows = secret_scan.candidates(docs).collect()
+    for i, want in enumerate(lines.values()):
+        assert [r.candidate for r in rows if r.key == i] == want
+    many = [r.n for r in rows if r.key == 99]
+    assert len(many) == 2 * 1503 and len(set(many)) == 1503
+    found = {r.key: r for r in secret_scan.features(secret_scan.candidates(docs), ["the"]).collect() if r.key in (0, 1, 2)}
+    assert all(r.keyword == 1 and r.assigned == 1 for r in found.values())
+
+
 def test_pipeline_stages_keep_columns(spark, odd_docs, tmp_path):
     import corpus_pipeline
 
