@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import captions
+from lectern.operators import captions, course
 from lectern.plans.captions import CHUNK_SQL, sql_strip
 from lectern.plans.inputs import stamped_docs, with_inputs
 from lectern.plans.registry import Registry
@@ -84,6 +84,47 @@ def _(t):
     return rd.course_tables(t.sql(_COURSE))["mastery"]
 
 
+# Manifests with a history: an item of the past and an earlier state of item 1; fields of other programs are kept.
+_STATES = """SELECT c_custkey AS course_id, '{"version":1,"kind":"pages","template":"v4","history":[{"bvid":"OLD","cid":1,"page":1,"status":"done","note":"old.md","pin":{"a":1}},'
+    || '{"bvid":"BV' || CAST(c_custkey AS STRING) || '","cid":11,"page":1,"status":"failed","reason":"r","seconds":5,"score":0.5}],"items":['
+    || '{"index":1,"bvid":"BV' || CAST(c_custkey AS STRING) || '","cid":11,"page":1,"title":"A","section":"","duration":60,"status":"' || CASE WHEN c_custkey % 3 = 0 THEN 'running' ELSE 'done' END
+    || '","note":"a.md","started_at":"2026-01-01T00:00:00+00:00","gate":{"errors":0,"warnings":' || CAST(c_custkey % 4 AS STRING) || ',"sha256":"' || CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'y' END
+    || '","template":"v4","checked_at":"t"},"star":true},{"index":2,"bvid":"BV' || CAST(c_custkey AS STRING) || '","cid":12,"page":2,"title":"B","section":"","duration":90,"status":"pending"}]}' AS json FROM {customer}"""
+_SQL_STATES = """WITH s AS (
+    SELECT c_custkey AS course_id, 'history' AS origin, 0::BIGINT AS ord, NULL::INT AS idx, 'OLD' AS bvid, 1::BIGINT AS cid, 1::INT AS page, 'done' AS status, 'old.md' AS note, NULL::VARCHAR AS started_at, NULL::DOUBLE AS seconds, NULL::VARCHAR AS reason,
+           NULL::BIGINT AS gate_warnings, NULL::VARCHAR AS gate_sha, NULL::VARCHAR AS gate_template, 'pin={"a":1}' AS extra FROM customer
+    UNION ALL SELECT c_custkey, 'history', 1, NULL, 'BV' || c_custkey, 11, 1, 'failed', NULL, NULL, 5, 'r', NULL, NULL, NULL, 'score=0.5' FROM customer
+    UNION ALL SELECT c_custkey, 'items', 4294967296, 1, 'BV' || c_custkey, 11, 1, CASE WHEN c_custkey % 3 = 0 THEN 'running' ELSE 'done' END, 'a.md', '2026-01-01T00:00:00+00:00', NULL, NULL, c_custkey % 4, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'y' END, 'v4', 'star=true' FROM customer
+    UNION ALL SELECT c_custkey, 'items', 4294967297, 2, 'BV' || c_custkey, 12, 2, 'pending', NULL, NULL, NULL, NULL, NULL, NULL, NULL, '' FROM customer)"""
+
+
+@REG.query("read_item_states", _SQL_STATES + " SELECT * FROM s")
+def _(t):
+    return rd.item_states(t.sql(_STATES)).select("course_id", "origin", "ord", "idx", "bvid", "cid", "page", "status", "note", "started_at", "seconds", "reason", "gate_warnings",
+                                                 "gate_sha", "gate_template", F.array_join(F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("extra"))
+
+
+@REG.query("plan_from_history", _SQL_STATES + """,
+    n AS (SELECT c_custkey AS course_id, CAST(i AS INT) AS idx, CASE WHEN i = 3 THEN 'OLD' ELSE 'BV' || c_custkey END AS bvid, CASE WHEN i = 3 THEN 1 ELSE 10 + i END AS cid, CASE WHEN i = 3 THEN 1 ELSE i END::INT AS page FROM customer, (SELECT unnest(range(1, 5)) AS i)),
+    l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY course_id, bvid, cid, page ORDER BY ord DESC) = 1)
+    SELECT n.*, coalesce(l.status, 'pending') AS status, l.note, l.gate_sha, l.seconds FROM n LEFT JOIN l USING (course_id, bvid, cid, page)""")
+def _(t):
+    planned = t.sql("""SELECT c_custkey AS course_id, i AS idx, IF(i = 3, 'OLD', 'BV' || c_custkey) AS bvid, CAST(IF(i = 3, 1, 10 + i) AS BIGINT) AS cid, IF(i = 3, 1, i) AS page, 'pending' AS status
+        FROM {customer} LATERAL VIEW explode(sequence(1, 4)) x AS i""")
+    return course.merge_item_history(planned, rd.item_states(t.sql(_STATES)).drop("origin", "idx")).select(
+        "course_id", "idx", "bvid", "cid", "page", "status", "note", "gate_sha", "seconds")
+
+
+@REG.query("gate_from_states", _SQL_STATES + """
+    SELECT course_id, idx, note AS note_id, gate_sha, gate_template, 'v4' AS template, CASE WHEN course_id % 5 > 0 THEN 'x' END AS sha FROM s
+    WHERE origin = 'items' AND status = 'done' AND (course_id % 5 = 0 OR gate_sha <> 'x')""")
+def _(t):
+    states = rd.item_states(t.sql(_STATES)).filter("origin = 'items' AND status = 'done'")
+    done = states.select("course_id", "idx", F.concat_ws("/", F.col("course_id").cast("string"), "note").alias("note_id"), "gate_sha", "gate_template", F.lit("v4").alias("template"))
+    notes = t.customer.filter("c_custkey % 5 > 0").selectExpr("c_custkey || '/a.md' AS note_id", "'x' AS sha")
+    return course.stale_notes(done, notes).withColumn("note_id", F.substring_index("note_id", "/", -1))
+
+
 @REG.query("read_shot_lists", """
     SELECT s_suppkey AS video_id, CAST(i AS INT) AS pos, CASE WHEN i = 0 THEN 1 ELSE CAST(i AS INT) END AS page, CASE WHEN i = 1 THEN 's' || s_suppkey || '_a_b-c' ELSE 'Cap' END AS label, 'Cap' AS caption,
            CASE WHEN i = 1 THEN 3723.0 WHEN i = 0 THEN 65.0 END::DOUBLE AS t, i = 2 AS has_range, CASE WHEN i = 2 AND s_suppkey % 2 = 0 THEN 60.0 END::DOUBLE AS r0, CASE WHEN i = 2 AND s_suppkey % 2 = 0 THEN 120.0 END::DOUBLE AS r1,

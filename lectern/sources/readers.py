@@ -138,8 +138,37 @@ COURSE = """version INT, kind STRING, source_url STRING, title STRING, probe STR
         subtitle_hint: STRING, status: STRING, note: STRING, seconds: DOUBLE>>"""
 
 
+# Known fields of an item in a manifest; any other field is kept by name.
+ITEM_FIELDS = """`index` INT, bvid STRING, page INT, cid BIGINT, title STRING, section STRING, duration DOUBLE, subtitle_hint STRING,
+    status STRING, note STRING, planned_note STRING, started_at STRING, finished_at STRING, seconds DOUBLE, reason STRING, next_step STRING, rerun STRING,
+    gate STRUCT<errors: BIGINT, warnings: BIGINT, sha256: STRING, template: STRING, checked_at: STRING>"""
+_STATE = ("status", "subtitle_hint", "note", "planned_note", "started_at", "finished_at", "seconds", "reason", "next_step", "rerun")
+
+
+def item_states(docs: DataFrame) -> DataFrame:
+    """All that manifests ``(course_id, json)`` say of the state of their items, today's and earlier ones.
+
+    ``(course_id, origin, ord, idx, bvid, cid, page, <state>, gate_*, extra)``: ``origin`` is
+    ``items`` or ``history``, ``ord`` puts history before items, so that the later state wins.
+    Fields that are not known are kept as text in the map ``extra``.
+    """
+    lists = docs.select("course_id", F.from_json("json", "history ARRAY<STRING>, items ARRAY<STRING>").alias("c"))
+
+    def entries(origin: str, first: int):
+        listed = F.coalesce(f"c.{origin}", F.array().cast("array<string>"))
+        return F.transform(listed, lambda x, i: F.struct(F.lit(origin).alias("origin"), (i.cast("long") + first).alias("ord"), x.alias("raw")))
+
+    rows = lists.select("course_id", F.inline(F.concat(entries("history", 0), entries("items", 2**32))))
+    known = [c.strip().split(" ")[0].strip("`") for c in ITEM_FIELDS.replace("\n", " ").split("STRUCT<")[0].split(",")]
+    read = rows.select("course_id", "origin", "ord", F.from_json("raw", ITEM_FIELDS).alias("i"), F.map_filter(
+        F.from_json("raw", "map<string,string>"), lambda k, v: ~k.isin(*known)).alias("extra"))
+    return read.select("course_id", "origin", "ord", F.col("i.index").alias("idx"), "i.bvid", "i.cid", "i.page", *[f"i.{c}" for c in _STATE],
+                       F.col("i.gate.errors").alias("gate_errors"), F.col("i.gate.warnings").alias("gate_warnings"), F.col("i.gate.sha256").alias("gate_sha"),
+                       F.col("i.gate.template").alias("gate_template"), F.col("i.gate.checked_at").alias("gate_checked_at"), "extra")
+
+
 def course_tables(docs: DataFrame) -> dict[str, DataFrame]:
-    """``(course_id, json)`` manifests to courses, items, mastery and scopes."""
+    """``(course_id, json)`` manifests to courses, items, mastery, scopes, and states (see :func:`item_states`)."""
     rows = docs.select("course_id", F.from_json("json", COURSE).alias("c"))
     lo = F.regexp_extract("c.scope.range", r"^(\d+)-(\d+)$", 1).try_cast("int")
     hi = F.regexp_extract("c.scope.range", r"^(\d+)-(\d+)$", 2).try_cast("int")
@@ -150,6 +179,7 @@ def course_tables(docs: DataFrame) -> dict[str, DataFrame]:
         "items": items,
         "mastery": rows.select("course_id", F.explode("c.mastery").alias("key", "m")).select("course_id", "key", "m.name", "m.mastered", "m.changed_at"),
         "scopes": rows.select("course_id", "c.scope.mode", "c.scope.first", lo.alias("lo"), hi.alias("hi")),
+        "states": item_states(docs),
     }
 
 
