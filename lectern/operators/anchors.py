@@ -113,8 +113,17 @@ def pick_diverse_anchors(terms: DataFrame, max_n: int = 3) -> DataFrame:
 
 
 def match_anchor_patterns(lines: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Time of each ``anchors(video_id, page, label, pattern)`` row: first matching line, minus the lag."""
-    hit = lines.join(anchors, PAGE).filter("text RLIKE pattern")
+    """Time of each ``anchors(video_id, page, label, pattern)`` row: first matching line, minus the lag.
+
+    A line is tested once against all patterns of its page together; only lines that match any
+    meet the patterns one by one. Patterns with back references or named groups cannot be put
+    together, so their pages skip the first test.
+    """
+    alone = F.col("pattern").rlike(r"\\[1-9]|\\k<|\(\?<[A-Za-z]")
+    whole = F.when(~F.bool_or(alone), F.concat(F.lit("(?:"), F.array_join(F.collect_set("pattern"), ")|(?:"), F.lit(")")))
+    together = anchors.groupBy(*PAGE).agg(whole.alias("_any"))
+    some = lines.join(together, PAGE).filter("_any IS NULL OR text RLIKE _any").drop("_any")
+    hit = some.join(anchors, PAGE).filter("text RLIKE pattern")
     first = hit.groupBy(*PAGE, "label").agg(F.min_by("ts_sec", "line_no").alias("ts"))
     return first.select(*PAGE, "label", F.greatest(F.lit(EARLIEST), F.col("ts") - LEAD).cast("double").alias("t"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.operators import captions, course
 from lectern.plans.captions import CHUNK_SQL, sql_strip
-from lectern.plans.inputs import stamped_docs, with_inputs
+from lectern.plans.inputs import frame, stamped_docs, with_inputs
 from lectern.plans.registry import Registry
+from lectern.session import work_folder
 from lectern.sources import readers as rd, writers as wr
 
 REG = Registry()
@@ -67,6 +70,17 @@ def _(t):
     return rd.note_texts(files).selectExpr("path", "text", "error <> '' AS bad")
 
 
+@REG.query("publish_partitions", with_inputs("transcript_lines") + """
+    SELECT video_id, page, line_no, CASE WHEN video_id % 3 = 0 THEN 'new ' || text ELSE text END AS text FROM transcript_lines WHERE NOT (video_id % 3 = 0 AND line_no > 1)""")
+def _(t):
+    root = f"{work_folder(t.spark)}/published-{uuid.uuid4().hex}"
+    lines = frame(t, "transcript_lines").select("video_id", "page", "line_no", "text")
+    buckets = F.pmod(F.col("video_id"), F.lit(3)).alias("part")
+    wr.publish_partitions(lines.select("*", buckets), root, ["part"])
+    wr.publish_partitions(lines.filter("video_id % 3 = 0 AND line_no <= 1").withColumn("text", F.concat(F.lit("new "), F.col("text"))).select("*", buckets), root, ["part"])
+    return wr.published_partitions(t.spark, root).drop("part")
+
+
 _COURSE = """SELECT c_custkey AS course_id, to_json(named_struct('version', 1, 'kind', 'pages', 'scope', named_struct('mode', 'range', 'range', '2-' || (c_custkey % 5 + 1)),
     'mastery', map('k' || c_custkey, named_struct('name', c_name, 'mastered', c_custkey % 2 = 0, 'changed_at', '2026')),
     'items', transform(sequence(1, CAST(c_custkey % 3 + 1 AS INT)), i -> named_struct('index', i, 'bvid', 'BV' || c_custkey, 'page', i, 'cid', c_custkey * 10 + i, 'title', 'T' || i, 'duration', CAST(i AS DOUBLE), 'status', 'done')))) AS json FROM {customer}"""
