@@ -510,7 +510,7 @@ def image_findings(parsed: DataFrame, inventory: DataFrame, manifest: DataFrame)
         'mark', try_element_at({above}, -1).s))""")).alias("i")).select("note_id", "kind", "off", "i.*")
     rows = rows.withColumn("mark_sec", F.regexp_extract(F.coalesce("mark", F.lit("")), TIME_LINE, 1).try_cast("int") * 60
                            + F.regexp_extract(F.coalesce("mark", F.lit("")), TIME_LINE, 2).try_cast("int"))
-    hit = rows.join(manifest, ["note_id", "file"])
+    hit = rows.join(manifest.distinct(), ["note_id", "file"])  # a repeated record is one
     line = F.col("n") + F.col("off")
     misplaced = hit.filter("kind <> 'v3' AND NOT again AND num IS NOT NULL AND section IS NOT NULL AND section <> num")
     keyword = hit.filter(F.coalesce(tx.strip(F.col("keyword")), F.lit("")) != "").filter(~F.contains("alt", tx.strip(F.col("keyword"))))

@@ -116,8 +116,8 @@ def fill_nav_links(notes: DataFrame, lines: DataFrame, tolerance: int = TOLERANC
     ``notes(note_id, text, kind, video_id, platform, vid, only_page)``; a v3 note has its index
     between two markers, the others below a heading. Linked entries and all other lines stay, so
     filling twice changes nothing. ``status`` is ok, skipped (no index, or none of its markers or
-    entries) or error (markers that are no pair: the text stays). Texts stay in their rows; only
-    the entries meet the transcript lines.
+    entries) or error (markers that are no pair: the text stays). Only the entries
+    meet the transcript lines; their links join the texts at the end.
     """
     v3 = F.col("kind") == "v3"
     body = F.split(F.regexp_replace("text", r"\n$", ""), "\n", -1)
@@ -153,8 +153,9 @@ def fill_nav_links(notes: DataFrame, lines: DataFrame, tolerance: int = TOLERANC
     made = found.withColumn("url", link).groupBy("note_id").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("url").isNotNull(), F.struct("i", F.concat("left", "url", "right"))))).alias("new"),
         F.count("url").alias("written"), F.count_if(F.col("url").isNull()).alias("skipped"))
-    woven = F.transform("ls", lambda s, i: F.coalesce(F.try_element_at("new", i), s))
+    # the join carries the text once; the few notes that get links are split again behind it
+    woven = F.transform(body, lambda s, i: F.coalesce(F.try_element_at("new", i), s))
     filled = F.concat(F.array_join(woven, "\n"), F.when(F.endswith("text", F.lit("\n")), "\n").otherwise(""))
-    return rows.join(made, "note_id", "left").select(
+    return rows.select("note_id", "text", "status").join(made, "note_id", "left").select(
         "note_id", F.when(F.coalesce("written", F.lit(0)) > 0, filled).otherwise(F.col("text")).alias("text"), "status",
         F.coalesce("written", F.lit(0)).alias("written"), F.coalesce("skipped", F.lit(0)).alias("skipped"))
