@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -95,6 +96,18 @@ def with_columns(df: DataFrame, inputs: list[str], outputs: T.StructType,
     return importable(carried).mapInArrow(run, T.StructType(kept + list(outputs)))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Work that runs inside gets Arrow batches of so many rows; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     """Keeps Arrow batches of long texts small, unless the session has its own setting."""
     conf = df.sparkSession.conf

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.arrow import byte_lengths, importable, shared_folder, slices, text_buffer
+from lectern.llm.arrow import arrow_rows, byte_lengths, importable, shared_folder, slices, text_buffer
 from lectern.llm.words import Words, coefficients, mix, signed, unsigned
 
 #: Bytes that end a piece, and bytes that only part words.
@@ -35,6 +35,8 @@ WORD_BYTES[[9, 32]] = False
 LONGEST, BLOCK = 4, 1 << 17
 #: Groups that a task counts together before it hands them on, and bytes of text that it works on at once.
 TALLY, TEXT_BYTES = 250_000, 1_000_000
+#: Texts or blocks that go to a Python worker at once.
+BATCH_ROWS = 500
 #: Bits of the largest filter (32 MB), and bits for each phrase in a smaller one.
 LARGEST_FILTER, BITS_EACH = 1 << 28, 12
 UNKNOWN_LANG = "und"
@@ -293,7 +295,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataF
     folder = f"{shared_folder(spark)}/collocations-{uuid.uuid4().hex}"
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+        with arrow_rows(spark, BATCH_ROWS):  # rows hold whole texts, or the words of whole texts
+            df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
