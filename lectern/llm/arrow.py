@@ -45,6 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Removes a working table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) with about `limit` bytes each, in order, covering all rows."""
     if not len(lengths):

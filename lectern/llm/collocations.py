@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.arrow import arrow_rows, byte_lengths, importable, shared_folder, slices, text_buffer
+from lectern.llm.arrow import arrow_rows, byte_lengths, importable, remove_table, shared_folder, slices, text_buffer
 from lectern.llm.words import Words, coefficients, mix, signed, unsigned
 
 #: Bytes that end a piece, and bytes that only part words.
@@ -310,6 +310,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataF
         if size + 1 < LONGEST:
             # relations shrink from level to level: without partitions of full size, partial counts would stay apart
             relation = stored(extended(relation, size, phrase_filter(counts, size + 1)).hint("rebalance"), f"r{size + 1}")
+    for size in range(1, LONGEST):
+        remove_table(spark, f"{folder}/r{size}")
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
