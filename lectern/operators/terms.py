@@ -12,14 +12,13 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import text as tx
-from lectern.functions.staged import staged
+from lectern.functions.matches import HEAD, pattern_matches, replace_matches, word_filter, word_places
 
 OFFICIAL, CANDIDATE = "categories", "candidates"
 # Largest dictionary compiled into one expression; larger ones are matched by a join.
 MAX_INLINE_KEYS = 2000
-CONTEXT = 20
-NO_MARK = "--:--"
 KEY_COLUMNS = ("layer", "area", "category", "wrong")
+_HIT = ("ts", "wrong", "right", "category", "candidate", "context")
 
 # Words that file a migrated entry under the programming category.
 TECH_WORDS = (
@@ -147,97 +146,36 @@ class Dictionary:
         """The loaded rows, of which there are few enough to send to every task."""
         return F.broadcast(keys.sparkSession.createDataFrame(self.rows, keys.schema))
 
-    def replacement(self, match: Column) -> Column:
-        """Official replacement of a folded match, NULL for candidates."""
-        by_head: dict[str, list] = {}
-        for r in self.rows:
-            if not r["candidate"]:
-                by_head.setdefault(r["key"][0], []).extend((F.lit(r["key"]), F.lit(r["right"])))
-        if not by_head:
-            return F.lit(None).cast("string")
-        nested = F.create_map(*[x for h, kv in by_head.items() for x in (F.lit(h), F.create_map(*kv))])
-        return F.try_element_at(F.try_element_at(nested, F.substring(match, 1, 1)), match)
-
-    def found(self, rows: DataFrame, text: str) -> DataFrame:
-        """Adds ``spans``: place, length and folded word of each match, from left to right.
-
-        Matches are looked for in the folded text, which has the same length; the places are the
-        running sum of the lengths of gaps and matches.
-        """
-        matched = staged(rows.withColumn("_low", fold(F.col(text))), _m=F.regexp_extract_all("_low", F.lit(self.pattern), F.lit(0)),
-                         _g=F.split("_low", self.pattern, -1))
-        spans = F.expr("""aggregate(zip_with(_m, slice(_g, 1, size(_m)), (m, g) -> named_struct('m', m, 'gap', length(g))),
-            named_struct('at', 1, 's', cast(array() AS array<struct<pos: int, n: int, key: string>>)),
-            (s, x) -> named_struct('at', s.at + x.gap + length(x.m), 's', array_append(s.s, named_struct('pos', s.at + x.gap, 'n', length(x.m), 'key', x.m))),
-            s -> s.s)""")
-        return staged(matched, spans=spans).drop("_low", "_m", "_g")
-
-
-def _units(docs: DataFrame, key: str) -> DataFrame:
-    """Texts cut before each time mark and after each line end, with surrounding context.
+    def right(self) -> dict[str, str]:
+        """Official replacements by folded word."""
+        return {r["key"]: r["right"] for r in self.rows if not r["candidate"]}
 
-    Stays inside the row: every unit carries its time mark and the 20 characters around it,
-    so no later step needs the neighbours.
-    """
-    marks = r"(?=\[\d{1,2}:\d{2}\])"
-    segs = F.split("text", marks, -1)
-    pieces = F.flatten(F.transform(segs, lambda s: F.transform(
-        F.filter(F.split(s, r"(?<=\n)", -1), lambda p: p != ""),
-        lambda p: F.struct(
-            F.coalesce(F.nullif(F.regexp_extract(s, r"^\[(\d{1,2}:\d{2})\]", 1), F.lit("")),
-                       F.lit(NO_MARK)).alias("ts"),
-            p.alias("unit")))))
-    base = staged(docs.select(key, "text"), u=pieces).select(key, "u")
-    around = F.expr(f"""transform(u, (x, i) -> named_struct('ts', x.ts, 'unit', x.unit,
-        'before', right(array_join(transform(slice(u, greatest(1, i + 1 - {CONTEXT}), least(i, {CONTEXT})), y -> y.unit), ''), {CONTEXT}),
-        'after', left(array_join(transform(slice(u, i + 2, {CONTEXT}), y -> y.unit), ''), {CONTEXT})))""")
-    base = staged(base, a=around)
-    return base.select(key, F.posexplode("a").alias("unit_no", "x")).select(key, "unit_no", "x.*")
 
+def _folded(docs: DataFrame, key: str) -> DataFrame:
+    return docs.select(key, "text", fold(F.col("text")).alias("_low"))
 
-_HIT = ("ts", "wrong", "right", "category", "candidate", "context")
-_SPAN = f"""named_struct('pos', x.pos, 'n', x.n, 'key', x.key, 'ts', ts, 'wrong', substring(unit, x.pos, x.n), 'context', translate(concat(
-    right(concat(before, substring(unit, greatest(1, x.pos - {CONTEXT}), least(x.pos - 1, {CONTEXT}))), {CONTEXT}), '【', substring(unit, x.pos, x.n), '】',
-    left(concat(substring(unit, x.pos + x.n, {CONTEXT}), after), {CONTEXT})), '\r\n', '  '))"""
-#: Bits of the filter of key beginnings, and characters of a beginning at most.
-FILTER_BITS, HEAD = 1 << 20, 3
 
+def _units(docs: DataFrame, key: str) -> DataFrame:
+    """Texts cut before each time mark and after each line end."""
+    pieces = F.split("text", r"(?=\[\d{1,2}:\d{2}\])|(?<=\n)", -1)
+    return docs.select(key, F.posexplode(F.filter(pieces, lambda p: p != "")).alias("unit_no", "unit"))
 
-def _begins_key(keys: DataFrame, sizes: Sequence[int]) -> str:
-    """Condition on the characters ``ch`` and a place ``i``: a key may begin there.
 
-    The beginnings of all keys are put into a bit array of fixed size, which stands in the
-    expression; a place that it lets through by chance is dropped by the join.
-    """
-    head = min(min(sizes), HEAD)
-    bit = f"pmod(xxhash64({{}}), {FILTER_BITS})"
-    slots = keys.select(F.expr(bit.format(f"substring(key, 1, {head})")).alias("b")).groupBy(F.expr("b div 64").alias("slot")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int)))").alias("bits")).collect()
-    words = [0] * (FILTER_BITS // 64)
-    for r in slots:
-        words[r.slot] = r.bits & (2**64 - 1)
-    table = b"".join(w.to_bytes(8, "little") for w in words).hex()
-    here = bit.format("concat(" + ", ".join(f"coalesce(get(ch, i + {k}), '')" for k in range(head)) + ")")
-    byte = f"ascii(decode(substring(X'{table}', cast({here} div 8 AS int) + 1, 1), 'ISO-8859-1'))"
-    return f"({byte} & shiftleft(1, cast({here} % 8 AS int))) > 0"
-
-
-def _joined_matches(units: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def _joined_matches(docs: DataFrame, keys: DataFrame, key: str, around: bool) -> DataFrame:
     """Leftmost-longest matches per unit for dictionaries of any size, as a join.
 
-    Inside the row, the places where a key may begin open one gram per key length; the equi-join
-    leaves true matches, and a fold per unit (a piece of one line) keeps the longest per place and
-    drops overlaps. Only grams with their context are shuffled, never texts.
+    Inside the row, places and lengths that a filter of the dictionary lets through open grams; the
+    equi-join leaves true matches, and a fold per unit (a piece of one line) keeps the longest per
+    place and drops overlaps. Only grams with their context are shuffled, never texts.
     """
+    shown = ("ts", "wrong", "context") if around else ()
     # A dictionary has few distinct key lengths; they are the only thing read to the driver.
     sizes = sorted(r["n"] for r in keys.select(F.length("key").alias("n")).distinct().collect())
     if not sizes:
-        return units.limit(0).select(key, "unit_no", F.expr("cast(array() AS array<struct<pos: int, n: int, key: string, ts: string, wrong: string, context: string>>)").alias("hits"))
-    rows = staged(units.withColumn("_low", fold(F.col("unit"))), ch=F.split("_low", ""))
-    places = staged(rows, at=F.expr(f"filter(sequence(0, size(ch) - 1), i -> {_begins_key(keys, sizes)})"))
-    grams = F.expr(f"""flatten(transform(at, i -> transform(filter(array({', '.join(map(str, sizes))}), n -> i + n <= size(ch)),
-        n -> named_struct('pos', i + 1, 'n', n, 'key', array_join(slice(ch, i + 1, n), '')))))""")
-    opened = staged(places, x=grams).select(key, "unit_no", F.explode(F.expr(f"transform(x, x -> {_SPAN})")).alias("h"))
+        return docs.limit(0).select(key, F.lit(0).alias("unit_no"), F.expr(f"cast(array() AS array<struct<pos: int, n: int, key: string{''.join(f', {c}: string' for c in shown)}>>)").alias("hits"))
+    head = min(min(sizes), HEAD)
+    opened = word_places(_folded(docs, key), sizes, head, word_filter(keys, head), around).select(
+        key, "unit_no", F.struct("pos", "n", "key", *shown).alias("h"))
     found = opened.join(keys.select(F.col("key").alias("_k")), F.col("h.key") == F.col("_k"), "left_semi")
     per_unit = found.groupBy(key, "unit_no").agg(F.sort_array(F.collect_list("h")).alias("c"))
     kept = F.expr("""aggregate(c, slice(c, 1, 0), (s, x) -> CASE
@@ -254,18 +192,16 @@ def scan_terms(docs: DataFrame, keys: DataFrame, key: str = "doc_id", inline: bo
     """
     _check_keys(keys)
     small = Dictionary.load(keys) if inline is not False else None
-    units = _units(docs, key)
     if small is None:
-        hits, table = _joined_matches(units, keys, key), keys
+        hits, table = _joined_matches(docs, keys, key, around=True), keys
+        rows = hits.select(key, "unit_no", F.posexplode("hits").alias("_i", "h")).select(
+            key, "unit_no", (F.col("_i") + 1).alias("hit_no"), "h.ts", "h.wrong", "h.context", F.col("h.key").alias("_key"))
     elif small.pattern is None:  # an empty dictionary has no hits
-        return units.limit(0).join(keys, F.lit(False)).select(
-            key, "unit_no", F.lit(0).alias("hit_no"), "ts", F.col("unit").alias("wrong"), "right", "category", "candidate",
-            F.col("unit").alias("context"))
+        return docs.limit(0).join(keys, F.lit(False)).select(
+            key, F.lit(0).alias("unit_no"), F.lit(0).alias("hit_no"), F.col("text").alias("ts"), F.col("text").alias("wrong"), "right", "category",
+            "candidate", F.col("text").alias("context"))
     else:
-        hits = small.found(units, "unit").select(key, "unit_no", F.expr(f"transform(spans, x -> {_SPAN})").alias("hits"))
-        table = small.table(keys)
-    rows = hits.select(key, "unit_no", F.posexplode("hits").alias("_i", "h")).select(
-        key, "unit_no", (F.col("_i") + 1).alias("hit_no"), "h.ts", "h.wrong", "h.context", F.col("h.key").alias("_key"))
+        rows, table = pattern_matches(_folded(docs, key), small.pattern), small.table(keys)
     return rows.join(table.withColumnRenamed("key", "_key"), "_key").select(key, "unit_no", "hit_no", *_HIT)
 
 
@@ -279,15 +215,9 @@ def apply_terms(docs: DataFrame, keys: DataFrame, key: str = "doc_id", inline: b
     if small is not None:
         if small.pattern is None:
             return docs.select(key, "text")
-        found = small.found(docs.select(key, "text"), "text")
-        start = F.expr("transform(spans, (x, i) -> IF(i = 0, 1, spans[i - 1].pos + spans[i - 1].n))")
-        rows = staged(found, _from=start)
-        woven = F.zip_with("spans", "_from", lambda x, a: F.concat(
-            F.substring("text", a, x["pos"] - a), F.coalesce(small.replacement(x["key"]), F.substring("text", x["pos"], x["n"]))))
-        tail = F.expr("substring(text, coalesce(try_element_at(spans, -1).pos + try_element_at(spans, -1).n, 1), length(text))")
-        return rows.select(key, F.concat(F.array_join(woven, ""), tail).alias("text"))
+        return replace_matches(_folded(docs, key), small.pattern, small.right())
     units = _units(docs, key)
-    hits = _joined_matches(units, keys, key).select(key, "unit_no", F.explode("hits").alias("h"))
+    hits = _joined_matches(docs, keys, key, around=False).select(key, "unit_no", F.explode("hits").alias("h"))
     words = hits.select(key, "unit_no", "h.pos", "h.n", F.col("h.key").alias("_k")).join(
         keys.filter("NOT candidate").select(F.col("key").alias("_k"), "right"), "_k")
     per_unit = words.groupBy(key, "unit_no").agg(

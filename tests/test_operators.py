@@ -1,6 +1,8 @@
 """Small cases with known results, and brute-force checks of the order-dependent operators."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -379,3 +381,43 @@ def test_both_dictionary_forms_match_alike(spark):
         assert {k: v or "" for k, v in applied.items()} == {k: v or "" for k, v in fixed.items()}
     both = [sorted(map(tuple, terms.scan_terms(docs, keys, inline=x).collect()), key=str) for x in (True, False)]
     assert both[0] == both[1]
+
+
+@pytest.mark.parametrize("inline", [None, False])
+def test_terms_equal_a_plain_walk(spark, inline):
+    rnd, words = random.Random(3), ["th", "the", "eau", "eaux", "[0", "σ", "q x", "一二"]
+    parts = [*words, "THE", "Eau", "Σ", "ς", "İ", "\n", "\r", " ", "x", "[01:02]", "[1:02]", "😀", "0", "要"]
+    docs = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60)))) for i in range(60)]
+    low = str.maketrans({"Σ": "σ", "ς": "σ", "İ": "i"})
+    want, fixed = [], {}
+    for doc, text in docs:
+        fold = text.translate(low).lower()
+        cuts = sorted({0, len(text), *(m.start() for m in re.finditer(r"\[\d{1,2}:\d{2}\]", text)), *(i + 1 for i, c in enumerate(text) if c == "\n")})
+        ts, new, last = "--:--", "", 0
+        for a, b in zip(cuts, cuts[1:]):
+            mark = re.match(r"\[(\d{1,2}:\d{2})\]", text[a:])
+            ts, i = mark[1] if mark else ts, a
+            while i < b:
+                fits = [w for w in words if fold.startswith(w, i) and i + len(w) <= b]
+                if not fits:
+                    i += 1
+                    continue
+                w = max(fits, key=len)
+                around = text[max(0, i - 20):i] + "【" + text[i:i + len(w)] + "】" + text[i + len(w):i + len(w) + 20]
+                want.append((doc, ts, text[i:i + len(w)], around.replace("\r", " ").replace("\n", " ")))
+                new, last, i = new + text[last:i] + "<" + w + ">", i + len(w), i + len(w)
+        fixed[doc] = new + text[last:]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    keys = spark.createDataFrame([(w, f"<{w}>", "c", False) for w in words], "key string, right string, category string, candidate boolean")
+    assert rows(terms.scan_terms(df, keys, inline=inline), "doc_id", "ts", "wrong", "context") == sorted(want)
+    if inline is False:
+        assert dict(rows(terms.apply_terms(df, keys, inline=inline), "doc_id", "text")) == fixed
+
+
+def test_many_terms_in_one_line(spark):
+    docs = spark.createDataFrame([(1, "the " * 80_000)], "doc_id long, text string")
+    keys = spark.createDataFrame([("the", "T", "c", False)], "key string, right string, category string, candidate boolean")
+    start = time.monotonic()
+    assert terms.scan_terms(docs, keys).count() == 80_000
+    assert terms.apply_terms(docs, keys).first()["text"] == "T " * 80_000
+    assert time.monotonic() - start < 30  # each match is handled once, not copied with all those before it
