@@ -282,15 +282,17 @@ def promote_terms(glossary: DataFrame, requests: DataFrame, day: str) -> DataFra
     category there is ambiguous.
     """
     cands = glossary.filter(F.col("area") == CANDIDATE).withColumn("key", fold(F.col("wrong")))
-    found = requests.withColumn("key", fold(F.col("word"))).join(
+    # lower layers of a word never decide; entries go on only where they fit, and once, by request
+    top = cands.groupBy("key").agg(F.max(F.coalesce("layer", F.lit(-1))).alias("_top")).withColumnRenamed("key", "_k")
+    cands = cands.join(top, (F.col("key") == F.col("_k")) & (F.coalesce("layer", F.lit(-1)) == F.col("_top"))).drop("_k", "_top")
+    asked = requests.select("request_id", "category", fold(F.col("word")).alias("key")).join(
         cands.select("key", "layer", F.col("category").alias("cat"), "wrong", "correct", "hits", "source"), "key", "left")
-    entry = F.struct("cat", "wrong", "correct", "hits", "source")
     fits = F.col("category").isNull() | (F.col("category") == F.col("cat"))
+    known = F.col("wrong").isNotNull()
+    found = asked.select("request_id", "layer", known.alias("known"), F.when(known & fits, F.struct(
+        "cat", "wrong", "correct", "hits", "source")).alias("e")).repartition("request_id")
     per_layer = found.groupBy("request_id", "layer").agg(
-        F.count_if(F.col("wrong").isNotNull()).alias("found"),
-        F.count_if(F.col("wrong").isNotNull() & fits).alias("fit"),
-        F.min(F.when(F.col("wrong").isNotNull() & fits, entry)).alias("e"),
-    )
+        F.count_if("known").alias("found"), F.count("e").alias("fit"), F.min("e").alias("e"))
     top = per_layer.groupBy("request_id").agg(
         F.max_by(F.struct("found", "fit", "e", "layer"), F.coalesce("layer", F.lit(-1))).alias("t"))
     status = (

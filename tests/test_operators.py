@@ -10,6 +10,7 @@ from pyspark.sql import functions as F, Window as W
 
 from lectern.functions import ordered, text as tx
 from lectern.operators import anchors, captions, concepts, frames, lint, markdown, terms, timeindex
+from lectern.session import spread
 from lectern.sources import readers
 
 
@@ -421,3 +422,41 @@ def test_many_terms_in_one_line(spark):
     assert terms.scan_terms(docs, keys).count() == 80_000
     assert terms.apply_terms(docs, keys).first()["text"] == "T " * 80_000
     assert time.monotonic() - start < 30  # each match is handled once, not copied with all those before it
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    spark.range(20_000).selectExpr("id", "repeat(sha2(cast(id AS string), 256), 3) AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 17)
+    try:
+        table = spark.read.parquet(str(tmp_path / "t"))
+        assert table.rdd.getNumPartitions() >= 8  # splits by bytes, one of them with all rows
+        dealt = spread(table)
+        per_task = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert dealt.columns == table.columns and sum(per_task) == 20_000
+    assert len(per_task) >= 8 and max(per_task) < 5_000
+
+
+def test_lines_are_cut_at_all_line_ends(spark):
+    texts = ["", "a", "a\n", "\n", "\n\n", "a\r\n", "a\n\r", "a\rb\n\nc\n\n", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.l for r in df.select("i", tx.lines_of(F.col("t")).alias("l")).collect()}
+    assert [got[i] for i in range(len(texts))] == [t and t.splitlines() or t and [t] or (None if t is None else [""]) for t in texts]
+
+
+def test_promotion_moves_entries_once(spark):
+    glossary = spark.createDataFrame(
+        [(0, "candidates", "a", "X", "x0", 1, ""), (1, "candidates", "a", "x", "x1", 2, "s"), (1, "candidates", "b", "X", "x2", 3, ""),
+         (0, "candidates", "a", "y", "y0", 4, ""), (1, "categories", "a", "y", "y1", 5, "")],
+        "layer int, area string, category string, wrong string, correct string, hits int, source string")
+    requests = spark.createDataFrame(
+        [(1, "x", "a"), (2, "x", None), (3, "x", "c"), (4, "Y", None), (5, "z", None), (6, "y", None), (6, "x", "b"), (7, "y", "a"), (7, "y", "a")],
+        "request_id long, word string, category string")
+    done = terms.promote_terms(glossary, requests, "d")
+    assert rows(done, "request_id", "status", "correct", "layer", "source") == [
+        (1, "promoted", "x1", 1, "s | promoted:d"), (2, "ambiguous", None, None, None), (3, "not_in_category", None, None, None),
+        (4, "promoted", "y0", 0, "promoted:d"), (5, "missing", None, None, None), (6, "promoted", "x2", 1, "promoted:d"),
+        (7, "ambiguous", None, None, None)]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
