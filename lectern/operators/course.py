@@ -52,12 +52,14 @@ def expand_course_items(courses: DataFrame, mode: str = "season") -> DataFrame:
 def merge_item_history(items: DataFrame, history: DataFrame) -> DataFrame:
     """New item metadata with the latest known state; ``history`` has ``ord`` (later wins)."""
     state = [c for c in history.columns if c not in (*ITEM_KEY, *METADATA, "ord")]
-    last = history.groupBy(*ITEM_KEY).agg(F.max_by(F.struct(*state), "ord").alias("_h"))
+    # Dealt out by item first: a task that reads many manifests would sort all their states. One value
+    # per column, taken from the same row, lets the columns that nobody reads stay unread.
+    last = history.repartition(*ITEM_KEY).groupBy(*ITEM_KEY).agg(
+        F.max_by(F.lit(True), "ord").alias("_known"), *[F.max_by(c, "ord").alias(f"_h_{c}") for c in state])
     rows = items.join(last, ITEM_KEY, "left")
     kept = [c for c in items.columns if c not in state]
-    known = F.col("_h").isNotNull()
     fresh = {c: F.col(c) if c in items.columns else F.lit(None) for c in state}
-    return rows.select(*kept, *[F.when(known, F.col(f"_h.{c}")).otherwise(fresh[c]).alias(c) for c in state])
+    return rows.select(*kept, *[F.when(F.col("_known"), F.col(f"_h_{c}")).otherwise(fresh[c]).alias(c) for c in state])
 
 
 def scope_bounds(scopes: DataFrame, items: DataFrame) -> DataFrame:

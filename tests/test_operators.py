@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F, Window as W
 
 from lectern.functions import ordered, text as tx
-from lectern.operators import anchors, captions, concepts, frames, lint, markdown, terms, timeindex
+from lectern.operators import anchors, captions, concepts, course, frames, lint, markdown, terms, timeindex
 from lectern.session import spread
 from lectern.sources import readers
 
@@ -460,3 +460,15 @@ def test_promotion_moves_entries_once(spark):
         (7, "ambiguous", None, None, None)]
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1
+
+
+def test_item_history_reads_only_what_is_asked_for(spark):
+    items = spark.createDataFrame([(1, "A", 1, 1, 1), (1, "B", 2, 2, 2), (2, "A", 1, 1, 1)], "course_id long, bvid string, cid long, page int, idx int")
+    items = items.withColumn("status", F.lit("pending"))
+    history = spark.createDataFrame(
+        [(1, "A", 1, 1, 5, "done", None, "x"), (1, "A", 1, 1, 2, "failed", "n", "y"), (2, "A", 1, 1, None, "done", "n", "z")],
+        "course_id long, bvid string, cid long, page int, ord long, status string, note string, more string")
+    merged = course.merge_item_history(items, history)
+    assert rows(merged, "course_id", "bvid", "status", "note", "more") == [(1, "A", "done", None, "x"), (1, "B", "pending", None, None), (2, "A", "pending", None, None)]
+    plan = merged.select("idx", "status")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(more" not in plan and "max_by(status" in plan and "RepartitionByExpression" in plan
