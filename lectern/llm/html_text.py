@@ -2,18 +2,21 @@
 
 A page becomes lines: the texts of its blocks, each marked by where it stands. Lines in menus, footers, forms and the
 like are left out. A class, id or role that names adverts, comments and the like leaves its element out too, unless
-that holds a main element, most of the text in articles, or most of the page's text. Lines in a main element, or in
-articles that hold most of the text, stay alone, as passages that several articles share belong to each of them. For
-other pages, a page of the same host with a long common beginning of the URL path is looked up (the least or greatest
-page of five fixed beginnings), both pages' lines are aligned by longest common subsequence, and shared lines before
-the first and behind the last line of the page's own are deleted; a page that shares all its lines is a copy and keeps
-them.
+that holds a main element, most of the text in articles, or most of the page's text.
+
+Every page is compared with its nearest one: of the pages of its host with other lines, the one whose path has the
+longest common beginning, a neighbour in the order of paths. Both pages' lines are aligned by longest common
+subsequence, and shared lines before the first and behind the last line of the page's own are deleted; a page that
+shares all its lines is a copy and keeps them. Where lines stand in a main element, or in articles that hold most of the
+text, the alignment decides only what markup leaves open: these lines stay, as passages that several articles share
+belong to each of them, and of the lines between them the page's own ones.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from os.path import commonprefix
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.arrow import bounded_batches, importable, shared_folder, slices, text_buffer
+from lectern.functions.ordered import lag_row, running_sum, sorted_numbers
+from lectern.llm.arrow import bounded_batches, importable, shared_folder, slices, text_buffer, with_columns
 
 #: Elements whose content is no page text at all, up to their end tag.
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video head title textarea select".split())
@@ -259,7 +263,16 @@ def own_lines(lines: list[str], hashes: list[int], other: list[int] | None) -> l
     return lines[first:last + 1]
 
 
-_PARSED = T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("sure", T.BooleanType()),
+def main_lines(lines: list[str], sure: list[bool], hashes: list[int], other: list[int] | None) -> list[str]:
+    """Lines of the main text, given the lines of the nearest page."""
+    if not any(sure):
+        return own_lines(lines, hashes, other)
+    shared = shared_lines(hashes, other) if other else [True] * len(lines)
+    first, last = sure.index(True), len(sure) - 1 - sure[::-1].index(True)
+    return [t for i, (t, s) in enumerate(zip(lines, sure)) if s or first < i < last and not shared[i]]
+
+
+_PARSED = T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("sure", T.ArrayType(T.BooleanType())),
                         T.StructField("hashes", T.ArrayType(T.LongType()))])
 
 
@@ -267,21 +280,56 @@ def _parse(pages: pa.Array) -> list[pa.Array]:
     lines, sure, hashes = [], [], []
     for page in pages.to_pylist():
         found, where = page_lines(page)
-        lines.append([t for t, s in zip(found, where) if s] if any(where) else found)
-        sure.append(any(where) or not found)
+        lines.append(found)
+        sure.append(where)
         hashes.append([xxhash.xxh64_intdigest(t.encode()) - 2**63 for t in found])
-    return [pa.array(lines, pa.list_(pa.string())), pa.array(sure, pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))]
+    return [pa.array(lines, pa.list_(pa.string())), pa.array(sure, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))]
 
 
 def _finish(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for r in batch.select(["lines", "hashes", "other"]).to_pylist():
-            texts.append(" ".join(own_lines(r["lines"], r["hashes"], r["other"])))
+        texts = [" ".join(main_lines(*r.values())) for r in batch.select(["lines", "sure", "hashes", "other"]).to_pylist()]
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(2)], pa.array(texts, pa.string())],
                                          names=["page", "url", "text"])
 
 
+#: Neighbouring paths of a host that one task looks through.
+NEIGHBOURS = 4096
+
+
+def _nearer(path: pa.Array, before: pa.Array, after: pa.Array) -> list[pa.Array]:
+    """Whether the path after has a longer common beginning with the path than the one before it."""
+    def size(a, b):
+        return -1 if b is None else len(commonprefix((a, b)))
+
+    return [pa.array([size(p, a) > size(p, b) for p, b, a in zip(path.to_pylist(), before.to_pylist(), after.to_pylist())], pa.bool_())]
+
+
+def nearest_pages(pages: DataFrame) -> DataFrame:
+    """(host, path, sign, other) for pages (host, path, sign, hashes), other being the lines of the nearest page.
+
+    That is the page of the host with another sign whose path has the longest common beginning. In the order of paths
+    it stands next to the run of pages of one sign that a page is in; of equal ones the earlier is taken. Pages without
+    another one on their host are left out.
+    """
+    held = pages.groupBy("host", "path", "sign").agg(F.first("hashes").alias("hashes")).checkpoint()
+    order = F.struct("path", "sign")
+    numbered = sorted_numbers(held.select("host", "path", "sign", order.alias("o")), "host", "o", "no")
+    told = lag_row(numbered, ["host"], "no", {"last": "sign"}, NEIGHBOURS).withColumn(
+        "opens", F.coalesce(F.col("last") != F.col("sign"), F.lit(True)).cast("long"))
+    placed = running_sum(told, ["host"], "no", {"run": F.col("opens")}, NEIGHBOURS).select("host", "path", "sign", "no", "run").checkpoint()
+    runs = placed.groupBy("host", "run").agg(F.min_by(order, "no").alias("head"), F.max_by(order, "no").alias("tail"))
+    before = runs.select("host", (F.col("run") + 1).alias("run"), F.col("tail").alias("before"))
+    after = runs.select("host", (F.col("run") - 1).alias("run"), F.col("head").alias("after"))
+    beside = (placed.join(before, ["host", "run"], "left").join(after, ["host", "run"], "left").where("before is not null or after is not null")
+              .select("host", "path", "sign", "before", "after", F.col("before.path").alias("low"), F.col("after.path").alias("high")))
+    near = with_columns(beside, ["path", "low", "high"], T.StructType([T.StructField("later", T.BooleanType())]), _nearer)
+    one = F.when(F.col("later"), F.col("after")).otherwise(F.col("before"))
+    near = near.select("host", "path", "sign", one["path"].alias("near_path"), one["sign"].alias("near_sign"))
+    others = held.select("host", F.col("path").alias("near_path"), F.col("sign").alias("near_sign"), F.col("hashes").alias("other"))
+    return near.join(others, ["host", "near_path", "near_sign"]).select("host", "path", "sign", "other")
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per page: key, url, text (empty if there is none).
 
@@ -299,30 +347,11 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *_parse(column.slice(a, b - a))],
                     names=["page", "url", "lines", "sure", "hashes"])
 
-    parsed = own.mapInArrow(parse, T.StructType(fields))
-    told = parsed.where("sure").select("page", "url", F.array_join("lines", " ").alias("text"))
     address = F.coalesce(F.col("url"), F.lit(""))
     path = F.regexp_replace(F.regexp_replace(address, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    # a few hundred bytes of each page; pages themselves are shuffled only where markup leaves them open
-    placed = parsed.select("page", "url", "hashes", "sure", F.lower(F.substring_index(path, "/", 1)).alias("host"), path.alias("path"),
-                           F.xxhash64("hashes").alias("sign")).checkpoint()
-    if placed.where("not sure").isEmpty():
-        return told.select(F.col("page").alias(key), F.col("url").alias(url), "text")
-    # beginnings of the path, from the longest to the bare host
-    levels = F.posexplode(F.array(
-        F.col("path"), F.expr("left(path, greatest(0, length(path) - 1))"), F.expr("left(path, greatest(0, length(path) - 2))"),
-        F.expr("left(path, length(path) - length(substring_index(path, '/', -1)))"), F.col("host"))).alias("level", "start")
-    spread = placed.select("page", "url", "sign", "hashes", "sure", "host", levels)
-    one = F.struct("url", "page", "sign", "hashes")
-    ends = spread.groupBy("host", "level", "start").agg(F.min(one).alias("low"), F.max(one).alias("high"))
-    near = (spread.where("not sure").select("page", "url", "sign", "host", "level", "start").distinct()
-            .join(ends, ["host", "level", "start"])
-            .withColumn("other", F.when(F.col("low.sign") != F.col("sign"), F.col("low")).when(F.col("high.sign") != F.col("sign"), F.col("high")))
-            .where("other is not null").groupBy("page", "url", "sign")
-            .agg(F.min_by("other.hashes", "level").alias("other")))
-    open_ = parsed.where("not sure").withColumn("sign", F.xxhash64("hashes"))
-    matched = open_.alias("o").join(
-        near.alias("n"), F.col("o.page").eqNullSafe(F.col("n.page")) & F.col("o.url").eqNullSafe(F.col("n.url"))
-        & (F.col("o.sign") == F.col("n.sign")), "left").select("o.page", "o.url", "o.lines", "o.hashes", "n.other")
-    compared = matched.mapInArrow(_finish, T.StructType(list(own.schema.fields[:2]) + [T.StructField("text", T.StringType())]))
-    return told.union(compared).select(F.col("page").alias(key), F.col("url").alias(url), "text")
+    parsed = own.mapInArrow(parse, T.StructType(fields)).select(
+        "*", F.lower(F.substring_index(path, "/", 1)).alias("host"), path.alias("path"), F.xxhash64("hashes").alias("sign"))
+    near = nearest_pages(parsed.select("host", "path", "sign", "hashes"))
+    matched = parsed.join(near, ["host", "path", "sign"], "left").select("page", "url", "lines", "sure", "hashes", "other")
+    texts = matched.mapInArrow(_finish, T.StructType(list(own.schema.fields[:2]) + [T.StructField("text", T.StringType())]))
+    return texts.select(F.col("page").alias(key), F.col("url").alias(url), "text")

@@ -1,5 +1,6 @@
 """Operators that work row by row: against brute force, and on odd rows."""
 
+import os
 import random
 import re
 import struct
@@ -207,6 +208,35 @@ def test_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_every_page_is_compared_with_its_nearest(spark):
+    """Nearest among many paths of a host, over copies of a page; article pages too."""
+    wall = "<div>Top</div>{}<div>End</div>"
+    rows = [(1, "http://h/a/1", wall.format("<p>one</p>")), (2, "http://h/a/2", wall.format("<p>one</p>")), (3, "http://h/a/3", wall.format("<p>three</p>")),
+            (4, "http://h/b/x1", "<div>Other</div><p>four</p><div>Close</div>"), (5, "http://h/b/x2", "<div>Other</div><p>five</p><div>Close</div>"),
+            (6, "http://h/b", "<div>Other</div><p>six</p><div>End</div>"),
+            (7, "http://n/1", "<article>one long article</article><div>Share</div><p>own between</p><article>and its end</article><div>mine</div>"),
+            (8, "http://n/2", "<article>one long article</article><div>Share</div><article>another end</article>"),
+            (9, "http://alone/", "<article>one long article</article><div>Share</div><article>and its end</article>")]
+    found = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert {r.page_id: r.text for r in found} == {
+        1: "one", 2: "one", 3: "three", 4: "four", 5: "five", 6: "six End", 7: "one long article own between and its end",
+        8: "one long article another end", 9: "one long article and its end"}
+
+
+def test_nearest_pages_equal_a_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "NEIGHBOURS", 4)
+    rng = random.Random(8)
+    rows = list({(rng.choice("hg"), "".join(rng.choice("ab/") for _ in range(rng.randint(0, 6))), rng.randint(0, 3)) for _ in range(120)})
+    pages = spark.createDataFrame([(h, p, s, [s]) for h, p, s in rows * 2], "host string, path string, sign long, hashes array<long>")
+    found = html_text.nearest_pages(pages).collect()
+    assert len(found) == len(rows)
+    common = lambda a, b: len(os.path.commonprefix((a, b)))
+    for r in found:
+        others = [(p, s) for h, p, s in rows if h == r.host and s != r.sign]
+        most = max(common(r.path, p) for p, _ in others)
+        assert r.other[0] in {s for p, s in others if common(r.path, p) == most}
+
+
 LONG = "long text of the article with many words " * 5
 
 
