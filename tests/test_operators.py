@@ -472,3 +472,42 @@ def test_item_history_reads_only_what_is_asked_for(spark):
     assert rows(merged, "course_id", "bvid", "status", "note", "more") == [(1, "A", "done", None, "x"), (1, "B", "pending", None, None), (2, "A", "pending", None, None)]
     plan = merged.select("idx", "status")._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by(more" not in plan and "max_by(status" in plan and "RepartitionByExpression" in plan
+
+
+def test_blanks_are_trimmed_as_the_pattern_says(spark):
+    blanks = "\t\n\x0b\f\r\x1c\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = [*blanks, *[f"{b}a {b} é{b}{b}" for b in blanks], "", "\u200b x \u200b", "a", None, "\x00 \x00", " \ud55c\u3000"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pattern = f"^{tx.BLANK}+|{tx.BLANK}+$"
+    found = df.select(tx.strip(F.col("t")).alias("a"), F.expr(markdown.strip_sql("t")).alias("b"), F.regexp_replace("t", pattern, "").alias("c"),
+                      tx.rstrip(F.col("t")).alias("d"), F.regexp_replace("t", f"{tx.BLANK}+$", "").alias("e")).collect()
+    assert all(r.a == r.b == r.c and r.d == r.e for r in found)
+
+
+def test_outline_takes_one_pass_over_the_lines(spark):
+    rng = random.Random(3)
+    cases = [[rng.choice(["```", "## a", "x", "## 1. b", "```java"]) for _ in range(rng.randint(1, 30))] for _ in range(20)]
+    cases.append([rng.choice(["```", "## a", "x", "y"]) for _ in range(40_000)])
+    notes = spark.createDataFrame([(i, "\n".join(c), None) for i, c in enumerate(cases)], "note_id int, text string, template string")
+    start = time.time()
+    found = {r.note_id: r.lx for r in markdown.outline(notes).select("note_id", "lx").collect()}
+    assert time.time() - start < 30
+    for i, lines in enumerate(cases):
+        fence = head = shown = 0
+        for n, line in enumerate(lines, 1):
+            fence += line.startswith("```")
+            head = n if line.startswith("##") else head
+            shown = n if line.startswith("##") and fence % 2 == 0 else shown
+            x = found[i][n - 1]
+            assert (x.n, x.s, x.f, x.h, x.g) == (n, line, fence % 2 == 1, head, shown)
+
+
+def test_course_notes_are_parsed_once(spark):
+    text = "---\nnote_type: short\n---\n## 1. a\n## 概念卡片\n### b"
+    notes = spark.createDataFrame([(1, text, None), (2, text, "v4-obsidian"), (2, "x", None), (None, text, None)],
+                                  "note_id long, text string, template string")
+    found = markdown.parse_course_notes(notes)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    # front matter is joined by id: a repeated id meets each of its rows, a null one none
+    assert rows(found, "note_id", "note_type", "sections", "error") == [
+        (1, "lecture", 1, ""), (2, "lecture", 0, "no card section"), (2, "lecture", 1, ""), (2, "short", 0, ""), (2, "short", 1, "")]
