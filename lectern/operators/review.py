@@ -9,8 +9,9 @@ cluster and numbers its lines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -38,7 +39,12 @@ class CourseModel:
     concepts: DataFrame
     values: DataFrame
     appearances: DataFrame
-    questions: DataFrame
+    attributed: Callable[[], DataFrame]
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        """Attributed and stored when they are first read; the concept table has none."""
+        return self.attributed()
 
     def of_kind(self, kind: str) -> DataFrame:
         return self.values.filter(F.col("kind") == kind).drop("kind")
@@ -73,7 +79,8 @@ def course_model(cards: DataFrame, refs: DataFrame, appears: DataFrame, nav: Dat
     concepts = durable_checkpoint(heads.join(chosen, CONCEPT, "left").select(
         *CONCEPT, "f.name", "f.definition", F.struct("at.idx", "at.section_order", "f.card_no", "key").alias("first"),
         "multi_item", F.coalesce("original", F.lit("")).alias("original"), F.coalesce("groups", F.lit(0)).alias("groups")))
-    return CourseModel(concepts, values, shown.drop("name", "definition"), durable_checkpoint(_attributed(questions, shown, concepts)))
+    return CourseModel(concepts, values, shown.drop("name", "definition"),
+                       lambda: durable_checkpoint(_attributed(questions, shown, concepts)))
 
 
 def choose_originals(originals: DataFrame) -> DataFrame:

@@ -137,3 +137,14 @@ def test_closest_keys_equal_brute_force(spark):
     got = sorted(map(tuple, concepts.closest_keys(spark.createDataFrame(asked, "course_id long, asked string"), spark.createDataFrame(keys, "course_id long, key string")).collect()))
     want = [(c, a, r, k) for c, a in asked for r, (_, k) in enumerate(sorted((distance(a, k), k) for d, k in keys if d == c)[:3], 1)]
     assert got == sorted(want)
+
+
+def test_questions_are_attributed_when_they_are_read(spark):
+    cards = spark.createDataFrame([(1, 1, 1, "a", "d", "")], "course_id int, idx int, card_no long, name string, definition string, original string")
+    refs = spark.createDataFrame([], "course_id int, idx int, card_no long, field string, pos int, ref string")
+    appears = spark.createDataFrame([], "course_id int, idx int, card_no long, pos int, section int, section_name string")
+    nav = spark.createDataFrame([], "course_id int, idx int, section int, time string, url string")
+    asked = spark.createDataFrame([(1, 1, 1, "s", "A", "x")], "course_id int, idx int, no long, stem string, correspond string, answer string")
+    model = review.course_model(cards, refs, appears, nav, asked)
+    assert "questions" not in vars(model)
+    assert [r.concept for r in model.questions.collect()] == ["a"] and model.questions is model.questions
