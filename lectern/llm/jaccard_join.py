@@ -4,7 +4,8 @@ A document is its set of distinct five-word shingles; equal sets are one class.
 they are in the corpus (a sketch of fixed size counts every shingle of every document), rare ones first. A class posts
 a prefix of its set: with l shingles more than an overlap can miss, two similar sets share at least l of them. Each
 class takes the l that makes its estimated cost least: longer prefixes post more, but a pair must then share more
-shingles before it is verified. Pairs are verified on whole sets.
+shingles before it is verified. A pair is met only if the shingles from the shared one on suffice for a link, which
+the first shingle that two similar sets share always fulfils. Pairs are verified on whole sets.
 
 Groups that share a shingle are not expanded into all pairs. In rounds, a few members of each group are compared with
 all its members of other components, and leave the group; links join components. First the member of least rank is
@@ -121,7 +122,7 @@ def prefix(s: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 _POSTING = T.StructType([T.StructField("token", T.LongType()), T.StructField("salt", T.IntegerType()),
-                         T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType())])
+                         T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("rest", T.IntegerType())])
 
 
 def _postings(shared):
@@ -129,7 +130,7 @@ def _postings(shared):
         for batch in batches:
             frequency = shared.value
             for _, _, sets in _sets(batch.column(0)):
-                tokens, often, ids, sizes = [], [], [], []
+                tokens, often, ids, sizes, rests = [], [], [], [], []
                 seen = set()
                 for s in sets:
                     if len(s) and (own := _class_id(s)) not in seen:
@@ -139,31 +140,37 @@ def _postings(shared):
                         often.append(f)
                         ids.append(np.full(len(t), own, dtype=np.uint64))
                         sizes.append(np.full(len(t), len(s), dtype=np.int32))
+                        rests.append(np.arange(len(s), len(s) - len(t), -1, dtype=np.int32))
                 if tokens:
                     own, parts = np.concatenate(ids), 1 + np.concatenate(often).astype(np.int64) // HOT_POSTINGS
                     salt = np.where(parts > 1, 1 + (own >> np.uint64(8)).astype(np.int64) % parts, 0)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(signed(np.concatenate(tokens))), pa.array(salt.astype(np.int32)),
-                         pa.array(signed(own)), pa.array(np.concatenate(sizes))], names=_POSTING.fieldNames())
+                         pa.array(signed(own)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(rests))], names=_POSTING.fieldNames())
     return run
 
 
 def _shared_postings(batches) -> Iterator[pa.RecordBatch]:
     """Of postings sorted by token, salt and class: groups of the different classes that post a token, if several do.
 
-    Tokens of equal classes are one group, so a group is named by a fingerprint of its classes. The postings of a hot
-    token lie in several tasks; they are all kept, under the token itself. Other groups are below HOT_POSTINGS.
+    `rest` is the number of shingles from the posted one on. Two similar sets have no more in common than the rest
+    behind the first shingle that they share, so a posting goes whose rest is too short for the least set of its group.
+    Tokens of equal classes are one group, named by a fingerprint of its classes, with the largest rest of each. The
+    postings of a hot token lie in several tasks and are kept under the token itself. Other groups are below HOT_POSTINGS.
     """
     held = None
 
     def groups(columns, last: bool):
-        token, salt, own, n = columns
+        token, salt, own, n, reach = columns
         starts = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
         fresh = starts | np.r_[True, own[1:] != own[:-1]]
         end = len(token) if last else np.flatnonzero(starts)[-1]
         fresh[end:] = False
         rest = None if last else [c[end:] for c in columns]
         group = np.cumsum(starts) - 1
+        wide = n.astype(np.int64)
+        least = np.where(salt > 0, 0, np.minimum.reduceat(wide, np.flatnonzero(starts))[group])
+        fresh &= (PART + WHOLE) * reach.astype(np.int64) >= PART * (wide + np.maximum(least, -(-PART * wide // WHOLE)))
         size = np.bincount(group, fresh)
         kept = np.flatnonzero(fresh & ((size[group] > 1) | (salt > 0)))
         if not len(kept):
@@ -176,11 +183,13 @@ def _shared_postings(batches) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((own[kept], name))
         name, kept = name[order], kept[order]
         new = np.r_[True, (name[1:] != name[:-1]) | (own[kept][1:] != own[kept][:-1])]
-        return rest, pa.RecordBatch.from_arrays([pa.array(name[new]), pa.array(own[kept][new]), pa.array(n[kept][new])], names=["token", "id", "n"])
+        most = np.maximum.reduceat(reach[kept], np.flatnonzero(new))
+        return rest, pa.RecordBatch.from_arrays([pa.array(name[new]), pa.array(own[kept][new]), pa.array(n[kept][new]), pa.array(most)],
+                                                names=["token", "id", "n", "rest"])
 
     for batch in batches:
         if batch.num_rows:
-            columns = [np.array(batch.column(i)) for i in range(4)]
+            columns = [np.array(batch.column(i)) for i in range(5)]
             columns = columns if held is None else [np.concatenate([h, c]) for h, c in zip(held, columns)]
             held, found = groups(columns, False)
             if found is not None:
@@ -309,8 +318,13 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     order = ["token", "salt"]
     postings = (own.select("text").mapInArrow(_postings(frequency), _POSTING)
                 .repartition(*order).sortWithinPartitions(*order, "id")
-                .mapInArrow(_shared_postings, "token long, id long, n int"))
-    live = postings.dropDuplicates(["token", "id"]).withColumn("root", F.col("id")).checkpoint()
+                .mapInArrow(_shared_postings, "token long, id long, n int, rest int"))
+    live = (postings.groupBy("token", "id").agg(F.max("n").alias("n"), F.max("rest").alias("rest"))
+            .withColumn("root", F.col("id")).checkpoint())
+    # what a set must have in common with the least one of its group that can be similar to it, times WHOLE
+    wide = F.col("n").cast("long")
+    needed = F.greatest(WHOLE * PART * (wide + F.col("lo")), PART * (WHOLE + PART) * wide)
+    open_ = WHOLE * (PART + WHOLE) * F.col("rest").cast("long") >= needed
     rank = F.struct(F.xxhash64("id").alias("r"), "id")
     places = rows.where("n > 0").groupBy("id").agg(F.min(F.struct(F.coalesce("doc", F.lit(-(2**63))).alias("doc"), "mark")).alias("p"))
     posted = places.join(live.select("id").distinct(), "id").select("id", "p.doc", "p.mark")
@@ -324,9 +338,9 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     tested, merges, turn = None, [], 0
     while True:
-        shares = live.groupBy("token", "root").agg(F.count("*").alias("m"), F.min(rank).alias("first"))
+        shares = live.groupBy("token", "root").agg(F.count("*").alias("m"), F.min(rank).alias("first"), F.min("n").alias("lo"))
         groups = shares.groupBy("token").agg(
-            F.sum("m").alias("m"), F.count("*").alias("roots"), F.min("first").alias("first"),
+            F.sum("m").alias("m"), F.count("*").alias("roots"), F.min("first").alias("first"), F.min("lo").alias("lo"),
             F.max(F.struct("m", "root")).alias("main")).where("roots > 1")
         share = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 40)) / F.lit(float(1 << 40))
         if turn == 0:
@@ -336,12 +350,14 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
         else:
             outside = F.col("m") - F.col("main.m")
             chosen = (F.col("root") != F.col("main.root")) & (share * outside < LATER)
-        live = live.join(groups, "token").select("token", "id", "n", "root", chosen.alias("chosen")).checkpoint()
+        live = live.join(groups, "token").where(open_).select("token", "id", "n", "rest", "root", chosen.alias("chosen")).checkpoint()
         if live.isEmpty():
             break
-        picked = live.where("chosen").groupBy("token").agg(F.collect_list(F.struct("id", "root", "n")).alias("picked"))
+        picked = live.where("chosen").groupBy("token").agg(F.collect_list(F.struct("id", "root", "n", "rest")).alias("picked"))
+        # two sets that first share this shingle have at most the shorter rest in common; sizes too far apart fail it as well
         far = F.filter("picked", lambda c: (c["root"] != F.col("root"))
-                       & (WHOLE * F.least(c["n"], F.col("n")) >= PART * F.greatest(c["n"], F.col("n"))))
+                       & ((PART + WHOLE) * F.least(c["rest"], F.col("rest")).cast("long") >= PART * (c["n"].cast("long") + F.col("n"))))
+        far = F.transform(far, lambda c: F.struct(c["id"].alias("id"), c["root"].alias("root")))
         # the shingles that two classes share give one row for each class, not one for each pair
         met = live.join(picked, "token").select("id", "root", far.alias("far")).where("size(far) > 0")
         met = met.groupBy("id", "root").agg(F.array_distinct(F.flatten(F.collect_set("far"))).alias("far"))
@@ -358,7 +374,7 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
         merged = components(looked.where("link"), "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("now"))
         merges.append(merged.checkpoint())
         live = (live.where(~F.col("chosen")).drop("chosen").join(merges[-1], "root", "left")
-                .select("token", "id", "n", F.coalesce("now", "root").alias("root")))
+                .select("token", "id", "n", "rest", F.coalesce("now", "root").alias("root")))
         turn += 1
 
     spark.sql(f"DROP TABLE {table}")

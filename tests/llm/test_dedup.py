@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lectern.llm.jaccard_join import components, similarity_join
+from lectern.llm.jaccard_join import _shared_postings, components, similarity_join
 from lectern.llm.repeats import Scheme
 from lectern.llm.substring_dedup import AFTER, BEFORE, WINDOW, substring_dedup, symbol_ranks
 from lectern.llm.suffix_dedup import suffix_dedup
@@ -174,6 +175,16 @@ def test_similarity_join_equals_brute_force(spark):
     assert sum(k != c for k, (_, c) in want.items()) > 50
 
 
+@pytest.mark.parametrize("rest,met", [([90, 80, 86], {1: 90, 3: 86}), ([90, 80, 85], {}), ([100, 99, 98], {1: 100, 2: 99, 3: 98})])
+def test_a_shingle_too_far_behind_starts_no_pair(rest, met):
+    """Three sets of 100 shingles: a link needs 86 in common, so the shared shingle and those behind it must be as many."""
+    columns = [[7] * 3, [0] * 3, [1, 2, 3], [100] * 3, rest]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["token", "salt", "id", "n", "rest"])
+    found = [r for b in _shared_postings(iter([batch])) for r in b.to_pylist()]
+    assert {r["id"]: r["rest"] for r in found} == met
+
+
 def test_similarity_join_on_odd_rows(odd_docs, clashing, no_docs):
     found = similarity_join(odd_docs).collect()
     assert len(found) == 10
