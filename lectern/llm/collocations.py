@@ -39,6 +39,8 @@ TALLY, TEXT_BYTES = 250_000, 1_000_000
 BATCH_ROWS = 500
 #: Bits of the largest filter (32 MB), and bits for each phrase in a smaller one.
 LARGEST_FILTER, BITS_EACH = 1 << 28, 12
+#: Counters of a sketch of phrases, and counters in a row of it.
+SLOTS, CHUNK = 1 << 22, 1 << 12
 UNKNOWN_LANG = "und"
 
 
@@ -251,8 +253,43 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def phrase_counts(relation: DataFrame, size: int) -> DataFrame:
-    """(lang, w1 .., a): occurrences of all phrases of one more word than the relation has."""
+def likely_phrases(relation: DataFrame, size: int, least: int) -> np.ndarray:
+    """One bit for each slot of phrase fingerprints: whether its phrases of one more word occur `least` times or more.
+
+    Phrases of one slot are counted together, so that no frequent phrase is missed. Counts stop at `least` in each
+    task; a row of the sketch is added up over the tasks, and only the bits come to the driver.
+    """
+    kind = np.uint8 if least < 256 else np.int32
+    slots, chunk = SLOTS, CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(slots, dtype=kind)
+        for batch in batches:
+            for part in _parts(batch):
+                _, phrases, _, mine, _, codes, marks, _ = _joined(part, size)
+                keys = _keys(marks[codes[mine]], [p[mine] for p in phrases])
+                at, counts = np.unique((keys & np.uint64(slots - 1)).astype(np.int64), return_counts=True)
+                held[at] = np.minimum(held[at] + counts, least)
+        for c in np.unique(np.flatnonzero(held) // chunk).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([held[c * chunk:(c + 1) * chunk].tobytes()])], ["chunk", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(min(chunk, slots), dtype=np.int64)
+        for counts in rows.column("counts"):
+            total += np.frombuffer(counts.as_py(), dtype=kind)
+        bits = np.packbits(total >= least, bitorder="little").tobytes()
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+    made = importable(relation).mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, bits binary").toArrow()
+    out = np.zeros(slots // 8, dtype=np.uint8)
+    for c, bits in zip(made.column("chunk").to_pylist(), made.column("bits").to_pylist()):
+        out[c * chunk // 8:c * chunk // 8 + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
+def phrase_counts(relation: DataFrame, size: int, likely: np.ndarray | None = None) -> DataFrame:
+    """(lang, w1 .., a): occurrences of the phrases of one more word than the relation has; with `likely`, of those in its slots."""
+    shared = None if likely is None else relation.sparkSession.sparkContext.broadcast(likely)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(size + 1)
@@ -261,6 +298,10 @@ def phrase_counts(relation: DataFrame, size: int) -> DataFrame:
                 _, phrases, _, mine, _, codes, marks, names = _joined(part, size)
                 phrases, codes = [p[mine] for p in phrases], codes[mine]
                 keys = _keys(marks[codes], phrases)
+                if shared is not None:
+                    slot = keys & np.uint64(len(shared.value) * 8 - 1)
+                    hit = (shared.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    keys, phrases, codes = keys[hit], [p[hit] for p in phrases], codes[hit]
                 first, counts = grouped(keys)
                 yield from tally.add(keys[first], counts, np.array(names, dtype=object)[codes[first]], [p[first] for p in phrases])
         yield from tally.flush()
@@ -305,7 +346,9 @@ def frequent_phrases(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataF
     relation = stored(word_occurrences(texts, phrase_filter(words, 1)), "r1")
     found = [_phrases(words, 1)]
     for size in range(1, LONGEST):
-        counts = stored(phrase_counts(relation, size).where(F.col("a") >= least), f"c{size + 1}")
+        # most phrases of frequent parts are rare: a sketch leaves out those that cannot be frequent before any is shuffled
+        likely = likely_phrases(relation, size, least) if size > 1 else None
+        counts = stored(phrase_counts(relation, size, likely).where(F.col("a") >= least), f"c{size + 1}")
         found.append(_phrases(counts, size + 1))
         if size + 1 < LONGEST:
             # relations shrink from level to level: without partitions of full size, partial counts would stay apart

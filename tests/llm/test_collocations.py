@@ -122,3 +122,19 @@ def run_local(monkeypatch, operator, keep, batches):
 def test_no_texts(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert C.collocations(empty).collect() == []
+
+
+def test_a_sketch_leaves_out_rare_phrases_only(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) + " x y", rng.choice(["en", "fr"])) for _ in range(40)]
+    texts = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    relation = C.word_occurrences(texts, C.PhraseFilter(np.full(1024, 2**64 - 1, dtype=np.uint64))).cache()
+    every = {tuple(r)[:-1]: r.a for r in C.phrase_counts(relation, 1).collect()}
+    frequent = {k: a for k, a in every.items() if a >= 6}
+    assert 10 < len(frequent) < len(every) / 2
+    for slots in (1 << 16, 1 << 6):
+        monkeypatch.setattr(C, "SLOTS", slots)
+        found = {tuple(r)[:-1]: r.a for r in C.phrase_counts(relation, 1, C.likely_phrases(relation, 1, 6)).collect()}
+        assert frequent.items() <= found.items() <= every.items()
+        assert slots == 1 << 6 or len(found) < len(frequent) * 1.2
+    relation.unpersist()
