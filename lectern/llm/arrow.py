@@ -51,6 +51,14 @@ def remove_table(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints that nothing refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which a driver with little to do may not for a long time.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) with about `limit` bytes each, in order, covering all rows."""
     if not len(lengths):

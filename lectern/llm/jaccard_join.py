@@ -5,7 +5,9 @@ they are in the corpus (a sketch of fixed size counts every shingle of every doc
 a prefix of its set: with l shingles more than an overlap can miss, two similar sets share at least l of them. Each
 class takes the l that makes its estimated cost least: longer prefixes post more, but a pair must then share more
 shingles before it is verified. A pair is met only if the shingles from the shared one on suffice for a link, which
-the first shingle that two similar sets share always fulfils. Pairs are verified on whole sets.
+the first shingle that two similar sets share always fulfils. Before their texts are joined, pairs whose bitmaps show that
+they have too little in common are left out; a bitmap never shows less than what two sets share, so no link is lost.
+The others are verified on whole sets.
 
 Groups that share a shingle are not expanded into all pairs. In rounds, a few members of each group are compared with
 all its members of other components, and leave the group; links join components. First the member of least rank is
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.arrow import bounded_batches, importable, shared_folder, slices, text_buffer
+from lectern.llm.arrow import bounded_batches, importable, release, remove_table, shared_folder, slices, text_buffer
 from lectern.llm.words import SPACED, Words, grams, mix, run_hash, signed
 
 SHINGLE = 5
@@ -32,6 +34,8 @@ SHINGLE = 5
 PART, WHOLE = 75, 100
 #: Buckets of the frequency sketch: its size is fixed, whatever the corpus.
 SKETCH_BITS = 18
+#: Bits of a bitmap for each shingle of its set, at least; their number is a power of two.
+BITMAP_BITS = 4
 _CHUNK = 4096
 #: Postings of one shingle beyond which they are dealt to several tasks.
 HOT_POSTINGS = 20_000
@@ -68,9 +72,25 @@ def _class_id(s: np.ndarray) -> np.uint64:
     return mix(np.add.reduce(mix(s + np.uint64(len(s))), keepdims=True))[0]
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Bits of the buckets that the shingles of a set fall into; fewer buckets are those of more buckets laid on each other."""
+    bits = np.zeros(max(64, 1 << (BITMAP_BITS * len(s) - 1).bit_length()), dtype=bool)
+    bits[((s >> np.uint64(24)) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def may_link(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> bool:
+    """Whether two sets of these bitmaps and sizes can be linked: a bucket that only one of them fills holds a shingle of its own."""
+    if len(a) > len(b):
+        a, size_a, b, size_b = b, size_b, a, size_a
+    b = np.bitwise_or.reduce(b.reshape(-1, len(a)))
+    common = min(size_a - int(np.bitwise_count(a & ~b).sum()), size_b - int(np.bitwise_count(b & ~a).sum()))
+    return (PART + WHOLE) * common >= PART * (size_a + size_b)
+
+
 _PROFILE = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("n", T.IntegerType()),
-    T.StructField("id", T.LongType()), T.StructField("chunk", T.IntegerType()),
+    T.StructField("id", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("chunk", T.IntegerType()),
     T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
 
@@ -79,21 +99,22 @@ def _profile(batches) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     names = _PROFILE.fieldNames()
     for batch in batches:
-        sizes, ids = [], []
+        sizes, ids, bits = [], [], []
         for _, _, sets in _sets(batch.column(0)):
             sizes += map(len, sets)
             ids += [_class_id(s) for s in sets]
+            bits += [bitmap(s).tobytes() for s in sets]
             if sets:
                 buckets = np.concatenate(sets) & np.uint64(len(sketch) - 1)
                 sketch += np.bincount(buckets.astype(np.int64), minlength=len(sketch))
         rows = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [batch.column(1), batch.column(2), pa.array(sizes, pa.int32()), pa.array(signed(np.array(ids, dtype=np.uint64))),
-             pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int32()))], names=names)
+             pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int32()))], names=names)
     for chunk in np.unique(np.flatnonzero(sketch) // _CHUNK).tolist():
         counts = np.minimum(sketch[chunk * _CHUNK:(chunk + 1) * _CHUNK], 2**31 - 1).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+            [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
             + [pa.array([chunk], pa.int32()), pa.array([counts], pa.list_(pa.int32()))], names=names)
 
 
@@ -219,6 +240,20 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
 
 
+_LOOKED = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "ra", "rb", "doc_a", "mark_a", "doc_b", "mark_b")]
+                       + [T.StructField("open", T.BooleanType())])
+
+
+def _look(batches) -> Iterator[pa.RecordBatch]:
+    """Whether pairs with the bitmaps of both sets can be links."""
+    names = _LOOKED.fieldNames()[:-1]
+    for batch in batches:
+        maps = [[np.frombuffer(x, dtype=np.uint8) for x in batch.column(f"bits_{s}").to_pylist()] for s in "ab"]
+        sizes = [batch.column(f"n_{s}").to_pylist() for s in "ab"]
+        open_ = [may_link(*x) for x in zip(maps[0], sizes[0], maps[1], sizes[1])]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(open_, pa.bool_())], names=[*names, "open"])
+
+
 def _verify(shared):
     """Pairs with both texts: a first look at the prefixes, then the exact test on whole sets."""
     def run(batches):
@@ -321,20 +356,27 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
                 .mapInArrow(_shared_postings, "token long, id long, n int, rest int"))
     live = (postings.groupBy("token", "id").agg(F.max("n").alias("n"), F.max("rest").alias("rest"))
             .withColumn("root", F.col("id")).checkpoint())
+    release(spark)
     # what a set must have in common with the least one of its group that can be similar to it, times WHOLE
     wide = F.col("n").cast("long")
     needed = F.greatest(WHOLE * PART * (wide + F.col("lo")), PART * (WHOLE + PART) * wide)
     open_ = WHOLE * (PART + WHOLE) * F.col("rest").cast("long") >= needed
     rank = F.struct(F.xxhash64("id").alias("r"), "id")
-    places = rows.where("n > 0").groupBy("id").agg(F.min(F.struct(F.coalesce("doc", F.lit(-(2**63))).alias("doc"), "mark")).alias("p"))
-    posted = places.join(live.select("id").distinct(), "id").select("id", "p.doc", "p.mark")
-    packed = own.withColumn("doc", F.coalesce("doc", F.lit(-(2**63)))).mapInArrow(
-        _pack, "doc long, mark long, packed binary, size int")
-    # a table bucketed by class, so that no round shuffles the texts again
-    parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"lectern_texts_{uuid.uuid4().hex}"
-    (posted.join(packed, ["doc", "mark"]).dropDuplicates(["doc", "mark"]).select("id", "packed", "size")
-     .repartition(parts, "id").write.bucketBy(parts, "id").option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table))
-    texts = spark.table(table)
+    # tables bucketed by what they are joined on, so that no round shuffles bitmaps or texts again
+    parts, tables = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+
+    def bucketed(df: DataFrame, *by: str) -> DataFrame:
+        tables.append(f"lectern_texts_{uuid.uuid4().hex}")
+        df.write.bucketBy(parts, *by).option("path", f"{shared_folder(spark)}/{tables[-1]}").saveAsTable(tables[-1])
+        return spark.table(tables[-1])
+
+    named = F.coalesce("doc", F.lit(-(2**63))).alias("doc")
+    classes = bucketed(rows.where("n > 0").select("id", F.struct(named, "mark", "n", "bits").alias("p")).repartition(parts, "id")
+                       .groupBy("id").agg(F.min("p").alias("p")).select("id", "p.*"), "id")
+    release(spark)
+    texts = bucketed(own.withColumn("doc", named).mapInArrow(_pack, "doc long, mark long, packed binary, size int")
+                     .repartition(parts, "doc", "mark").dropDuplicates(["doc", "mark"]), "doc", "mark")
+    release(spark)
 
     tested, merges, turn = None, [], 0
     while True:
@@ -366,18 +408,22 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
                             F.least("root", "c.root").alias("ra"), F.greatest("root", "c.root").alias("rb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        sides = [texts.select(F.col("id").alias(s), F.col("packed").alias(f"packed_{s}"), F.col("size").alias(f"size_{s}"))
-                 for s in "ab"]
-        looked = (pairs.join(sides[0], "a").join(sides[1], "b")
-                  .mapInArrow(_verify(frequency), "a long, b long, ra long, rb long, link boolean").checkpoint())
+        maps, whole = [[t.select(*[F.col(c).alias(f"{c}_{s}") for c in t.columns]) for s in "ab"] for t in (classes, texts)]
+        looked = (pairs.join(maps[0].withColumnRenamed("id_a", "a"), "a").join(maps[1].withColumnRenamed("id_b", "b"), "b")
+                  .mapInArrow(_look, _LOOKED).checkpoint())
         tested = looked.select("a", "b") if tested is None else tested.union(looked.select("a", "b"))
-        merged = components(looked.where("link"), "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("now"))
+        links = (looked.where("open").join(whole[0], ["doc_a", "mark_a"]).join(whole[1], ["doc_b", "mark_b"])
+                 .mapInArrow(_verify(frequency), "a long, b long, ra long, rb long, link boolean").where("link"))
+        merged = components(links, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("now"))
         merges.append(merged.checkpoint())
+        release(spark)
         live = (live.where(~F.col("chosen")).drop("chosen").join(merges[-1], "root", "left")
                 .select("token", "id", "n", "rest", F.coalesce("now", "root").alias("root")))
         turn += 1
 
-    spark.sql(f"DROP TABLE {table}")
+    for table in tables:
+        spark.sql(f"DROP TABLE {table}")
+        remove_table(spark, f"{shared_folder(spark)}/{table}")
     found = rows.select("doc", "mark", "n", "id")
     for merged in merges:
         found = found.join(merged.withColumnRenamed("root", "id"), "id", "left").select(

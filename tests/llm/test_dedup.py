@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lectern.llm.jaccard_join import _shared_postings, components, similarity_join
+from lectern.llm.jaccard_join import _shared_postings, bitmap, components, may_link, similarity_join
 from lectern.llm.repeats import Scheme
 from lectern.llm.substring_dedup import AFTER, BEFORE, WINDOW, substring_dedup, symbol_ranks
 from lectern.llm.suffix_dedup import suffix_dedup
@@ -199,3 +199,36 @@ def test_similarity_join_on_odd_rows(odd_docs, clashing, no_docs):
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     assert {r.node: r.root for r in components(links).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_bitmaps_leave_out_no_link_and_most_others():
+    rng = np.random.default_rng(5)
+    kept = others = 0
+    for _ in range(3000):
+        n, common = int(rng.integers(1, 600)), 0
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        common = int(rng.integers(0, n + 1))
+        b = np.r_[a[:common], rng.integers(0, 2**64, int(rng.integers(0, n // 3 + 2)), dtype=np.uint64)]
+        if not len(b):
+            continue
+        open_ = may_link(bitmap(a), len(a), bitmap(b), len(b))
+        assert open_ == may_link(bitmap(b), len(b), bitmap(a), len(a))
+        if 100 * common >= 75 * (len(a) + len(b) - common):
+            assert open_
+        else:
+            kept, others = kept + open_, others + 1
+    assert others > 1000 and kept < others / 5
+
+
+def test_tables_of_texts_and_bitmaps_are_removed(spark):
+    from pathlib import Path
+
+    from lectern.llm.arrow import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("lectern_texts_*"))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i % 4] + base[i % 4 + 1:])) for i in range(12)] + [(None, " ".join(base)), (90, None), (91, "")]
+    found = {r.doc_id: r.component_id for r in similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: 0 for i in range(12)} | {None: 0, 90: 90, 91: 91}
+    assert set(folder.glob("lectern_texts_*")) == before and not [t for t in spark.catalog.listTables() if "lectern_texts" in t.name]
