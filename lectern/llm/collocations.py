@@ -39,7 +39,7 @@ TALLY, TEXT_BYTES = 250_000, 1_000_000
 BATCH_ROWS = 500
 #: Bits of the largest filter (32 MB), and bits for each phrase in a smaller one.
 LARGEST_FILTER, BITS_EACH = 1 << 28, 12
-#: Counters of a sketch of phrases, and counters in a row of it.
+#: Counters of each half of a sketch of phrases, and counters in a row of it; a phrase has a counter in either half.
 SLOTS, CHUNK = 1 << 22, 1 << 12
 UNKNOWN_LANG = "und"
 
@@ -253,14 +253,21 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
+def _slots(keys: np.ndarray, slots: int) -> list[np.ndarray]:
+    mask = np.uint64(slots - 1)
+    return [keys & mask, ((keys >> np.uint64(32)) & mask) + np.uint64(slots)]
+
+
 def likely_phrases(relation: DataFrame, size: int, least: int) -> np.ndarray:
     """One bit for each slot of phrase fingerprints: whether its phrases of one more word occur `least` times or more.
 
-    Phrases of one slot are counted together, so that no frequent phrase is missed. Counts stop at `least` in each
+    Phrases of one slot are counted together, so that no frequent phrase is missed; a rare one is let through only if
+    it shares a slot with others in both halves. Counts stop at `least` in each
     task; a row of the sketch is added up over the tasks, and only the bits come to the driver.
     """
     kind = np.uint8 if least < 256 else np.int32
-    slots, chunk = SLOTS, CHUNK
+    half, chunk = SLOTS, CHUNK
+    slots = 2 * half
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(slots, dtype=kind)
@@ -268,7 +275,7 @@ def likely_phrases(relation: DataFrame, size: int, least: int) -> np.ndarray:
             for part in _parts(batch):
                 _, phrases, _, mine, _, codes, marks, _ = _joined(part, size)
                 keys = _keys(marks[codes[mine]], [p[mine] for p in phrases])
-                at, counts = np.unique((keys & np.uint64(slots - 1)).astype(np.int64), return_counts=True)
+                at, counts = np.unique(np.concatenate(_slots(keys, half)).astype(np.int64), return_counts=True)
                 held[at] = np.minimum(held[at] + counts, least)
         for c in np.unique(np.flatnonzero(held) // chunk).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([held[c * chunk:(c + 1) * chunk].tobytes()])], ["chunk", "counts"])
@@ -299,14 +306,18 @@ def phrase_counts(relation: DataFrame, size: int, likely: np.ndarray | None = No
                 phrases, codes = [p[mine] for p in phrases], codes[mine]
                 keys = _keys(marks[codes], phrases)
                 if shared is not None:
-                    slot = keys & np.uint64(len(shared.value) * 8 - 1)
-                    hit = (shared.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    hit = np.ones(len(keys), dtype=bool)
+                    for slot in _slots(keys, len(shared.value) * 4):
+                        hit &= (shared.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     keys, phrases, codes = keys[hit], [p[hit] for p in phrases], codes[hit]
                 first, counts = grouped(keys)
                 yield from tally.add(keys[first], counts, np.array(names, dtype=object)[codes[first]], [p[first] for p in phrases])
         yield from tally.flush()
 
     names = [f"w{i}" for i in range(1, size + 2)]
+    if likely is not None:
+        # a task ends with a row for nearly every likely phrase: with a task for each core, rows grow with the phrases, not with phrases times tasks
+        relation = relation.coalesce(relation.sparkSession.sparkContext.defaultParallelism)
     made = importable(relation).mapInArrow(run, "lang string, " + ", ".join(f"{n} long" for n in names) + ", a long")
     return made.groupBy("lang", *names).agg(F.sum("a").alias("a"))
 

@@ -138,3 +138,37 @@ def test_a_sketch_leaves_out_rare_phrases_only(spark, monkeypatch):
         assert frequent.items() <= found.items() <= every.items()
         assert slots == 1 << 6 or len(found) < len(frequent) * 1.2
     relation.unpersist()
+
+
+def test_a_full_sketch_lets_few_rare_phrases_through(spark, monkeypatch):
+    """Two counters for each phrase: with as many phrases as counters, one alone would let about every third through."""
+    from lectern.llm import collocations as C
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 400)) for _ in range(20)] + ["a b c"] * 12
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(3)
+    relation = C.word_occurrences(docs, C.phrase_filter(C.word_counts(docs).where("w1 is not null"), 1)).cache()
+    every = {tuple(r)[:-1]: r.a for r in C.phrase_counts(relation, 1).collect()}
+    frequent = {k: a for k, a in every.items() if a >= 8}
+    monkeypatch.setattr(C, "SLOTS", 1 << 12)
+    found = {tuple(r)[:-1]: r.a for r in C.phrase_counts(relation, 1, C.likely_phrases(relation, 1, 8)).collect()}
+    assert frequent.items() <= found.items() <= every.items()
+    one = {}
+    for (lang, *words), a in every.items():
+        slot = int(C._keys(C._lang_codes(pa.array([lang]))[1], [np.array([w], dtype=np.int64).view(np.uint64) for w in words])[0]) % (1 << 12)
+        one.setdefault(slot, []).append(a)
+    single = sum(len(v) for v in one.values() if sum(v) >= 8)
+    assert len(found) - len(frequent) < (single - len(frequent)) / 2
+    relation.unpersist()
+
+
+def test_likely_phrases_are_counted_in_a_task_for_each_core(spark, capsys):
+    from lectern.llm import collocations as C
+
+    docs = spark.createDataFrame([("en", f"a b c d{i % 3}") for i in range(400)], "lang string, text string")
+    relation = C.word_occurrences(docs, C.phrase_filter(C.word_counts(docs).where("w1 is not null"), 1)).repartition(64).cache()
+    counts = C.phrase_counts(relation, 1, C.likely_phrases(relation, 1, 30))
+    counts.explain()
+    assert f"Coalesce {spark.sparkContext.defaultParallelism}" in capsys.readouterr().out
+    assert sorted(r.a for r in counts.collect()) == [133, 133, 134, 400, 400]
+    relation.unpersist()
