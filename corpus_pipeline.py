@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, pii, quality
-from lectern.llm.arrow import shared_folder
+from lectern.llm.arrow import shared_folder, stored
 from lectern.llm.jaccard_join import component_firsts
 from lectern.llm.queries import quality_model, table
 
@@ -51,10 +51,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token ids of each document (packed little-endian unsigned 32-bit integers), proved by decoding them."""
+    """Token ids of each document (packed little-endian unsigned 32-bit integers), proved by decoding them.
+
+    The ids are stored before they are decoded: in one stage each task would hold two workers with a tokenizer each.
+    """
     entries = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = bpe.encode(docs, entries, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, entries, public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), entries, public_tokenizers.PATTERN)
+    decoded = bpe.decode(stored(encoded, "ids"), entries, public_tokenizers.PATTERN)
     exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return decoded.select("doc_id", "lang", "source", "n_tokens", "ids",
                           F.when(exact, True).otherwise(F.raise_error(F.lit("decoding does not give the text"))).alias("exact"))

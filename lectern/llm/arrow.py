@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2_000_000
 
 
+_BYTES = (pa.binary(), pa.large_binary())
+_SIZED = (pa.string(), pa.large_string(), *_BYTES)
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -51,6 +55,17 @@ def remove_table(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read again.
+
+    A task has a Python worker for each Arrow step of its stage; steps with a table between them take turns in one worker.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files and checkpoints that nothing refers to any more.
 
@@ -79,6 +94,9 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def byte_lengths(column: pa.Array) -> np.ndarray:
+    """Bytes of each row of a string or binary column; nulls have none."""
+    if column.type in _BYTES:
+        return pc.binary_length(column).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
     return np.diff(text_buffer(column)[1])
 
 
@@ -87,7 +105,7 @@ def with_columns(df: DataFrame, inputs: list[str], outputs: T.StructType,
     """Adds columns that `step` computes from the input columns, a bounded slice of rows at a time.
 
     Other columns pass through; an existing column named like an output is replaced. The first input is the
-    text that bounds a slice.
+    text, or the bytes, that bounds a slice.
     """
     names = {f.name.lower() for f in outputs}
     kept = [f for f in df.schema if f.name.lower() not in names]
@@ -100,8 +118,7 @@ def with_columns(df: DataFrame, inputs: list[str], outputs: T.StructType,
         for batch in batches:
             columns = [batch.column(where[c]) for c in inputs]
             text = columns[0]
-            lengths = byte_lengths(text) if pa.types.is_string(text.type) or pa.types.is_large_string(text.type) \
-                else np.full(len(text), 1024)
+            lengths = byte_lengths(text) if text.type in _SIZED else np.full(len(text), 1024)
             for a, b in slices(lengths):
                 made = step(*[c.slice(a, b - a) for c in columns])
                 yield pa.RecordBatch.from_arrays(

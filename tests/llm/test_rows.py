@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -319,3 +320,30 @@ def test_pipeline_stages_keep_columns(spark, odd_docs, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, odd_docs, folder).count() >= 5
         assert stage(spark, odd_docs.where("false"), folder).count() == 0
+
+
+def test_a_task_of_the_pipeline_has_one_worker_at_a_time(spark, odd_docs, entries):
+    import corpus_pipeline
+
+    made = corpus_pipeline.tokenize(spark, odd_docs, "/root/testdata/sf0.001")
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = made.collect()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={e: i for i, e in enumerate(entries)},
+                                special_tokens={})
+    want = [(r.doc_id, library.encode_ordinary(r.text or "")) for r in odd_docs.collect()]
+    found = [(r.doc_id, list(struct.unpack(f"<{r.n_tokens}I", r.ids))) for r in rows]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert all(r.exact for r in rows)
+
+
+def test_bytes_bound_a_slice_as_texts_do(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from lectern.llm.arrow import with_columns
+
+    docs = spark.range(0, 12, 1, 1).select("id", F.when(F.col("id") != 5, F.repeat(F.lit("é"), 400_000).cast("binary")).alias("ids"))
+    output = T.StructType([T.StructField("rows", T.LongType())])
+    made = with_columns(docs, ["ids"], output, lambda x: [pa.array([len(x)] * len(x), pa.int64())]).select("id", "rows").collect()
+    assert sorted(r.id for r in made) == list(range(12))
+    assert max(r.rows for r in made) <= 4
