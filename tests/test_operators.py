@@ -54,6 +54,34 @@ def test_chunks_cover_and_match_plain_walk(spark, overlap):
         assert sorted(got.get(doc_id, [])) == want
 
 
+def test_transcript_agreement_joins_no_pieces(spark):
+    """Repeated, null and short runs match a plain count, and no side of a join (which may be sent to all) holds pieces."""
+    from collections import Counter
+
+    runs = [(f, r, "m", 1, 8, 60.0, 30.0, t) for f, r, t in [
+        (1, 0, "abcabcabc\U0001F600x"), (1, 1, "abcabd"), (1, 1, "xabcab"), (1, 2, ""), (1, 3, None), (1, None, "abc"), (1, 4, "zz"),
+        (2, 5, "aaaa"), (2, 5, "aaaa"), (2, 6, "aaaaaaaa"), (3, 0, ""), (3, 1, "q"), (3, 2, ""), (None, 0, "abc"), (4, None, "abc"), (5, 1, "ab"), (5, 2, "ab")]]
+    df = spark.createDataFrame(runs, "file_id long, run_no int, model string, threads int, batch int, duration_s double, asr_s double, text string")
+    out = captions.transcript_agreement(df)
+    cut = lambda t: [t[i:i + 3] for i in range(max(len(t) - 2, 1))] if t else []
+    base = {f: min(r for g, r, *_ in runs if g == f and r is not None) for f, r, *_ in runs if f and r is not None}
+    held = lambda f, r: sum((Counter(cut(x[-1])) for x in runs if r is not None and x[:2] == (f, r)), Counter())
+    want = []
+    for f, r, *_, t in runs:
+        if f is not None:
+            both = len(cut(t)) + len(cut(next(x[-1] for x in runs if x[:2] == (f, base[f])))) if f in base else 0
+            want.append((f, -1 if r is None else r, 0.5, 2 * (held(f, r) & held(f, base[f])).total() / both if both else 1.0))
+    assert rows(out.na.fill(-1, ["run_no"]), "file_id", "run_no", "ratio", "similarity") == sorted(want)
+
+    def joined(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        here = {x.output().apply(i).name() for x in below for i in range(x.output().size())} if plan.nodeName() == "Join" else set()
+        return here.union(*map(joined, below))
+
+    assert "file_id" in joined(out._jdf.queryExecution().optimizedPlan())
+    assert "piece" not in joined(out._jdf.queryExecution().optimizedPlan())
+
+
 def test_ordered_helpers_match_plain_windows(spark):
     """A hot key cut into many segments gives the same as one window over it."""
     df = spark.range(3000).selectExpr("IF(id % 10 < 7, 'hot', CAST(id % 10 AS STRING)) AS k", "CAST(id AS INT) AS o", "id % 13 AS v")
