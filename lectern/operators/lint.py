@@ -7,9 +7,10 @@ from the notes (entries, image references) to those, never the note texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import text as tx
 from lectern.operators import markdown as md
@@ -76,11 +77,10 @@ def _lines(cond: str) -> str:
     return f"filter(lx, x -> {cond})"
 
 
-def _prepare(df: DataFrame) -> DataFrame:
-    """Note type, platform and the other facts several rules share."""
+def _prepared() -> tuple[dict[str, str], ...]:
+    """Note type, platform and the other facts several rules share, in steps that build on each other."""
     fm = md.fm_value
-    df = _with(
-        df,
+    return (dict(
         nt=f"""lower(trim(CASE WHEN {V3} THEN coalesce({fm('note_type')}, '')
             WHEN kind = 'v4-obsidian' AND coalesce(strict_type, '') <> '' THEN strict_type
             ELSE coalesce(note_type, 'lecture') END))""",
@@ -90,25 +90,21 @@ def _prepare(df: DataFrame) -> DataFrame:
             WHEN kind = 'v4-obsidian' THEN coalesce(strict_vid, vid, '') ELSE coalesce(vid, '') END)""",
         fname="substring_index(path, '/', -1)",
         blanks=f"transform(filter(lx, x -> {strip_sql('x.s')} <> ''), x -> x.n)",
-        marks=f"filter(lx, x -> x.s rlike {rx(md.NAV_BEGIN)} OR x.s rlike {rx(md.NAV_END)})",
-    )
-    df = _with(
-        df,
+        marks=f"filter(lx, x -> contains(x.s, 'NAV:') AND (x.s rlike {rx(md.NAV_BEGIN)} OR x.s rlike {rx(md.NAV_END)}))",
+    ), dict(
         brief=f"({V4} AND nt = 'brief')",
         foreign=f"({V4} AND nt = 'lecture' AND coalesce(trim(source_lang), '') <> '' AND NOT startswith(lower(trim(source_lang)), 'zh'))",
         names="transform(cards, c -> c.name)",
         nb=f"transform(filter(marks, x -> x.s rlike {rx(md.NAV_BEGIN)}), x -> x.n)",
         ne=f"transform(filter(marks, x -> x.s rlike {rx(md.NAV_END)}), x -> x.n)",
-    )
-    return _with(
-        df,
+    ), dict(
         paired="(size(nb) = 1 AND size(ne) = 1 AND try_element_at(nb, 1) < try_element_at(ne, 1))",
         # Lines that may hold time marks: the index (v4), front matter and marker region (v3).
         ex0=f"CASE WHEN {V3} THEN 1 WHEN s_nav IS NULL THEN 0 ELSE s_nav.n END",
         ex1=f"CASE WHEN {V3} THEN coalesce(fmc, 0) WHEN s_nav IS NULL THEN -1 ELSE s_nav.e - 1 END",
         ey0=f"IF({V3} AND try_element_at(nb, 1) <= try_element_at(ne, 1), element_at(nb, 1), 0)",
         ey1=f"IF({V3} AND try_element_at(nb, 1) <= try_element_at(ne, 1), element_at(ne, 1), -1)",
-    )
+    ))
 
 
 def _strict(df: DataFrame) -> DataFrame:
@@ -149,20 +145,61 @@ def _strict(df: DataFrame) -> DataFrame:
 
 # Parsing steps that only some rules read, with a word that marks their columns.
 _OPTIONAL_STEPS = (("quiz", md.add_quiz), ("nav", md.add_nav), ("km", md.add_map), ("lab", md.add_label_problems), ("img", md.add_images))
+# What the rules that join other tables read of a note.
+TRANSCRIPTS, IMAGES = "transcripts", "images"
 
 
 def parse_notes(notes: DataFrame, rules: Sequence[str] | None = None) -> DataFrame:
     """Notes with everything the rules (all by default) need, computed once per row.
 
-    Several rule families read this; a caller that runs them all over a large corpus can
-    write it as a table first.
+    ``rules`` are names of rules, ``TRANSCRIPTS`` or ``IMAGES``: only the steps that they read are done. A barrier of
+    ``staged`` is computed even where nothing reads it, so that steps are left out here, not by the optimizer.
     """
-    wanted = None if rules is None else " ".join({**RULES, **FILE_RULES}[r][1] for r in rules)
-    df = md.add_cards(md.outline(notes))
+    known = {**RULES, **FILE_RULES, **{k: ("", " ".join(_facts((k,)).values())) for k in (TRANSCRIPTS, IMAGES)}}
+    steps = _prepared()
+    if rules is not None:
+        wanted, kept = " ".join(known[r][1] for r in rules), []
+        for step in reversed(steps):
+            kept.insert(0, {k: v for k, v in step.items() if re.search(rf"\b{k}\b", wanted)})
+            wanted = " ".join([wanted, *kept[0].values()])
+        steps = kept
+    df = md.outline(notes)
+    if rules is None or re.search(r"\bcards\b", wanted):
+        df = md.add_cards(df)
     for word, step in _OPTIONAL_STEPS:
-        if wanted is None or word in wanted:
+        if rules is None or word in wanted:
             df = step(df)
-    return _prepare(_strict(df))
+    if rules is None or re.search(r"\bstrict_|\bsv", wanted):
+        df = _strict(df)
+    for step in steps:
+        df = _with(df, **step) if step else df
+    return df
+
+
+def _facts(families: Sequence[str]) -> dict[str, str]:
+    """What the rules of the families read of a parsed note, without its lines."""
+    facts = {}
+    if TRANSCRIPTS in families:
+        facts["nav"] = f"""transform(nav, x -> named_struct('line', x.n + off, 'sec', x.sec, 'url', x.url,
+            'valid', coalesce(x.url IS NOT NULL AND {_link_format()}, false)))"""
+        facts["written"] = f"length(regexp_replace(array_join(ln, ''), r'{tx.BLANK}+', ''))"
+    if IMAGES in families:
+        above = f"""filter(slice(lx, greatest(x.n - 5, 1), least(x.n - 1, 5)), y -> NOT y.f AND y.s rlike {rx(ANCHOR_LINE)})"""
+        facts["img"] = f"""transform(img, x -> named_struct('n', x.n, 'o', x.o, 'alt', x.alt, 'path', x.path, 'num', x.num, 'title', x.title,
+            'file', substring_index(x.path, '/', -1), 'again', exists(img, y -> y.path = x.path AND y.o < x.o), 'mark', try_element_at({above}, -1).s))"""
+        facts["refs"] = md.LOCAL_REFS
+    return facts
+
+
+def note_facts(parsed: DataFrame, families: Sequence[str] = (TRANSCRIPTS, IMAGES), rules: Sequence[str] | None = ()) -> DataFrame:
+    """What the gate reads of parsed notes, stored once: small values of each note, never its lines.
+
+    ``found`` holds the findings of the text ``rules`` (None: all); :func:`transcript_findings` and
+    :func:`image_findings` take these facts in place of parsed notes.
+    """
+    kept = [c for c in ("note_id", "video_id", "kind", "off", "only_page") if c in parsed.columns]
+    found = [_found_in_text(rules).alias("found")] if rules is None or rules else []
+    return durable_checkpoint(parsed.select(*kept, *[F.expr(v).alias(k) for k, v in _facts(families).items()], *found))
 
 
 def _not_exempt(n: str = "x.n") -> str:
@@ -433,8 +470,7 @@ FILE_RULES: dict[str, tuple[str, str]] = {
 }
 
 
-def text_findings(parsed: DataFrame, rules: Sequence[str] | None = None) -> DataFrame:
-    """Findings of the rules that need only the note."""
+def _found_in_text(rules: Sequence[str] | None) -> Column:
     parts = []
     for name, (applies, expr) in RULES.items():
         if rules is None or name in rules:
@@ -443,7 +479,12 @@ def text_findings(parsed: DataFrame, rules: Sequence[str] | None = None) -> Data
     for name, (applies, expr) in FILE_RULES.items():
         if rules is None or name in rules:
             parts.append(f"IF({applies}, {expr}, NULL)")
-    found = F.flatten(F.filter(F.array(*[F.expr(p) for p in parts]), lambda a: a.isNotNull()))
+    return F.flatten(F.filter(F.array(*[F.expr(p) for p in parts]), lambda a: a.isNotNull()))
+
+
+def text_findings(parsed: DataFrame, rules: Sequence[str] | None = None) -> DataFrame:
+    """Findings of the rules that need only the note; facts that hold them already are read."""
+    found = F.col("found") if "found" in parsed.columns else _found_in_text(rules)
     return parsed.select("note_id", F.inline(F.array(F.struct(found.alias("fs"))))).select(
         "note_id", F.explode("fs").alias("f")).select("note_id", "f.check", "f.severity", "f.line", "f.message")
 
@@ -457,12 +498,14 @@ def _found(df: DataFrame, check, severity: str, line, message) -> DataFrame:
 def transcript_findings(parsed: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Index entries against transcript times, link seconds, and the length ratio.
 
-    ``transcripts(video_id, page, text)`` holds the raw texts of each video.
+    ``transcripts(video_id, page, text)`` holds the raw texts of each video. Notes and transcript lines are worked
+    through once and stored as facts and seconds, which all the joins read.
     """
-    lines = parse_ts_lines(transcripts, "nav").select("video_id", "page", "line_no", "ts_sec")
-    entries = parsed.filter(F.expr(ANY)).select(
-        "note_id", "video_id", "kind", "off", "only_page", F.explode("nav").alias("e"), F.expr("size(nav)").alias("cnt")
-    ).select("note_id", "video_id", "kind", "only_page", (F.col("e.n") + F.col("off")).alias("line"), F.col("e.sec").alias("sec"), "e.url")
+    facts = parsed if "written" in parsed.columns else note_facts(parsed, (TRANSCRIPTS,))
+    lines = durable_checkpoint(parse_ts_lines(transcripts, "nav").select("video_id", "page", "line_no", "ts_sec"))
+    entries = facts.filter(F.expr(ANY)).select(
+        "note_id", "video_id", "kind", "only_page", F.explode("nav").alias("e")).select(
+        "note_id", "video_id", "kind", "only_page", "e.line", "e.sec", "e.url")
     timed = lines.groupBy("video_id").agg(F.count("*").alias("timed"))
     near = near_lines(entries.select("video_id", "sec"), lines).select("video_id", "sec").distinct()
     known = entries.join(timed.select("video_id"), "video_id", "left_semi")
@@ -471,14 +514,11 @@ def transcript_findings(parsed: DataFrame, transcripts: DataFrame) -> DataFrame:
     blind = per_note.join(timed, "video_id", "left_anti")
     located = locate_page(entries.filter("url IS NOT NULL"), lines)
     link_sec = F.regexp_extract("url", r"&t=(\d+)s?$", 1).try_cast("bigint")
-    valid = parsed.select("note_id", F.explode(F.expr(
-        f"transform(filter(nav, x -> x.url IS NOT NULL AND {_link_format()}), x -> x.n + off)")).alias("line"))
+    valid = facts.select("note_id", F.explode(F.expr("transform(filter(nav, x -> x.valid), x -> x.line)")).alias("line"))
     wrong = located.filter(F.col("rel_sec").isNotNull() & (link_sec != F.col("rel_sec"))).join(valid, ["note_id", "line"], "left_semi")
     chars = F.length(F.regexp_replace("text", f"{tx.BLANK}+", ""))
     spoken = transcripts.groupBy("video_id").agg(F.sum(chars).alias("spoken"))
-    written = parsed.filter(F.expr(ANY)).select(
-        "note_id", "video_id", "kind", F.length(F.regexp_replace(F.array_join("ln", ""), f"{tx.BLANK}+", "")).alias("written"))
-    ratio = written.join(spoken, "video_id", "left")
+    ratio = facts.filter(F.expr(ANY)).select("note_id", "video_id", "kind", "written").join(spoken, "video_id", "left")
     odd = ratio.filter((F.col("spoken") > 0) & ~(F.col("written") / F.col("spoken")).between(RATIO_MIN, RATIO_MAX))
     none = ratio.filter(F.coalesce("spoken", F.lit(0)) == 0)
     null = F.lit(None)
@@ -502,12 +542,11 @@ def image_findings(parsed: DataFrame, inventory: DataFrame, manifest: DataFrame)
     ``inventory(note_id, path)`` lists existing files; ``manifest(note_id, file, keyword, t,
     section)`` the frames taken for the note.
     """
-    refs = md.local_images(parsed.filter(F.expr(ANY)))
+    facts = parsed if "refs" in parsed.columns else note_facts(parsed, (IMAGES,))
+    refs = md.local_images(facts.filter(F.expr(ANY)))
     missing = refs.join(inventory, ["note_id", "path"], "left_anti")
-    above = f"""filter(lx, y -> y.n < x.n AND y.n >= x.n - 5 AND NOT y.f AND y.s rlike {rx(ANCHOR_LINE)})"""
-    rows = parsed.filter(F.expr(ANY)).select("note_id", "kind", "off", F.explode(F.expr(f"""transform(img, x -> named_struct('n', x.n, 'alt', x.alt, 'path', x.path,
-        'num', x.num, 'file', substring_index(x.path, '/', -1), 'again', exists(img, y -> y.path = x.path AND y.o < x.o),
-        'mark', try_element_at({above}, -1).s))""")).alias("i")).select("note_id", "kind", "off", "i.*")
+    rows = facts.filter(F.expr(ANY)).select("note_id", "kind", "off", F.explode("img").alias("i")).select(
+        "note_id", "kind", "off", *[f"i.{c}" for c in ("n", "alt", "path", "num", "file", "again", "mark")])
     rows = rows.withColumn("mark_sec", F.regexp_extract(F.coalesce("mark", F.lit("")), TIME_LINE, 1).try_cast("int") * 60
                            + F.regexp_extract(F.coalesce("mark", F.lit("")), TIME_LINE, 2).try_cast("int"))
     hit = rows.join(manifest.distinct(), ["note_id", "file"])  # a repeated record is one
@@ -528,13 +567,17 @@ def image_findings(parsed: DataFrame, inventory: DataFrame, manifest: DataFrame)
 
 def lint_notes(notes: DataFrame, transcripts: DataFrame | None = None, inventory: DataFrame | None = None,
                manifest: DataFrame | None = None) -> DataFrame:
-    """All findings of the gate for notes of any template; the notes are parsed once and stored."""
-    parsed = durable_checkpoint(parse_notes(notes))
-    out = text_findings(parsed)
+    """All findings of the gate for notes of any template, or for the facts of such notes.
+
+    The notes are parsed once; only their facts (findings of the text, index entries, images) are stored.
+    """
+    families = [TRANSCRIPTS] * (transcripts is not None) + [IMAGES] * (inventory is not None and manifest is not None)
+    facts = notes if "found" in notes.columns else note_facts(parse_notes(notes), families, None)
+    out = text_findings(facts)
     if transcripts is not None:
-        out = out.unionByName(transcript_findings(parsed, transcripts))
+        out = out.unionByName(transcript_findings(facts, transcripts))
     if inventory is not None and manifest is not None:
-        out = out.unionByName(image_findings(parsed, inventory, manifest))
+        out = out.unionByName(image_findings(facts, inventory, manifest))
     return out
 
 

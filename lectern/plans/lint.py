@@ -336,7 +336,7 @@ def _f(check: str, severity: str, line: str, message: str, rest: str) -> str:
     _f("pre || '-RATIO'", "warning", "NULL", "CASE WHEN wr < sp * 0.03 THEN 'too short' ELSE 'too long' END", "ra WHERE sp > 0 AND NOT (wr / sp BETWEEN 0.03 AND 1.2)"),
     _f("pre || '-RATIO'", "warning", "NULL", "'no transcript'", "ra WHERE coalesce(sp, 0) = 0")))
 def _(t):
-    return op.transcript_findings(op.parse_notes(notes(t)), _transcripts(t))
+    return op.transcript_findings(op.parse_notes(notes(t), [op.TRANSCRIPTS]), _transcripts(t))
 
 
 def _manifest(t):

@@ -204,6 +204,32 @@ def test_gate_with_transcripts(spark):
     assert got == {("V4-E3", "error")}  # link says 5, transcript line is at 4
 
 
+def counted_notes(spark):
+    """Three notes with images and index, and the number of texts written so far: each reading of a note writes its text."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def written(text):
+        seen.add(1)
+        return text
+
+    shots = "\n".join([NOTE, "![cap x](images/a.png) images/b.jpg", "**核心必考** [01:00]", "![y](images/a.png)"]).replace(
+        "第一句", "**核心必考** [02:30]\n\n![cap](images/a.png)\n第一句", 1)
+    df = spark.createDataFrame([(i, i, "notes/1-a.md", None, "lecture", "bilibili", f"BV{i}", "zh", None, t) for i, t in
+                                ((1, NOTE), (2, shots), (3, NOTE.replace("t=5)", "t=x)")))], NSCHEMA).coalesce(1)
+    return df.withColumn("text", F.udf(written, "string").asNondeterministic()("text")), seen
+
+
+def test_transcript_rules_write_each_note_once(spark):
+    notes, seen = counted_notes(spark)
+    heard = spark.createDataFrame([(1, 1, "[00:04] " + "字" * 900), (2, 1, "[09:00] x"), (4, 1, "[00:05] y")], "video_id long, page int, text string")
+    out = lint.transcript_findings(lint.parse_notes(notes, [lint.TRANSCRIPTS]), heard)
+    got = sorted((r["note_id"], r["check"], r["severity"], r["line"] or 0) for r in out.collect())
+    index = INDEX + 1
+    assert got == [(1, "V4-E3", "error", index), (2, "V4-E2", "error", index + 3), (2, "V4-RATIO", "warning", 0),
+                   (3, "V4-E2", "warning", 0), (3, "V4-E3", "warning", 0), (3, "V4-RATIO", "warning", 0)]
+    assert seen.value == 3
+
+
 def test_concept_key_folds_width_and_case(spark):
     df = concepts.concept_key(spark.createDataFrame([("Ａpi 网关",), ("API网关",), ("Straße",), ("STRASSE",)], "name string"))
     assert len({r["key"] for r in df.collect()}) == 2
