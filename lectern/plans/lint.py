@@ -339,15 +339,16 @@ def _(t):
     return op.transcript_findings(op.parse_notes(notes(t), [op.TRANSCRIPTS]), _transcripts(t))
 
 
-def _manifest(t):
-    refs = md.image_refs(notes(t)).filter("line_no % 5 > 0")
+# The generated inventory and manifest list images of the notes, which are written and parsed once for them and the rules.
+def _manifest(facts):
+    refs = md.image_refs(facts).filter("line_no % 5 > 0")
     return refs.selectExpr(
         "note_id", "substring_index(path, '/', -1) AS file", "IF(line_no % 2 = 0, 'cap', 'other') AS keyword",
         "CAST(line_no * 10 AS DOUBLE) AS t", "CAST(section + line_no % 2 AS INT) AS section").dropDuplicates(["note_id", "file"])
 
 
-def _inventory(t):
-    return md.local_images(md.outline(notes(t))).filter("note_id % 3 > 0").select("note_id", "path")
+def _inventory(facts):
+    return md.local_images(facts).filter("note_id % 3 > 0").select("note_id", "path")
 
 
 _IMAGES = LINES + r""",
@@ -363,12 +364,14 @@ _IMAGES = LINES + r""",
     _f("'V4-SHOT'", "warning", "n + off", "'belongs to section ' || section", "i1 JOIN (SELECT note_id, path, section FROM mf) m USING (note_id, path) WHERE kind LIKE 'v4%' AND num IS NOT NULL AND section <> num"),
     _f("upper(left(kind, 2)) || '-MANIFEST'", "warning", "NULL", "'caption without keyword: ' || split_part(path, '/', 2)", "i1 JOIN (SELECT note_id, path, kw FROM mf) m USING (note_id, path) WHERE NOT contains(alt, kw)")))
 def _(t):
-    return op.image_findings(op.parse_notes(notes(t)), _inventory(t), _manifest(t))
+    facts = op.note_facts(op.parse_notes(notes(t), [op.IMAGES]), (op.IMAGES,))
+    return op.image_findings(facts, _inventory(facts), _manifest(facts))
 
 
 @REG.query("lint_notes")
 def _(t):
-    return op.lint_notes(notes(t), _transcripts(t), _inventory(t), _manifest(t))
+    images = op.note_facts(op.parse_notes(notes(t), [op.IMAGES]), (op.IMAGES,))
+    return op.lint_notes(notes(t), _transcripts(t), _inventory(images), _manifest(images))
 
 
 @REG.query("gate_summary", LINES + """,

@@ -230,6 +230,20 @@ def test_transcript_rules_write_each_note_once(spark):
     assert seen.value == 3
 
 
+def test_image_rules_write_each_note_once(spark):
+    notes, seen = counted_notes(spark)
+    facts = lint.note_facts(lint.parse_notes(notes, [lint.IMAGES]), (lint.IMAGES,))
+    inventory = spark.createDataFrame([(2, "images/a.png")], "note_id long, path string")
+    manifest = spark.createDataFrame([(2, "a.png", "cap", 150.0, 2), (2, "a.png", "cap", 150.0, 2)],
+                                     "note_id long, file string, keyword string, t double, section int")
+    got = sorted((r["check"], r["line"] or 0, r["message"]) for r in lint.image_findings(facts, inventory, manifest).collect())
+    assert got == [("V4-IMG", 0, "missing image: images/b.jpg"), ("V4-MANIFEST", 0, "caption without keyword: a.png"),
+                   ("V4-MANIFEST", 0, "time differs: a.png"), ("V4-SHOT", 7, "belongs to section 2")]
+    assert sorted(r["path"] for r in markdown.local_images(facts).collect()) == ["images/a.png", "images/b.jpg"]
+    assert len(markdown.image_refs(facts).collect()) == 3
+    assert seen.value == 3
+
+
 def test_concept_key_folds_width_and_case(spark):
     df = concepts.concept_key(spark.createDataFrame([("Ａpi 网关",), ("API网关",), ("Straße",), ("STRASSE",)], "name string"))
     assert len({r["key"] for r in df.collect()}) == 2
