@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lectern.session import durable_checkpoint
+from lectern.session import durable_table
 
 SEGMENT = 65536
 SEG = "_seg"
@@ -86,18 +86,21 @@ def row_numbers(
     ).drop("_base", SEG)
 
 
-def sorted_numbers(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """1-based numbers of the rows of each ``key`` in ``order``, without gathering a key.
+def sorted_numbers(df: DataFrame, key: str, order: str, name: str, total: str | None = None) -> DataFrame:
+    """1-based numbers of the rows of each ``key`` in ``order``, without gathering a key; ``total`` adds the key's rows.
 
     Rows are range-sorted over the cluster and stored once; a row's number is its place in its
     partition plus the rows of its key in earlier partitions, known from one row per key and
     partition. Equal orders get distinct numbers.
     """
     ranged = df.repartitionByRange(key, order).sortWithinPartitions(key, order)
-    rows = durable_checkpoint(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
-    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy(key, "_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_n")).select(
-        key, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start") + 1).alias("_shift"))
+    rows = durable_table(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    every = W.partitionBy(key)
+    before = every.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # stored, so that its size is known: a small one is sent to the rows, which are then not shuffled again
+    starts = durable_table(rows.groupBy(key, "_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_n")).select(
+        key, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start") + 1).alias("_shift"),
+        *([F.sum("_n").over(every).alias(total)] if total else [])))
     return rows.join(starts, [key, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
@@ -106,6 +109,5 @@ def number_lines(blocks: Sequence[DataFrame], key: str) -> DataFrame:
 
     A document never ends with an empty line.
     """
-    lines = sorted_numbers(reduce(DataFrame.unionByName, blocks), key, "o", "line_no")
-    last = lines.groupBy(key).agg(F.max("line_no").alias("_last"))
-    return lines.join(last, key).filter("line_no < _last OR line <> ''").select(key, "line_no", "line")
+    lines = sorted_numbers(reduce(DataFrame.unionByName, blocks), key, "o", "line_no", "_last")
+    return lines.filter("line_no < _last OR line <> ''").select(key, "line_no", "line")

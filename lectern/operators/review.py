@@ -19,7 +19,7 @@ from lectern.functions import text as tx
 from lectern.functions.ordered import number_lines, row_numbers
 from lectern.functions.udfs import case_fold
 from lectern.operators.concepts import CONCEPT, _folded, concept_key
-from lectern.session import durable_checkpoint
+from lectern.session import durable_checkpoint, durable_table
 
 # Sorts cards and entries without a section behind all sections.
 NO_SECTION = 2**31 - 1
@@ -37,10 +37,15 @@ class CourseModel:
     ``appearances``: one row per card and section. ``questions``: with concept and replay link."""
 
     concepts: DataFrame
-    values: DataFrame
+    valued: Callable[[], DataFrame]
     appearances: DataFrame
     attributed: Callable[[], DataFrame]
 
+    @cached_property
+    def values(self) -> DataFrame:
+        """Gathered and stored when they are first read; the quiz has none."""
+        return self.valued()
+
     @cached_property
     def questions(self) -> DataFrame:
         """Attributed and stored when they are first read; the concept table has none."""
@@ -57,30 +62,38 @@ def course_model(cards: DataFrame, refs: DataFrame, appears: DataFrame, nav: Dat
     appearance (item, section, none last, card). Questions without a concept name belong to none.
     """
     place = ["course_id", "idx", "card_no"]
-    keyed = durable_checkpoint(concept_key(cards).select(
+    keyed = durable_table(concept_key(cards).select(
         *CONCEPT, "idx", "card_no", "name", tx.strip(F.col("definition")).alias("definition"), tx.strip(F.col("original")).alias("original")))
-    shown = keyed.drop("original").join(appears, place, "left").join(nav, ["course_id", "idx", "section"], "left")
+    # only the places of cards meet appearances and index; names and definitions stay with the cards
+    # and each of the two joins gives up its shuffles before the next one starts
+    placed = durable_table(keyed.select(*CONCEPT, "idx", "card_no").join(appears, place, "left"))
+    shown = placed.join(nav, ["course_id", "idx", "section"], "left")
     section = F.coalesce("section", F.lit(NO_SECTION))
-    shown = durable_checkpoint(shown.withColumn("section_order", section))
+    shown = durable_table(shown.withColumn("section_order", section), placed)
+
+    def facts(*names: str) -> DataFrame:
+        fact = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("vkey"), F.col(k).alias("value")) for k in names]
+        return keyed.select(*CONCEPT, F.inline(F.array(*fact)), F.struct("idx", "card_no", F.lit(0).alias("pos")).alias("o")).filter(
+            "kind = 'definition' OR vkey <> ''")
+
+    def gathered(found: DataFrame) -> DataFrame:
+        return found.groupBy(*CONCEPT, "kind", "vkey").agg(F.count("*").alias("n"), F.min("o").alias("o"), F.min_by("value", "o").alias("value"))
+
+    def values() -> DataFrame:
+        named = concept_key(refs, "ref", "vkey").join(keyed.select(*place, "key").distinct(), place).select(
+            *CONCEPT, F.col("field").alias("kind"), "vkey", F.col("ref").alias("value"), F.struct("idx", "card_no", "pos").alias("o"))
+        return durable_table(gathered(facts("definition", "original").unionByName(named)))
 
     card = F.struct("idx", "card_no")
-    fact = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("vkey"), F.col(k).alias("value")) for k in ("definition", "original")]
-    facts = keyed.select(*CONCEPT, F.inline(F.array(*fact)), F.struct("idx", "card_no", F.lit(0).alias("pos")).alias("o")).filter(
-        "kind = 'definition' OR vkey <> ''")
-    named = concept_key(refs, "ref", "vkey").join(keyed.select(*place, "key").distinct(), place).select(
-        *CONCEPT, F.col("field").alias("kind"), "vkey", F.col("ref").alias("value"), F.struct("idx", "card_no", "pos").alias("o"))
-    values = durable_checkpoint(facts.unionByName(named).groupBy(*CONCEPT, "kind", "vkey").agg(
-        F.count("*").alias("n"), F.min("o").alias("o"), F.min_by("value", "o").alias("value")))
-
-    heads = shown.groupBy(*CONCEPT).agg(
-        F.min_by(F.struct("name", "definition", "idx", "card_no"), card).alias("f"),
-        F.min(F.struct("idx", "section_order")).alias("at"), (F.min("idx") != F.max("idx")).alias("multi_item"))
-    chosen = choose_originals(values.filter("kind = 'original'"))
+    named = keyed.groupBy(*CONCEPT).agg(
+        F.min_by(F.struct("name", "definition", "idx", "card_no"), card).alias("f"), (F.min("idx") != F.max("idx")).alias("multi_item"))
+    at = shown.groupBy(*[F.col(c).alias(f"_{c}") for c in CONCEPT]).agg(F.min(F.struct("idx", "section_order")).alias("at"))
+    heads = named.join(at, F.expr(" AND ".join(f"{c} <=> _{c}" for c in CONCEPT)))
+    chosen = choose_originals(gathered(facts("original")))
     concepts = durable_checkpoint(heads.join(chosen, CONCEPT, "left").select(
         *CONCEPT, "f.name", "f.definition", F.struct("at.idx", "at.section_order", "f.card_no", "key").alias("first"),
         "multi_item", F.coalesce("original", F.lit("")).alias("original"), F.coalesce("groups", F.lit(0)).alias("groups")))
-    return CourseModel(concepts, values, shown.drop("name", "definition"),
-                       lambda: durable_checkpoint(_attributed(questions, shown, concepts)))
+    return CourseModel(concepts, values, shown, lambda: durable_table(_attributed(questions, shown, concepts)))
 
 
 def choose_originals(originals: DataFrame) -> DataFrame:
@@ -268,12 +281,12 @@ def quiz_document(model: CourseModel, items: DataFrame, marks: DataFrame) -> Dat
     done = marks.filter("mastered").select(*CONCEPT).distinct()
     titles = items.select("course_id", "idx", "title", "note")
     questions = model.questions.join(titles, ["course_id", "idx"], "left").withColumn("_o", F.struct("idx", "no", "stem"))
-    every = durable_checkpoint(row_numbers(questions, ["course_id", "idx"], "_o", "number", F.col("idx").cast("bigint")))
+    every = durable_table(row_numbers(questions, ["course_id", "idx"], "_o", "number", F.col("idx").cast("bigint")))
     started = counts.filter("mastered > 0")
     pending = model.concepts.join(done, CONCEPT, "left_anti").join(started.select("course_id"), "course_id", "left_semi").select(
         "course_id", F.col("key").alias("concept"), "first", "name", "original")
-    focus = row_numbers(every.drop("number").filter("concept IS NOT NULL").join(pending, ["course_id", "concept"]),
-                        ["course_id", "concept"], "_o", "number", F.col("idx").cast("bigint"))
+    focus = durable_table(row_numbers(every.drop("number").filter("concept IS NOT NULL").join(pending, ["course_id", "concept"]),
+                                      ["course_id", "concept"], "_o", "number", F.col("idx").cast("bigint")))
     source = F.concat(F.lit("第 "), _s("idx"), F.lit(" 集第 "), _s("no"), F.lit(" 题"))
     named = focus.filter("number = 1")
     asked = every.select("course_id", "idx", "title").distinct()

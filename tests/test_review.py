@@ -148,3 +148,24 @@ def test_questions_are_attributed_when_they_are_read(spark):
     model = review.course_model(cards, refs, appears, nav, asked)
     assert "questions" not in vars(model)
     assert [r.concept for r in model.questions.collect()] == ["a"] and model.questions is model.questions
+
+
+def test_quiz_is_made_from_compressed_tables_and_without_values(spark):
+    cards = spark.createDataFrame([(1, 1, 1, "a", "d", "x"), (1, 2, 2, "A", "e", "X"), (None, 3, 3, "b", "f", ""), (1, None, 4, "c", None, None)],
+                                  "course_id int, idx int, card_no long, name string, definition string, original string")
+    refs = spark.createDataFrame([(1, 1, 1, "depends", 0, "b")], "course_id int, idx int, card_no long, field string, pos int, ref string")
+    appears = spark.createDataFrame([(1, 1, 1, 0, 2, "S"), (1, 2, 2, 0, 1, "T")], "course_id int, idx int, card_no long, pos int, section int, section_name string")
+    nav = spark.createDataFrame([(1, 1, 2, "00:10", "u")], "course_id int, idx int, section int, time string, url string")
+    asked = spark.createDataFrame([(1, 1, 1, "s", "A", "x")], "course_id int, idx int, no long, stem string, correspond string, answer string")
+    model = review.course_model(cards, refs, appears, nav, asked)
+    assert sorted((r.course_id or 0, r.key, r.name, r.multi_item or False, r.original, r["first"].idx, r["first"].section_order) for r in model.concepts.collect()) == [
+        (0, "b", "b", False, "", 3, review.NO_SECTION), (1, "a", "a", True, "x", 1, 2), (1, "c", "c", False, "", None, review.NO_SECTION)]
+    items = spark.createDataFrame([(1, "Kurs", 1, "One", "a.md")], "course_id int, course_title string, idx int, title string, note string")
+    marks = spark.createDataFrame([(1, "c", True)], "course_id int, key string, mastered boolean")
+    got = lines(review.quiz_document(model, items, marks), 1)
+    assert "### a（x）" in got and "[▶ 回看 00:10](u) · [笔记](a.md)" in got
+    assert "values" not in vars(model)
+    for table in (model.appearances, model.questions):
+        assert table.inputFiles() and all(f.endswith(".parquet") for f in table.inputFiles())
+    assert sorted((r.kind, r.vkey, r.n) for r in model.values.filter("course_id = 1 AND key = 'a'").collect()) == [
+        ("definition", "d", 1), ("definition", "e", 1), ("depends", "b", 1), ("original", "X", 1), ("original", "x", 1)]
