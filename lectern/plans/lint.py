@@ -370,8 +370,8 @@ def _(t):
 
 @REG.query("lint_notes")
 def _(t):
-    images = op.note_facts(op.parse_notes(notes(t), [op.IMAGES]), (op.IMAGES,))
-    return op.lint_notes(notes(t), _transcripts(t), _inventory(images), _manifest(images))
+    facts = op.note_facts(op.parse_notes(notes(t)), rules=None)
+    return op.lint_notes(facts, _transcripts(t), _inventory(facts), _manifest(facts))
 
 
 @REG.query("gate_summary", LINES + """,

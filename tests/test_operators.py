@@ -244,6 +244,23 @@ def test_image_rules_write_each_note_once(spark):
     assert seen.value == 3
 
 
+def test_gate_stores_no_lines_of_notes(spark, monkeypatch):
+    """The whole gate works through each note once and stores its findings, entries and images, not its text."""
+    stored, keep = [], lint.durable_checkpoint
+    monkeypatch.setattr(lint, "durable_checkpoint", lambda df: stored.append(df.columns) or keep(df))
+    notes, seen = counted_notes(spark)
+    heard = spark.createDataFrame([(1, 1, "[00:04] " + "字" * 900)], "video_id long, page int, text string")
+    inventory = spark.createDataFrame([(2, "images/a.png")], "note_id long, path string")
+    manifest = spark.createDataFrame([(2, "a.png", "cap", 150.0, 2)], "note_id long, file string, keyword string, t double, section int")
+    out = lint.lint_notes(notes, heard, inventory, manifest)
+    cols = ("note_id", "check", "severity", "line", "message")
+    got = sorted(map(repr, rows(out.na.fill(0, ["line"]), *cols)))
+    assert seen.value == 3 and stored and not {"text", "al", "ln", "lx"}.intersection(*[sum(stored, [])])
+    parts = [lint.text_findings(lint.parse_notes(counted_notes(spark)[0])), lint.transcript_findings(lint.parse_notes(counted_notes(spark)[0]), heard),
+             lint.image_findings(lint.parse_notes(counted_notes(spark)[0]), inventory, manifest)]
+    assert got == sorted(repr(r) for p in parts for r in rows(p.na.fill(0, ["line"]), *cols))
+
+
 def test_concept_key_folds_width_and_case(spark):
     df = concepts.concept_key(spark.createDataFrame([("Ａpi 网关",), ("API网关",), ("Straße",), ("STRASSE",)], "name string"))
     assert len({r["key"] for r in df.collect()}) == 2
