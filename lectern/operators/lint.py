@@ -20,7 +20,8 @@ from lectern.operators.timeindex import locate_page, near_lines
 from lectern.session import durable_checkpoint
 
 # Words, limits and formats of the gate.
-TAG_WORDS = "(?:核心必考|重点掌握|了解即可)"
+TAGS = ("核心必考", "重点掌握", "了解即可")
+TAG_WORDS = f"(?:{'|'.join(TAGS)})"
 TAG_V3 = rf"^\s*(?:[-*]\s*)?(?:\*\*{TAG_WORDS}\*\*|[（(]{TAG_WORDS}[）)])"
 TAG_V4 = rf"^\s*(?:[-*+]\s*)?(?:\*\*{TAG_WORDS}\*\*|[（(]{TAG_WORDS}[）)])"
 CARD_TAGGED = rf"^###\s+.+?[（(]{TAG_WORDS}[）)]\s*$"
@@ -225,7 +226,7 @@ _DEPENDS = f"""filter(flatten(transform(filter(cards, c -> c.depends.v IS NOT NU
     d -> named_struct('n', c.depends.n, 'name', c.name, 'ref', {strip_sql('d')})))), x -> x.ref <> '' AND NOT array_contains(names, x.ref))"""
 _CONFUSED = f"""filter(transform(filter(cards, c -> c.confusable.v IS NOT NULL), c -> named_struct('n', c.confusable.n, 'name', c.name,
     'ref', {strip_sql("element_at(split(c.confusable.v, '——|--'), 1)")})), x -> x.ref <> '' AND NOT array_contains(names, x.ref))"""
-_FENCE_MARKS = f"filter(lx, x -> x.s rlike {rx(md.FENCE_LANG)})"
+_FENCE_MARKS = f"filter(lx, x -> contains(x.s, '```') AND x.s rlike {rx(md.FENCE_LANG)})"
 _PAIRS = f"""filter(transform({_FENCE_MARKS}, (x, i) -> named_struct('i', i, 'o', x.n, 'lang', lower(regexp_extract(x.s, {rx(md.FENCE_LANG)}, 1)),
     'c', try_element_at({_FENCE_MARKS}, i + 2).n)), x -> x.i % 2 = 0 AND x.c IS NOT NULL AND x.lang IN {_in(CODE_LANGS)})"""
 _SOURCES = f"""flatten(transform({_PAIRS}, b -> filter(slice(lx, b.o + 1, b.c - b.o + 2),
@@ -353,7 +354,7 @@ def _bad_links(prefix: str) -> str:
     return each(f"filter(nav, x -> x.url IS NOT NULL AND NOT {_link_format()})", f"{prefix}-E3", "error", "x.n", "concat('link format: ', left(x.url, 60))")
 
 
-_TIME_HITS = f"""flatten(transform({_lines(_not_exempt())}, x -> transform({all_matches('x.s', md.TIME_ANY, 0)}, z -> named_struct('n', x.n, 'z', z))))"""
+_TIME_HITS = f"""flatten(transform({_lines("contains(x.s, ':') AND " + _not_exempt())}, x -> transform({all_matches('x.s', md.TIME_ANY, 0)}, z -> named_struct('n', x.n, 'z', z))))"""
 _TERM_LINES = f"""transform(filter(lx, x -> NOT x.f AND x.g > 0 AND x.n > x.g AND element_at(ln, x.g) rlike {rx(md.H2_NUM)}), x -> named_struct('n', x.n, 's', replace(x.s, '**', '')))"""
 _HAN_CARDS = f"""filter(transform(cards, c -> named_struct('n', c.n, 'name', {strip_sql("replace(c.name, '**', '')")}, 'original', c.original.v)), c -> foreign AND c.name rlike r'[\\x{{3400}}-\\x{{9fff}}]')"""
 _FIRST_USE = f"""filter(transform({_HAN_CARDS}, c -> named_struct('name', c.name, 'l', {first(f'filter({_TERM_LINES}, y -> contains(y.s, c.name))')})), c -> c.l IS NOT NULL)"""
@@ -369,21 +370,20 @@ _TOC_ON = f"NOT (brief AND NOT exists(h2s, h -> contains(h.t, '目录')))"
 RULES: dict[str, tuple[str, str]] = {
     "V4-NT": (V4, one(f"nt NOT IN {_in(NOTE_TYPES)}", "V4-NT", "error", "NULL", "concat('note type: ', nt)")),
     "V4-FM": (V4, one("fmc IS NOT NULL AND off = 0", "V4-FM", "error", "1", "'front matter'")),
-    "V4-HEAD": (V4, f"""concat({each(_lines(f"NOT x.f AND x.s rlike {rx('^#' + chr(92) + 's+' + chr(92) + 'S')}"), 'V4-HEAD', 'error', 'x.n', "'top heading'")},
+    "V4-HEAD": (V4, f"""concat({each(_lines(f"NOT x.f AND startswith(x.s, '#') AND x.s rlike {rx('^#' + chr(92) + 's+' + chr(92) + 'S')}"), 'V4-HEAD', 'error', 'x.n', "'top heading'")},
         {one(f"(size(blanks) = 0 OR NOT element_at(ln, element_at(blanks, 1)) rlike {rx(MAIN_QUOTE)}) AND NOT (fmc IS NOT NULL AND off = 0)", 'V4-HEAD', 'error', 'coalesce(try_element_at(blanks, 1), 1)', "'no main thread'")},
         {one(f"element_at(ln, try_element_at(blanks, 1)) rlike {rx(MAIN_QUOTE)} AND NOT exists(lx, x -> contains(x.s, '课程来源') AND x.n >= blanks[0] AND x.n < coalesce(array_min(transform(filter(lx, y -> y.n > blanks[0] AND {strip_sql('y.s')} = ''), y -> y.n)), 1000000000))", 'V4-HEAD', 'error', 'try_element_at(blanks, 1)', "'no source'")})"""),
     "V4-NAME": (V4, one(f"NOT fname rlike {rx(FILE_NAME)}", "V4-NAME", "warning", "NULL", "concat('file name: ', fname)")),
-    "V4-LIST": (V4, one(f"exists(lx, x -> NOT x.f AND x.s rlike {rx(DASH_LIST)})", "V4-LIST", "warning",
-                        f"try_element_at({_lines(f'NOT x.f AND x.s rlike {rx(DASH_LIST)}')}, 1).n",
-                        f"concat(size({_lines(f'NOT x.f AND x.s rlike {rx(DASH_LIST)}')}), ' lines')")),
+    "V4-LIST": (V4, f"""transform(filter(array({_lines(f"NOT x.f AND (contains(x.s, '-') OR contains(x.s, '*')) AND x.s rlike {rx(DASH_LIST)}")}), z -> size(z) > 0),
+        z -> {finding('V4-LIST', 'warning', 'z[0].n', "concat(size(z), ' lines')")})"""),
     "V4-SEC": (V4, each(_sections(md.STRUCTURAL_V3, f"NOT brief AND {_SUBS} < 3"), "V4-SEC", "error", "NULL", f"concat(x.t, ': ', {_SUBS})")),
     "V4-IDEA": (V4, each(_sections(md.STRUCTURAL_V4, f"NOT brief AND NOT x.f AND NOT {_LAST_SUB} rlike {rx(RECALL)}"), "V4-IDEA", "warning", "x.n", "x.t")),
-    "V4-ANALOGY": (V4, each(_lines(f"{_not_exempt()} AND NOT x.f AND x.s rlike {rx(ANALOGY)} AND NOT x.s rlike {rx(ANALOGY_OK)}"),
+    "V4-ANALOGY": (V4, each(_lines(f"{_not_exempt()} AND NOT x.f AND contains(x.s, '打个比方') AND x.s rlike {rx(ANALOGY)} AND NOT x.s rlike {rx(ANALOGY_OK)}"),
                             "V4-ANALOGY", "warning", "x.n", "'analogy label'")),
-    "V4-YUQUE": (V4, each(_lines(f"(x.f AND x.s rlike {rx(SUBGRAPH_BOX)}) OR x.s rlike {rx(TEXT_FENCE)}"), "V4-YUQUE", "warning", "x.n",
+    "V4-YUQUE": (V4, each(_lines(f"(x.f AND contains(x.s, 'subgraph') AND x.s rlike {rx(SUBGRAPH_BOX)}) OR (contains(x.s, '```') AND x.s rlike {rx(TEXT_FENCE)})"), "V4-YUQUE", "warning", "x.n",
                           f"IF(x.f AND x.s rlike {rx(SUBGRAPH_BOX)}, 'subgraph', 'text fence')")),
     "V4-E1": (V4, each(_TIME_HITS, "V4-E1", "error", "x.n", "concat('time mark: ', x.z)")),
-    "V4-E4": (V4, each(_lines(f"{_not_exempt()} AND NOT x.f AND (x.s rlike {rx(TAG_V4)} OR x.s rlike {rx(CARD_TAGGED)})"), "V4-E4", "error", "x.n", "'label residue'")),
+    "V4-E4": (V4, each(_lines(f"{_not_exempt()} AND NOT x.f AND {has_any('x.s', TAGS)} AND (x.s rlike {rx(TAG_V4)} OR x.s rlike {rx(CARD_TAGGED)})"), "V4-E4", "error", "x.n", "'label residue'")),
     "V4-E6": (V4, _card_rules("V4", False)),
     "V4-TERM": (V4, f"""concat({each(f"filter({_HAN_CARDS}, x -> {strip_sql(chr(99) + 'oalesce(x.original, ' + chr(39) * 2 + ')')} = '')", 'V4-TERM', 'warning', 'x.n', "concat('no original: ', x.name)")},
         {each(f"filter({_FIRST_USE}, x -> NOT substring(x.l.s, locate(x.name, x.l.s) + length(x.name), length(x.l.s)) rlike {rx(ORIGINAL_AFTER)})", 'V4-TERM', 'warning', 'x.l.n', "concat('first use: ', x.name)")})"""),
@@ -393,8 +393,8 @@ RULES: dict[str, tuple[str, str]] = {
     "V4-SUM": (V4, f"""IF(brief, slice(array({finding('V4-SUM', 'warning', 'NULL', "''")}), 1, 0), concat(
         {one("s_summary IS NULL AND nt = 'lecture'", 'V4-SUM', 'warning', 'NULL', "'no summary'")},
         {one(f"s_summary IS NOT NULL AND size(filter({_SUM}, x -> NOT x.f AND x.s rlike {rx(TABLE_ROW)} AND NOT x.s rlike {rx(TABLE_RULE)})) < 3", 'V4-SUM', 'warning', 's_summary.n', "'table rows'")},
-        {one(f"s_summary IS NOT NULL AND NOT exists({_SUM}, x -> NOT x.f AND x.s rlike {rx(THREE_LINES)})", 'V4-SUM', 'warning', 's_summary.n', "'no three sentences'")},
-        {one(f"size(filter({_SUM}, x -> NOT x.f AND x.s rlike {rx(md.NUM_ITEM)} AND x.n > {first(f'filter({_SUM}, y -> NOT y.f AND y.s rlike {rx(THREE_LINES)})')}.n)) <> 3 AND exists({_SUM}, x -> NOT x.f AND x.s rlike {rx(THREE_LINES)})", 'V4-SUM', 'warning', first(f'filter({_SUM}, y -> NOT y.f AND y.s rlike {rx(THREE_LINES)})') + '.n', "'sentence count'")}))"""),
+        {one(f"s_summary IS NOT NULL AND NOT exists({_SUM}, x -> NOT x.f AND contains(x.s, '学完能说的') AND x.s rlike {rx(THREE_LINES)})", 'V4-SUM', 'warning', 's_summary.n', "'no three sentences'")},
+        {one(f"size(filter({_SUM}, x -> NOT x.f AND x.s rlike {rx(md.NUM_ITEM)} AND x.n > {first(f'filter({_SUM}, y -> NOT y.f AND y.s rlike {rx(THREE_LINES)})')}.n)) <> 3 AND exists({_SUM}, x -> NOT x.f AND contains(x.s, '学完能说的') AND x.s rlike {rx(THREE_LINES)})", 'V4-SUM', 'warning', first(f'filter({_SUM}, y -> NOT y.f AND y.s rlike {rx(THREE_LINES)})') + '.n', "'sentence count'")}))"""),
     "V4-E2": (V4, f"""concat({each('marks', 'V4-E2', 'error', 'x.n', "'marker'")},
         {one('s_nav IS NOT NULL AND s_nav.e <> size(ln) + 1', 'V4-E2', 'error', 's_nav.n', "'index not last'")},
         {each(f"filter({span('s_nav')}, x -> x.s rlike {rx(md.DETAILS_OPEN)})", 'V4-E2', 'error', 'x.n', "'folded index'")},
@@ -428,7 +428,7 @@ RULES: dict[str, tuple[str, str]] = {
     "V3-SEC": (V3, each(_sections(md.STRUCTURAL_V3, f"{_SUBS} < 3"), "V3-SEC", "error", "NULL", f"concat(x.t, ': ', {_SUBS})")),
     "V3-IDEA": (V3, each(_sections(md.STRUCTURAL_IDEA, f"NOT startswith({_FIRST_SUB}, '**核心思想：**')"), "V3-IDEA", "error", "NULL", "x.t")),
     "V3-E1": (V3, each(_TIME_HITS, "V3-E1", "error", "x.n", "concat('time mark: ', x.z)")),
-    "V3-E4": (V3, each(_lines(f"{_not_exempt()} AND NOT x.f AND (x.s rlike {rx(TAG_V3)} OR x.s rlike {rx(CARD_TAGGED)})"), "V3-E4", "error", "x.n", "'label residue'")),
+    "V3-E4": (V3, each(_lines(f"{_not_exempt()} AND NOT x.f AND {has_any('x.s', TAGS)} AND (x.s rlike {rx(TAG_V3)} OR x.s rlike {rx(CARD_TAGGED)})"), "V3-E4", "error", "x.n", "'label residue'")),
     "V3-E6": (V3, _card_rules("V3", True)),
     "V3-E5": (V3, _quiz_rules("V3", True)),
     "V3-E2": (V3, f"""concat({one('s_nav IS NOT NULL AND NOT paired', 'V3-E2', 'error', 'NULL', "'markers not paired'")},
